@@ -17,6 +17,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_docs(spark, sf_dir))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(_docs(spark, sf_dir), n=4)
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find_personal_data
 
@@ -39,7 +45,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_exact_dedup, op6_pii, op7_sharding, op10_packing)
+    for f in (op1_exact_dedup, op4_near_dedup, op6_pii, op7_sharding, op10_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {
