@@ -35,6 +35,13 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_docs(spark, sf_dir))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, judge
+
+    docs = _docs(spark, sf_dir)
+    return judge(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,7 +52,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_exact_dedup, op4_near_dedup, op6_pii, op7_sharding, op10_packing)
+    for f in (op1_exact_dedup, op4_near_dedup, op6_pii, op7_sharding, op9_quality, op10_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {
