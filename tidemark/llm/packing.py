@@ -118,9 +118,12 @@ def pack(lengths: list[int], size: int = 2048, least_tier: int = 256) -> tuple[l
         floor = tier // 2 if tier > least_tier else 0
         while pool and pool[-1][0] > floor and left >= tier:
             n, doc, start = pool.pop()  # the longest of its tier: gaps are left to shorter tiers
+            take = min(n, tier)
             windows.append(tier)
-            pieces.append(Piece(doc, start, n, len(windows) - 1, 0))
-            fill(tier - n, n)
+            pieces.append(Piece(doc, start, take, len(windows) - 1, 0))
+            if take < n:
+                insort(pool, (n - take, doc, start + take))
+            fill(tier - take, take)
             left -= tier
         tier //= 2
     for bit in reversed(range(left.bit_length())):
