@@ -17,6 +17,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_docs(spark, sf_dir))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import substring_dedup
+
+    return substring_dedup(_docs(spark, sf_dir))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixing_rates
 
@@ -58,7 +64,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_exact_dedup, op3_mixing, op4_near_dedup, op6_pii, op7_sharding, op9_quality, op10_packing)
+    for f in (op1_exact_dedup, op2_substring_dedup, op3_mixing, op4_near_dedup, op6_pii, op7_sharding, op9_quality, op10_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {
