@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: White space of the contracts: space and the controls from tab to carriage return.
 SPACE = "[\\x20\\x09-\\x0D]"
 #: Text bytes handled at once inside a Python task; one longer document is handled alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,11 +38,21 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: the lineage ends here and survives lost executors."""
+def store(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: the lineage ends here and survives lost executors.
+
+    batch_rows: rows in an Arrow batch while df is written, where its rows are large.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(conf)
+    try:
+        if batch_rows:
+            spark.conf.set(conf, str(batch_rows))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(conf, before)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -84,7 +94,7 @@ _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     def of(base: int) -> np.ndarray:
         p = np.full(n, base, np.uint64)
@@ -105,8 +115,7 @@ class SpanHash:
     """Hashes of any byte spans of `data`, from one pass of running sums modulo 2**64."""
 
     def __init__(self, data: np.ndarray):
-        size = 1 << max(22, int(len(data) + 1).bit_length())
-        power, self._inverse = _powers(size)
+        power, self._inverse = _powers(1 << max(21, int(len(data) + 1).bit_length()))
         self._sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(BYTE_VALUES[data] * power[: len(data)], out=self._sums[1:])
 
