@@ -210,12 +210,13 @@ def train(features: np.ndarray, lines: np.ndarray, quality: np.ndarray, rounds:
 def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCUMENTS, text: str = "text", doc_id: str = "doc_id") -> Field:
     """Train on at most `limit` labelled documents (labels: doc_id, quality), those with the smallest hash of their id.
 
-    Executors read the texts; only line features, a byte each, come to the driver. Documents without a label, a
-    text or an id are passed over.
+    Executors read the texts; only line features, a byte each, come to the driver. Labels without a document,
+    text or id are passed over.
     """
     chosen = labels.select(F.col("doc_id").alias("__id"), F.col("quality").alias("__quality")).dropna().dropDuplicates(["__id"])
-    sheet = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(chosen, "__id").where("length(__text) > 0")
-    sample = sheet.orderBy(F.xxhash64("__id"), "__id").limit(limit)
+    chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(limit)
+    # at most `limit` ids are broadcast, so the texts are not shuffled
+    sample = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).where("length(__text) > 0").join(F.broadcast(chosen), "__id")
 
     def run(batches):
         for batch in slices(batches, "__text"):
