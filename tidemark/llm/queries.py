@@ -35,6 +35,12 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_docs(spark, sf_dir), n=4)
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import score_documents
+
+    return score_documents(_docs(spark, sf_dir))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find_personal_data
 
@@ -64,7 +70,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_substring_dedup, op3_mixing, op4_near_dedup, op6_pii, op7_sharding, op9_quality, op10_packing)
+    for f in (op1_exact_dedup, op2_substring_dedup, op3_mixing, op4_near_dedup, op5_lm_scoring, op6_pii, op7_sharding, op9_quality, op10_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {
