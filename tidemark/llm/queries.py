@@ -53,6 +53,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_docs(spark, sf_dir))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licenses
+
+    return scan_licenses(_docs(spark, sf_dir))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import fit, judge
 
@@ -70,7 +76,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_substring_dedup, op3_mixing, op4_near_dedup, op5_lm_scoring, op6_pii, op7_sharding, op9_quality, op10_packing)
+    for f in (op1_exact_dedup, op2_substring_dedup, op3_mixing, op4_near_dedup, op5_lm_scoring, op6_pii, op7_sharding, op8_license_scan, op9_quality, op10_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {
