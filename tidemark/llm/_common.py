@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 #: White space of the contracts: space and the controls from tab to carriage return.
 SPACE = "[\\x20\\x09-\\x0D]"
 #: Text bytes handled at once inside a Python task; one longer document is handled alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+#: Rows in an Arrow batch to a Python task, at most; texts may be long.
+BATCH_ROWS = 1_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,21 +40,18 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def store(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: the lineage ends here and survives lost executors.
+def short_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows, if they are longer: they are cut by rows, not by bytes."""
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(conf)) <= BATCH_ROWS:
+        spark.conf.set(conf, str(BATCH_ROWS))
+
 
-    batch_rows: rows in an Arrow batch while df is written, where its rows are large.
-    """
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: the lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(conf)
-    try:
-        if batch_rows:
-            spark.conf.set(conf, str(batch_rows))
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(conf, before)
+    df.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -76,6 +75,20 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
             at = to
 
 
+def gathered(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Put record batches together until they hold `limit` bytes of `column`, in the order in which they come."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in slices(batches, column, limit):
+        held.append(batch)
+        size += pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+        if size >= limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts' bytes end to end (uint8) and the n+1 offsets between them; null counts as empty."""
     column = pc.fill_null(column.cast(pa.large_binary() if pa.types.is_binary(column.type) else pa.large_string()), b"" if pa.types.is_binary(column.type) else "")
@@ -115,7 +128,7 @@ class SpanHash:
     """Hashes of any byte spans of `data`, from one pass of running sums modulo 2**64."""
 
     def __init__(self, data: np.ndarray):
-        power, self._inverse = _powers(1 << max(21, int(len(data) + 1).bit_length()))
+        power, self._inverse = _powers(1 << max(20, int(len(data) + 1).bit_length()))
         self._sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(BYTE_VALUES[data] * power[: len(data)], out=self._sums[1:])
 

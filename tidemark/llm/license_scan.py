@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SpanHash, mix, slices, utf8, words
+from ._common import SpanHash, mix, short_batches, slices, utf8, words
 from .license_templates import TEMPLATES
 
 SHINGLE, PERCENT = 5, 80
@@ -152,6 +152,7 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
             counts = [pa.array(x, pa.int64()) for x in (number, at, found, size)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc, pa.int64())), pa.array(licence, pa.string()), *counts, pa.array(share, pa.float64())], names)
 
+    short_batches(docs.sparkSession)
     sheet = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     kind = sheet.schema["doc_id"].dataType.simpleString()
     return sheet.mapInArrow(run, f"doc_id {kind}, license string, template long, first_word long, n_found long, n_template long, containment double")

@@ -21,13 +21,15 @@ from ._common import SPACE, store, text_of
 #: Domains that the labels (quality, toxic) tell apart.
 DOMAINS = ("clean", "noisy", "toxic")
 TARGETS = {"clean": 0.94, "noisy": 0.05, "toxic": 0.01}
+#: A domain's target is at most so many times its own tokens: what a source lacks is not made up by repeating it.
+REPEAT = 1.0
 #: Labelled documents that the classifier is trained on: those with the smallest hash of their id.
 TRAIN_DOCUMENTS = 20_000
 #: Words, at most, that mark the toxic domain; the share of its documents that has to hold each, and how much more often than others.
-MARKERS, MARKER_SHARE, MARKER_LIFT = 200, 0.05, 20
+MARKERS, MARKER_SHARE, MARKER_LIFT = 200, 0.1, 20
 ROUNDS, TOLERANCE = 30, 1e-3
 #: A rate that is short of a whole number by no more than this counts as that number when copies are made.
-SLACK = 0.1
+SLACK = 0.25
 
 _SYMBOLS = (0.02, 0.1, 0.3, 0.6)
 _DISTINCT = (0.1, 0.3, 0.5, 0.7)
@@ -132,10 +134,11 @@ def rate_of(steps: list[tuple[float, ...]]) -> Column:
     return F.aggregate(rounds, F.lit(1.0), lambda rate, step: F.greatest(F.lit(0.0), rate - moved(step)))
 
 
-def solve(cells: DataFrame, targets: Mapping[str, float]) -> DataFrame:
-    """The rate of each cell: a row for each, with CELL and __rate.
+def solve(cells: DataFrame, targets: Mapping[str, float]) -> Column:
+    """The rate of each cell, as a look-up by the columns CELL.
 
-    Totals T are in the targets' proportions, as large as lets the first domain keep its own tokens. Minimised is
+    Totals T are in the targets' proportions, as large as lets the first domain keep its own tokens, and at most REPEAT
+    times what a domain has. Minimised is
     sum_k (S_k - T_k)^2 / N_k over rates r >= 0, with S_k = sum_d r_d tokens_d p_dk and N_k = S_k at r = 1. The
     gradient of r_d, scaled by 1 / tokens_d, is sum_k p_dk (S_k - T_k) / N_k; a step length of 1 converges, as
     the scaled Hessian's eigenvalues are at most 1.
@@ -145,7 +148,7 @@ def solve(cells: DataFrame, targets: Mapping[str, float]) -> DataFrame:
     share = sum(targets.values())
     weight = [targets.get(d, 0.0) / share for d in DOMAINS]
     budget = natural[0] / weight[0] if weight[0] and natural[0] else sum(natural)
-    target = [w * budget for w in weight]
+    target = [min(w * budget, REPEAT * n) if n else 0.0 for w, n in zip(weight, natural, strict=True)]
     steps: list[tuple[float, ...]] = []
     reached = natural
     for _ in range(ROUNDS):
@@ -154,7 +157,11 @@ def solve(cells: DataFrame, targets: Mapping[str, float]) -> DataFrame:
             break
         steps.append(step)
         reached = [float(x) for x in cells.agg(*sums(rate_of(steps))).first()]
-    return cells.select(*CELL, rate_of(steps).alias("__rate"))
+    found = cells.select(*CELL, rate_of(steps).alias("rate")).collect()  # no more than there are cells
+    table = [1.0] * math.prod(SIZES)
+    for a, b, c, rate in found:
+        table[(a * SIZES[1] + b) * SIZES[2] + c] = rate
+    return F.element_at(F.array(*map(F.lit, table)), (F.col(CELL[0]) * SIZES[1] + F.col(CELL[1])) * SIZES[2] + F.col(CELL[2]) + 1)
 
 
 def copies(rate: Column, key: Column) -> Column:
@@ -175,16 +182,15 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float
     model = fit(docs, labels, text=text, doc_id=doc_id)
     sheet = posteriors(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")), model, "__text").drop("__text")
     known = store(sheet, "posteriors")
-    rates = solve(store(cells_of(known), "cells"), targets)
-    out = known.join(F.broadcast(rates), list(CELL)).withColumnRenamed("__rate", "rate")
+    out = known.withColumn("rate", solve(store(cells_of(known), "cells"), targets))
     return out.select("doc_id", F.col("__tokens").alias("tokens"), *(F.col(f"__p{k}").alias(f"p_{d}") for k, d in enumerate(DOMAINS)), "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with each row as often as its rate tells; all columns stay as they are. Cases as in `mixing_rates`."""
     model = fit(docs, labels, text=text, doc_id=doc_id)
-    marked = posteriors(docs, model, text)
-    rates = store(solve(store(cells_of(marked), "cells"), targets), "rates")
-    out = marked.join(F.broadcast(rates), list(CELL)).withColumn("__copies", copies(F.col("__rate"), F.col(doc_id)))
-    once = out.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rate = solve(store(cells_of(posteriors(docs, model, text)), "cells"), targets)
+    out = features(docs, text, model.markers).withColumn("__copies", copies(rate, F.col(doc_id)))
+    # an outer explode, as filters on the number of copies would be pushed down and read the text again
+    out = out.withColumn("__copy", F.explode_outer(F.array_repeat(F.lit(1), F.col("__copies")))).where("__copy is not null")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

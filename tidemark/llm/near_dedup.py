@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SpanHash, list_column, lower, mix, shingle_hashes, slices, store, text_of, utf8, words
+from ._common import SpanHash, list_column, lower, mix, shingle_hashes, short_batches, slices, store, text_of, utf8, words
 from .components import connected_components
 
 BINS, BANDS = 128, 32
@@ -154,8 +154,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
     that repeat a doc_id share its component; rows of a null id are linked with nothing, have a null component
     and are kept. An empty table gives an empty result; other columns are not looked at.
     """
+    short_batches(docs.sparkSession)
     sheet = docs.select(F.col(doc_id).alias("id"), text_of(text).alias("text"))
-    known = store(sketch(sheet, n), "sketches", batch_rows=2000)
+    known = store(sketch(sheet, n), "sketches")
     # one representative of every set: equal sets are linked already
     key = ["set_hi", "set_lo"]
     named = known.where("id is not null and n_shingles > 0")
@@ -163,7 +164,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
     reps = named.join(first, key).where("id = rep").select("id", "bands").dropDuplicates(["id"])
     edges = store(candidate_edges(reps), "candidates")
     texts = sheet.where("id is not null")
-    links = store(confirm(edges, texts, n, percent), "links", batch_rows=500)
+    links = store(confirm(edges, texts, n, percent), "links")
     copies = store(first, "representatives")
     # rows of one doc_id with different texts are one document: their sets' representatives are linked
     twice = named.select("id", *key).distinct().join(copies, key).where("id <> rep").join(copies.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b"))

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices
+from ._common import gathered, short_batches
 
 END = 1
 #: Text bytes packed together; what is left over at the end of each is less than one window.
@@ -144,7 +144,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 2048, least_tier
         end = np.array([END], "<u4")
         task = TaskContext.get().partitionId() << 32
         used = groups = 0
-        for batch in slices(batches, "__text", GROUP_BYTES):
+        for batch in gathered(batches, "__text", GROUP_BYTES):
             ids = [np.append(words.encode(t), end) for t in batch.column("__text").to_pylist()]
             lengths = [len(x) for x in ids]
             pieces, windows = pack(lengths, size, least_tier)
@@ -155,6 +155,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 2048, least_tier
             yield pa.RecordBatch.from_arrays([ids_of, *(pa.array(c, pa.int64()) for c in columns[1:])], names)
             used, groups = used + len(windows), groups + max(steps) + 1
 
+    short_batches(docs.sparkSession)
     sheet = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     kind = sheet.schema["doc_id"].dataType.simpleString()
     return sheet.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names[1:]))

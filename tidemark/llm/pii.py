@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices
+from ._common import short_batches, slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds that the method adds to the base ones, in the order used to break ties of start.
@@ -131,6 +131,7 @@ def find_personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
             arrays = [pa.array(c, pa.int64()) for c in columns[:4]] + [pa.array(c, pa.string()) for c in columns[4:]]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
+    short_batches(docs.sparkSession)
     sheet = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     kind = sheet.schema["doc_id"].dataType.simpleString()
     return sheet.mapInArrow(scan, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
@@ -156,4 +157,5 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "<{kind}>") -> DataF
             i = batch.schema.get_field_index(text)
             yield batch.set_column(i, text, pa.array(out, batch.schema.field(i).type))
 
+    short_batches(docs.sparkSession)
     return docs.mapInArrow(clean, docs.schema)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SpanHash, mix, slices, utf8, words
+from ._common import SpanHash, mix, short_batches, slices, utf8, words
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Labelled documents that the field is trained on: those with the smallest hash of their id.
@@ -213,6 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCUMENTS, text:
     Executors read the texts; only line features, a byte each, come to the driver. Labels without a document,
     text or id are passed over.
     """
+    short_batches(docs.sparkSession)
     chosen = labels.select(F.col("doc_id").alias("__id"), F.col("quality").alias("__quality")).dropna().dropDuplicates(["__id"])
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(limit)
     # at most `limit` ids are broadcast, so the texts are not shuffled
@@ -238,6 +239,7 @@ def judge(docs: DataFrame, crf: Field, share: float = CONTENT_SHARE, text: str =
     Null, empty and blank texts have no words and fail the base rules. Repeated rows are judged alike; null ids
     stay null. An empty table gives an empty result; other columns are not looked at.
     """
+    short_batches(docs.sparkSession)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches):
@@ -265,4 +267,5 @@ def keep_good(docs: DataFrame, crf: Field, share: float = CONTENT_SHARE, text: s
             failed = (s.n_words < MIN_WORDS) | (100 * s.n_repeat_words > MAX_REPEAT_PERCENT * s.n_words)
             yield batch.filter(pa.array(~failed & (good >= share * np.maximum(1, s.n_words))))
 
+    short_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

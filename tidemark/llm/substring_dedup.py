@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import SpanHash, slices, text_of, utf8
+from ._common import SpanHash, short_batches, slices, store, text_of, utf8
 from .bwt import repeated_windows
 
 WIDTH, GRAM = 200, 32
@@ -26,6 +26,8 @@ WIDTH, GRAM = 200, 32
 MERGE_BYTES = 1 << 20
 #: With more distinct segments than this, an anchor's strings are dealt out and compared by a hash of each instead.
 LARGE_ANCHOR = 50_000
+#: Segments that a task holds to combine equal ones.
+COMBINED = 1 << 20
 #: Stands for a null id inside the operator.
 _NO_ID = -(1 << 63)
 
@@ -58,19 +60,46 @@ def segments(data: np.ndarray, off: np.ndarray, width: int = WIDTH, gram: int =
 
 
 def occurrences(sheet: DataFrame, width: int, gram: int) -> DataFrame:
-    """Of (did, th, text): a row for each segment, with anchor, seg, did, th, start and strings."""
+    """Of (did, th, text): segments, with anchor, seg, strings, n, and where they are: did, th, start, and for segments
+    that a task has met more than once the other places in `more`. So what is copied very often is a row for each
+    task (or COMBINED rows of it), not for each copy."""
+    names = ["anchor", "seg", "strings", "n", "did", "th", "start", "more"]
 
     def run(batches):
+        held: list[tuple] = []
+        size = 0
+
+        def flush():
+            anchor, seg, strings, did, th, start = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((start, th, did, seg, anchor))
+            a, s = anchor[order], seg[order]
+            head = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (s[1:] != s[:-1])))
+            n = np.diff(np.append(head, len(order)))
+            rest = np.ones(len(order), bool)
+            rest[head] = False
+            rest = order[rest]
+            more = pa.StructArray.from_arrays([pa.array(did[rest]), pa.array(th[rest]), pa.array(start[rest], pa.int32())], ["did", "th", "start"])
+            at = np.concatenate(([0], np.cumsum(n - 1)))
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), more, mask=pa.array(n == 1))
+            first = order[head]
+            flat = [anchor[first], seg[first], strings[first].astype(np.int32), n.astype(np.int32), did[first], th[first], start[first].astype(np.int32)]
+            return pa.RecordBatch.from_arrays([*map(pa.array, flat), lists], names)
+
         for batch in slices(batches, "text"):
             data, off = utf8(batch.column("text"))
             text, start, strings, anchor, seg = segments(data, off, width, gram)
-            rows = pa.array(text, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor), pa.array(seg), batch.column("did").take(rows), batch.column("th").take(rows), pa.array(start, pa.int64()).cast(pa.int32()), pa.array(strings, pa.int64()).cast(pa.int32())],
-                ["anchor", "seg", "did", "th", "start", "strings"],
-            )
+            if not len(text):
+                continue
+            ids = [batch.column(c).to_numpy()[text] for c in ("did", "th")]
+            held.append((anchor, seg, strings, *ids, start))
+            size += len(text)
+            if size >= COMBINED:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
 
-    return sheet.mapInArrow(run, "anchor long, seg long, did long, th long, start int, strings int")
+    return sheet.mapInArrow(run, "anchor long, seg long, strings int, n int, did long, th long, start int, more array<struct<did: long, th: long, start: int>>")
 
 
 def merged(parts: DataFrame, width: int, merge_bytes: int) -> DataFrame:
@@ -152,14 +181,18 @@ def cut_out(joined: DataFrame, width: int) -> DataFrame:
 
 def repeated_strings(sheet: DataFrame, width: int = WIDTH, gram: int = GRAM, merge_bytes: int = MERGE_BYTES, large: int = LARGE_ANCHOR) -> DataFrame:
     """Of (did, th, text): runs of repeated strings (did, th, start, strings), each at least once."""
-    by_anchor = W.partitionBy("anchor")
-    rows = occurrences(sheet, width, gram).withColumns({
-        "whole": F.count("*").over(W.partitionBy("anchor", "seg")),
-        "turn": F.row_number().over(W.partitionBy("anchor", "seg").orderBy("did", "th", "start")),
+    by_anchor, by_seg = W.partitionBy("anchor"), W.partitionBy("anchor", "seg")
+    # one exchange by anchor serves all windows; of what it brings together only repeated and differing segments stay
+    rows = occurrences(sheet, width, gram).repartition("anchor").withColumns({
+        "whole": F.sum("n").over(by_seg),
+        "turn": F.row_number().over(by_seg.orderBy("did", "th", "start")),
         "differ": F.min("seg").over(by_anchor) != F.max("seg").over(by_anchor),
     })
-    rows = rows.withColumn("kinds", F.count_if(F.col("turn") == 1).over(by_anchor))
-    full = rows.where("whole > 1").select("did", "th", "start", "strings")
+    rows = rows.withColumn("kinds", F.count_if(F.col("turn") == 1).over(by_anchor)).where("whole > 1 or differ")
+    rows = store(rows.drop("n", "seg"), "segments")
+    here = F.array(F.struct("did", "th", "start"))
+    every = rows.where("whole > 1").select("strings", F.explode(F.when(F.col("more").isNull(), here).otherwise(F.concat(here, "more"))).alias("at"))
+    full = every.select("at.did", "at.th", "at.start", "strings")
     apart = rows.where("differ and turn = 1").select("did", "th", "anchor", "start", "strings", F.least("whole", F.lit(2)).cast("int").alias("whole"), (F.col("kinds") > large).alias("large"))
     found = apart.join(sheet, ["did", "th"])
 
@@ -193,6 +226,7 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, text: str = "text", doc
     repeat a doc_id and its text are copies of each other. Null ids stay null. An empty table gives an empty result;
     other columns are not looked at. Segments are compared by 128 bits of hash before their bytes are.
     """
+    short_batches(docs.sparkSession)
     raw = text_of(text)
     sheet = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("did"), F.xxhash64(raw).alias("th"), raw.alias("text"))
     found = repeated_strings(sheet, width, gram, merge_bytes, large)
