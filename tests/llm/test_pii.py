@@ -1,0 +1,62 @@
+import hashlib
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tidemark.llm import pii
+
+
+def brute(t):
+    """The base expressions as they are written, over the whole text."""
+    out = [(m.start(), 0, m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub(r"\D", "", m[0])
+        odd = [int(c) for c in d[::-1]]
+        if 12 <= len(d) <= 19 and (sum(odd[::2]) + sum(n * 2 - 9 * (n > 4) for n in odd[1::2])) % 10 == 0:
+            out.append((m.start(), 2, m.end(), "card"))
+    out += [(m.start(), 3, m.end(), "phone") for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub(r"[^0-9]", "", m[0])) <= 15]
+    return sorted(out)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text("a@.-+ 0129()é_", max_size=60))
+def test_base_matches_the_plain_expressions(t):
+    assert pii.base_spans(t) == brute(t)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a.b@c-d.e.f", "x@y", "256.1.1.1", "10.0.0.255.3", "001.002.003.0255", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (202) 555-0100", "+12", " ", "\n", "é", ",", "@", "1"]), max_size=12))
+def test_base_on_near_misses(parts):
+    t = "".join(parts)
+    assert pii.base_spans(t) == brute(t)
+
+
+def added(t):
+    return [x[3] for x in pii.added_spans(t, pii.base_spans(t))]
+
+
+def test_method_adds_confirmed_and_contextual_spans():
+    assert added("pay to DE89 3704 0044 0532 0130 00 now") == ["iban"] and added("pay to DE88 3704 0044 0532 0130 00 now") == []
+    assert added("SSN: 219-09-9999") == ["ssn"] and added("part 219-09-9999") == [] and added("SSN: 000-09-9999") == []
+    assert added("call 202-555-0100") == ["local_phone"] and added("code 202-555-0100") == []
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112") and pii.mod97("GB82 WEST 1234 5698 7654 32")
+
+
+def test_long_runs_are_quick():
+    import time
+
+    began = time.time()
+    for t in ("1" * 200_000, "1." * 100_000, "a" * 200_000 + "@", "@" * 20_000, "+1" + "(" * 100_000):
+        pii.base_spans(t)
+    assert time.time() - began < 20
+
+
+def test_query_rows(docs, odd, none):
+    texts = ["mail a@b.co or call 202-555-0100", "é 10.0.0.1", None]
+    a, b, c = pii.find_personal_data(docs(texts)).orderBy("doc_id").collect()
+    assert (a.n_email, a.spans, a.base_sha256) == (1, "email:5:11,local_phone:20:32", hashlib.sha256(b"email:5:11").hexdigest())
+    assert b.spans == "ip:2:10" and (c.n_email, c.spans, c.base_sha256) == (0, "", hashlib.sha256(b"").hexdigest())
+    assert pii.find_personal_data(odd).count() == odd.count() and pii.find_personal_data(none).count() == 0
+    assert [r.text for r in pii.redact(docs(texts)).orderBy("doc_id").collect()] == ["mail <email> or call <local_phone>", "é <ip>", None]

@@ -56,6 +56,11 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df, a stored table, marked for broadcast if it has at most so many rows; else a join shuffles it."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def text_of(column: str = "text"):
     """The text, with null as empty."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -12,13 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE, store, text_of
+from ._common import SPACE, few, store, text_of
 from .quotient_filter import CountingQuotientFilter
 
 #: Fingerprints that one range of quotients holds on the mean; the number of ranges follows the number of rows.
 RANGE_ROWS = 200_000
 #: Up to so many repeated fingerprints (16 bytes each) are broadcast to pick the texts to verify; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: The same for groups of equal texts (some 120 bytes each), which pick the rows that stay.
+GROUP_ROWS = 200_000
 
 
 def normalised(column: str = "text"):
@@ -70,8 +72,7 @@ def duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     rows = store(sheet.drop("__norm"), "exact-rows")
     total = rows.count()
     repeated = store(repeated_fingerprints(rows.select(F.col("__fp").alias("fp")), total), "exact-repeated")
-    hint = F.broadcast(repeated) if repeated.count() <= BROADCAST_ROWS else repeated
-    routed = hint.select(F.col("fp").alias("__fp"))
+    routed = few(repeated.select(F.col("fp").alias("__fp")), BROADCAST_ROWS)
     # byte verification: Spark groups by the bytes themselves, and partial sums in each task shrink large groups first
     texts = sheet.join(routed, "__fp", "left_semi").groupBy("__fp", "__norm").agg(F.first("__sha").alias("__sha"), F.count("*").alias("__copies"))
     named = texts.groupBy("__fp", "__sha").agg(F.sum("__copies").alias("__copies"), F.count("*").alias("__texts"))
@@ -107,10 +108,10 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     Nulls, ties and empty tables as in `exact_dedup`; of rows that repeat the kept doc_id and text, one stays.
     """
     _, groups = duplicate_groups(docs, text, doc_id)
-    groups = store(groups, "exact-groups").withColumnRenamed("keep_id", "__keep")
+    groups = few(store(groups, "exact-groups").withColumnRenamed("keep_id", "__keep"), GROUP_ROWS)
     norm = normalised(text)
     marked = docs.withColumns({"__fp": F.xxhash64(norm), "__sha": F.sha2(norm.cast("binary"), 256)})
-    # unique texts pass by the groups' shuffle only where the groups are too many to be broadcast
+    # texts are shuffled only where the groups are too many to be broadcast
     joined = marked.join(groups, ["__fp", "__sha"], "left")
     kept = joined.where(F.col("__keep").isNull() & F.col("group_size").isNull() | F.col(doc_id).eqNullSafe(F.col("__keep")))
     tied = F.coalesce("n_keep", F.lit(1)) > 1

@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SpanHash, list_column, lower, mix, shingle_hashes, short_batches, slices, store, text_of, utf8, words
+from ._common import SpanHash, few, list_column, lower, mix, shingle_hashes, short_batches, slices, store, text_of, utf8, words
 from .components import connected_components
 
 BINS, BANDS = 128, 32
 #: Centres of each bucket. With rows of 4 bins, documents of similarity 0.8 miss all 32 buckets once in 25 million.
 CENTRES = 3
+#: Up to so many ids (8 bytes each) of documents to drop are broadcast; beyond, texts and ids are joined by a shuffle.
+DROP_ROWS = 1_000_000
 _ATTEMPTS = 64
 _DONORS = mix(np.arange(BINS * _ATTEMPTS, dtype=np.uint64) + np.uint64(0xC0FFEE)).reshape(BINS, _ATTEMPTS) % np.uint64(BINS)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -179,4 +181,4 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
 def near_dedup(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs without the documents that `near_duplicates` does not keep; all columns stay as they are."""
     drop = store(near_duplicates(docs, n, percent, text, doc_id).where("not kept").select(F.col("doc_id").alias("__drop")).distinct(), "near-drop")
-    return docs.join(drop, F.col(doc_id) == F.col("__drop"), "left_anti")
+    return docs.join(few(drop, DROP_ROWS), F.col(doc_id) == F.col("__drop"), "left_anti")

@@ -20,8 +20,8 @@ ADDED = ("iban", "ssn", "local_phone")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]*")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+_LOCAL_PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _LOCAL = re.compile(r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])")
@@ -56,16 +56,18 @@ def mod97(code: str) -> bool:
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
-    """All matches of the email expression, found from the runs of its characters that hold an @."""
-    at = text.find("@")
+    """All matches of the email expression, each found from its @: a local part ends at the @ and can't hold another,
+    so the leftmost match takes all of it, and whether one is there depends on what follows the @ alone."""
+    free, at = 0, text.find("@")
     while at >= 0:
         start = at
-        while start and (c := text[start - 1]) < "\x7f" and (c.isalnum() or c in "._%+@-"):
+        while start > free and text[start - 1] in _LOCAL_PART:
             start -= 1
-        end = _EMAIL_RUN.match(text, start).end()
-        for m in _EMAIL.finditer(text, start, end):
-            yield m.span()
-        at = text.find("@", end)
+        m = _DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            yield start, m.end()
+        free = m.end() if m else at + 1
+        at = text.find("@", free)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
