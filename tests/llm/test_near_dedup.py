@@ -72,3 +72,30 @@ def test_odd_cases(odd, none):
     assert nd.near_duplicates(none).count() == 0 and nd.near_dedup(none).count() == 0
     kept = nd.near_dedup(odd)
     assert kept.columns == odd.columns and kept.count() == len(rows) - 2
+
+
+def test_dense_group_near_the_threshold(docs, monkeypatch):
+    """Variants of one text that are as often just under the threshold as over it; blocks smaller than the group."""
+    import random
+
+    monkeypatch.setattr(nd, "MERGED_BYTES", 20_000)
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for _ in range(160):
+        w = base.copy()
+        for _ in range(rng.randint(1, 4)):
+            w[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    want = brute(list(enumerate(texts)), 4)
+    assert len({r[2] for r in want}) > 3
+    df = docs(texts)
+    assert sorted(tuple(r) for r in nd.near_duplicates(df, 4).collect()) == want
+    # without centres' links the blocks alone find all
+    known = nd.sketch(df.selectExpr("doc_id as id", "text"), 4)
+    shared = nd.shared_buckets(known)
+    lone = df.selectExpr("doc_id as node", "doc_id as component")
+    links = nd.outsider_links(nd.mixed_buckets(shared, lone), df.selectExpr("doc_id as id", "text"), 4, 80, block=7)
+    reach = nd.connected_components(links).collect()
+    root = {r.node: r.component for r in reach}
+    assert [(i, root.get(i, i)) for i in range(160)] == [(r[0], r[2]) for r in want]

@@ -4,7 +4,9 @@ One hash of each shingle fills all bins: its high bits name the bin, the least v
 empty bin copies from a full one that hashing of (bin, attempt) finds. Rows of bins form bands; documents that
 agree on a band share a bucket. A bucket of m documents proposes m - 1 edges for each of its centres, not all
 pairs; the centres are the documents whose buckets are the fullest over all bands, so that the text that
-others were copied from is one of them. Every proposed edge is confirmed on the full shingle sets.
+others were copied from is one of them. Every proposed edge is confirmed on the full shingle sets. A star loses a
+link between two members that are both unlike its centres, so documents that their bucket's largest component does
+not hold are then compared with all of the bucket, in blocks and without a row for each pair.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ BINS, BANDS = 128, 32
 CENTRES = 3
 #: Up to so many ids (8 bytes each) of documents to drop are broadcast; beyond, texts and ids are joined by a shuffle.
 DROP_ROWS = 1_000_000
+#: Documents on either side of a block of comparisons, and bytes of texts that a task holds to compare.
+BLOCK, MERGED_BYTES = 256, 4 << 20
 _ATTEMPTS = 64
 _DONORS = mix(np.arange(BINS * _ATTEMPTS, dtype=np.uint64) + np.uint64(0xC0FFEE)).reshape(BINS, _ATTEMPTS) % np.uint64(BINS)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -96,13 +100,17 @@ def sketch(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, n_shingles long, set_hi long, set_lo long, bands array<long>")
 
 
-def candidate_edges(sketches: DataFrame, centres: int = CENTRES) -> DataFrame:
-    """Distinct (a, b) from each bucket's centres a to its other members b; sketches: (id, bands), one row per id."""
+def shared_buckets(sketches: DataFrame) -> DataFrame:
+    """(band, id, n) of buckets that n > 1 documents share; sketches: (id, bands), one row per id."""
     at = store(sketches.select("id", F.explode("bands").alias("band")), "bands")
     filled = at.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    shared = store(at.join(filled, "band"), "buckets")
+    return store(at.join(filled, "band"), "buckets")
+
+
+def star_edges(shared: DataFrame, centres: int = CENTRES) -> DataFrame:
+    """Distinct (a, b), a < b, from each bucket's centres to its other members."""
     score = shared.groupBy("id").agg(F.sum("n").alias("score"))
-    # the best centres are found as a sorted few in every task, then among those of all tasks
+    # the best centres are minima of a rank, which every task finds for its own rows first
     rank = F.struct((-F.col("score")).alias("s"), F.col("id").alias("id"))
     found, taken = None, shared.join(score, "id").select("band", rank.alias("r"))
     for k in range(centres):
@@ -115,6 +123,95 @@ def candidate_edges(sketches: DataFrame, centres: int = CENTRES) -> DataFrame:
     return edges.where("c <> id").select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).distinct()
 
 
+def mixed_buckets(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """(band, id, component, n, outsider) of buckets that hold more than one component; outsiders are the documents
+    that are not in their bucket's largest component."""
+    named = shared.join(groups.select(F.col("node").alias("id"), "component"), "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
+    sizes = named.groupBy("band", "component").agg(F.count("*").alias("k"))
+    largest = sizes.groupBy("band").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    return named.join(largest.select("band", F.col("top.k").alias("k"), F.col("top.component").alias("largest")), "band").withColumn("outsider", F.col("component") != F.col("largest")).drop("largest")
+
+
+def outsider_links(members: DataFrame, docs: DataFrame, n: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) of outsiders with their bucket's members of other components: all are compared, on full sets, and
+    for each outsider one link with each component it reaches is returned.
+
+    Outsiders and members of a bucket meet in blocks of about `block` by `block`, each a task's work of its own, in
+    which set intersections are products of matrices. No row is made for a pair.
+    """
+    outs, all_ = F.ceil((F.col("n") - F.col("k")) / block).cast("int"), F.ceil(F.col("n") / block).cast("int")
+    rows = members.withColumns({"ob": outs, "mb": all_, "slot": F.xxhash64("id")})
+    whole = (F.col("ob") == 1) & (F.col("mb") == 1)
+    pick = lambda c: F.pmod("slot", F.col(c)).cast("int").alias(c)
+    spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1)).alias(c)
+    m = rows.select("band", "id", "component", (whole & F.col("outsider")).alias("o"), F.lit(True).alias("m"), pick("mb"), spread("ob"))
+    o = rows.where(~whole & F.col("outsider")).select("band", "id", "component", F.lit(True).alias("o"), F.lit(False).alias("m"), pick("ob"), spread("mb"))
+    key = ["band", "ob", "mb"]
+    placed = m.unionByName(o).join(docs.select("id", "text"), "id").select(*key, "id", "component", "o", "m", "text")
+
+    def links(ids, component, is_o, is_m, flat, off):
+        o, m = np.flatnonzero(is_o), np.flatnonzero(is_m)
+        size = np.diff(off)
+        if len(o) * len(m) == 0 or len(np.unique(component)) < 2:
+            return []
+        values, where = np.unique(flat, return_inverse=True)
+        held = np.bincount(where, minlength=len(values)) > 1  # a shingle of one document adds nothing
+        doc = np.repeat(np.arange(len(ids)), size)
+        column = np.cumsum(held) - 1
+        both = np.zeros((len(o), len(m)), np.float32)
+        keep = held[where]
+        doc, where = doc[keep], column[where[keep]]
+        for at in range(0, int(held.sum()), 4096):
+            here = (where >= at) & (where < at + 4096)
+            table = np.zeros((len(ids), min(4096, int(held.sum()) - at)), np.float32)
+            table[doc[here], where[here] - at] = 1
+            both += table[o] @ table[m].T
+        union = size[o][:, None] + size[m][None, :] - both
+        good = (100 * both >= percent * union) & (component[o][:, None] != component[m][None, :])
+        out = []
+        for k, j in enumerate(o):
+            hit = m[good[k]]
+            if len(hit):
+                _, one = np.unique(component[hit], return_index=True)
+                out += [(ids[j], ids[x]) for x in hit[one]]
+        return out
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def flush(table: pa.Table):
+            batch = table.combine_chunks()
+            flat, off = sets_of(batch.column("text").combine_chunks() if batch.num_rows else pa.array([], pa.string()), n)
+            k = np.stack([batch.column(c).to_numpy() for c in key], 1)
+            cuts = np.concatenate(([0], np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1, [len(k)]))
+            ids, component = batch.column("id").to_numpy(), batch.column("component").to_numpy()
+            is_o, is_m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("o", "m"))
+            out = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                out += links(ids[a:b], component[a:b], is_o[a:b], is_m[a:b], flat[off[a] : off[b]], off[a : b + 1] - off[a])
+            a, b = zip(*out, strict=True) if out else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size < MERGED_BYTES:
+                continue
+            # all but the last block, which may run on in the next batch
+            table = pa.Table.from_batches(held)
+            k = np.stack([table.column(c).to_numpy() for c in key], 1)
+            last = int(np.flatnonzero((k != k[-1]).any(1)).max(initial=-1)) + 1
+            if last:
+                yield flush(table.slice(0, last))
+                held, size = table.slice(last).to_batches(), table.slice(last).nbytes
+        if held:
+            yield flush(pa.Table.from_batches(held))
+
+    dealt = placed.repartition(*key).sortWithinPartitions(*key)
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def confirm(edges: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The edges (a, b) whose texts' full shingle sets have 100 * intersection >= percent * union. docs: (id, text)."""
     text = docs.select("id", "text")
@@ -157,16 +254,21 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
     and are kept. An empty table gives an empty result; other columns are not looked at.
     """
     short_batches(docs.sparkSession)
-    sheet = docs.select(F.col(doc_id).alias("id"), text_of(text).alias("text"))
+    sheet = docs.select(F.col(doc_id).cast("long").alias("id"), text_of(text).alias("text"))
     known = store(sketch(sheet, n), "sketches")
     # one representative of every set: equal sets are linked already
     key = ["set_hi", "set_lo"]
     named = known.where("id is not null and n_shingles > 0")
     first = named.groupBy(*key).agg(F.min("id").alias("rep"))
-    reps = named.join(first, key).where("id = rep").select("id", "bands").dropDuplicates(["id"])
-    edges = store(candidate_edges(reps), "candidates")
+    reps = store(named.join(first, key).where("id = rep").select("id", "n_shingles", "bands").dropDuplicates(["id"]), "reps")
+    shared = shared_buckets(reps)
+    edges = store(star_edges(shared), "candidates")
     texts = sheet.where("id is not null")
     links = store(confirm(edges, texts, n, percent), "links")
+    # what its buckets' largest components don't hold is compared with all of the buckets
+    groups = store(connected_components(links), "components")
+    members = store(mixed_buckets(shared, groups), "members")
+    links = store(links.unionAll(outsider_links(members, texts, n, percent)), "links")
     copies = store(first, "representatives")
     # rows of one doc_id with different texts are one document: their sets' representatives are linked
     twice = named.select("id", *key).distinct().join(copies, key).where("id <> rep").join(copies.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b"))
