@@ -25,7 +25,7 @@ def ordered(rows):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
-@pytest.mark.parametrize("name", list(catalogue.QUERIES))
+@pytest.mark.parametrize("name", list(catalogue.ORACLE_SQL))
 def test_query_matches_sql(spark, duck, name):
     df = catalogue.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
@@ -40,3 +40,8 @@ def test_entry_has_all_queries():
 
     assert set(catalogue.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_selectors_of_pages(spark):
+    rows = catalogue.QUERIES["selector_candidates"](spark, SF).collect()
+    assert rows and all(r.links >= 3 for r in rows) and all(" a" in r.selector for r in rows)

@@ -168,3 +168,38 @@ def test_config_violations(spark):
     s = spark.createDataFrame(rows, "id string, name string, type string, url string, channels array<string>, html struct<item_selector: string>, law struct<lookback_days: int>")
     got = sorted(tuple(r) for r in config.source_violations(s).collect())
     assert got == sorted(("Bad", v) for v in ("id pattern", "name empty", "url not http", "no channels", "html block not allowed"))
+
+
+def test_model_results(spark):
+    from tidemark.operators import model
+
+    body = '[{"id":"a","channels":["m","x","m"],"relevance":7,"importance":"high","deadline":"2026-02-30","reason":" r\\n s "},{"id":"a","relevance":0}]'
+    got = model.parse(spark.createDataFrame([(0, body), (1, "no json"), (2, None)], "batch_id int, body string"), ["m", "n"]).collect()
+    assert [(r.id, r.channels, r.relevance, r.importance_rank, r.deadline, r.reason) for r in got] == [("a", ["m"], 1.0, 3, None, "r s")]
+    asked = spark.createDataFrame([(0, "a"), (0, "b")], "batch_id int, id string")
+    results = spark.createDataFrame([(0, "a", 0.5), (1, "b", 0.5)], "batch_id int, id string, relevance double")
+    assert tuple(model.missing(model.join_results(asked, results)).first()) == (0, 2, 1)
+    assert model.usage(spark.createDataFrame([], "input_tokens long, output_tokens long, cache_read_input_tokens long, cache_creation_input_tokens long")).first()[0] is None
+
+
+def test_run_log(spark, tmp_path):
+    from tidemark.operators import runs
+
+    s = store.SnapshotStore(spark, str(tmp_path / "s"))
+    runs.begin(s, "r1", "collect", datetime(2026, 9, 13))
+    assert s.read("runs").first().status == "running"
+    runs.finish(s, "r1", "partial", datetime(2026, 9, 13, 1), {"fetched": 3}, ["e"])
+    (r,) = s.read("runs").collect()
+    assert (r.status, r.fetched, r.errors, r.started_at) == ("partial", 3, ["e"], datetime(2026, 9, 13))
+
+
+def test_repairs_stop_above_half(spark):
+    v = spark.createDataFrame([("a", "unset"), ("b", "ok"), ("c", "ok")], "id string, verdict string")
+    assert [r.id for r in config.to_disable(v).collect()] == ["a"]
+    assert config.to_disable(v.where("id <> 'c'")).count() == 1 and config.to_disable(v.where("id = 'a'")).count() == 0
+
+
+def test_urgent_fit_drops_from_the_end(spark):
+    df = spark.createDataFrame([(0, k, f"h{k}", "s" * 50, 1 + k % 3, "u") for k in range(9)], "digest_id int, idx int, headline string, summary string, importance_rank int, source_url string").withColumns({"affected": F.lit(""), "date_note": F.lit(None).cast("string")})
+    r = message.fit_urgent(df, T, F.lit("x"), 500).first()
+    assert r.n_kept < 9 and f"h{r.n_kept - 1}" in r.message and f"h{r.n_kept}" not in r.message

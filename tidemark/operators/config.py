@@ -55,3 +55,22 @@ def channel_violations(channels: DataFrame) -> DataFrame:
         "chars range": ~F.col("max_chars").between(100, 5000),
         "urgent without weekly": F.col("urgent_within_days").isNotNull() & F.col("weekly_on").isNull(),
     })
+
+
+def unknown_requested(configured: DataFrame, requested: DataFrame) -> DataFrame:
+    """Ids that were asked for and are not configured."""
+    return requested.select("id").distinct().join(configured.select("id"), "id", "left_anti")
+
+
+def summary(sources: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Per type: sources, those that are enabled, and those whose verification was not ok, with their share."""
+    rows = sources.join(verdicts.select("id", "verdict"), "id", "left")
+    bad = F.count_if(F.col("verdict") != "ok")
+    return rows.groupBy("type").agg(F.count("*").alias("sources"), F.count_if("enabled").alias("enabled"), bad.alias("not_ok"), F.round(bad / F.count("*"), 4).alias("share"))
+
+
+def to_disable(verdicts: DataFrame, most: float = 0.5) -> DataFrame:
+    """Sources that a repair would switch off; none if more than the share `most` of all would be."""
+    bad = verdicts.where("verdict <> 'ok'")
+    share = verdicts.agg((F.count_if(F.col("verdict") != "ok") / F.greatest(F.count("*"), F.lit(1))).alias("share"))
+    return bad.crossJoin(F.broadcast(share)).where(F.col("share") <= most).drop("share")

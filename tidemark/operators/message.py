@@ -87,3 +87,13 @@ def ops_body(lines: Column, max_lines: int = 20, max_chars: int = 3000) -> Colum
     rest = F.size(lines) - max_lines
     shown = F.array_join(F.slice(lines, 1, max_lines), "\n")
     return F.left(F.concat(shown, F.when(rest > 0, F.concat(F.lit("\n... "), rest.cast("string"), F.lit(" more"))).otherwise("")), F.lit(max_chars))
+
+
+def fit_urgent(entries: DataFrame, t: Template, header: Column, limit: int = LIMIT) -> DataFrame:
+    """As `fit`, but entries are dropped from the end, whatever their importance."""
+    return fit(entries.withColumn("importance_rank", F.lit(3)), t, header, F.lit(0), limit)
+
+
+def webhook_kind(url: Column) -> Column:
+    """The kind of a webhook by its host: slack, discord or plain."""
+    return F.when(url.rlike(r"^https://hooks\.slack\.com/"), "slack").when(url.rlike(r"^https://(discord|discordapp)\.com/api/webhooks/"), "discord").otherwise("plain")

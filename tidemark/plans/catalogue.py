@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import time as tm
 from ..functions import urls
-from ..operators import collect, config, delivery, gate, health, message, select, store
+from ..operators import collect, config, delivery, gate, health, message, model, runs, select, store
 from . import standins as si
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -495,3 +495,119 @@ def config_unreferenced(spark, sf_dir):
 def token_usage_rollup(spark, sf_dir):
     c = si.table(spark, sf_dir, "conversations")
     return c.groupBy("role").agg(F.count("*").alias("calls"), F.sum(F.when(F.col("turn") % 2 == 1, F.char_length("text"))).cast("long").alias("output_chars"), F.array_join(F.array_sort(F.collect_set(F.col("turn").cast("string"))), "+").alias("turns"))
+
+
+# Model results, runs, calendar
+
+
+@query("""WITH a AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 20 AS batch_id FROM documents)
+    SELECT CAST(batch_id AS BIGINT) AS batch_id, count(*) AS asked, count(*) FILTER (l.doc_id IS NULL) AS missing FROM a LEFT JOIN labels l ON a.doc_id = l.doc_id GROUP BY batch_id""")
+def model_results_missing(spark, sf_dir):
+    d = si.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    first = d.agg(F.min("id").alias("least"))
+    # ids are dense from the least on, so the batch follows without a sort of all rows
+    asked = d.crossJoin(F.broadcast(first)).select("id", F.floor((F.col("id") - F.col("least")) / 20).cast("long").alias("batch_id"))
+    got = si.table(spark, sf_dir, "labels").crossJoin(F.broadcast(first)).select(F.col("doc_id").alias("id"), F.floor((F.col("doc_id") - F.col("least")) / 20).cast("long").alias("batch_id"), F.lit(1.0).alias("relevance"))
+    return model.missing(model.join_results(asked, got))
+
+
+@query("""SELECT doc_id, array_to_string(list_filter(['main', 'child'], lambda x: list_contains([lang, 'main', 'other', CASE WHEN doc_id % 2 = 0 THEN 'child' ELSE 'main' END], x)), ',') AS channels,
+    least(greatest(CAST(n_chars AS DOUBLE) / CAST(1000 AS DOUBLE) - CAST(1 AS DOUBLE), CAST(0 AS DOUBLE)), CAST(1 AS DOUBLE)) AS relevance, CAST(doc_id % 3 + 1 AS INTEGER) AS importance_rank,
+    CASE WHEN doc_id % 28 + 1 < 29 AND doc_id % 5 <> 0 THEN '2024-02-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') END AS deadline FROM documents""")
+def model_output_validated(spark, sf_dir):
+    k = F.col("doc_id")
+    word = F.element_at(F.array(*map(F.lit, model.IMPORTANCE)), (k % 3 + 1).cast("int"))
+    day = F.when(k % 5 == 0, F.lit("2024-02-30")).otherwise(F.concat(F.lit("2024-02-"), F.lpad((k % 28 + 1).cast("string"), 2, "0")))
+    one = F.struct(k.cast("string").alias("id"), F.array(F.lit("main"), F.when(k % 2 == 0, "child").otherwise("main"), F.col("lang"), F.lit("other")).alias("channels"), (F.col("n_chars") / 1000 - 1).alias("relevance"), word.alias("importance"), day.alias("deadline"))
+    repeated = F.struct(k.cast("string").alias("id"), F.array(F.lit("x")).alias("channels"), F.lit(9.0).alias("relevance"), F.lit("low").alias("importance"), F.lit("never").alias("deadline"))
+    bodies = si.table(spark, sf_dir, "documents").select(k.alias("batch_id"), F.to_json(F.array(one, repeated)).alias("body"))
+    out = model.parse(bodies, ["main", "child"])
+    return out.select(F.col("batch_id").alias("doc_id"), F.array_join("channels", ",").alias("channels"), "relevance", "importance_rank", F.col("deadline").cast("string").alias("deadline"))
+
+
+@query("SELECT conv_id, sha256(string_agg(text, chr(10) || '---' || chr(10) ORDER BY turn, text)) AS merged_sha256 FROM conversations GROUP BY conv_id")
+def merged_audit_text(spark, sf_dir):
+    out = model.merged_text(si.table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+    return out.select("conv_id", F.sha2(F.col("merged").cast("binary"), 256).alias("merged_sha256"))
+
+
+@query(f"""WITH {_GATE}, g AS (SELECT digest_id, count(*) FILTER (failed IS NOT NULL) AS by_gate, count(*) FILTER (failed IS NULL) AS passed FROM checked GROUP BY digest_id)
+    SELECT digest_id, by_gate + greatest(passed - 5, 0) + 2 AS omitted FROM g""")
+def omitted_count(spark, sf_dir):
+    g = _checked(spark, sf_dir).groupBy("digest_id").agg(F.count_if(F.col("failed").isNotNull()).alias("by_gate"), F.count_if(F.col("failed").isNull()).alias("passed"))
+    return g.select("digest_id", model.omitted(F.lit(2), F.col("by_gate"), F.lit(0), F.greatest(F.col("passed") - 5, F.lit(0)), F.lit(0)).alias("omitted"))
+
+
+@query("""SELECT CAST(CAST(ts + INTERVAL 9 HOUR AS DATE) AS VARCHAR) AS day, CAST(count(*) FILTER (event_type = 'view') AS INTEGER) AS fetched, CAST(count(*) FILTER (event_type = 'signup') AS INTEGER) AS new_items,
+    CAST(count(*) FILTER (event_type = 'error') AS INTEGER) AS sources_failed, CAST(count(*) FILTER (event_type = 'purchase') AS INTEGER) AS sent FROM events GROUP BY ALL""")
+def run_counters(spark, sf_dir):
+    kinds = F.create_map(*(F.lit(x) for pair in (("view", "fetched"), ("signup", "new_items"), ("error", "sources_failed"), ("purchase", "sent"), ("click", "skipped")) for x in pair))
+    rows = si.table(spark, sf_dir, "events").select(tm.local_date(F.col("ts")).cast("string").alias("day"), kinds[F.col("event_type")].alias("kind"))
+    return runs.counters(rows, ["day"]).select("day", "fetched", "new_items", "sources_failed", "sent")
+
+
+@query("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, user_id AS source_id, count(*) AS errors FROM events WHERE event_type = 'error' GROUP BY ALL HAVING count(*) >= 2")
+def error_alert_windows(spark, sf_dir):
+    return runs.error_windows(si.fetches(spark, sf_dir), "1 hour", ["source_id"], 2).select(_show("window_start"), "source_id", "errors")
+
+
+@query("""SELECT o_orderkey, CAST(month(d) AS VARCHAR) || '/' || CAST(day(d) AS VARCHAR) || '(' || ['日', '月', '火', '水', '木', '金', '土'][dayofweek(d) + 1] || ')' AS header, CAST(dayofweek(d) AS INTEGER) AS weekday,
+    strftime(o_orderdate + INTERVAL 90 MINUTE, '%Y-%m-%dT%H:%M:%S.000Z') AS iso, strftime(o_orderdate + INTERVAL 630 MINUTE, '%H:%M') AS local_time
+    FROM (SELECT *, CAST(o_orderdate AS DATE) AS d FROM orders)""")
+def calendar_labels(spark, sf_dir):
+    o = si.table(spark, sf_dir, "orders").withColumns({"d": F.col("o_orderdate").cast("date"), "t": F.col("o_orderdate") + F.expr("INTERVAL 90 MINUTES")})
+    return o.select("o_orderkey", tm.header_date(F.col("d")).alias("header"), tm.weekday(F.col("d")).cast("int").alias("weekday"), tm.iso(F.col("t")).alias("iso"), tm.local_time(F.col("t")).alias("local_time"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 3 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS page, CASE WHEN o_orderkey % 4 = 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS api FROM orders""")
+def dates_parsed(spark, sf_dir):
+    d, k = F.col("o_orderdate").cast("date"), F.col("o_orderkey") % 4
+    text = F.when(k == 0, F.date_format(d, "yyyy/M/d")).when(k == 1, F.concat(F.lit("updated "), F.date_format(d, "yyyy年M月d日"))).when(k == 2, F.date_format(d, "(yyyy. M. d)")).otherwise(F.date_format(d, "2024-02-30 yyyy"))
+    o = si.table(spark, sf_dir, "orders").select("o_orderkey", text.alias("t"))
+    return o.select("o_orderkey", tm.page_date(F.col("t")).cast("string").alias("page"), tm.compact_date(F.col("t")).cast("string").alias("api"))
+
+
+@query("""WITH v AS (SELECT doc_id, 1 AS version, source AS value FROM documents UNION ALL SELECT doc_id, quality * 2, 'q' || CAST(quality AS VARCHAR) FROM labels)
+    SELECT doc_id, arg_max(value, version) AS value, max(version) AS version FROM v GROUP BY doc_id""")
+def upsert_latest(spark, sf_dir):
+    base = si.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit(1).alias("version"), F.col("source").alias("value"))
+    changes = si.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") * 2).alias("version"), F.concat(F.lit("q"), F.col("quality").cast("string")).alias("value"))
+    return store.upsert(base, changes).select(F.col("id").alias("doc_id"), "value", "version")
+
+
+@query("""WITH q AS (SELECT unnest(['0000000007', '0000000003', '0000000007', 'none', '0000000011']) AS id, generate_subscripts(['0000000007', '0000000003', '0000000007', 'none', '0000000011'], 1) AS pos),
+    f AS (SELECT id, min(pos) AS pos FROM q GROUP BY id), d AS (SELECT lpad(CAST(doc_id AS VARCHAR), 10, '0') AS id, source FROM documents)
+    SELECT d.id, source, CAST(row_number() OVER (ORDER BY pos) AS INTEGER) AS position FROM d JOIN f ON d.id = f.id""")
+def multi_get_order(spark, sf_dir):
+    d = si.table(spark, sf_dir, "documents").select(F.lpad(F.col("doc_id").cast("string"), 10, "0").alias("id"), "source")
+    got = store.multi_get(d.withColumn("n", F.lit(1)), ["0000000007", "0000000003", "0000000007", "none", "0000000011"])
+    wanted = F.array_position(F.array(*map(F.lit, ("0000000007", "0000000003", "0000000011"))), F.col("id"))
+    return got.select("id", "source", wanted.cast("int").alias("position"))
+
+
+@query(f"""WITH {si.RUNS} SELECT id, {_sql('started_at')}, CAST(row_number() OVER (ORDER BY runs.started_at DESC, id DESC) AS INTEGER) AS position FROM runs WHERE day = DATE '2024-01-15'""")
+def runs_newest_first(spark, sf_dir):
+    r = si.runs(spark, sf_dir).where("day = date'2024-01-15'")
+    # a day's runs are few: jobs times the day's schedule
+    return r.withColumn("position", F.row_number().over(W.orderBy(F.desc("started_at"), F.desc("id")))).select("id", _show("started_at"), "position")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0)")
+def requested_unknown(spark, sf_dir):
+    asked = si.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    known = si.table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("id"))
+    return config.unknown_requested(known, asked).select(F.col("id").cast("string").alias("id"))
+
+
+@query("""SELECT c_mktsegment AS type, count(*) AS sources, count(*) FILTER (c_acctbal > 0) AS enabled, count(*) FILTER (c_custkey % 3 = 0) AS not_ok,
+    round(count(*) FILTER (c_custkey % 3 = 0) / count(*), 4) AS share FROM customer GROUP BY ALL""")
+def config_summary(spark, sf_dir):
+    c = si.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("type"), (F.col("c_acctbal") > 0).alias("enabled"))
+    return config.summary(c, c.select("id", F.when(F.col("id") % 3 == 0, "unreachable").otherwise("ok").alias("verdict")))
+
+
+@query()
+def selector_candidates(spark, sf_dir):
+    from ..sources.listing import selectors
+
+    return selectors(si.table(spark, sf_dir, "pages").select("page_id", "url", "html"))

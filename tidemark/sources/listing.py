@@ -79,3 +79,14 @@ def extracted(pages: DataFrame, limit: int = 6000) -> DataFrame:
             yield pd.DataFrame(rows, columns=["url", "text", "kind", "title"])
 
     return pages.select("url", "content_type", "body").mapInPandas(run, "url string, text string, kind string, title string")
+
+
+def selectors(pages: DataFrame) -> DataFrame:
+    """pages (page_id, url, html): the containers of each that could be listings, best first, with their links' number."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            rows = [(p.page_id, k, path, links, depth) for p in part.itertuples(index=False) for k, (path, links, depth) in enumerate(html.selector_candidates(p.html or "", p.url or ""))]
+            yield pd.DataFrame(rows, columns=["page_id", "position", "selector", "links", "depth"])
+
+    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, position int, selector string, links int, depth int")
