@@ -208,7 +208,7 @@ def _path(node: Node) -> str | None:
     for c in node.attrs.get("class", "").split():
         if re.fullmatch(r"[A-Za-z][\w-]*", c):
             return f"{node.tag}.{c}"
-    return node.tag if node.tag in ("main", "article") else None
+    return node.tag if node.tag in ("main", "article", "section", "nav", "ul", "ol") else None
 
 
 def selector_candidates(html: str, base: str, limit: int = 6) -> list[tuple[str, int, int]]:
