@@ -27,9 +27,10 @@ def known_candidates(candidates: DataFrame, items: DataFrame) -> DataFrame:
 
 def capped_new(candidates: DataFrame, limit: int = NEW_PER_SOURCE) -> DataFrame:
     """The first `limit` new candidates of each source in listing order, with the source's number of those left over."""
-    by = W.partitionBy("source_id")
-    ranked = candidates.withColumns({"rank": F.row_number().over(by.orderBy("ord")), "overflow": F.greatest(F.count("*").over(by) - limit, F.lit(0))})
-    return ranked.where(F.col("rank") <= limit)
+    # the rank alone is limited in every task before the shuffle, so a source with very many rows sends few
+    first = candidates.withColumn("rank", F.row_number().over(W.partitionBy("source_id").orderBy("ord"))).where(F.col("rank") <= limit)
+    counted = candidates.groupBy("source_id").agg(F.greatest(F.count("*") - limit, F.lit(0)).alias("overflow"))
+    return first.join(counted, "source_id")
 
 
 def oldest_known(known: DataFrame, limit: int = RECHECK_PER_SOURCE) -> DataFrame:

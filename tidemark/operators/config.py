@@ -72,5 +72,5 @@ def summary(sources: DataFrame, verdicts: DataFrame) -> DataFrame:
 def to_disable(verdicts: DataFrame, most: float = 0.5) -> DataFrame:
     """Sources that a repair would switch off; none if more than the share `most` of all would be."""
     bad = verdicts.where("verdict <> 'ok'")
-    share = verdicts.agg((F.count_if(F.col("verdict") != "ok") / F.greatest(F.count("*"), F.lit(1))).alias("share"))
-    return bad.crossJoin(F.broadcast(share)).where(F.col("share") <= most).drop("share")
+    share = verdicts.agg(F.count_if(F.col("verdict") != "ok") / F.greatest(F.count("*"), F.lit(1))).scalar()
+    return bad.where(share <= most)

@@ -69,11 +69,12 @@ def candidates(window_items: DataFrame, channel: Channel, digest_id: str) -> Dat
     """Classified members of the channel above its threshold and not in this digest yet. A regional copy of a national
     notice is dropped where the pool has any national item at all. The pool's number of unclassified items is carried
     along, so that a failed classification is not taken for a quiet day."""
-    # sums over the pool are one row, joined back: a window without a key would bring all rows to one task
-    facts = window_items.agg(F.coalesce(F.bool_or(F.col("region").isNull()), F.lit(False)).alias("has_national"), F.count_if(F.col("classified_at").isNull()).alias("unclassified"))
+    # scalar subqueries: a window without a key would bring all rows to one task
+    has_national = window_items.agg(F.coalesce(F.bool_or(F.col("region").isNull()), F.lit(False))).scalar()
+    unclassified = window_items.agg(F.count_if(F.col("classified_at").isNull())).scalar()
     member = F.col("classified_at").isNotNull() & F.array_contains("channels", channel.id) & (F.col("relevance") >= channel.relevance_threshold) & ~F.array_contains("digested_in", digest_id)
-    copy = F.col("is_duplicate_of_national") & F.col("region").isNotNull() & F.col("has_national")
-    return window_items.crossJoin(F.broadcast(facts)).where(member & ~copy)
+    copy = F.col("is_duplicate_of_national") & F.col("region").isNotNull() & has_national
+    return window_items.where(member & ~copy).withColumn("unclassified", unclassified)
 
 
 

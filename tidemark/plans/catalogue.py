@@ -504,10 +504,10 @@ def token_usage_rollup(spark, sf_dir):
     SELECT CAST(batch_id AS BIGINT) AS batch_id, count(*) AS asked, count(*) FILTER (l.doc_id IS NULL) AS missing FROM a LEFT JOIN labels l ON a.doc_id = l.doc_id GROUP BY batch_id""")
 def model_results_missing(spark, sf_dir):
     d = si.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
-    first = d.agg(F.min("id").alias("least"))
+    first = d.agg(F.min("id")).scalar()
     # ids are dense from the least on, so the batch follows without a sort of all rows
-    asked = d.crossJoin(F.broadcast(first)).select("id", F.floor((F.col("id") - F.col("least")) / 20).cast("long").alias("batch_id"))
-    got = si.table(spark, sf_dir, "labels").crossJoin(F.broadcast(first)).select(F.col("doc_id").alias("id"), F.floor((F.col("doc_id") - F.col("least")) / 20).cast("long").alias("batch_id"), F.lit(1.0).alias("relevance"))
+    asked = d.select("id", F.floor((F.col("id") - first) / 20).cast("long").alias("batch_id"))
+    got = si.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.floor((F.col("doc_id") - first) / 20).cast("long").alias("batch_id"), F.lit(1.0).alias("relevance"))
     return model.missing(model.join_results(asked, got))
 
 
