@@ -23,7 +23,7 @@ def test_posteriors_and_targets(labelled):
     assert all(rows[k].copies >= 1 for k in range(40))
     total = sum(r.rate * r.tokens for r in rows.values())
     shares = [sum(r.rate * r.tokens * r[f"p_{x}"] for r in rows.values()) / total for x in mixing.DOMAINS]
-    assert abs(shares[0] - 0.94) < 0.03 and abs(shares[1] - 0.05) < 0.02 and abs(shares[2] - 0.01) < 0.02
+    assert abs(shares[0] - 0.9) < 0.02 and abs(shares[1] - 0.05) < 0.02 and abs(shares[2] - 0.05) < 0.02
 
 
 def test_rates_are_the_constrained_least_squares(spark):
