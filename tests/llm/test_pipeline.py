@@ -39,13 +39,14 @@ def test_queries_are_registered():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
-def test_exact_dedup_matches_sql(spark):
+@pytest.mark.parametrize("name", ["op1_exact_dedup", "op2_substring_dedup", "op4_near_dedup"])
+def test_query_matches_sql(spark, name):
     import duckdb
 
     from tidemark.llm.queries import ORACLE_SQL, QUERIES
 
     c = duckdb.connect()
     c.sql(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
-    columns = "doc_id, keep_id, group_size, kept, text_sha256"
-    want = sorted(c.sql(f"select {columns} from ({ORACLE_SQL['op1_exact_dedup']})").fetchall())
-    assert sorted(tuple(r) for r in QUERIES["op1_exact_dedup"](spark, SF).collect()) == want
+    df = QUERIES[name](spark, SF)
+    want = sorted(c.sql(f"select {', '.join(df.columns)} from ({ORACLE_SQL[name]})").fetchall())
+    assert sorted(tuple(r) for r in df.collect()) == want

@@ -85,4 +85,27 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id IS NOT DISTINCT FROM min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY norm)""",
+    "op2_substring_dedup": r"""
+        WITH h AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        g AS MATERIALIZED (SELECT doc_id, i, md5(substr(h, 2 * i - 1, 400)) AS g FROM (SELECT doc_id, h, unnest(generate_series(1, n - 199)) AS i FROM h WHERE n >= 200)),
+        r AS MATERIALIZED (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS k FROM g) WHERE k > 1),
+        e AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM r),
+        t AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS span FROM e),
+        spans AS MATERIALIZED (SELECT doc_id, min(i) AS a, max(i) + 199 AS b FROM t GROUP BY doc_id, span),
+        kept AS (SELECT doc_id, sum(b - a + 1) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id),
+        gaps AS (SELECT s.doc_id, coalesce(lag(b) OVER (PARTITION BY s.doc_id ORDER BY a), 0) + 1 AS x, a - 1 AS y FROM spans s UNION ALL SELECT s.doc_id, max(b) + 1, any_value(h.n) FROM spans s JOIN h USING (doc_id) GROUP BY s.doc_id),
+        rest AS (SELECT gaps.doc_id, string_agg(substr(h, CAST(2 * x - 1 AS BIGINT), CAST(2 * (y - x + 1) AS BIGINT)), '' ORDER BY x) AS hx FROM gaps JOIN h USING (doc_id) WHERE y >= x GROUP BY gaps.doc_id)
+        SELECT h.doc_id, h.n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN n_spans IS NULL THEN h.h ELSE coalesce(hx, '') END)) AS kept_sha256
+        FROM h LEFT JOIN kept USING (doc_id) LEFT JOIN rest USING (doc_id)""",
+    "op4_near_dedup": r"""
+        WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS MATERIALIZED (SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(generate_series(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 3], ' ')) END)) AS sh FROM w),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS MATERIALIZED (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+        steps AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT steps.b, reach.root FROM reach JOIN steps ON steps.a = reach.node),
+        least_root AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN least_root r ON r.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
 }
