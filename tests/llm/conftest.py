@@ -1,6 +1,6 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __fp string, kept string, band string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __fp string, kept string, band string, __drop string, __row string, __words string, `a.b` string"
 
 
 @pytest.fixture(scope="session")
@@ -9,7 +9,7 @@ def docs(spark):
 
     def make(texts, ids=None):
         ids = range(len(texts)) if ids is None else ids
-        return spark.createDataFrame([(i, t, None, None, None, "x", None, "y") for i, t in zip(ids, texts, strict=True)], SCHEMA)
+        return spark.createDataFrame([(i, t, None, None, None, "x", "k", "y", "d", "r", "w", "dot") for i, t in zip(ids, texts, strict=True)], SCHEMA)
 
     return make
 
@@ -49,3 +49,12 @@ def corpus():
     texts += [texts[5].replace(" ", "  "), texts[7], texts[7], texts[8] + " "]
     texts += ["spam line here\n" * 30, "same same " * 100, "p" * 700]
     return texts
+
+
+EXTRA = (None, None, None, "x", "k", "y", "d", "r", "w", "dot")
+
+
+@pytest.fixture(scope="session")
+def untouched():
+    """Whether all columns but id and text came through as they were."""
+    return lambda rows: all(tuple(r)[2:] == EXTRA for r in rows)

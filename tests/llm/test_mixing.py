@@ -58,13 +58,14 @@ def test_mix_repeats_and_drops_rows(labelled):
     assert Counter(r.doc_id for r in out.collect()) == Counter({k: c for k, c in copies.items() if c})
 
 
-def test_odd_cases(spark, odd, none):
+def test_odd_cases(spark, odd, none, untouched):
     no_labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = mixing.mixing_rates(odd, no_labels).collect()
     assert len(rows) == odd.count() and {round(r.p_clean, 6) for r in rows} == {round(1 / 3, 6)}
     assert {r.tokens for r in rows if r.doc_id in (0, 1, 2)} == {0}
     assert mixing.mixing_rates(none, no_labels).count() == 0 and mixing.mix(none, no_labels).count() == 0
-    assert mixing.mix(odd, no_labels).columns == odd.columns
+    out = mixing.mix(odd, no_labels)
+    assert out.columns == odd.columns and untouched(out.collect())
 
 
 def test_plan_has_no_python(labelled):

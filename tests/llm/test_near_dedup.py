@@ -63,7 +63,7 @@ def test_recall_at_the_threshold():
         assert (keys[0] == keys[1]).any()
 
 
-def test_odd_cases(odd, none):
+def test_odd_cases(odd, none, untouched):
     got = sorted((tuple(r) for r in nd.near_duplicates(odd, 4).collect()), key=str)
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert len(got) == len(rows)
@@ -71,7 +71,7 @@ def test_odd_cases(odd, none):
     assert {r[0]: r[2] for r in got if r[0] is not None} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8, 9: 9, 11: 4, 14: 14}
     assert nd.near_duplicates(none).count() == 0 and nd.near_dedup(none).count() == 0
     kept = nd.near_dedup(odd)
-    assert kept.columns == odd.columns and kept.count() == len(rows) - 2
+    assert kept.columns == odd.columns and kept.count() == len(rows) - 2 and untouched(kept.collect())
 
 
 def test_dense_group_near_the_threshold(docs, monkeypatch):

@@ -53,10 +53,11 @@ def test_long_runs_are_quick():
     assert time.time() - began < 20
 
 
-def test_query_rows(docs, odd, none):
+def test_query_rows(docs, odd, none, untouched):
     texts = ["mail a@b.co or call 202-555-0100", "é 10.0.0.1", None]
     a, b, c = pii.find_personal_data(docs(texts)).orderBy("doc_id").collect()
     assert (a.n_email, a.spans, a.base_sha256) == (1, "email:5:11,local_phone:20:32", hashlib.sha256(b"email:5:11").hexdigest())
     assert b.spans == "ip:2:10" and (c.n_email, c.spans, c.base_sha256) == (0, "", hashlib.sha256(b"").hexdigest())
     assert pii.find_personal_data(odd).count() == odd.count() and pii.find_personal_data(none).count() == 0
     assert [r.text for r in pii.redact(docs(texts)).orderBy("doc_id").collect()] == ["mail <email> or call <local_phone>", "é <ip>", None]
+    assert untouched(pii.redact(docs(texts)).collect())

@@ -55,13 +55,13 @@ def labelled(spark, docs):
     return docs(good + bad), labels
 
 
-def test_training_separates_held_out_documents(labelled):
+def test_training_separates_held_out_documents(labelled, untouched):
     d, labels = labelled
     crf = q.fit(d, labels)
     got = {r.doc_id: r.kept for r in q.judge(d, crf).collect()}
     assert all(got[k] == (k < 30) for k in range(60))
     kept = q.keep_good(d, crf)
-    assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == list(range(30))
+    assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == list(range(30)) and untouched(kept.collect())
 
 
 def test_training_gradient_helps():

@@ -56,6 +56,20 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed_rows(docs: DataFrame, **columns: str) -> DataFrame:
+    """docs with each whole row as the struct __row, and the named columns under their new names; so no name of docs
+    can clash with an operator's own. select("__row.*") gives the rows back."""
+    row = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("__row")
+    return docs.select(row, *(docs[f"`{old}`"].alias(new) for new, old in columns.items()))
+
+
+def map_rows(docs: DataFrame, text: str, run) -> DataFrame:
+    """docs through run(batches, name of the text column), with docs' columns, whatever their names are."""
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    name = f"c{docs.columns.index(text)}"
+    return plain.mapInArrow(lambda batches: run(batches, name), plain.schema).toDF(*docs.columns)
+
+
 def few(df: DataFrame, rows: int) -> DataFrame:
     """df, a stored table, marked for broadcast if it has at most so many rows; else a join shuffles it."""
     return F.broadcast(df) if df.count() <= rows else df

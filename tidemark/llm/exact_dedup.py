@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE, few, store, text_of
+from ._common import SPACE, few, packed_rows, store, text_of
 from .quotient_filter import CountingQuotientFilter
 
 #: Fingerprints that one range of quotients holds on the mean; the number of ranges follows the number of rows.
@@ -109,11 +109,11 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     """
     _, groups = duplicate_groups(docs, text, doc_id)
     groups = few(store(groups, "exact-groups").withColumnRenamed("keep_id", "__keep"), GROUP_ROWS)
-    norm = normalised(text)
-    marked = docs.withColumns({"__fp": F.xxhash64(norm), "__sha": F.sha2(norm.cast("binary"), 256)})
+    norm = normalised("__text")
+    marked = packed_rows(docs, __text=text, __id=doc_id).select("__row", "__id", F.xxhash64(norm).alias("__fp"), F.sha2(norm.cast("binary"), 256).alias("__sha"))
     # texts are shuffled only where the groups are too many to be broadcast
     joined = marked.join(groups, ["__fp", "__sha"], "left")
-    kept = joined.where(F.col("__keep").isNull() & F.col("group_size").isNull() | F.col(doc_id).eqNullSafe(F.col("__keep")))
+    kept = joined.where(F.col("__keep").isNull() & F.col("group_size").isNull() | F.col("__id").eqNullSafe(F.col("__keep")))
     tied = F.coalesce("n_keep", F.lit(1)) > 1
     one = kept.where(~tied).unionByName(kept.where(tied).dropDuplicates(["__fp", "__sha"]))
-    return one.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return one.select("__row.*")

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE, store, text_of
+from ._common import SPACE, packed_rows, store, text_of
 
 #: Domains that the labels (quality, toxic) tell apart.
 DOMAINS = ("clean", "noisy", "toxic")
@@ -189,8 +189,8 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float
 def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with each row as often as its rate tells; all columns stay as they are. Cases as in `mixing_rates`."""
     model = fit(docs, labels, text=text, doc_id=doc_id)
-    rate = solve(store(cells_of(posteriors(docs, model, text)), "cells"), targets)
-    out = features(docs, text, model.markers).withColumn("__copies", copies(rate, F.col(doc_id)))
+    rate = solve(store(cells_of(posteriors(docs.select(F.col(text).alias("__text")), model, "__text")), "cells"), targets)
+    out = features(packed_rows(docs, __text=text, __id=doc_id), "__text", model.markers).withColumn("__copies", copies(rate, F.col("__id")))
     # an outer explode, as filters on the number of copies would be pushed down and read the text again
     out = out.withColumn("__copy", F.explode_outer(F.array_repeat(F.lit(1), F.col("__copies")))).where("__copy is not null")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.select("__row.*")

@@ -283,4 +283,4 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
 def near_dedup(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs without the documents that `near_duplicates` does not keep; all columns stay as they are."""
     drop = store(near_duplicates(docs, n, percent, text, doc_id).where("not kept").select(F.col("doc_id").alias("__drop")).distinct(), "near-drop")
-    return docs.join(few(drop, DROP_ROWS), F.col(doc_id) == F.col("__drop"), "left_anti")
+    return docs.join(few(drop, DROP_ROWS), docs[doc_id] == drop["__drop"], "left_anti")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import short_batches, slices
+from ._common import map_rows, short_batches, slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds that the method adds to the base ones, in the order used to break ties of start.
@@ -143,10 +143,10 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "<{kind}>") -> DataF
     """docs with every span of `find_personal_data` replaced by a mask; null texts stay null, all columns stay."""
     fill = {k: mask.format(kind=k) for k in (*KINDS, *ADDED)}
 
-    def clean(batches):
-        for batch in slices(batches, text):
+    def clean(batches, name):
+        for batch in slices(batches, name):
             out = []
-            for t in batch.column(text).to_pylist():
+            for t in batch.column(name).to_pylist():
                 if t:
                     base = base_spans(t)
                     at, parts = 0, []
@@ -156,8 +156,8 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "<{kind}>") -> DataF
                             at = e
                     t = "".join(parts) + t[at:]
                 out.append(t)
-            i = batch.schema.get_field_index(text)
-            yield batch.set_column(i, text, pa.array(out, batch.schema.field(i).type))
+            i = batch.schema.get_field_index(name)
+            yield batch.set_column(i, name, pa.array(out, batch.schema.field(i).type))
 
     short_batches(docs.sparkSession)
-    return docs.mapInArrow(clean, docs.schema)
+    return map_rows(docs, text, clean)

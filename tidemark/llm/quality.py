@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SpanHash, mix, short_batches, slices, utf8, words
+from ._common import SpanHash, map_rows, mix, short_batches, slices, utf8, words
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Labelled documents that the field is trained on: those with the smallest hash of their id.
@@ -260,12 +260,12 @@ def judge(docs: DataFrame, crf: Field, share: float = CONTENT_SHARE, text: str =
 def keep_good(docs: DataFrame, crf: Field, share: float = CONTENT_SHARE, text: str = "text") -> DataFrame:
     """The rows of docs that are kept, with all columns as they are; judged where they stand, without a join."""
 
-    def run(batches):
-        for batch in slices(batches, text):
-            s = read(batch.column(text))
+    def run(batches, name):
+        for batch in slices(batches, name):
+            s = read(batch.column(name))
             good = np.add.reduceat(s.line_words * viterbi(crf, s.features, s.lines), s.lines[:-1])
             failed = (s.n_words < MIN_WORDS) | (100 * s.n_repeat_words > MAX_REPEAT_PERCENT * s.n_words)
             yield batch.filter(pa.array(~failed & (good >= share * np.maximum(1, s.n_words))))
 
     short_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, text, run)
