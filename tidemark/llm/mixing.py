@@ -25,8 +25,11 @@ TARGETS = {"clean": 0.9, "noisy": 0.05, "toxic": 0.05}
 REPEAT = 1.0
 #: Labelled documents that the classifier is trained on: those with the smallest hash of their id.
 TRAIN_DOCUMENTS = 20_000
-#: Words, at most, that mark the toxic domain; the share of its documents that has to hold each, and how much more often than others.
-MARKERS, MARKER_SHARE, MARKER_LIFT = 200, 0.1, 20
+#: Words and word beginnings, at most, that mark the toxic domain; the share of its documents that has to hold each, and
+#: how much more often than others.
+MARKERS, MARKER_SHARE, MARKER_LIFT = 200, 0.03, 20
+#: Letters of a word beginning: inflected words of other languages are told by these.
+STEM = 4
 ROUNDS, TOLERANCE = 30, 1e-3
 #: A rate that is short of a whole number by no more than this counts as that number when copies are made.
 SLACK = 0.25
@@ -45,6 +48,12 @@ def words_of(text: str) -> Column:
     return F.array_remove(F.split(F.lower(text_of(text)), f"{SPACE}+"), "")
 
 
+def clues(words: str) -> Column:
+    """Distinct words, and the beginnings of longer ones after a mark of their own."""
+    longer = F.filter(words, lambda w: F.char_length(w) > STEM)
+    return F.array_union(words, F.transform(longer, lambda w: F.concat(F.lit("\x1f"), F.left(w, F.lit(STEM)))))
+
+
 def _bucket(value: Column, limits: tuple) -> Column:
     return sum(((value >= x).cast("int") for x in limits[1:]), (value >= limits[0]).cast("int"))
 
@@ -70,7 +79,7 @@ def features(docs: DataFrame, text: str, markers: tuple[str, ...]) -> DataFrame:
         "__symbols": F.regexp_count(text_of(text), F.lit(r"[#*$%&|<>!]")) / F.greatest(n, F.lit(1)),
         "__distinct": F.array_distinct("__words"),
     })
-    hits = F.size(F.array_intersect("__distinct", F.array(*map(F.lit, markers)))) if markers else F.lit(0)
+    hits = F.size(F.array_intersect(clues("__distinct"), F.array(*map(F.lit, markers)))) if markers else F.lit(0)
     share = F.size("__distinct") / F.greatest(F.col("__tokens"), F.lit(1))
     docs = docs.withColumns({
         "__f0": _bucket(F.col("__symbols"), _SYMBOLS),
@@ -85,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCUMENTS, text:
     chosen = labels.select(F.col("doc_id").alias("__id"), domain().alias("__domain")).dropna().dropDuplicates(["__id"])
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(limit)
     sample = store(docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__id"), "labelled")
-    held = sample.select("__id", "__domain", F.explode(F.array_distinct(words_of("__text"))).alias("w"))
+    held = sample.withColumn("__words", F.array_distinct(words_of("__text"))).select("__id", "__domain", F.explode(clues("__words")).alias("w"))
     toxic = F.col("__domain") == "toxic"
     by_word = held.groupBy("w").agg(F.count_if(toxic).alias("t"), F.count_if(~toxic).alias("o"))
     n = sample.agg(F.count_if(toxic), F.count_if(~toxic)).first()
