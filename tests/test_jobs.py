@@ -56,3 +56,20 @@ def test_health_stream_keeps_state_over_batches(spark, tmp_path):
         q = sh.health_stream(spark.readStream.schema(schema).json(str(folder))).writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
         q.awaitTermination()
     assert [(r.seq, r.failures, r.failure_alert) for r in sorted(rows, key=lambda r: r.seq)] == [(k, k + 1, k + 1 in (3, 6)) for k in range(6)]
+
+
+def test_command_line(spark, tmp_path):
+    from tidemark.cli import main
+
+    (tmp_path / "config").mkdir()
+    (tmp_path / "config" / "a.json").write_text(json.dumps([{"kind": "channel", "id": "m", "max_items": 2}, {"kind": "source", "id": "s", "channels": ["m"]}]))
+    (tmp_path / "in.json").write_text("\n".join(json.dumps({"source_id": "s", "ord": k, "url": f"https://e.com/{k}", "title": f"T{k}", "content_text": "x"}) for k in range(4)))
+    said: list[str] = []
+    run = lambda *a: main([*a, "--store", str(tmp_path / "st"), "--config", str(tmp_path / "config"), "--date", "2026-09-13", "--now", "2026-09-12 21:00:00"], spark, said.append)
+    assert run("validate-config") == 0 and run("collect", "--candidates", str(tmp_path / "in.json")) == 0
+    assert run("summarise") == 0 and run("preview") == 0 and "T" in said[-1] and "generated" in said[-1]
+    assert run("approve") == 0 and said[-1].endswith("approved")
+    assert run("deliver") == 0 and '"send"' in said[-1] and run("deliver") == 0 and '"delivered"' in said[-1]
+    assert run("collect", "--channel", "nope") == 2
+    (tmp_path / "config" / "b.json").write_text(json.dumps([{"kind": "source", "id": "t", "channels": ["zz"]}]))
+    assert run("validate-config") == 2 and said[-1] == "t: unknown channel zz"
