@@ -33,7 +33,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop or repeat documents so that domains approach their target shares of tokens."""
-    return mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), mixing.ASKED)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

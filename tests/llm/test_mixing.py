@@ -73,3 +73,22 @@ def test_plan_has_no_python(labelled):
     for df in (mixing.mixing_rates(d, labels), mixing.mix(d, labels)):
         plan = df._jdf.queryExecution().toString()
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_scarce_domains_are_raised_to_their_weight(spark):
+    cells = [(0, 0, 0, 9000, 0.98, 0.01, 0.01), (1, 0, 0, 600, 0.1, 0.88, 0.02), (2, 0, 0, 400, 0.05, 0.05, 0.9)]
+    df = spark.createDataFrame(cells, "__f0 int, __f1 int, __f2 int, __tokens long, __p0 double, __p1 double, __p2 double")
+    found = mixing.solution(df, {"clean": 0.4, "noisy": 0.4, "toxic": 0.2})
+    for got, want in zip(found.reached, (0.4, 0.4, 0.2), strict=True):
+        assert abs(got / sum(found.reached) - want) < 1e-4
+    assert [r[0] > 1 for r in df.orderBy("__f0").select(found.rate).collect()] == [False, True, True]
+
+
+def test_report_names_what_is_missed(spark, labelled):
+    cells = [(0, 0, 0, 9000, 0.9, 0.05, 0.05), (1, 0, 0, 1000, 0.1, 0.8, 0.1)]
+    df = spark.createDataFrame(cells, "__f0 int, __f1 int, __f2 int, __tokens long, __p0 double, __p1 double, __p2 double")
+    found = mixing.solution(df, {"clean": 0.94, "noisy": 0.05, "toxic": 0.01})
+    assert found.residual[2] > 300 and found.rounds < mixing.ROUNDS  # no rates reach it: toxic goes with clean
+    rows = {r.domain: r for r in mixing.mixing_report(*labelled, mixing.ASKED).collect()}
+    assert abs(sum(r.share for r in rows.values()) - 1) < 1e-9
+    assert all(abs(r.expected - r.target - r.residual) < 1e-6 and r.weight == mixing.ASKED[d] for d, r in rows.items())

@@ -24,9 +24,9 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .mixing import mixing_rates
+    from .mixing import ASKED, mixing_rates
 
-    return mixing_rates(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mixing_rates(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), ASKED)
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
