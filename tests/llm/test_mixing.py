@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 
 from tidemark.llm import mixing
@@ -92,3 +95,27 @@ def test_report_names_what_is_missed(spark, labelled):
     rows = {r.domain: r for r in mixing.mixing_report(*labelled, mixing.ASKED).collect()}
     assert abs(sum(r.share for r in rows.values()) - 1) < 1e-9
     assert all(abs(r.expected - r.target - r.residual) < 1e-6 and r.weight == mixing.ASKED[d] for d, r in rows.items())
+
+
+def test_copies_are_the_rate_on_average(spark):
+    from pyspark.sql import functions as F
+
+    ids = spark.range(20_000)
+    for rate in (0.0, 0.3, 0.76, 1.0, 1.8, 2.25):
+        r = ids.select(mixing.copies(F.lit(rate), F.col("id")).alias("n")).agg(F.avg("n"), F.min("n"), F.max("n")).first()
+        assert abs(r[0] - rate) < 0.02 and r[1] >= math.floor(rate) and r[2] <= math.ceil(rate)
+
+
+def test_shares_of_rows_kept_are_the_targets(docs):
+    rng = random.Random(3)
+    some = lambda n, of: " ".join(rng.choice(of) for _ in range(n))
+    good, bad = [f"w{k}" for k in range(400)], ["###", "$$$", "|", "***", "%%%"]
+    texts = [some(60, good) for _ in range(1200)] + [some(60, bad) for _ in range(400)] + [some(50, good) + " idiot trash" * 5 for _ in range(400)]
+    d = docs(texts)
+    labels = d.sparkSession.createDataFrame([(k, int(not 1200 <= k < 1600), int(k >= 1600)) for k in range(2000)], "doc_id long, quality int, toxic int")
+    rows = {r.domain: r for r in mixing.mixing_report(d, labels, mixing.ASKED).collect()}
+    assert all(abs(r.copied_share - r.weight) < 0.015 and abs(r.share - r.weight) < 0.005 for r in rows.values())
+    kept = [r.doc_id for r in mixing.mix(d, labels, mixing.ASKED).collect()]
+    assert set(range(1200)) <= set(kept)  # each clean document has a copy
+    words = [sum(len(texts[k].split()) for k in kept if lo <= k < hi) for lo, hi in ((0, 1200), (1200, 1600), (1600, 2000))]
+    assert all(abs(w / sum(words) - t) < 0.015 for w, t in zip(words, mixing.ASKED.values(), strict=True))

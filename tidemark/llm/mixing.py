@@ -36,8 +36,8 @@ STEM = 4
 ROUNDS, TOLERANCE, STILL = 3_000, 1e-6, 1e-12
 #: A target that is missed by more than this part of it is logged.
 MISSED = 0.01
-#: A rate that is short of a whole number by no more than this counts as that number when copies are made.
-SLACK = 0.25
+#: Documents of at least this clean posterior keep a rate of 1 or more, so that each has a copy.
+ANCHOR = 0.5
 
 _SYMBOLS = (0.02, 0.1, 0.3, 0.6)
 _DISTINCT = (0.1, 0.3, 0.5, 0.7)
@@ -160,12 +160,12 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def solution(cells: DataFrame, targets: Mapping[str, float]) -> Solution:
+def solution(cells: DataFrame, targets: Mapping[str, float], anchor: float | None = None) -> Solution:
     """The rates whose totals come nearest to the targets.
 
     Totals T are in the targets' proportions, as large as lets the first domain keep its own tokens; a domain that is
     scarcer than its weight gets rates above 1. A domain without any tokens is passed over. Minimised is
-    sum_k (S_k - T_k)^2 / N_k over rates r >= 0, with S_k = sum_d r_d tokens_d p_dk and N_k = S_k at r = 1. The
+    sum_k (S_k - T_k)^2 / N_k over rates r >= 0, and r >= 1 where the first domain's posterior is at least `anchor`, with S_k = sum_d r_d tokens_d p_dk and N_k = S_k at r = 1. The
     gradient of r_d, scaled by 1 / tokens_d, is sum_k p_dk (S_k - T_k) / N_k; a step length of 1 converges, as
     the scaled Hessian's eigenvalues are at most 1. Rounds start from rates of 1.
     """
@@ -184,7 +184,7 @@ def solution(cells: DataFrame, targets: Mapping[str, float]) -> Solution:
         return F.array(*(F.aggregate(tokens(k), F.lit(0.0), lambda a, x: a + x) for k in ks))
 
     def moved(state: Column) -> Column:
-        step = lambda by: F.zip_with("cells", state["rates"], lambda c, r: F.greatest(F.lit(0.0), r - reduce(Column.__add__, (c[f"__p{k}"] * by[k] for k in ks))))
+        step = lambda by: F.zip_with("cells", state["rates"], lambda c, r: F.greatest(c["low"], r - reduce(Column.__add__, (c[f"__p{k}"] * by[k] for k in ks))))
         rates = _let(F.array(*steps(state["reached"])), step)
         most = lambda new: F.array_max(F.zip_with(new, state["rates"], lambda a, b: F.abs(a - b)))
         return _let(rates, lambda new: F.struct(new.alias("rates"), totals(new).alias("reached"), most(new).alias("moved"), (state["rounds"] + 1).alias("rounds")))
@@ -193,7 +193,8 @@ def solution(cells: DataFrame, targets: Mapping[str, float]) -> Solution:
         done = (F.greatest(*map(F.abs, steps(state["reached"]))) < TOLERANCE) | (state["moved"] <= STILL)
         return F.when(done, state).otherwise(moved(state))
 
-    row = F.struct(*CELL, "__tokens", *(F.col(f"__p{k}") for k in ks))
+    low = F.lit(0.0) if anchor is None else F.when(F.col("__p0") >= anchor, 1.0).otherwise(0.0)
+    row = F.struct(*CELL, "__tokens", *(F.col(f"__p{k}") for k in ks), low.alias("low"))
     listed = cells.agg(F.sort_array(F.collect_list(row)).alias("cells"))  # no more than there are cells
     start = F.struct(F.transform("cells", lambda _: F.lit(1.0)).alias("rates"), F.array(*map(F.lit, natural)).alias("reached"), F.lit(math.inf).alias("moved"), F.lit(0).alias("rounds"))
     found = listed.select("cells", F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, advance).alias("end")).first()
@@ -214,11 +215,9 @@ def solve(cells: DataFrame, targets: Mapping[str, float]) -> Column:
 
 
 def copies(rate: Column, key: Column) -> Column:
-    """A whole number of copies whose expectation is the rate, by a hash of the key, but for SLACK."""
+    """A whole number of copies whose expectation is the rate: its whole part, and one more by a hash of the key."""
     u = F.pmod(F.xxhash64(F.lit("copies"), key), F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52))
-    whole = F.floor(rate + F.lit(SLACK))
-    part = rate - F.floor(rate)
-    return F.when(whole > F.floor(rate), whole).otherwise(F.floor(rate) + (u < part).cast("int")).cast("int")
+    return (F.floor(rate) + (u < rate - F.floor(rate)).cast("int")).cast("int")
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -231,14 +230,14 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float
     model = fit(docs, labels, text=text, doc_id=doc_id)
     sheet = posteriors(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")), model, "__text").drop("__text")
     known = store(sheet, "posteriors")
-    out = known.withColumn("rate", solve(store(cells_of(known), "cells"), targets))
+    out = known.withColumn("rate", solution(store(cells_of(known), "cells"), targets, ANCHOR).rate)
     return out.select("doc_id", F.col("__tokens").alias("tokens"), *(F.col(f"__p{k}").alias(f"p_{d}") for k, d in enumerate(DOMAINS)), "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with each row as often as its rate tells; all columns stay as they are. Cases as in `mixing_rates`."""
     model = fit(docs, labels, text=text, doc_id=doc_id)
-    rate = solve(store(cells_of(posteriors(docs.select(F.col(text).alias("__text")), model, "__text")), "cells"), targets)
+    rate = solution(store(cells_of(posteriors(docs.select(F.col(text).alias("__text")), model, "__text")), "cells"), targets, ANCHOR).rate
     out = features(packed_rows(docs, __text=text, __id=doc_id), "__text", model.markers).withColumn("__copies", copies(rate, F.col("__id")))
     # an outer explode, as filters on the number of copies would be pushed down and read the text again
     out = out.withColumn("__copy", F.explode_outer(F.array_repeat(F.lit(1), F.col("__copies")))).where("__copy is not null")
@@ -246,12 +245,17 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGE
 
 
 def mixing_report(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per domain: weight and the share reached, natural, target and expected tokens, and their residual."""
+    """One row per domain: weight, share expected by rates and share of the copies made; natural, target, expected and
+    copied tokens, and the expected ones' residual."""
     model = fit(docs, labels, text=text, doc_id=doc_id)
-    found = solution(store(cells_of(posteriors(docs.select(F.col(text).alias("__text")), model, "__text")), "cells"), targets)
-    every, total = sum(targets.values()), sum(found.reached) or 1.0
+    known = store(posteriors(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")), model, "__text").drop("__text"), "posteriors")
+    found = solution(store(cells_of(known), "cells"), targets, ANCHOR)
+    made = F.col("__tokens") * copies(found.rate, F.col("doc_id"))
+    copied = [float(x) for x in known.agg(*(F.coalesce(F.sum(made * F.col(f"__p{k}")), F.lit(0.0)) for k in range(len(DOMAINS)))).first()]
+    every, total, whole = sum(targets.values()), sum(found.reached) or 1.0, sum(copied) or 1.0
     rows = [
-        (d, targets.get(d, 0.0) / every, found.reached[k] / total, found.natural[k], found.target[k], found.reached[k], found.residual[k], found.rounds)
+        (d, targets.get(d, 0.0) / every, found.reached[k] / total, copied[k] / whole, found.natural[k], found.target[k], found.reached[k], copied[k], found.residual[k], found.rounds)
         for k, d in enumerate(DOMAINS)
     ]
-    return docs.sparkSession.createDataFrame(rows, "domain string, weight double, share double, natural double, target double, expected double, residual double, rounds int")
+    kinds = "domain string, weight double, share double, copied_share double, natural double, target double, expected double, copied double, residual double, rounds int"
+    return docs.sparkSession.createDataFrame(rows, kinds)
