@@ -79,3 +79,27 @@ def test_odd_cases(spark, docs, odd, none):
     held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 7 == 2)
     (row,) = lm.score_documents(docs(["some words here"], [held])).collect()
     assert row.held_out and row.train_tokens == 0 and row.n_known == 0 and math.isfinite(row.score)
+
+
+def test_a_text_inside_a_segment_begins_with_start_states():
+    m = hm.random_model(2, np.full(3, 1 / 3), 2)
+    m.start = np.array([0.9, 0.1])
+    a, b = np.array([2, 1, 0]), np.array([1, 1, 2, 0])
+    both = hm.expect(m, np.concatenate((a, b)), np.array([True, False, False, True, False, False, False]))
+    one, two = (hm.expect(m, x, np.arange(len(x)) == 0) for x in (a, b))
+    assert np.allclose(both.start, one.start + two.start) and np.allclose(both.step, one.step + two.step)
+    assert np.allclose(both.emit, one.emit + two.emit) and abs(both.log_likelihood - one.log_likelihood - two.log_likelihood) < 1e-9
+
+
+def test_all_texts_train_until_the_likelihood_settles(docs, corpus):
+    df = docs(corpus).repartition(3)
+    none = lm.Classes(np.zeros(0, np.uint64), np.zeros(0, np.int16))
+    coded = lm.coded(df, none)
+    x = np.concatenate([np.frombuffer(r.x, np.int16) for r in coded.collect()])
+    assert len(x) == sum(len(re.findall(r"[^\x20\x09-\x0D]+", t)) + 1 for t in corpus) and (x == 0).sum() == len(corpus)
+    shares = np.bincount(x, minlength=1 + lm.OWN + lm.SHARED) / len(x)
+    model, seen = lm.train_model(coded, shares, len(x))
+    assert len(seen) > lm.STEADY and all(b - a < lm.SETTLED for a, b in itertools.pairwise(seen[-lm.STEADY - 1 :]))
+    # the expectation is that of all tokens: the states' counts add up to them
+    got = lm.expected_counts(coded, model)
+    assert abs(got.emit.sum() - len(x)) < 1e-6 * len(x) and abs(got.start.sum() - len(corpus)) < 1e-6 * len(corpus)

@@ -42,13 +42,14 @@ def random_model(states: int, shares: np.ndarray, seed: int = 7) -> Model:
 
 
 def _expect(model: Model, x: np.ndarray, first: np.ndarray, out: Counts) -> None:
-    """Add the expected counts of segments x (segments x tokens); first marks tokens that begin a text."""
+    """Add the expected counts of segments x (segments x tokens); first marks tokens that begin a text: there the
+    start states hold, whatever came before in the segment."""
     n, length = x.shape
     states = len(model.start)
     seen = model.emit.T[x]
     alpha, scale = np.empty((length, n, states)), np.empty((length, n))
     for t in range(length):
-        a = (np.where(first[:, :1], model.start, model.steady) if t == 0 else alpha[t - 1] @ model.step) * seen[:, t]
+        a = np.where(first[:, t, None], model.start, alpha[t - 1] @ model.step if t else model.steady) * seen[:, t]
         scale[t] = a.sum(1)
         alpha[t] = a / scale[t][:, None]
     beta = np.ones((n, states))
@@ -57,9 +58,10 @@ def _expect(model: Model, x: np.ndarray, first: np.ndarray, out: Counts) -> None
         gamma /= gamma.sum(1, keepdims=True)
         alpha[t] = gamma
         if t:
-            ahead = seen[:, t] * beta / scale[t][:, None]
+            begins = first[:, t, None]
+            ahead = np.where(begins, 0.0, seen[:, t] * beta / scale[t][:, None])
             out.step += model.step * (alpha[t - 1].T @ ahead)
-            beta = ahead @ model.step.T
+            beta = np.where(begins, 1.0, ahead @ model.step.T)
     out.log_likelihood += float(np.log(scale).sum())
     flat, gamma = x.T.ravel(), alpha.reshape(-1, states)
     for k in range(states):

@@ -2,12 +2,14 @@
 
 A word's probability in a state is that of its class in the state times that of the word in its class. Frequent words
 are classes of their own, the rest share classes by their endings; words in classes follow Witten-Bell estimates of
-counts over the whole training corpus. States are trained by Baum-Welch: tasks sum up expected counts of their
-documents, Spark adds them up, and the driver, which only ever sees states x classes numbers, re-estimates.
+counts over the whole training corpus. States start from the classes' counts, disturbed by a seed, and are trained by
+Baum-Welch over all training documents until their likelihood settles: tasks sum up expected counts of their documents,
+Spark adds them up, and the driver, which only ever sees states x classes numbers, re-estimates.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from dataclasses import dataclass
 
@@ -22,8 +24,9 @@ from .hidden_markov import Counts, Model, expect, log_likelihoods, random_model,
 STATES = 6
 #: Words with a class of their own, and classes that the other words share.
 OWN, SHARED = 2048, 1024
-#: Documents that the first states are found on, with so many rounds; then come rounds over the whole training corpus.
-START_DOCUMENTS, START_ROUNDS, ROUNDS = 1_500, 20, 2
+#: Training ends once STEADY rounds in a row each gain less than SETTLED in natural log likelihood a token; ROUNDS guards
+#: against no end, and is logged when met.
+SETTLED, STEADY, ROUNDS = 1e-3, 3, 200
 #: Training tokens for each block of documents that is scored together with its own part of the vocabulary.
 BLOCK_TOKENS = 3_000_000
 #: The end of a text, as a word; class 0.
@@ -94,63 +97,66 @@ def word_counts(train: DataFrame) -> DataFrame:
     return parts.groupBy("word").agg(F.max("ending").alias("ending"), F.sum("n").alias("n"))
 
 
-def expected_counts(train: DataFrame, classes: Classes, model: Model) -> Counts:
-    """One Baum-Welch expectation over all texts of train."""
+def coded(train: DataFrame, classes: Classes) -> DataFrame:
+    """(x): the classes of all tokens of train, 16 bits each, a slice of whole texts in a row; each text ends in class 0."""
+
+    def run(batches):
+        for word, ending, _, _ in _stream(batches, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array([classes.of(word, ending).tobytes()], pa.binary())], ["x"])
+
+    return train.select("text").mapInArrow(run, "x binary")
+
+
+def expected_counts(train: DataFrame, model: Model) -> Counts:
+    """One Baum-Welch expectation over all texts of train, as `coded` gives them."""
     states, size = model.emit.shape
 
     def run(batches):
         out, held, n = Counts.zero(states, size), [], 0
 
         def add():
-            x = np.concatenate([h[0] for h in held])
-            got = expect(model, x, np.concatenate([h[1] for h in held]))
+            x = np.concatenate(held)
+            got = expect(model, x, np.append(True, x[:-1] == 0))
             out.start += got.start
             out.step += got.step
             out.emit += got.emit
             out.log_likelihood += got.log_likelihood
 
-        for word, ending, at, _ in _stream(batches, "text"):
-            first = np.zeros(len(word), bool)
-            first[at[:-1]] = True
-            held.append((classes.of(word, ending), first))
-            n += len(word)
-            if n >= 1 << 20:
-                add()
-                held, n = [], 0
+        for batch in batches:
+            for x in batch.column("x"):
+                held.append(np.frombuffer(x.as_buffer(), np.int16))
+                n += len(held[-1])
+                if n >= 1 << 20:
+                    add()
+                    held, n = [], 0
         if held:
             add()
         flat = np.concatenate((out.start, out.step.ravel(), out.emit.ravel(), [out.log_likelihood]))
         some = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(flat[some])], ["cell", "value"])
 
-    rows = train.select("text").mapInArrow(run, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).toPandas()
+    rows = train.mapInArrow(run, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).toPandas()
     flat = np.zeros(states + states * states + states * size + 1)
     flat[rows["cell"].to_numpy(np.int64)] = rows["value"].to_numpy()
     a, b = states, states + states * states
     return Counts(flat[:a], flat[a:b].reshape(states, states), flat[b:-1].reshape(states, size), float(flat[-1]))
 
 
-def _first_model(train: DataFrame, classes: Classes, limit: int) -> Model:
-    """States found on the documents with the smallest hash of their id; their class numbers come to the driver."""
-
-    def run(batches):
-        for word, ending, at, batch in _stream(batches, "text"):
-            x = classes.of(word, ending)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([x[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["doc_id", "x"])
-
-    # ids are chosen without their texts, and no more than `limit` of them are broadcast
-    chosen = train.select("doc_id").dropna().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).dropDuplicates()
-    sample = train.join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, x binary").collect()
-    sample.sort(key=lambda r: (r.doc_id, r.x))
-    x = np.concatenate([np.frombuffer(r.x, np.int16) for r in sample]) if sample else np.zeros(1, np.int16)
-    first = np.append(True, x[:-1] == 0)
-    model = random_model(STATES, np.bincount(x, minlength=1 + OWN + SHARED) / len(x))
-    for _ in range(START_ROUNDS):
-        model = reestimate(expect(model, x, first))
-    return model
+def train_model(train: DataFrame, shares: np.ndarray, n: int, rounds: int = ROUNDS) -> tuple[Model, list[float]]:
+    """The model of all texts of train, n tokens as `coded` gives them, and the log likelihood a token before each round."""
+    model, seen, calm = random_model(STATES, shares), [], 0
+    for _ in range(rounds):
+        counts = expected_counts(train, model)
+        model = reestimate(counts)
+        seen.append(counts.log_likelihood / max(1, n))
+        calm = calm + 1 if len(seen) > 1 and seen[-1] - seen[-2] < SETTLED else 0
+        if calm == STEADY:
+            return model, seen
+    logging.getLogger(__name__).warning("op5: the likelihood has not settled after %d rounds", rounds)
+    return model, seen
 
 
-def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rounds: int = ROUNDS, start_documents: int = START_DOCUMENTS) -> DataFrame:
+def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Documents whose id's checksum leaves 2 when divided by 7 are held out of all training. Null, empty and blank
@@ -168,7 +174,7 @@ def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     n_all, v_all = int(total[0]), int(total[1])
 
     end = int(END.view(np.int64))
-    top = counts.where(F.col("word") != end).orderBy(F.col("n").desc(), "word").limit(OWN).select("word").collect()
+    top = counts.where(F.col("word") != end).orderBy(F.col("n").desc(), "word").limit(OWN).select("word", "n").collect()
     own = np.array([r.word for r in top], np.int64).view(np.uint64)
     order = np.argsort(own)
     classes = Classes(own[order], (1 + order).astype(np.int16))
@@ -177,9 +183,10 @@ def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     for r in shared.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         mass[:, r.ending] = r.n, r.v
 
-    model = _first_model(train, classes, start_documents)
-    for _ in range(rounds):
-        model = reestimate(expected_counts(train, classes, model))
+    often = np.zeros(1 + OWN + SHARED)
+    often[1 : 1 + len(top)], often[1 + OWN :] = [r.n for r in top], mass[0]
+    often[0] = n_all - often.sum()
+    model, _ = train_model(store(coded(train, classes), "classes"), often / max(1, n_all), n_all, rounds)
 
     # documents go to blocks; a block's distinct words are looked up in the counts and come back to it
     blocks = max(1, math.ceil(n_all * 7 / 6 / BLOCK_TOKENS))
