@@ -61,3 +61,12 @@ def test_query_rows(docs, odd, none, untouched):
     assert pii.find_personal_data(odd).count() == odd.count() and pii.find_personal_data(none).count() == 0
     assert [r.text for r in pii.redact(docs(texts)).orderBy("doc_id").collect()] == ["mail <email> or call <local_phone>", "é <ip>", None]
     assert untouched(pii.redact(docs(texts)).collect())
+
+
+def test_ibans_are_found_whatever_follows():
+    for t in ("DE89370400440532013000 BIC: COBADEFF", "IBAN: DE89 3704 0044 0532 0130 00 EUR 50", "DE89370400440532013000 2024-01-02", "AB12 DE89370400440532013000 X", "pay GB82 WEST 1234 5698 7654 32 OR 5"):
+        assert added(t) == ["iban"], t
+    one, two = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    assert [t for s, _, e, _ in pii.added_spans(f"{one} {two} EUR", []) for t in [f"{one} {two} EUR"[s:e]]] == [one, two]
+    for t in ("DE89370400440532013000x", "DE88370400440532013000 EUR 50", "xDE89370400440532013000", "DE89 3704 0044 0532 0130"):
+        assert added(t) == [], t

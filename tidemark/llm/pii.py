@@ -22,12 +22,24 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _LOCAL_PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN_HEAD = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
+_IBAN_REST = re.compile(r"(?:\x20?[A-Z0-9]){11,30}")
+_IBAN_END = re.compile(r"[A-Z0-9](?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _LOCAL = re.compile(r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])")
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[a-z]+")
 
+#: Characters of an IBAN by country; those of other countries may have 15 to 34.
+IBAN_LENGTH = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
 #: Score of a proposed span by itself, the least score that is reported, and the gain of a context word nearby.
 PRIOR = {"iban": 0.3, "ssn": 0.4, "local_phone": 0.3}
 CONFIRMED, CONTEXT, LEAST = 0.5, 0.35, 0.6
@@ -55,6 +67,24 @@ def mod97(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Confirmed IBANs. What follows one may look like more of it, so each end of a word is tried, the longest first, and of
+    a country whose length is known the one of that length; the search goes on after the IBAN, or else after its head."""
+    at = 0
+    while head := _IBAN_HEAD.search(text, at):
+        at = head.end()
+        rest = _IBAN_REST.match(text, at)
+        if rest:
+            size = IBAN_LENGTH.get(head[0][:2])
+            near = text[at : rest.end() + 1]  # with the character after it, which may belong to its last word
+            for end in reversed([at + m.end() for m in _IBAN_END.finditer(near) if at + m.end() <= rest.end()]):
+                code = text[head.start() : end].replace(" ", "")
+                if (len(code) == size if size else len(code) >= 15) and mod97(code):
+                    yield head.start(), end
+                    at = end
+                    break
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """All matches of the email expression, each found from its @: a local part ends at the @ and can't hold another,
     so the leftmost match takes all of it, and whether one is there depends on what follows the @ alone."""
@@ -98,12 +128,9 @@ def added_spans(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple
     if not _DIGIT.search(text):
         return []
     out = []
-    for rank, (kind, pattern) in enumerate((("iban", _IBAN), ("ssn", _SSN), ("local_phone", _LOCAL)), len(KINDS)):
-        for m in pattern.finditer(text):
-            start, end = m.span()
-            confirmed = kind == "iban" and mod97(m[0])
-            if kind == "iban" and not confirmed:
-                continue
+    for rank, (kind, pattern) in enumerate((("iban", None), ("ssn", _SSN), ("local_phone", _LOCAL)), len(KINDS)):
+        for start, end in _ibans(text) if pattern is None else (m.span() for m in pattern.finditer(text)):
+            confirmed = pattern is None
             if score(text, kind, start, end, confirmed) >= LEAST and not any(s < end and start < e for s, _, e, _ in taken + out):
                 out.append((start, rank, end, kind))
     return out
