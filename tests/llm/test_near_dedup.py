@@ -78,7 +78,7 @@ def test_dense_group_near_the_threshold(docs, monkeypatch):
     """Variants of one text that are as often just under the threshold as over it; blocks smaller than the group."""
     import random
 
-    monkeypatch.setattr(nd, "MERGED_BYTES", 20_000)
+    monkeypatch.setattr(nd, "HELD_SHINGLES", 3_000)
     rng = random.Random(3)
     base = [f"w{k}" for k in range(120)]
     texts = []
@@ -92,10 +92,56 @@ def test_dense_group_near_the_threshold(docs, monkeypatch):
     df = docs(texts)
     assert sorted(tuple(r) for r in nd.near_duplicates(df, 4).collect()) == want
     # without centres' links the blocks alone find all
-    known = nd.sketch(df.selectExpr("doc_id as id", "text"), 4)
+    sheet = df.selectExpr("doc_id as id", "xxhash64(text) as th", "text")
+    known = nd.sketch(sheet, 4)
     shared = nd.shared_buckets(known)
     lone = df.selectExpr("doc_id as node", "doc_id as component")
-    links = nd.outsider_links(nd.mixed_buckets(shared, lone), df.selectExpr("doc_id as id", "text"), 4, 80, block=7)
+    links = nd.outsider_links(nd.mixed_buckets(shared, lone), known.drop("th").join(sheet, "id"), 4, 80, block=7)
     reach = nd.connected_components(links).collect()
     root = {r.node: r.component for r in reach}
     assert [(i, root.get(i, i)) for i in range(160)] == [(r[0], r[2]) for r in want]
+    # a pair is compared in one bucket only, and no link is lost to the prefixes
+    seen = [tuple(r) for r in links.collect()]
+    assert len(seen) == len(set(seen))
+
+
+def test_unlinked_documents_of_one_template_are_not_compared(docs):
+    """Texts that share most of their words but no link share buckets; the prefixes leave nothing to compare."""
+    import random
+
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(300)]
+    texts = []
+    for k in range(120):
+        w = base.copy()
+        for at in rng.sample(range(0, 300, 5), 11):
+            w[at] = f"own{k}x{at}"
+        texts.append(" ".join(w))
+    df = docs(texts)
+    assert all(r[3] for r in brute(list(enumerate(texts)), 4))
+    sheet = df.selectExpr("doc_id as id", "xxhash64(text) as th", "text")
+    shared = nd.shared_buckets(nd.sketch(sheet, 4))
+    assert shared.count() > 120
+    active = sheet.selectExpr("id", "id as component", "text")
+    assert nd.linkable(nd.prefixes(active, nd.frequencies(active, 4), 4, 80)).count() == 0
+    assert all(r.kept for r in nd.near_duplicates(df, 4).collect())
+
+
+def test_prefixes_lose_no_link(docs, corpus):
+    """Every document with a link to another component has to be left to compare, whatever orders the shingles."""
+    rows = [(i, t) for i, t in enumerate(corpus) if shingles(t, 4)]
+    sets = {i: shingles(t, 4) for i, t in rows}
+    linked = {i for i in sets for j in sets if i != j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert linked
+    active = docs([t for _, t in rows], [i for i, _ in rows]).selectExpr("doc_id as id", "doc_id as component", "text")
+    for level in (nd.frequencies(active, 4), np.zeros(nd.CELLS, np.uint8), np.random.default_rng(1).integers(0, 9, nd.CELLS).astype(np.uint8)):
+        assert linked <= {r.id for r in nd.linkable(nd.prefixes(active, level, 4, 80)).collect()}
+
+
+def test_ids_with_several_texts(docs):
+    """A doc_id with two texts is the smallest of both sets: near copies of either are linked with it."""
+    one, two = ([f"{c}{k}" for k in range(60)] for c in "ab")
+    near = lambda w: " ".join([*w[:-1], "other"])
+    texts = [" ".join(one), " ".join(two), " ".join(two), near(one), near(two), "quite something else in here"]
+    got = sorted(tuple(r) for r in nd.near_duplicates(docs(texts, [3, 3, 3, 7, 8, 9]), 4).collect())
+    assert [(r[0], r[2], r[3]) for r in got] == [(3, 3, True)] * 3 + [(7, 3, False), (8, 3, False), (9, 9, True)]

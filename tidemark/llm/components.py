@@ -37,3 +37,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
+
+
+def merged_components(groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component) of the graph of `groups`, as connected_components gave them, with more edges (a, b): only the
+    components that the new edges touch are joined anew."""
+    named = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"{c}_"))
+    ends = edges.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("a_", "a").alias("a"), F.coalesce("b_", "b").alias("b"))
+    new = store(connected_components(ends).withColumnsRenamed({"node": "old", "component": "new"}), "components")
+    kept = groups.join(new, groups["component"] == new["old"], "left").select("node", F.coalesce("new", "component").alias("component"))
+    alone = new.join(groups, new["old"] == groups["node"], "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
+    return store(kept.unionAll(alone), "components")

@@ -19,17 +19,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import SpanHash, few, list_column, lower, mix, shingle_hashes, short_batches, slices, store, text_of, utf8, words
-from .components import connected_components
+from .components import connected_components, merged_components
 
 BINS, BANDS = 128, 32
 #: Centres of each bucket. With rows of 4 bins, documents of similarity 0.8 miss all 32 buckets once in 25 million.
 CENTRES = 3
 #: Up to so many ids (8 bytes each) of documents to drop are broadcast; beyond, texts and ids are joined by a shuffle.
 DROP_ROWS = 1_000_000
-#: Documents on either side of a block of comparisons, and bytes of texts that a task holds to compare.
-BLOCK, MERGED_BYTES = 256, 4 << 20
-_ATTEMPTS = 64
-_DONORS = mix(np.arange(BINS * _ATTEMPTS, dtype=np.uint64) + np.uint64(0xC0FFEE)).reshape(BINS, _ATTEMPTS) % np.uint64(BINS)
+#: Documents and shingles on either side of a block of comparisons, and shingles that a task holds before it compares.
+BLOCK, BLOCK_SHINGLES, HELD_SHINGLES = 256, 1 << 18, 1 << 18
+#: Cells of the table that orders shingles by how common they are.
+CELLS = 1 << 16
+_ATTEMPTS = 8192
+
+
+def _first_attempts() -> np.ndarray:
+    """For each bin and donor the first attempt at which the bin's sequence of hashes names the donor."""
+    donor = (mix(np.arange(BINS * _ATTEMPTS, dtype=np.uint64) + np.uint64(0xC0FFEE)) % np.uint64(BINS)).astype(np.int64).reshape(BINS, _ATTEMPTS)
+    out = np.full((BINS, BINS), _ATTEMPTS, np.int16)
+    for attempt in reversed(range(_ATTEMPTS)):
+        out[np.arange(BINS), donor[:, attempt]] = attempt
+    return out
+
+
+_FIRST = _first_attempts()
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -43,17 +56,11 @@ def signatures(flat: np.ndarray, off: np.ndarray) -> np.ndarray:
     first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else cell
     sig.reshape(-1)[cell[first]] = flat[first]
     full = sig != _NONE
-    for attempt in range(_ATTEMPTS):
-        row, col = np.nonzero(sig == _NONE)
-        if not len(row):
-            break
-        donor = _DONORS[col, attempt].astype(np.int64)
-        ok = full[row, donor]
-        sig[row[ok], col[ok]] = sig[row[ok], donor[ok]]
-    row, col = np.nonzero(sig == _NONE)  # many attempts on few full bins: take the next full one
-    for d, b in zip(row, col, strict=True):
-        have = np.flatnonzero(full[d])
-        sig[d, b] = sig[d, have[int(mix(np.array([b], np.uint64))[0] % np.uint64(len(have)))]]
+    row, col = np.nonzero(~full)
+    for at in range(0, len(row), 1 << 14):
+        r, c = row[at : at + (1 << 14)], col[at : at + (1 << 14)]
+        donor = np.where(full[r], _FIRST[c], _ATTEMPTS).argmin(1)  # the full bin that the sequence of attempts meets first
+        sig[r, c] = sig[r, donor]
     return sig
 
 
@@ -80,7 +87,7 @@ def sets_of(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(docs: DataFrame, n: int) -> DataFrame:
-    """Of (id, text): id, n_shingles, set_hi and set_lo (a 128-bit digest of the set), bands (empty for an empty set)."""
+    """Of (id, th, text): id, th, n_shingles, set_hi and set_lo (a 128-bit digest of the set), bands (empty for an empty set)."""
 
     def run(batches):
         for batch in slices(batches, "text"):
@@ -92,12 +99,12 @@ def sketch(docs: DataFrame, n: int) -> DataFrame:
             keys = band_keys(signatures(flat, np.append(0, np.cumsum(size[some]))))
             at = np.append(0, np.cumsum(np.where(size > 0, BANDS, 0)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(size, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), list_column(keys.reshape(-1).view(np.int64), at, pa.int64())],
-                ["id", "n_shingles", "set_hi", "set_lo", "bands"],
+                [batch.column("id"), batch.column("th"), pa.array(size, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), list_column(keys.reshape(-1).view(np.int64), at, pa.int64())],
+                ["id", "th", "n_shingles", "set_hi", "set_lo", "bands"],
             )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, n_shingles long, set_hi long, set_lo long, bands array<long>")
+    return docs.mapInArrow(run, f"id {kind}, th long, n_shingles long, set_hi long, set_lo long, bands array<long>")
 
 
 def shared_buckets(sketches: DataFrame) -> DataFrame:
@@ -124,89 +131,169 @@ def star_edges(shared: DataFrame, centres: int = CENTRES) -> DataFrame:
 
 
 def mixed_buckets(shared: DataFrame, groups: DataFrame) -> DataFrame:
-    """(band, id, component, n, outsider) of buckets that hold more than one component; outsiders are the documents
-    that are not in their bucket's largest component."""
-    named = shared.join(groups.select(F.col("node").alias("id"), "component"), "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
+    """(band, id, component, outsider) of buckets that hold more than one component; outsiders are the documents that are
+    not in their bucket's largest component."""
+    named = shared.join(groups.select(F.col("node").alias("id"), "component"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+    return _marked(named)
+
+
+def _marked(named: DataFrame) -> DataFrame:
     sizes = named.groupBy("band", "component").agg(F.count("*").alias("k"))
     largest = sizes.groupBy("band").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    return named.join(largest.select("band", F.col("top.k").alias("k"), F.col("top.component").alias("largest")), "band").withColumn("outsider", F.col("component") != F.col("largest")).drop("largest")
+    return named.join(largest.select("band", F.col("top.component").alias("largest")), "band").select("band", "id", "component", (F.col("component") != F.col("largest")).alias("outsider"))
+
+
+def frequencies(texts: DataFrame, n: int) -> np.ndarray:
+    """For each of CELLS cells of shingle hashes a level, about twice the log of how many shingles of all texts fall into it. It
+    only orders shingles, rare ones first, so it may be coarse; its size does not depend on the input."""
+    shift = np.uint64(64 - CELLS.bit_length() + 1)
+
+    def run(batches):
+        count = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for part in slices([batch], "text"):
+                flat, _ = sets_of(part.column("text"), n)
+                count += np.bincount((flat >> shift).astype(np.int64), minlength=CELLS)
+        some = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(count[some])], ["cell", "n"])
+
+    rows = texts.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    rows = rows.select("cell", F.round(2 * F.log2(F.col("n") + 1)).cast("tinyint").alias("level")).toPandas()
+    out = np.zeros(CELLS, np.uint8)
+    out[rows["cell"].to_numpy()] = rows["level"].to_numpy()
+    return out
+
+
+def prefixes(members: DataFrame, level: np.ndarray, n: int, percent: int) -> DataFrame:
+    """Of (id, component, text): (shingle, id, component, short) of each set's rarest shingles.
+
+    Two sets with 100 * intersection >= percent * union share one of the rarest shingles of the larger (all but
+    percent / 100 of its own, and one) that is among a still shorter prefix, `short`, of the smaller (all but
+    2 percent / (100 + percent), and one). This holds for any order that is the same for all sets.
+    """
+    shift = np.uint64(64 - CELLS.bit_length() + 1)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices([batch], "text"):
+                flat, off = sets_of(part.column("text"), n)
+                size = np.diff(off)
+                doc = np.repeat(np.arange(len(size)), size)
+                order = np.lexsort((flat, level[(flat >> shift).astype(np.int64)], doc))
+                place = np.arange(len(flat)) - off[doc]
+                long = size + (-percent * size // 100) + 1
+                short = size + (-2 * percent * size // (100 + percent)) + 1
+                keep = place < long[doc]
+                d = doc[keep]
+                cols = [part.column(c).take(pa.array(d)) for c in ("id", "component")]
+                yield pa.RecordBatch.from_arrays([pa.array(flat[order][keep].view(np.int64)), *cols, pa.array(place[keep] < short[d])], ["shingle", "id", "component", "short"])
+
+    return members.select("id", "component", "text").mapInArrow(run, "shingle long, id long, component long, short boolean")
+
+
+def linkable(rows: DataFrame) -> DataFrame:
+    """The ids of `prefixes` that share a prefix shingle with another component, so that they may be linked with it. Only
+    sums by shingle are gathered."""
+    short = lambda f: f(F.when(F.col("short"), F.col("component")))
+    seen = rows.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b"), short(F.min).alias("c"), short(F.max).alias("d"))
+    seen = seen.where("c is not null and a <> b")
+    mine = F.col("component")
+    other = (F.col("short") & ((F.col("a") != mine) | (F.col("b") != mine))) | (F.col("c") != mine) | (F.col("d") != mine)
+    return rows.join(seen, "shingle").where(other).select("id").distinct()
 
 
 def outsider_links(members: DataFrame, docs: DataFrame, n: int, percent: int, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) of outsiders with their bucket's members of other components: all are compared, on full sets, and
-    for each outsider one link with each component it reaches is returned.
+    """Links (a, b) of outsiders with their bucket's members of other components: for each outsider one link with each
+    component that it reaches. members: (band, id, component, outsider); docs: (id, n_shingles, bands, text).
 
-    Outsiders and members of a bucket meet in blocks of about `block` by `block`, each a task's work of its own, in
-    which set intersections are products of matrices. No row is made for a pair.
+    Outsiders and members of a bucket meet in blocks of about `block` by `block` documents, or fewer long ones, each a task's
+    work of its own, in which set intersections are products of matrices. No row is made for a pair, and a pair is
+    compared in the first bucket that it shares only.
     """
-    outs, all_ = F.ceil((F.col("n") - F.col("k")) / block).cast("int"), F.ceil(F.col("n") / block).cast("int")
-    rows = members.withColumns({"ob": outs, "mb": all_, "slot": F.xxhash64("id")})
+    w = F.col("n_shingles")
+    sized = members.join(docs.select("id", "n_shingles"), "id")
+    parts = lambda which: F.greatest(F.ceil(F.count_if(which) / block), F.ceil(F.sum(F.when(which, w).otherwise(0)) / BLOCK_SHINGLES)).cast("int")
+    plan = sized.groupBy("band").agg(parts(F.col("outsider")).alias("ob"), parts(F.lit(True)).alias("mb"))
+    rows = members.join(plan, "band").withColumn("slot", F.xxhash64("id"))
     whole = (F.col("ob") == 1) & (F.col("mb") == 1)
     pick = lambda c: F.pmod("slot", F.col(c)).cast("int").alias(c)
     spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1)).alias(c)
     m = rows.select("band", "id", "component", (whole & F.col("outsider")).alias("o"), F.lit(True).alias("m"), pick("mb"), spread("ob"))
     o = rows.where(~whole & F.col("outsider")).select("band", "id", "component", F.lit(True).alias("o"), F.lit(False).alias("m"), pick("ob"), spread("mb"))
     key = ["band", "ob", "mb"]
-    placed = m.unionByName(o).join(docs.select("id", "text"), "id").select(*key, "id", "component", "o", "m", "text")
+    placed = m.unionByName(o).join(docs.select("id", "bands", "text"), "id").select(*key, "id", "component", "o", "m", "bands", "text")
 
-    def links(ids, component, is_o, is_m, flat, off):
+    def links(band, ids, component, is_o, is_m, bands, flat, off):
         o, m = np.flatnonzero(is_o), np.flatnonzero(is_m)
         size = np.diff(off)
         if len(o) * len(m) == 0 or len(np.unique(component)) < 2:
             return []
-        values, where = np.unique(flat, return_inverse=True)
-        held = np.bincount(where, minlength=len(values)) > 1  # a shingle of one document adds nothing
+        good = component[o][:, None] != component[m][None, :]
+        for k in range(int(np.flatnonzero(bands[0] == band)[0])):  # an earlier bucket compares the pair
+            good &= bands[o, k][:, None] != bands[m, k][None, :]
+        so, sm = size[o][:, None], size[m][None, :]
+        good &= 100 * np.minimum(so, sm) >= percent * np.maximum(so, sm)
+        o_, m_ = good.any(1), good.any(0)
+        if not o_.any():
+            return []
+        o, m, good = o[o_], m[m_], good[o_][:, m_]
+        used = np.zeros(len(ids), bool)
+        used[o] = used[m] = True
         doc = np.repeat(np.arange(len(ids)), size)
+        flat, doc = flat[used[doc]], doc[used[doc]]
+        values, where, times = np.unique(flat, return_inverse=True, return_counts=True)
+        held = times > 1  # a shingle of one document adds nothing
         column = np.cumsum(held) - 1
         both = np.zeros((len(o), len(m)), np.float32)
         keep = held[where]
         doc, where = doc[keep], column[where[keep]]
-        for at in range(0, int(held.sum()), 4096):
-            here = (where >= at) & (where < at + 4096)
-            table = np.zeros((len(ids), min(4096, int(held.sum()) - at)), np.float32)
-            table[doc[here], where[here] - at] = 1
+        order = np.argsort(where, kind="stable")
+        doc, where = doc[order], where[order]
+        for at in range(0, int(held.sum()), 2048):
+            a, b = np.searchsorted(where, (at, at + 2048))
+            table = np.zeros((len(ids), min(2048, int(held.sum()) - at)), np.float32)
+            table[doc[a:b], where[a:b] - at] = 1
             both += table[o] @ table[m].T
         union = size[o][:, None] + size[m][None, :] - both
-        good = (100 * both >= percent * union) & (component[o][:, None] != component[m][None, :])
+        good &= 100 * both >= percent * union
         out = []
-        for k, j in enumerate(o):
+        for k in np.flatnonzero(good.any(1)):
             hit = m[good[k]]
-            if len(hit):
-                _, one = np.unique(component[hit], return_index=True)
-                out += [(ids[j], ids[x]) for x in hit[one]]
+            _, one = np.unique(component[hit], return_index=True)
+            out += [(ids[o[k]], ids[x]) for x in hit[one]]
         return out
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def flush(table: pa.Table):
-            batch = table.combine_chunks()
-            flat, off = sets_of(batch.column("text").combine_chunks() if batch.num_rows else pa.array([], pa.string()), n)
-            k = np.stack([batch.column(c).to_numpy() for c in key], 1)
+        # sets of what has come: (keys, ids, components, flags, bands, hashes, sizes) of whole slices
+        held: list[tuple] = []
+        count = 0
+
+        def flush(last: bool):
+            nonlocal held, count
+            k, ids, component, is_o, is_m, bands, flat, size = (np.concatenate(x) for x in zip(*held, strict=True))
+            off = np.concatenate(([0], np.cumsum(size)))
             cuts = np.concatenate(([0], np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1, [len(k)]))
-            ids, component = batch.column("id").to_numpy(), batch.column("component").to_numpy()
-            is_o, is_m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("o", "m"))
+            done = cuts if last else cuts[:-1]  # the last block may run on in the next batch
             out = []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                out += links(ids[a:b], component[a:b], is_o[a:b], is_m[a:b], flat[off[a] : off[b]], off[a : b + 1] - off[a])
+            for a, b in zip(done[:-1], done[1:], strict=True):
+                out += links(k[a, 0], ids[a:b], component[a:b], is_o[a:b], is_m[a:b], bands[a:b], flat[off[a] : off[b]], off[a : b + 1] - off[a])
+            z = int(done[-1])
+            held = [(k[z:], ids[z:], component[z:], is_o[z:], is_m[z:], bands[z:], flat[off[z] :], size[z:])] if z < len(k) else []
+            count = int(off[-1] - off[z])
             a, b = zip(*out, strict=True) if out else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size < MERGED_BYTES:
-                continue
-            # all but the last block, which may run on in the next batch
-            table = pa.Table.from_batches(held)
-            k = np.stack([table.column(c).to_numpy() for c in key], 1)
-            last = int(np.flatnonzero((k != k[-1]).any(1)).max(initial=-1)) + 1
-            if last:
-                yield flush(table.slice(0, last))
-                held, size = table.slice(last).to_batches(), table.slice(last).nbytes
+        for batch in slices(batches, "text"):
+            flat, off = sets_of(batch.column("text"), n)
+            k = np.stack([batch.column(c).to_numpy() for c in key], 1)
+            flags = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("o", "m")]
+            bands = batch.column("bands").flatten().to_numpy().reshape(-1, BANDS)
+            held.append((k, batch.column("id").to_numpy(), batch.column("component").to_numpy(), *flags, bands, flat, np.diff(off)))
+            count += len(flat)
+            if count >= HELD_SHINGLES and (held[0][0][0] != k[-1]).any():
+                yield flush(False)
         if held:
-            yield flush(pa.Table.from_batches(held))
+            yield flush(True)
 
     dealt = placed.repartition(*key).sortWithinPartitions(*key)
     return dealt.mapInArrow(run, "a long, b long")
@@ -254,27 +341,43 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
     and are kept. An empty table gives an empty result; other columns are not looked at.
     """
     short_batches(docs.sparkSession)
-    sheet = docs.select(F.col(doc_id).cast("long").alias("id"), text_of(text).alias("text"))
+    raw = text_of(text)
+    sheet = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(raw).alias("th"), raw.alias("text"))
     known = store(sketch(sheet, n), "sketches")
-    # one representative of every set: equal sets are linked already
     key = ["set_hi", "set_lo"]
-    named = known.where("id is not null and n_shingles > 0")
-    first = named.groupBy(*key).agg(F.min("id").alias("rep"))
-    reps = store(named.join(first, key).where("id = rep").select("id", "n_shingles", "bands").dropDuplicates(["id"]), "reps")
+    named = known.where("id is not null and n_shingles > 0").withColumn("node", F.col("id"))
+    texts = sheet.where("id is not null").select("id", "text")
+    # rows that repeat a doc_id may differ: each of their sets is a node of its own, under a number that no other has
+    again = store(named.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id"), "repeated-ids")
+    several = not again.isEmpty()
+    if several:
+        number = F.lit(-(1 << 62)) - F.pmod(F.xxhash64("id", *key), F.lit(1 << 61))
+        named = store(named.join(again.withColumn("again", F.lit(True)), "id", "left").withColumn("node", F.when(F.col("again"), number).otherwise(F.col("id"))).drop("again"), "named")
+        twin = named.where("node <> id").select("id", "th", "node").distinct()
+        texts = sheet.join(again, "id", "left_anti").select("id", "text").unionAll(sheet.join(twin, ["id", "th"]).dropDuplicates(["node"]).select("node", "text"))
+    # one representative of every set: equal sets are linked already
+    copies = store(named.groupBy(*key).agg(F.min("node").alias("rep")), "representatives")
+    reps = named.join(copies, key).where("node = rep").select(F.col("node").alias("id"), "n_shingles", "bands")
+    reps = store(reps.dropDuplicates(["id"]) if several else reps, "reps")
     shared = shared_buckets(reps)
     edges = store(star_edges(shared), "candidates")
-    texts = sheet.where("id is not null")
     links = store(confirm(edges, texts, n, percent), "links")
-    # what its buckets' largest components don't hold is compared with all of the buckets
     groups = store(connected_components(links), "components")
+    # what its buckets' largest components don't hold is compared with all of the buckets, where a link is possible at all
     members = store(mixed_buckets(shared, groups), "members")
-    links = store(links.unionAll(outsider_links(members, texts, n, percent)), "links")
-    copies = store(first, "representatives")
-    # rows of one doc_id with different texts are one document: their sets' representatives are linked
-    twice = named.select("id", *key).distinct().join(copies, key).where("id <> rep").join(copies.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    groups = store(connected_components(links.unionAll(twice)), "components")
-    own = named.select("id", *key).join(copies, key).join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    own = own.groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
+    active = members.select("id", "component").distinct().join(reps, "id").join(texts, "id")
+    active = store(active, "active")
+    may = store(linkable(prefixes(active, frequencies(active, n), n, percent)), "linkable")
+    members = store(_marked(members.drop("outsider").join(may, "id", "left_semi")), "members")
+    found = outsider_links(members, active.join(may, "id", "left_semi"), n, percent)
+    if several:
+        sets = named.where("node <> id").select("id", *key).distinct().join(copies, key).select("id", "rep")
+        found = found.unionAll(sets.join(sets.groupBy("id").agg(F.min("rep").alias("to")), "id").where("rep <> to").select(F.col("rep").alias("a"), F.col("to").alias("b")))
+    groups = merged_components(groups, store(found, "links"))
+    own = named.select("id", *key).join(copies, key).join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
+    if several:
+        own = own.join(own.groupBy("component").agg(F.min("id").alias("least")), "component").select("id", F.col("least").alias("component"))
+        own = own.distinct()
     out = known.select("id", "n_shingles").join(own, "id", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), (F.col("id").isNull() | (component == F.col("id"))).alias("kept"))
