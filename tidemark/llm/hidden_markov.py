@@ -1,4 +1,9 @@
-"""A hidden Markov model over word classes: expected counts, re-estimation and exact scaled likelihoods in numpy."""
+"""A hidden Markov model over word classes: expected counts, re-estimation and exact scaled likelihoods in numpy.
+
+Texts are followed over their whole length. So that many are handled at once, arrays are laid out by time: the first tokens of
+all texts, then the second ones, and so on. A long text is cut where the states on both sides of each cut are known: the product
+of its parts' transfer matrices tells them exactly, so nothing of the text's probability or expectations is lost.
+"""
 
 from __future__ import annotations
 
@@ -6,21 +11,22 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Tokens in a training segment, and tokens whose expectations are held at once.
-SEGMENT, CHUNK = 128, 1 << 18
+#: Texts of more tokens are cut into parts of PART tokens; tokens whose expectations are held at once.
+LONG, PART, CHUNK = 1024, 256, 1 << 18
+#: Expected counts of states and their tokens are summed in units of 1 / FIXED, so that sums don't depend on their order.
+FIXED = float(1 << 20)
 
 
 @dataclass
 class Model:
     start: np.ndarray  # states, of a text's first token
-    steady: np.ndarray  # states, of a token anywhere
     step: np.ndarray  # states x states
     emit: np.ndarray  # states x classes
 
 
 @dataclass
 class Counts:
-    """Expected counts, which add up over parts of the corpus."""
+    """Expected counts, which add up over parts of the corpus; start, emit and log_likelihood in units of 1 / FIXED."""
 
     start: np.ndarray
     step: np.ndarray
@@ -37,70 +43,171 @@ def random_model(states: int, shares: np.ndarray, seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
     emit = (shares + 1e-6) * rng.gamma(2.0, 0.5, (states, len(shares)))
     step = np.full((states, states), 0.1 / max(1, states - 1)) + np.eye(states) * (0.9 if states > 1 else 1.0)
-    even = np.full(states, 1 / states)
-    return Model(even, even.copy(), step / step.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
-
-
-def _expect(model: Model, x: np.ndarray, first: np.ndarray, out: Counts) -> None:
-    """Add the expected counts of segments x (segments x tokens); first marks tokens that begin a text: there the
-    start states hold, whatever came before in the segment."""
-    n, length = x.shape
-    states = len(model.start)
-    seen = model.emit.T[x]
-    alpha, scale = np.empty((length, n, states)), np.empty((length, n))
-    for t in range(length):
-        a = np.where(first[:, t, None], model.start, alpha[t - 1] @ model.step if t else model.steady) * seen[:, t]
-        scale[t] = a.sum(1)
-        alpha[t] = a / scale[t][:, None]
-    beta = np.ones((n, states))
-    for t in reversed(range(length)):
-        gamma = alpha[t] * beta
-        gamma /= gamma.sum(1, keepdims=True)
-        alpha[t] = gamma
+    return Model(np.full(states, 1 / states), step / step.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
+
+
+@dataclass
+class _Parts:
+    """Stretches of tokens to follow: where they begin, their sizes, the text that each is of, whether it begins the text, the
+    states at the token before it (states x parts; nothing for a first part) and the weights of the states at its end."""
+
+    begin: np.ndarray
+    size: np.ndarray
+    text: np.ndarray
+    first: np.ndarray
+    enter: np.ndarray
+    leave: np.ndarray
+
+    def take(self, k: np.ndarray) -> _Parts:
+        return _Parts(self.begin[k], self.size[k], self.text[k], self.first[k], self.enter[:, k], self.leave[:, k])
+
+    def __len__(self) -> int:
+        return len(self.begin)
+
+
+def _cut(off: np.ndarray, states: int, long: int, part: int) -> _Parts:
+    size = np.diff(off)
+    n = np.where(size > long, -(-size // part), np.minimum(size, 1))
+    text = np.repeat(np.arange(len(size)), n)
+    k = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+    step = np.where(n > 1, part, size)[text]
+    begin = off[:-1][text] + k * step
+    return _Parts(begin, np.minimum(step, off[1:][text] - begin), text, k == 0, np.zeros((states, len(text))), np.ones((states, len(text))))
+
+
+def _by_time(x: np.ndarray, parts: _Parts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For parts of falling size: how many are there at each time, offsets of times, and the tokens laid out by time."""
+    live = np.searchsorted(-parts.size, -np.arange(1, int(parts.size[0]) + 1), "right")
+    at = np.concatenate(([0], np.cumsum(live)))
+    row = np.arange(at[-1]) - np.repeat(at[:-1], live)
+    return live, at, x[parts.begin[row] + np.repeat(np.arange(len(live)), live)]
+
+
+def _prior(model: Model, parts: _Parts) -> np.ndarray:
+    return np.where(parts.first, model.start[:, None], model.step.T @ parts.enter)
+
+
+def _bridge(model: Model, x: np.ndarray, parts: _Parts) -> np.ndarray:
+    """Set enter and leave of the parts of cut texts, which stand in order; returns the log probabilities of their texts by part."""
+    states, n = parts.enter.shape
+    order = np.argsort(-parts.size, kind="stable")
+    p = parts.take(order)
+    live, at, token = _by_time(x, p)
+    # one column for each state that a part may begin from
+    now = np.where(p.first, np.eye(states)[:, :, None], model.step.T[:, :, None])
+    logs = np.zeros(n)
+    for t, k in enumerate(live):
+        a = now[:, :, :k] if t == 0 else (model.step.T @ now[:, :, :k].reshape(states, -1)).reshape(states, states, k)
+        a = a * model.emit[:, token[at[t] : at[t + 1]]][:, None, :]
+        scale = a.sum((0, 1))
+        logs[:k] += np.log(scale)
+        now[:, :, :k] = a / scale
+    through, log = np.empty((n, states, states)), np.empty(n)
+    through[order], log[order] = now.transpose(2, 1, 0), logs
+    state = model.start
+    out = np.empty((n, states))
+    for k in range(n):
+        state = model.start if parts.first[k] else state
+        parts.enter[:, k] = state
+        state = state @ through[k]
+        total = state.sum()
+        log[k] += np.log(total)
+        out[k] = state = state / total
+    ahead = np.ones(states)
+    for k in reversed(range(n)):
+        if k + 1 == n or parts.first[k + 1]:
+            ahead = np.ones(states)
+        parts.leave[:, k] = ahead = ahead / (out[k] @ ahead)
+        ahead = through[k] @ ahead
+    return log
+
+
+def _expect(model: Model, x: np.ndarray, parts: _Parts, out: Counts) -> None:
+    """Add the expected counts of parts of falling size."""
+    live, at, token = _by_time(x, parts)
+    seen = model.emit[:, token]
+    alpha, scale = np.empty_like(seen), np.empty(len(token))
+    onward = np.ascontiguousarray(model.step.T)
+    for t, k in enumerate(live):
+        here = slice(at[t], at[t] + k)
+        a = _prior(model, parts) if t == 0 else onward @ alpha[:, at[t - 1] : at[t - 1] + k]
+        a *= seen[:, here]
+        s = a.sum(0)
+        scale[here] = s
+        np.divide(a, s, out=alpha[:, here])
+    pairs = np.zeros_like(model.step)
+    beta = parts.leave[:, : live[-1]]
+    for t in reversed(range(len(live))):
+        here = slice(at[t], at[t + 1])
+        ahead = seen[:, here] * beta
+        ahead /= scale[here]
+        alpha[:, here] *= beta
         if t:
-            begins = first[:, t, None]
-            ahead = np.where(begins, 0.0, seen[:, t] * beta / scale[t][:, None])
-            out.step += model.step * (alpha[t - 1].T @ ahead)
-            beta = np.where(begins, 1.0, ahead @ model.step.T)
-    out.log_likelihood += float(np.log(scale).sum())
-    flat, gamma = x.T.ravel(), alpha.reshape(-1, states)
-    for k in range(states):
-        out.emit[k] += np.bincount(flat, gamma[:, k], out.emit.shape[1])
-    out.start += gamma[first.T.ravel()].sum(0)
-
-
-def expect(model: Model, classes: np.ndarray, first: np.ndarray) -> Counts:
-    """Expected counts of a stream of texts, cut into segments; none of it is left out."""
+            pairs += alpha[:, at[t - 1] : at[t - 1] + live[t]] @ ahead.T
+            beta = np.concatenate((model.step @ ahead, parts.leave[:, live[t] : live[t - 1]]), 1)
+        else:
+            pairs += (parts.enter * ~parts.first) @ ahead.T
+    out.step += model.step * pairs
+    alpha *= FIXED
+    np.rint(alpha, out=alpha)
+    for k in range(len(alpha)):
+        out.emit[k] += np.bincount(token, alpha[k], out.emit.shape[1])
+    out.start += alpha[:, : live[0]][:, parts.first].sum(1)
+    out.log_likelihood += float(np.rint(np.log(scale) * FIXED).sum())
+
+
+def _chunks(parts: _Parts):
+    """Parts of falling size, about CHUNK tokens at a time."""
+    parts = parts.take(np.argsort(-parts.size, kind="stable"))
+    ends = np.cumsum(parts.size)
+    a = 0
+    while a < len(parts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CHUNK, "right")))
+        yield parts.take(np.arange(a, b))
+        a = b
+
+
+def expect(model: Model, classes: np.ndarray, off: np.ndarray, long: int = LONG, part: int = PART) -> Counts:
+    """Expected counts of whole texts: classes[off[d] : off[d + 1]]."""
     out = Counts.zero(*model.emit.shape)
-    whole = len(classes) // SEGMENT * SEGMENT
-    x, f = classes[:whole].reshape(-1, SEGMENT), first[:whole].reshape(-1, SEGMENT)
-    for k in range(0, len(x), CHUNK // SEGMENT):
-        _expect(model, x[k : k + CHUNK // SEGMENT], f[k : k + CHUNK // SEGMENT], out)
-    if whole < len(classes):
-        _expect(model, classes[None, whole:], first[None, whole:], out)
+    parts = _cut(off, len(model.start), long, part)
+    cut = np.flatnonzero(np.diff(off)[parts.text] > long)
+    if len(cut):
+        some = parts.take(cut)
+        _bridge(model, classes, some)
+        parts.enter[:, cut], parts.leave[:, cut] = some.enter, some.leave
+    for chunk in _chunks(parts):
+        _expect(model, classes, chunk, out)
     return out
 
 
 def reestimate(counts: Counts, prior: float = 0.02) -> Model:
     """The model of the expected counts, each with a small prior, so that nothing is impossible."""
-    share = counts.emit.sum(0) + 1e-3
-    emit = counts.emit + prior * len(share) * share / share.sum()
-    step, start, steady = counts.step + prior, counts.start + prior, counts.emit.sum(1) + prior
-    return Model(start / start.sum(), steady / steady.sum(), step / step.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
+    emit = counts.emit / FIXED
+    share = emit.sum(0) + 1e-3
+    emit = emit + prior * len(share) * share / share.sum()
+    # the sums of steps are rounded, as their last digits depend on the order in which they were added
+    step, start = np.rint(counts.step * 1024) / 1024 + prior, counts.start / FIXED + prior
+    return Model(start / start.sum(), step / step.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
 
-def log_likelihoods(model: Model, classes: np.ndarray, off: np.ndarray) -> np.ndarray:
+def log_likelihoods(model: Model, classes: np.ndarray, off: np.ndarray, long: int = LONG, part: int = PART) -> np.ndarray:
     """The natural log of each text's probability, by the forward recursion over its whole length. No text is empty."""
-    size = np.diff(off)
-    order = np.argsort(-size, kind="stable")
-    live = np.searchsorted(-size[order], -np.arange(1, size.max(initial=0) + 1), "right")
-    begin, total, emit = off[order], np.zeros(len(size)), np.ascontiguousarray(model.emit.T)
-    alpha = np.broadcast_to(model.start, (len(size), len(model.start)))
-    for t, k in enumerate(live):
-        a = (alpha[:k] if t == 0 else alpha[:k] @ model.step) * emit[classes[begin[:k] + t]]
-        scale = a.sum(1)
-        total[:k] += np.log(scale)
-        alpha = a / scale[:, None]
-    out = np.empty(len(size))
-    out[order] = total
+    out = np.zeros(len(off) - 1)
+    parts = _cut(off, len(model.start), long, part)
+    cut = np.diff(off)[parts.text] > long
+    if cut.any():
+        some = parts.take(np.flatnonzero(cut))
+        np.add.at(out, some.text, _bridge(model, classes, some))
+    onward = np.ascontiguousarray(model.step.T)
+    for chunk in _chunks(parts.take(np.flatnonzero(~cut))):
+        live, at, token = _by_time(classes, chunk)
+        total = np.zeros(len(chunk))
+        alpha = _prior(model, chunk)
+        for t, k in enumerate(live):
+            a = (alpha if t == 0 else onward @ alpha[:, :k]) * model.emit[:, token[at[t] : at[t + 1]]]
+            scale = a.sum(0)
+            total[:k] += np.log(scale)
+            alpha = a / scale
+        out[chunk.text] = total
     return out

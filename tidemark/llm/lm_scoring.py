@@ -3,8 +3,10 @@
 A word's probability in a state is that of its class in the state times that of the word in its class. Frequent words
 are classes of their own, the rest share classes by their endings; words in classes follow Witten-Bell estimates of
 counts over the whole training corpus. States start from the classes' counts, disturbed by a seed, and are trained by
-Baum-Welch over all training documents until their likelihood settles: tasks sum up expected counts of their documents,
-Spark adds them up, and the driver, which only ever sees states x classes numbers, re-estimates.
+Baum-Welch over all training documents until their likelihood settles: tasks sum up expected counts of their documents, each
+followed over its whole length from the start states on, Spark adds them up, and the driver, which only ever sees states x
+classes numbers, re-estimates. Texts are never shuffled: a table of bounded size tells tasks the counts of frequent words, and
+what a text holds of rarer ones is joined with their counts.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import SpanHash, lower, short_batches, slices, store, text_of, utf8, words
-from .hidden_markov import Counts, Model, expect, log_likelihoods, random_model, reestimate
+from .hidden_markov import FIXED, Counts, Model, expect, log_likelihoods, random_model, reestimate
 
 STATES = 6
 #: Words with a class of their own, and classes that the other words share.
@@ -27,8 +29,10 @@ OWN, SHARED = 2048, 1024
 #: Training ends once STEADY rounds in a row each gain less than SETTLED in natural log likelihood a token; ROUNDS guards
 #: against no end, and is logged when met.
 SETTLED, STEADY, ROUNDS = 1e-3, 3, 200
-#: Training tokens for each block of documents that is scored together with its own part of the vocabulary.
-BLOCK_TOKENS = 3_000_000
+#: Words, at most, whose counts every task is given (16 bytes each); the counts of others are joined.
+FREQUENT = 1 << 18
+#: Tokens that a task counts, trains on or scores together.
+HELD_TOKENS = 1 << 20
 #: The end of a text, as a word; class 0.
 END = np.uint64(0x45E4D00DFACE0FF1)
 
@@ -87,7 +91,7 @@ def word_counts(train: DataFrame) -> DataFrame:
         for word, ending, _, _ in _stream(batches, "text"):
             held.append((word, ending))
             size += len(word)
-            if size >= BLOCK_TOKENS:
+            if size >= HELD_TOKENS:
                 yield flush()
                 held, size = [], 0
         if held:
@@ -97,6 +101,37 @@ def word_counts(train: DataFrame) -> DataFrame:
     return parts.groupBy("word").agg(F.max("ending").alias("ending"), F.sum("n").alias("n"))
 
 
+@dataclass
+class Frequent:
+    """Counts of frequent words, by sorted hash."""
+
+    word: np.ndarray
+    n: np.ndarray
+
+    def counts(self, word: np.ndarray) -> np.ndarray:
+        """The counts of words, -1 for those that are not in the table."""
+        if not len(self.word):
+            return np.full(len(word), -1)
+        at = np.minimum(np.searchsorted(self.word, word), len(self.word) - 1)
+        return np.where(self.word[at] == word, self.n[at], -1)
+
+
+def frequent_words(counts: DataFrame, top: list) -> Frequent:
+    """The most frequent words, at most FREQUENT of them and `top`: all whose count reaches the least level that leaves so many."""
+    level = F.floor(8 * F.log2("n")).cast("int")
+    left, least = FREQUENT, None
+    for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.col("level").desc()).collect():
+        left -= r.words
+        if left < 0:
+            break
+        least = r.level
+    some = counts.where(level >= least).select("word", "n").toPandas() if least is not None else None
+    word = np.array([r.word for r in top], np.int64), np.array([r.n for r in top], np.int64)
+    word = [np.append(a, b) for a, b in zip(word, (some["word"].to_numpy(), some["n"].to_numpy()), strict=True)] if some is not None else list(word)
+    found, head = np.unique(word[0].view(np.uint64), return_index=True)
+    return Frequent(found, word[1][head])
+
+
 def coded(train: DataFrame, classes: Classes) -> DataFrame:
     """(x): the classes of all tokens of train, 16 bits each, a slice of whole texts in a row; each text ends in class 0."""
 
@@ -116,7 +151,7 @@ def expected_counts(train: DataFrame, model: Model) -> Counts:
 
         def add():
             x = np.concatenate(held)
-            got = expect(model, x, np.append(True, x[:-1] == 0))
+            got = expect(model, x, np.append(0, np.flatnonzero(x == 0) + 1))
             out.start += got.start
             out.step += got.step
             out.emit += got.emit
@@ -126,20 +161,23 @@ def expected_counts(train: DataFrame, model: Model) -> Counts:
             for x in batch.column("x"):
                 held.append(np.frombuffer(x.as_buffer(), np.int16))
                 n += len(held[-1])
-                if n >= 1 << 20:
+                if n >= HELD_TOKENS:
                     add()
                     held, n = [], 0
         if held:
             add()
-        flat = np.concatenate((out.start, out.step.ravel(), out.emit.ravel(), [out.log_likelihood]))
-        some = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(flat[some])], ["cell", "value"])
+        whole = np.concatenate((out.start, out.emit.ravel(), [out.log_likelihood])).astype(np.int64)
+        some = np.flatnonzero(whole)
+        cell = np.concatenate((some, -1 - np.arange(states * states)))
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.append(whole[some], np.zeros(states * states, np.int64))), pa.array(np.append(np.zeros(len(some)), out.step.ravel()))], ["cell", "whole", "step"])
 
-    rows = train.mapInArrow(run, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).toPandas()
-    flat = np.zeros(states + states * states + states * size + 1)
-    flat[rows["cell"].to_numpy(np.int64)] = rows["value"].to_numpy()
-    a, b = states, states + states * states
-    return Counts(flat[:a], flat[a:b].reshape(states, states), flat[b:-1].reshape(states, size), float(flat[-1]))
+    # whole numbers add up to the same in any order
+    rows = train.mapInArrow(run, "cell long, whole long, step double").groupBy("cell").agg(F.sum("whole").alias("whole"), F.sum("step").alias("step")).toPandas()
+    cell, whole, step = (rows[c].to_numpy() for c in ("cell", "whole", "step"))
+    flat, steps = np.zeros(states + states * size + 1), np.zeros(states * states)
+    flat[cell[cell >= 0]] = whole[cell >= 0]
+    steps[-1 - cell[cell < 0]] = step[cell < 0]
+    return Counts(flat[:states], steps.reshape(states, states), flat[states:-1].reshape(states, size), float(flat[-1]))
 
 
 def train_model(train: DataFrame, shares: np.ndarray, n: int, rounds: int = ROUNDS) -> tuple[Model, list[float]]:
@@ -148,7 +186,7 @@ def train_model(train: DataFrame, shares: np.ndarray, n: int, rounds: int = ROUN
     for _ in range(rounds):
         counts = expected_counts(train, model)
         model = reestimate(counts)
-        seen.append(counts.log_likelihood / max(1, n))
+        seen.append(counts.log_likelihood / FIXED / max(1, n))
         calm = calm + 1 if len(seen) > 1 and seen[-1] - seen[-2] < SETTLED else 0
         if calm == STEADY:
             return model, seen
@@ -163,7 +201,7 @@ def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     texts are a single end token. A null id counts as the empty string's checksum (0), so it trains, and stays
     null. Repeated rows count and are scored as often as they are there. Where nothing is left to train on, all
     words are unknown and the model's classes are even. An empty table gives an empty result; other columns are
-    not looked at. Words are told apart by 64 bits of hash.
+    not looked at. Words are told apart by 64 bits of hash. Scores don't depend on how rows are partitioned.
     """
     short_batches(docs.sparkSession)
     crc = F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
@@ -188,72 +226,63 @@ def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     often[0] = n_all - often.sum()
     model, _ = train_model(store(coded(train, classes), "classes"), often / max(1, n_all), n_all, rounds)
 
-    # documents go to blocks; a block's distinct words are looked up in the counts and come back to it
-    blocks = max(1, math.ceil(n_all * 7 / 6 / BLOCK_TOKENS))
-    dealt = sheet.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    known = frequent_words(counts, top)
+    # natural logs of what an unseen word of a class counts as, and of what all words of the class count as
+    with np.errstate(divide="ignore"):
+        unseen_log, class_log = (np.where(x > 0, np.log(x), 0.0) for x in (mass[1], mass[0] + mass[1]))
 
-    def distinct(batches):
-        held: dict[int, list[np.ndarray]] = {}
+    def score(batches):
+        held: list[tuple] = []
+        size = 0
 
         def flush():
-            for block, parts in held.items():
-                word = np.unique(np.concatenate(parts))
-                for k in range(0, len(word), 100_000):
-                    piece = word[k : k + 100_000].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(piece), block, np.int32)), pa.array(piece)], ["block", "word"])
-
-        size = 0
-        for word, _, at, batch in _stream(batches, "text"):
-            block = np.repeat(batch.column("block").to_numpy(), np.diff(at))
-            for b in np.unique(block):
-                held.setdefault(int(b), []).append(np.unique(word[block == b]))
-            size += len(word)
-            if size >= 2 * BLOCK_TOKENS:
-                yield from flush()
-                held, size = {}, 0
-        yield from flush()
-
-    wanted = dealt.select("block", "text").mapInArrow(distinct, "block int, word long")
-    found = wanted.join(counts.select("word", "n"), "word").select("block", "word", "n")
-    per_class = mass[0] + mass[1]
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = right.column("word").to_numpy().view(np.uint64)
-        order = np.argsort(known)
-        known, n = known[order], right.column("n").to_numpy()[order]
-        xs, ats, logs, out = [], [np.zeros(1, np.int64)], [], []
-        for word, ending, at, batch in _stream(left.to_batches(), "text"):
-            c = np.zeros(len(word), np.int64)
-            if len(known):
-                k = np.minimum(np.searchsorted(known, word), len(known) - 1)
-                c = np.where(known[k] == word, n[k], 0)
-            x = classes.of(word, ending)
-            share = np.zeros(len(word))
+            xs, ats = [h[0] for h in held], [h[1] for h in held]
+            shift = np.concatenate(([0], np.cumsum([a[-1] for a in ats])))
+            off = np.concatenate([np.zeros(1, np.int64), *(a[1:] + b for a, b in zip(ats, shift, strict=False))])
+            parts = pa.concat_batches([h[2] for h in held])
+            i = parts.schema.get_field_index("score")
+            return parts.set_column(i, "score", pa.array(parts.column(i).to_numpy() + log_likelihoods(model, np.concatenate(xs), off)))
+
+        for word, ending, at, batch in _stream(batches, "text"):
+            found, head, which = np.unique(word, return_index=True, return_inverse=True)
+            n = known.counts(found)
+            x = classes.of(found, ending[head])
             inner = x > OWN
-            cls = x[inner] - 1 - OWN
-            with np.errstate(divide="ignore", invalid="ignore"):
-                # Witten-Bell: an unseen word has the mass of as many words as the class has; in an empty class, all
-                p = np.where(c[inner] > 0, c[inner], np.where(mass[1][cls] > 0, mass[1][cls], 1.0)) / np.where(per_class[cls] > 0, per_class[cls], 1.0)
-            share[inner] = np.log(p)
-            base = np.log((c + 1) / (n_all + v_all + 1))
-            first = at[:-1]
-            xs.append(x)
-            ats.append(ats[-1][-1] + at[1:])
-            logs.append(np.add.reduceat(share, first))
-            out.append(pa.table({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n_tokens": pa.array(np.diff(at)), "n_known": pa.array(np.add.reduceat((c > 0).astype(np.int64), first)), "train_tokens": pa.array(np.full(len(first), n_all)), "base_score": pa.array(np.add.reduceat(base, first) / math.log(10))}))
-        if not out:
-            return None
-        likelihood = log_likelihoods(model, np.concatenate(xs), np.concatenate(ats))
-        return pa.concat_tables(out).append_column("score", pa.array((likelihood + np.concatenate(logs)) / math.log(10)))
+            cls = np.where(inner, x - 1 - OWN, 0)
+            first, many = at[:-1], len(at) - 1
+            total = lambda by_word: np.add.reduceat(by_word[which], first)  # noqa: E731, B023
+            # of rarer words, unseen ones included, each text's list: the word, how often, and what it adds if unseen
+            doc = np.repeat(np.arange(many), np.diff(at))
+            rare = n[which] < 0
+            pair, k = np.unique(doc[rare] * len(found) + which[rare], return_counts=True)
+            w = pair % max(1, len(found))
+            item = pa.StructArray.from_arrays([pa.array(found[w].view(np.int64)), pa.array(k), pa.array(np.where(inner[w], k * unseen_log[cls[w]], 0.0)), pa.array(inner[w])], ["word", "k", "unseen", "inner"])
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(pair, np.arange(many + 1) * len(found)), pa.int32()), item)
+            have = np.maximum(n, 1)
+            columns = [
+                batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(at)), pa.array(total((n > 0).astype(np.int64))),
+                pa.array(total(np.where(n > 0, np.log(have + 1), 0.0)) - np.diff(at) * math.log(n_all + v_all + 1)),
+                pa.array(total(np.where(inner, np.where(n > 0, np.log(have), 0.0) - class_log[cls], 0.0))), lists,
+            ]
+            held.append((x[which], at, pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])))
+            size += len(word)
+            if size >= HELD_TOKENS:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
 
     kind = sheet.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-
-    def guarded(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = score(left, right)
-        if out is None:
-            types = [("doc_id", left.schema.field("doc_id").type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
-            return pa.schema(types).empty_table()
-        return out
-
-    return dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(guarded, schema)
+    lists = "array<struct<word: long, k: long, unseen: double, inner: boolean>>"
+    parts = sheet.mapInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare {lists}")
+    parts = store(parts.withColumn("row", F.monotonically_increasing_id()), "scores")
+    rare = parts.select("row", F.explode("rare").alias("r")).select("row", "r.*").join(counts.select("word", "n"), "word", "left")
+    seen, k = F.col("n").isNotNull(), F.col("k")
+    rare = rare.groupBy("row").agg(
+        F.sum(F.when(seen, k).otherwise(0)).alias("more_known"),
+        F.sum(F.when(seen, k * F.log(F.col("n") + 1)).otherwise(0.0)).alias("more_base"),
+        F.sum(F.when(~seen, F.col("unseen")).when(F.col("inner"), k * F.log("n")).otherwise(0.0)).alias("more_score"),
+    )
+    out = parts.drop("rare").join(rare, "row", "left")
+    plus = lambda c, more: F.col(c) + F.coalesce(F.col(more), F.lit(0))
+    return out.select("doc_id", "held_out", "n_tokens", plus("n_known", "more_known").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), (plus("base", "more_base") / math.log(10)).alias("base_score"), (plus("score", "more_score") / math.log(10)).alias("score"))
