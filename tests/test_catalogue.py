@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from tidemark.plans import catalogue
+from tidemark.plans import catalogue, readers
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -25,7 +25,7 @@ def ordered(rows):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
-@pytest.mark.parametrize("name", list(catalogue.ORACLE_SQL))
+@pytest.mark.parametrize("name", list(readers.ORACLE_SQL))
 def test_query_matches_sql(spark, duck, name):
     df = catalogue.QUERIES[name](spark, SF)
     columns = sorted(df.columns)

@@ -1,6 +1,8 @@
 import json
 from datetime import date, datetime
 
+from pyspark.sql import functions as F
+
 from tidemark.operators.select import Channel
 from tidemark.operators.store import SnapshotStore
 from tidemark.plans import jobs
@@ -16,8 +18,8 @@ def _candidates(spark, n, first=0):
 def test_two_rounds_deliver_once(spark, tmp_path):
     store = SnapshotStore(spark, str(tmp_path / "store"))
     channel, model, sender = Channel("m", max_items=3), jobs.StubModel(), jobs.DryRunSender([])
-    assert jobs.collect(store, _candidates(spark, 5), model, ["m"], datetime(2026, 9, 12, 21)) == 5
-    assert jobs.collect(store, _candidates(spark, 5), model, ["m"], datetime(2026, 9, 12, 21, 30)) == 0
+    assert jobs.collect(store, _candidates(spark, 5), model, ["m"], datetime(2026, 9, 12, 21))["new_items"] == 5
+    assert jobs.collect(store, _candidates(spark, 5), model, ["m"], datetime(2026, 9, 12, 21, 30))["new_items"] == 0
     assert jobs.summarise(store, channel, date(2026, 9, 13), model, datetime(2026, 9, 12, 22)) == "generated"
     assert jobs.summarise(store, channel, date(2026, 9, 13), model, datetime(2026, 9, 12, 22, 1)) == "kept"
     assert store.read("items").where("size(digested_in) > 0").count() == 3
@@ -29,6 +31,136 @@ def test_two_rounds_deliver_once(spark, tmp_path):
     assert store.read("items").where("size(digested_in) > 0").count() == 5
 
 
+def test_only_entries_of_the_message_are_marked(spark, tmp_path):
+    store, model = SnapshotStore(spark, str(tmp_path / "store"), 4), jobs.StubModel()
+    jobs.collect(store, _candidates(spark, 8), model, ["m"], datetime(2026, 9, 12, 21))
+    short = Channel("m", max_items=6, max_chars=420)
+    assert jobs.summarise(store, short, date(2026, 9, 13), model, datetime(2026, 9, 12, 22)) == "generated"
+    row = store.read("digests").first()
+    marked = [r.canonical_url for r in store.read("items").where("size(digested_in) > 0").collect()]
+    assert 0 < len(marked) == row.n_entries < 6 and all(u in row.message for u in marked) and row.message.count("Source: ") == len(marked)
+    assert row.omitted == 8 - len(marked) and f"And {row.omitted} more" in row.message
+    # built again with room for more, and then for less: the marks follow the message
+    assert jobs.summarise(store, short, date(2026, 9, 13), model, datetime(2026, 9, 12, 23)) == "kept"
+    assert jobs.summarise(store, Channel("m", max_items=5), date(2026, 9, 13), model, datetime(2026, 9, 12, 23), force=True) == "generated"
+    assert store.read("items").where("size(digested_in) > 0").count() == 5
+    assert jobs.summarise(store, Channel("m", max_items=2), date(2026, 9, 13), model, datetime(2026, 9, 12, 23, 1), force=True) == "generated"
+    assert store.read("items").where("size(digested_in) > 0").count() == 2
+
+
+class Picky(jobs.StubModel):
+    """Fails on one batch, and leaves an item out of another."""
+
+    def __init__(self):
+        self.sizes = []
+
+    def classify(self, items, channels):
+        self.sizes.append(items.count())
+        if len(self.sizes) == 2:
+            raise RuntimeError("over capacity, Bearer abc123")
+        out = super().classify(items, channels)
+        return out.where(F.col("id") != items.agg(F.min("id")).first()[0]) if len(self.sizes) == 1 else out
+
+
+def test_classification_is_limited_and_batched(spark, tmp_path):
+    store, model = SnapshotStore(spark, str(tmp_path / "store"), 2), Picky()
+    got = jobs.collect(store, _candidates(spark, 49), model, ["m"], datetime(2026, 9, 12, 21), classify_limit=45)
+    assert model.sizes == [20, 20, 5] and got["classified"] == 19 + 5
+    run = store.read("runs").first()
+    assert run.status == "partial" and run.classified == 24 and run.finished_at is not None
+    assert sorted(e.split(":")[0] for e in run.errors) == ["batch 0", "batch 1"] and not any("abc123" in e for e in run.errors)
+    # what is older than a digest can hold is not asked about again
+    late = jobs.collect(store, _candidates(spark, 0), jobs.StubModel(), ["m"], datetime(2026, 9, 30))
+    assert late["classified"] == 0
+
+
+def test_known_items_are_updated_within_the_quota(spark, tmp_path):
+    store, model = SnapshotStore(spark, str(tmp_path / "store"), 4), jobs.StubModel()
+    first = _candidates(spark, 6)
+    jobs.collect(store, first, model, ["m"], datetime(2026, 9, 12, 21), first_run=["none"])
+    before = {r.canonical_url: r for r in store.read("items").collect()}
+    again = first.where("ord < 4").withColumn("content_text", F.when(F.col("ord") < 2, "changed").otherwise(F.col("content_text")))
+    asked = []
+
+    def refetch(due):
+        asked.extend(r.canonical_url for r in due.collect())
+        return due.select("id", F.lit("T").alias("title"), F.lit(None).cast("timestamp_ntz").alias("published_at"), F.lit("new text").alias("content_text"))
+
+    fetches = spark.createDataFrame([("s", True, False, 4), ("t", False, False, 0)], "source_id string, ok boolean, not_modified boolean, n_candidates int")
+    got = jobs.collect(store, again, model, ["m"], datetime(2026, 9, 13, 3), fetches=fetches, refetch=refetch)
+    assert (got["new_items"], got["updated_items"], got["sources_failed"]) == (0, 4, 1)
+    assert set(asked) <= {f"https://e.com/{k}" for k in (4, 5)}
+    after = {r.canonical_url: r for r in store.read("items").collect()}
+    assert len(after) == 6 and {u for u in after if after[u].content_hash != before[u].content_hash} == {f"https://e.com/{k}" for k in (0, 1, 4, 5)}
+    assert all(after[u].detected_at == before[u].detected_at and after[u].classified_at is not None for u in after)
+    for at in (9, 15, 21):
+        jobs.collect(store, again, model, ["m"], datetime(2026, 9, 13, at), fetches=fetches)
+    states = {r.id: r for r in store.read("source_states").collect()}
+    assert (states["t"].consecutive_failures, states["t"].warned_at_failure_count, states["s"].consecutive_failures) == (4, 3, 0)
+
+
+def test_store_rewrites_touched_buckets_only(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "store"), 8)
+    rows = lambda ids, v, value: spark.createDataFrame([(str(i), value, v) for i in ids], "id string, value string, version int")
+    store.commit("t", rows(range(200), 1, "a"))
+    files = lambda: {b: f for b, f in store._manifest("t", store.version("t"))["buckets"].items()}
+    old = files()
+    store.upsert("t", rows([7], 2, "b"))
+    assert sum(files()[b] != old[b] for b in old) == 1
+    store.insert("t", rows([7, 500], 3, "c"))
+    assert {r.id: r.value for r in store.read("t").where("id in ('7', '500', '8')").collect()} == {"7": "b", "500": "c", "8": "a"}
+    for k in range(5):
+        store.upsert("t", rows([k], 9 + k, "d"))
+    assert store.read("t").count() == 201 and store.read("t").where("value = 'd'").count() == 5
+    kept = sorted(int(p.name) for p in (tmp_path / "store" / "t" / "manifests").iterdir() if not p.name.startswith("."))
+    assert kept == list(range(store.version("t") - 2, store.version("t") + 1))
+    copy = SnapshotStore(spark, str(tmp_path / "copy"))
+    copy.seed(store.dump(["t", "none"]))
+    assert sorted(map(tuple, copy.read("t").collect())) == sorted(map(tuple, store.read("t").collect()))
+    empty = SnapshotStore(spark, str(tmp_path / "empty"))
+    empty.commit("t", rows([], 1, "x"))
+    assert empty.read("t").count() == 0 and empty.read("none") is None
+
+
+def test_sending_is_repeated_where_it_is_worth_it():
+    from types import SimpleNamespace
+
+    row, waits = SimpleNamespace(id="d", message="m", retry_key="k"), []
+    for answers, want, pauses in (([503, None, 200], (True, None), [2, 4]), ([400], (False, "HTTP 400"), []), ([500] * 4, (False, "HTTP 500"), [2, 4, 8]), ([409], (True, None), [])):
+        left, waits = list(answers), []
+        keys = []
+
+        def call(i, m, key, left=left, keys=keys):
+            keys.append(key)
+            return left.pop(0)
+
+        sender = jobs.RetryingSender(call, waits.append)
+        assert sender.send([row]) == [("d", *want)] and waits == pauses and set(keys) == {"k"}
+
+
+def test_verification_fetches_passing_failures_once_more(spark):
+    from tidemark.sources import listing
+
+    row = lambda s, status: (s, "html", "https://e.com/", None, status, "text/html", bytearray(b"<a href=/1>x</a>"), "a", None, None, None, None, 30)
+    snaps = spark.createDataFrame([row("ok", 200), row("gone", 404), row("busy", 503)], listing.SNAPSHOT)
+    asked = []
+
+    def refetch(some):
+        asked.extend(r.source_id for r in some.collect())
+        return some.withColumn("status", F.lit(200))
+
+    got = jobs.verify_with_retry(snaps, lambda s: listing.candidates(s.where("status = 200"), datetime(2026, 1, 1)), refetch)
+    assert {r.id: r.verdict for r in got.collect()} == {"ok": "ok", "gone": "unreachable", "busy": "ok"} and asked == ["busy"]
+
+
+def test_notifications_are_bounded(spark, tmp_path):
+    folder, posted = tmp_path / "lines", []
+    folder.mkdir()
+    (folder / "1.json").write_text("\n".join(json.dumps({"line": f"error {k} Bearer abc"}) for k in range(30)))
+    jobs.notifications(spark.readStream.schema("line string").json(str(folder)), posted.append, str(tmp_path / "cp")).awaitTermination()
+    assert len(posted) == 1 and posted[0].endswith("... 10 more") and "abc" not in posted[0]
+
+
 def test_stream_takes_each_url_once(spark, tmp_path):
     store, folder = SnapshotStore(spark, str(tmp_path / "store")), tmp_path / "in"
     folder.mkdir()

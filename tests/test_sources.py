@@ -20,7 +20,37 @@ def test_listing():
 
 def test_page_analysis():
     assert html.advertised_feeds(PAGE, "https://e.com/") == ["https://e.com/f.xml"]
-    assert ("ul.list a", 3) in [(s, n) for s, n, _ in html.selector_candidates(PAGE, "https://e.com/")]
+
+
+def test_selectors_match_a_walk_of_every_container(spark):
+    """Against a count of each container's own links, one container after the other."""
+    nested = "<div class=a>" * 40 + "".join(f"<a href=/{k}>x</a>" for k in range(9)) + "</div>" * 40
+    pages = [PAGE, nested, "<ul id=u>" + "".join(f"<li class=c{k % 2}><a href=/{k}>" for k in range(12)), "<p>none", "<main><a href=/1><a href=/2><a href=/3><section><a href=/1><a href=/4><a href=/5></section></main>"]
+    want = []
+    for page, text in enumerate(pages):
+        best, by_count = {}, {}
+        for node in html.parse(text).walk():
+            path, links = html._path(node), len({n.attrs["href"] for n in node.walk() if n.tag == "a" and n.attrs.get("href")})
+            if path and links >= 3:
+                best[path] = max(best.get(path, (0, 0)), (links, sum(1 for _ in node.ancestors())))
+        for path, (links, depth) in best.items():
+            if links not in by_count or depth > by_count[links][1]:
+                by_count[links] = (path, depth)
+        want += [(page, k, f"{path} a", links, depth) for k, (links, (path, depth)) in enumerate(sorted(by_count.items(), reverse=True)[:6])]
+    df = spark.createDataFrame([(k, "https://e.com/", t) for k, t in enumerate(pages)], "page_id long, url string, html string")
+    assert sorted(tuple(r) for r in listing.selectors(df).collect()) == want and len(want) >= 5
+
+
+def test_nested_pages_are_quick(spark):
+    import time
+
+    began = time.time()
+    deep = "<div>" * 2000 + "text " * 50 + "</div>" * 2000
+    assert html.main_text(deep)[0].startswith("text")
+    links = "".join(f"<div class=c><a href=/{k}>" for k in range(1200))
+    df = spark.createDataFrame([(1, "https://e.com/", links)], "page_id long, url string, html string")
+    assert listing.selectors(df).first().links == 1200
+    assert time.time() - began < 30
 
 
 def test_main_text():
@@ -53,17 +83,29 @@ def test_feeds():
 NOW = datetime(2026, 9, 13, tzinfo=UTC)
 
 
-@pytest.mark.parametrize("raw", [
-    '{"law_revisions":[{"law_id":"L1","law_name":"N1","amendment_date":"2026-09-10"},{"law_id":"L2","law_name":"N2","amendment_date":"2020-01-01"},{"lawId":"L3","law_info":{"law_title":"N3"}}]}',
-    "<r><law><LawId>L1</LawId><LawName>N1</LawName><Date>20260910</Date></law><law><LawId>L2</LawId><LawName>N2</LawName><Date>20200101</Date></law><law><LawId>L3</LawId><LawName>N3</LawName></law></r>",
-])
-def test_law_records(raw):
-    assert [(r["url"], r["title"]) for r in law.read(raw, NOW, 30)] == [(law.LAW_URL + "L1", "N1"), (law.LAW_URL + "L3", "N3")]
+def laws(spark, *raws):
+    """(payload's number, url, title, published) of all records."""
+    df = spark.createDataFrame([(str(k), bytearray(r.encode()), "application/json", 30) for k, r in enumerate(raws)], "source_id string, body binary, content_type string, lookback_days int")
+    return sorted((int(r.source_id), r.ord, r.url.removeprefix(law.LAW_URL), r.title, r.published_at) for r in law.records(df, NOW).collect())
+
+
+def test_law_records(spark):
+    got = laws(
+        spark,
+        '{"law_revisions":[{"law_id":"L1","law_name":"N1","amendment_date":"2026-09-10"},{"law_id":"L2","law_name":"N2","amendment_date":"2020-01-01"},{"lawId":"L3","law_info":{"law_title":"N3"}}]}',
+        "<r><law><LawId type='x'>L1</LawId><LawName>N1</LawName><Date>20260910</Date></law><law><LawId>L2</LawId><LawName>N2</LawName><Date>20200101</Date></law><law><LawId>L3</LawId><LawName lang='ja'>N3</LawName></law></r>",
+        '{"a":{"law_id":"A","name":"own","deep":{"law_name":"below","date":"x"}},"b":[{"law_num":"n"},{"law_id":"B"}]}',
+        '[{"law_id":"I1"},{"law_id":"I1"},{"law_id":2}]',
+        '{"date":"2026-09-01","promulgationdate":"2026-09-12","law_id":"D","name":"d"}',
+    )
+    day = datetime(2026, 9, 9, 15)
+    assert got[:4] == [(0, 0, "L1", "N1", day), (0, 1, "L3", "N3", None), (1, 0, "L1", "N1", day), (1, 1, "L3", "N3", None)]
+    assert got[4:] == [(2, 0, "A", "below", None), (3, 0, "I1", "I1", None), (3, 1, "2", "2", None), (4, 0, "D", "d", datetime(2026, 9, 11, 15))]
 
 
-@pytest.mark.parametrize("raw", ["", "1", "null", '"x"', "[]", "{}", '{"a":', "<", "[[[[[[[[[[[[[[{}]]]]]]]]]]]]]]", "[1,{\"a\":[null]}]"])
-def test_law_malformed(raw):
-    assert law.read(raw, NOW, 30) == []
+def test_law_malformed(spark):
+    raws = ["", "1", "null", '"x"', "[]", "{}", '{"a":', "<", "[[[[[[[[[[[[[[{}]]]]]]]]]]]]]]", '[1,{"a":[null]}]', "[" * 2000 + "]" * 2000]
+    assert laws(spark, *raws) == []
 
 
 def test_charset():
@@ -83,6 +125,50 @@ def test_candidates_from_snapshots(spark):
     assert status == {"h": (True, False, 2), "f": (True, False, 2), "n": (True, True, 0), "l": (True, False, 1)}
 
 
+def test_internal_addresses_are_not_fetched(monkeypatch):
+    reader = fetch.PoliteReader({"sources": "[]", "allow_network": "true"})
+    for url in ("http://127.0.0.1/", "http://[::1]/x", "http://100.64.0.9/", "http://169.254.169.254/latest/meta-data"):
+        assert reader._get(url, {})[-1] == "internal address"
+        with pytest.raises(fetch.Refused):
+            fetch.open_url(url, {})
+    with pytest.raises(fetch.Refused):
+        fetch._Redirects().redirect_request(None, None, 302, "", {}, "http://10.0.0.1/")
+
+
+def test_probe_asks_again_where_head_is_refused():
+    import io
+    import urllib.error
+
+    def opener(answers):
+        asked = []
+
+        def call(url, headers, method):
+            asked.append(method)
+            status = answers[method]
+            if status is None:
+                raise OSError("no route")
+            if status >= 400:
+                raise urllib.error.HTTPError(url, status, "x", {}, io.BytesIO())
+            r = io.BytesIO()
+            r.status = status
+            return r
+
+        return call, asked
+
+    for answers, status, methods in (({"HEAD": 200}, 200, ["HEAD"]), ({"HEAD": 405, "GET": 200}, 200, ["HEAD", "GET"]), ({"HEAD": 404}, 404, ["HEAD"]), ({"HEAD": 403, "GET": 403}, 403, ["HEAD", "GET"]), ({"HEAD": None}, None, ["HEAD"])):
+        call, asked = opener(answers)
+        assert fetch.probe("https://e.com/", call)[0] == status and asked == methods
+
+
+def test_no_more_hosts_at_once_than_allowed():
+    urls = [[str(k), f"https://h{k % 7}.example/{k}"] for k in range(20)]
+    import json
+
+    parts = fetch.PoliteReader({"sources": json.dumps(urls)}).partitions()
+    assert len(parts) == fetch.HOSTS_AT_ONCE and sorted(x for p in parts for h in p.hosts for x in h) == sorted(map(tuple, urls))
+    assert all(len({u.split("/")[2] for _, u in h}) == 1 for p in parts for h in p.hosts)
+
+
 def test_polite_source_is_off_by_default(spark):
     spark.dataSource.register(fetch.PoliteSource)
     df = spark.read.format("polite_http").option("sources", '[["a","https://x.example/1"],["b","https://y.example/"],["c","https://x.example/2"]]').load()

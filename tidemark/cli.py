@@ -75,8 +75,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=p
         return 0
     store = SnapshotStore(spark, a.store)
     if a.command == "collect":
-        n = jobs.collect(store, spark.read.schema(CANDIDATE).json(a.candidates), jobs.StubModel(), [c.id for c in channels], now)
-        out(f"{n} new items")
+        counts = jobs.collect(store, spark.read.schema(CANDIDATE).json(a.candidates), jobs.StubModel(), [c.id for c in channels], now)
+        out(json.dumps({k: v for k, v in counts.items() if v}))
         return 0
     if a.command == "summarise":
         ends = {c.id: jobs.summarise(store, c, a.date, jobs.StubModel(), now) for c in channels}

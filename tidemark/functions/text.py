@@ -56,6 +56,17 @@ def prefecture(region: Column) -> Column:
     return F.trim(F.regexp_extract(region, r"^([^(（]*)", 1))
 
 
+#: Tags whose content is no part of a page's text.
+NOISE = ("script", "style", "nav", "footer", "header", "aside", "noscript", "form", "iframe")
+
+
+def without_noise(page: Column) -> Column:
+    """A page's text by expressions alone, inside code generation: noise and tags go, white space is collapsed."""
+    for tag in NOISE:
+        page = F.regexp_replace(page, rf"(?s)<{tag}\b[^>]*>.*?</{tag}>", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(page, r"(?s)<[^>]*>", " "), r"[ \t\n\r]+", " "))
+
+
 def annotate_region(headline: Column, summary: Column, affected: Column, region: Column, limit: int = 40) -> Column:
     """`affected` with the region's prefecture put in front, where none of the three names it; at most `limit` long."""
     pref = prefecture(region)
@@ -74,6 +85,11 @@ def redact_map(values: Column) -> Column:
     return F.transform_values(values, lambda k, v: F.when(k.rlike(_SECRET_KEYS), F.lit("***")).otherwise(F.regexp_replace(v, _SECRET_SHAPES, "***")))
 
 
+def redacted(text: str) -> str:
+    """A message for logs and notifications, with secrets inside masked."""
+    return re.sub(_SECRET_SHAPES, "***", text)
+
+
 _ENTITY = re.compile(r"&(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);")
 
 

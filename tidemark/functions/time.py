@@ -76,17 +76,20 @@ _ERA_BASE_YEAR = 2018
 
 def page_date(text: Column) -> Column:
     """The first date in a text, the era form before the others; null where the first form found names no real day."""
-    get = lambda pattern, k: F.regexp_extract(text, pattern, k)
-    era = F.when(get(_ERA, 1) == "元", F.lit("1")).otherwise(get(_ERA, 1))
-    era_year = (era.try_cast("int") + _ERA_BASE_YEAR).cast("string")
-    return (
-        F.when(get(_ERA, 0) != "", _ymd(era_year, get(_ERA, 2), get(_ERA, 3)))
-        .when(get(_KANJI, 0) != "", _ymd(*(get(_KANJI, k) for k in (1, 2, 3))))
-        .when(get(_DELIMITED, 0) != "", _ymd(*(get(_DELIMITED, k) for k in (1, 2, 3))))
-    )
+    first = lambda pattern: F.regexp_extract(text, pattern, 0)
+    found = F.coalesce(*(F.nullif(first(p), F.lit("")) for p in (_ERA, _KANJI, _DELIMITED)))
+    # the match is short: what is between its numbers goes, and the era's first year is 1
+    parts = F.split(F.regexp_replace(F.regexp_replace(found, "元", "1"), "[^0-9]+", " "), " ")
+    numbers = F.filter(parts, lambda x: x != "")
+    era = found.rlike("^(令和|[Rr])")
+    year = F.get(numbers, 0).try_cast("int") + F.when(era, _ERA_BASE_YEAR).otherwise(0)
+    return _ymd(year.cast("string"), F.get(numbers, 1), F.get(numbers, 2))
 
 
 def compact_date(text: Column) -> Column:
     """YYYY-M-D, YYYY/M/D or YYYYMMDD as a date; else null."""
-    long, short = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})$", r"^(\d{4})(\d{2})(\d{2})$"
-    return F.when(text.rlike(long), _ymd(*(F.regexp_extract(text, long, k) for k in (1, 2, 3)))).when(text.rlike(short), _ymd(*(F.regexp_extract(text, short, k) for k in (1, 2, 3))))
+    plain = F.when(text.rlike(r"^\d{4}([-/]\d{1,2}[-/]\d{1,2}|\d{4})$"), text)
+    delimited = plain.rlike("[-/]")
+    parts = F.split(plain, "[-/]")
+    pick = lambda k, at, n: F.when(delimited, F.get(parts, k)).otherwise(F.substr(plain, F.lit(at), F.lit(n)))
+    return _ymd(pick(0, 1, 4), pick(1, 5, 2), pick(2, 7, 2))

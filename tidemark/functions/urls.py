@@ -118,8 +118,8 @@ def item_id(canonical: Column) -> Column:
 
 
 def host_of(url: Column) -> Column:
-    """The lower-case host; empty where the string is no URL."""
-    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    """The lower-case host, an IPv6 address in its brackets; empty where the string is no URL."""
+    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)", 1))
 
 
 def is_http(url: Column) -> Column:
@@ -133,13 +133,22 @@ def allowed(url: Column, include: Column, exclude: Column) -> Column:
     return ((F.size(include) == 0) | hit(include)) & ~hit(exclude)
 
 
-#: Address ranges that are not fetched.
-_INTERNAL = r"^(localhost|.*\.localhost|.*\.local|.*\.internal|0\..*|10\..*|127\..*|169\.254\..*|192\.168\..*|172\.(1[6-9]|2[0-9]|3[01])\..*|\[?::1\]?|\[?f[cd][0-9a-f]{2}:.*|\[?fe80:.*)$"
+#: Names and address ranges that are not fetched.
+INTERNAL = r"^(localhost|.*\.localhost|.*\.local|.*\.internal|0\.[0-9.]+|10\.[0-9.]+|127\.[0-9.]+|169\.254\.[0-9.]+|192\.168\.[0-9.]+|172\.(1[6-9]|2[0-9]|3[01])\.[0-9.]+|100\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.[0-9.]+|\[::1?\]|\[(fc|fd|fe80)[0-9a-f:%.a-z]*\]|\[::ffff:.*\])$"
 
 
 def is_internal(url: Column) -> Column:
-    """Whether a URL names a loopback, link-local or private host."""
-    return host_of(url).rlike(_INTERNAL)
+    """Whether a URL names a loopback, link-local, shared or private host; names are not looked up."""
+    return host_of(url).rlike(INTERNAL)
+
+
+def internal_host(url: str) -> bool:
+    """`is_internal` for one URL, on the worker that is about to fetch it."""
+    try:
+        host = (urlsplit(url).hostname or "").rstrip(".").lower()
+    except ValueError:
+        return True
+    return re.match(INTERNAL, f"[{host}]" if ":" in host else host) is not None
 
 
 def title_from_url(url: Column) -> Column:

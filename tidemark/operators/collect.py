@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-NEW_PER_SOURCE, RECHECK_PER_SOURCE, UPDATES_PER_SOURCE = 50, 5, 5
+NEW_PER_SOURCE, RECHECK_PER_SOURCE, UPDATES_PER_SOURCE = 50, 5, 50
 
 
 def first_per_key(rows: DataFrame, key: list[str], order: list[Column | str]) -> DataFrame:
@@ -45,10 +45,25 @@ def rechecks(known: DataFrame, refetched: DataFrame, limit: int = RECHECK_PER_SO
 
 
 def update_quota(known: DataFrame, changed: Column, limit: int = UPDATES_PER_SOURCE) -> DataFrame:
-    """Known candidates in listing order, as long as fewer than `limit` before them had changed; later ones wait."""
-    before = W.partitionBy("source_id").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
-    counted = known.withColumn("changed", changed.cast("int")).withColumn("before", F.coalesce(F.sum("changed").over(before), F.lit(0)))
-    return counted.where(F.col("before") < limit)
+    """Known candidates in listing order, as long as fewer than `limit` before them had changed; later ones wait. `before`
+    tells how many had. Of a source only the places of its first `limit` changed ones are gathered, ranked in every
+    task before the shuffle."""
+    rows = known.withColumn("changed", F.coalesce(changed.cast("int"), F.lit(0)))
+    first = rows.where("changed = 1").select("source_id", "ord", F.row_number().over(W.partitionBy("source_id").orderBy("ord")).alias("r")).where(F.col("r") <= limit)
+    places = first.groupBy("source_id").agg(F.collect_list("ord").alias("places"))
+    counted = rows.join(places, "source_id", "left").withColumn("before", F.size(F.filter(F.coalesce("places", F.array().cast("array<long>")), lambda x: x < F.col("ord"))).cast("long"))
+    return counted.where(F.col("before") < limit).drop("places")
+
+
+def source_names(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """rows with source_name: the name of their source, or its id where it is not configured."""
+    names = sources.select(F.col("id").alias("source_id"), F.col("name").alias("__name"))
+    return rows.join(names, "source_id", "left").withColumn("source_name", F.coalesce("__name", "source_id")).drop("__name")
+
+
+def counted_first(rows: DataFrame, key: list[str], order: str) -> DataFrame:
+    """Per key the least of `order` and the number of rows, as `n`; summed up in every task first."""
+    return rows.groupBy(*key).agg(F.min(order).alias(order), F.count("*").alias("n"))
 
 
 def apply_updates(pairs: DataFrame, now: Column, compat: bool = True) -> DataFrame:
@@ -80,7 +95,8 @@ def apply_updates(pairs: DataFrame, now: Column, compat: bool = True) -> DataFra
 
 
 def unclassified_queue(items: DataFrame, since: Column, limit: int, batch: int = 20) -> DataFrame:
-    """Unclassified items updated at or after `since`, oldest first, at most `limit`, with their batch's number."""
+    """Unclassified items updated at or after `since`, oldest first, at most `limit`, with their batch's number. The limit
+    bounds what is numbered in one task."""
     if limit <= 0:
         return items.where(F.lit(False)).withColumn("batch_id", F.lit(0))
     queue = items.where(F.col("classified_at").isNull() & (F.col("updated_at") >= since)).orderBy("updated_at", "id").limit(limit)

@@ -6,20 +6,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .store import ordinals
+
 FAILURE_THRESHOLD, EMPTY_THRESHOLD = 3, 4
 
 
-def streaks(fetches: DataFrame) -> DataFrame:
+def _run_lengths(rows: DataFrame, counts: Column, resets: Column, name: str) -> DataFrame:
+    """rows (source_id, __block, ts, seq) with `name`: how many rows that count there were since the last that resets.
+
+    A source's rows are numbered by block; what a block hands on to the next one follows from sums of blocks, so a
+    source with very many rows is never in one task as a whole.
+    """
+    place = W.partitionBy("source_id", "__block").orderBy("ts", "seq").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumns({"__c": F.coalesce(counts, F.lit(False)).cast("int"), "__r": F.coalesce(resets, F.lit(False)).cast("int")})
+    rows = rows.withColumn("__g", F.sum("__r").over(place))
+    inside = W.partitionBy("source_id", "__block", "__g").orderBy("ts", "seq").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("__n", F.sum("__c").over(inside))
+    last = F.struct("ts", "seq")
+    blocks = rows.groupBy("source_id", "__block").agg(F.max("__r").alias("any"), F.max_by("__n", last).alias("tail"))
+    by = W.partitionBy("source_id").orderBy("__block")
+    blocks = blocks.withColumn("group", F.sum("any").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    sums = F.sum("tail").over(W.partitionBy("source_id", "group").orderBy("__block").rowsBetween(W.unboundedPreceding, 0))
+    carry = blocks.withColumn("end", sums).select("source_id", "__block", F.coalesce(F.lag("end").over(by), F.lit(0)).alias("__carry"))
+    rows = rows.join(carry, ["source_id", "__block"])
+    return rows.withColumn(name, (F.col("__n") + F.when(F.col("__g") == 0, F.col("__carry")).otherwise(0)).cast("int")).drop("__c", "__r", "__g", "__n", "__carry")
+
+
+def streaks(fetches: DataFrame, block: str = "day") -> DataFrame:
     """fetches (source_id, ts, seq, failed, empty) with failures and empties: the lengths of the unbroken runs that end
     there. A success ends failures; an empty listing counts up, any other success resets it; a failure leaves it."""
-    order = W.partitionBy("source_id").orderBy("ts", "seq")
-    so_far = order.rowsBetween(W.unboundedPreceding, 0)
-    rows = fetches.withColumns({"__f": F.sum((~F.col("failed")).cast("int")).over(so_far), "__e": F.sum((~F.col("failed") & ~F.col("empty")).cast("int")).over(so_far)})
-    run = lambda key: W.partitionBy("source_id", key).orderBy("ts", "seq").rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumns({
-        "failures": F.sum(F.col("failed").cast("int")).over(run("__f")).cast("int"),
-        "empties": F.sum((~F.col("failed") & F.col("empty")).cast("int")).over(run("__e")).cast("int"),
-    }).drop("__f", "__e")
+    rows = fetches.withColumn("__block", F.date_trunc(block, F.col("ts")))
+    failed, empty = F.col("failed"), F.col("empty")
+    rows = _run_lengths(rows, failed, ~failed, "failures")
+    return _run_lengths(rows, ~failed & empty, ~failed & ~empty, "empties").drop("__block")
 
 
 def alerts_at(count: Column, threshold: int) -> Column:
@@ -56,3 +75,22 @@ def run_status(job: str, total: Column, failed: Column, sent: Column, errors: Co
         return F.when(errors == 0, "succeeded").when(sent > 0, "partial").otherwise("failed")
     none_left = failed == total if job == "collect" else (total > 0) & (failed == total)
     return F.when(none_left, "failed").when((failed > 0) | (errors > 0), "partial").otherwise("succeeded")
+
+
+def report(states: DataFrame) -> DataFrame:
+    """Failing sources with their position: most failures first, then by id. Positions follow from the numbers of sources by
+    failures and by range of ids, so no task numbers all of them."""
+    failing = states.where("consecutive_failures > 0").withColumn("__range", F.floor(F.col("source_id") / 4096))
+    return ordinals(failing, [F.desc("consecutive_failures"), F.col("__range")], ["consecutive_failures", "__range"], [F.col("source_id")], "position").drop("__range")
+
+
+def from_states(fetches: DataFrame, day: Column) -> DataFrame:
+    """Coverage of days without a run: per day how many sources succeeded, and the last success."""
+    ok = fetches.where("not failed").groupBy(day.alias("day"), "source_id").agg(F.max("ts").alias("last"))
+    return ok.groupBy("day").agg(F.count("*").alias("succeeded"), F.max("last").alias("last_success_at"))
+
+
+def named_states(states: DataFrame, sources: DataFrame) -> DataFrame:
+    """The states of enabled sources only, with their names. sources: id, name, enabled."""
+    wanted = sources.where("enabled").select(F.col("id").alias("source_id"), "name")
+    return states.join(wanted, "source_id")

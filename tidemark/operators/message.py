@@ -42,7 +42,8 @@ def omitted_line(t: Template, n: Column) -> Column:
 
 
 def fit(entries: DataFrame, t: Template, header: Column, omitted: Column, limit: int = LIMIT) -> DataFrame:
-    """Per digest: digest_id, n_kept, dropped, message, fits; the entries that fit, least important dropped first.
+    """Per digest: digest_id, n_kept, dropped, message, kept; the entries that fit, least important dropped first. `kept` has
+    their item_ids, where entries have one.
 
     Dropping one entry after another removes the lowest importance, the last of equal ones, so what is left is
     always a prefix of (importance, position). The length for every prefix follows from running sums, and the
@@ -67,10 +68,15 @@ def fit(entries: DataFrame, t: Template, header: Column, omitted: Column, limit:
     cut = F.when(keep_chars > 0, F.concat(F.left(summary, keep_chars), F.lit(ELLIPSIS))).otherwise("")
     rows = rows.withColumn("summary", F.when(alone & (over > 0), cut).otherwise(F.col("summary")))
     block = F.struct("number", entry_block(t, F.col("number")).alias("text"))
-    out = rows.groupBy("digest_id").agg(F.first("header").alias("header"), F.first("omitted").alias("omitted"), F.first("size").alias("size"), F.count("*").alias("n_kept"), F.sort_array(F.collect_list(block)).alias("blocks"))
+    out = rows.groupBy("digest_id").agg(F.first("header").alias("header"), F.first("omitted").alias("omitted"), F.first("size").alias("size"), F.count("*").alias("n_kept"), F.sort_array(F.collect_list(block)).alias("blocks"), *([F.collect_list("item_id").alias("kept")] if "item_id" in entries.columns else []))
     text = F.concat_ws("\n\n", "header", F.array_join(F.transform("blocks", lambda b: b["text"]), "\n\n"), omitted_line(t, F.col("omitted") + F.col("size") - F.col("n_kept")), F.lit(t.closing))
     fits = F.char_length(text) <= limit
-    return out.select("digest_id", F.col("n_kept").cast("int"), (F.col("size") - F.col("n_kept")).cast("int").alias("dropped"), F.when(fits, text).otherwise(F.concat(F.left(text, F.lit(max(0, limit - 1))), F.lit(ELLIPSIS))).alias("message"))
+    return out.select("digest_id", F.col("n_kept").cast("int"), (F.col("size") - F.col("n_kept")).cast("int").alias("dropped"), F.when(fits, text).otherwise(F.concat(F.left(text, F.lit(max(0, limit - 1))), F.lit(ELLIPSIS))).alias("message"), *(["kept"] if "item_id" in entries.columns else []))
+
+
+def shortened(entries: DataFrame, chars: int) -> DataFrame:
+    """entries with their summaries cut to so many code points, as messages show them."""
+    return entries.withColumn("summary", F.left("summary", F.lit(chars)))
 
 
 def _digits_up_to(k: Column) -> Column:
@@ -82,7 +88,11 @@ def empty_message(t: Template, header: Column) -> Column:
     return F.concat_ws("\n\n", header, F.lit(t.empty), F.lit(t.closing))
 
 
-def ops_body(lines: Column, max_lines: int = 20, max_chars: int = 3000) -> Column:
+#: Lines and characters of a notification.
+OPS_LINES, OPS_CHARS = 20, 3000
+
+
+def ops_body(lines: Column, max_lines: int = OPS_LINES, max_chars: int = OPS_CHARS) -> Column:
     """A notification's body: at most `max_lines` lines, the number of the rest, and at most `max_chars`."""
     rest = F.size(lines) - max_lines
     shown = F.array_join(F.slice(lines, 1, max_lines), "\n")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import one_line
 from ..functions.time import valid_date
+from .store import ordinals
 
 RESULT = "array<struct<id: string, channels: array<string>, relevance: double, importance: string, kind: string, isDuplicateOfNational: boolean, effectiveDate: string, deadline: string, reason: string>>"
 IMPORTANCE = ("low", "medium", "high")
@@ -62,9 +63,19 @@ def merged_text(parts: DataFrame, key: str, order: str, text: str, separator: st
     return rows.select(key, F.array_join(F.transform("__parts", lambda p: p[text]), separator).alias("merged"))
 
 
-def usage(calls: DataFrame) -> DataFrame:
-    """Sums of token usage; null where no call reported any."""
-    return calls.agg(*(F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens")))
+USAGE = ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens")
+
+
+def usage(calls: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """Sums of token usage and calls by key; a sum is null where no call reported any."""
+    return calls.groupBy(*keys).agg(*(F.sum(c).cast("long").alias(c) for c in USAGE if c in calls.columns), F.count("*").alias("calls"))
+
+
+def batched(rows: DataFrame, key: str = "id", size: int = 20) -> DataFrame:
+    """rows with the number of their batch, `size` at a time in order of a numeric key, whatever gaps it has."""
+    ranged = rows.withColumn("__range", F.floor(F.col(key) / 4096))
+    numbered = ordinals(ranged, [F.col("__range")], ["__range"], [F.col(key)], "__k")
+    return numbered.withColumn("batch_id", F.floor((F.col("__k") - 1) / size).cast("long")).drop("__range", "__k")
 
 
 def omitted(by_model: Column, by_gate: Column, over_top: Column, over_cap: Column, by_fit: Column) -> Column:

@@ -38,3 +38,11 @@ def error_windows(log: DataFrame, width: str, keys: list[str], threshold: int =
     w = F.window(F.col("ts").cast("timestamp"), width)
     rows = log.where("failed").groupBy(w.alias("w"), *keys).agg(F.count("*").alias("errors")).where(F.col("errors") >= threshold)
     return rows.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), *keys, "errors")
+
+
+def missing_days(log: DataFrame, sent: Column, least: int) -> DataFrame:
+    """Days of a log's span (ts) on which fewer than `least` rows of `sent` were logged, days without any row too."""
+    span = log.agg(F.min("ts").cast("date").alias("a"), F.max("ts").cast("date").alias("b"))
+    days = span.select(F.explode(F.sequence("a", "b")).alias("day"))
+    done = log.where(sent).groupBy(F.col("ts").cast("date").alias("day")).agg(F.count("*").alias("n"))
+    return days.join(done, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("sent")).where(F.col("sent") < least)

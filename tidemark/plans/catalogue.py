@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,11 +12,11 @@ from ..functions import text as tx
 from ..functions import time as tm
 from ..functions import urls
 from ..operators import collect, config, delivery, gate, health, message, model, runs, select, store
+from ..streaming import health as streams
 from . import standins as si
+from .registry import ORACLE_SQL, QUERIES, query
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 #: Latin stand-ins for the banned expressions, as the driver's texts have no other script.
 LATIN_BANNED = ("thation", "(when|that) an", "ouelle", "keit der", "mente el")
@@ -39,16 +38,6 @@ def _sql(c: str) -> str:
     return f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c}"
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # URLs and listings
 
 _PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
@@ -86,8 +75,7 @@ def url_item_id(spark, sf_dir):
 
 @query(f"WITH {CANONICAL} SELECT canonical_url, min(page_id) AS page_id, count(*) AS n FROM canonical GROUP BY canonical_url")
 def url_dedupe_first(spark, sf_dir):
-    rows = _canonical(spark, sf_dir).withColumn("n", F.count("*").over(W.partitionBy("canonical_url")))
-    return collect.first_per_key(rows, ["canonical_url"], ["page_id"]).select("canonical_url", "page_id", "n")
+    return collect.counted_first(_canonical(spark, sf_dir), ["canonical_url"], "page_id")
 
 
 @query(f"WITH {LINKS} SELECT page_id, href, min(ord) AS ord FROM links WHERE href <> '' GROUP BY ALL")
@@ -101,7 +89,7 @@ def link_include_exclude(spark, sf_dir):
     return _links(spark, sf_dir).where(keep).select("page_id", F.col("ord").cast("long"), "href")
 
 
-_NOISE = ("script", "style", "nav", "footer", "header", "aside", "noscript", "form", "iframe")
+_NOISE = tx.NOISE
 
 
 @query(
@@ -110,11 +98,7 @@ _NOISE = ("script", "style", "nav", "footer", "header", "aside", "noscript", "fo
     + f" SELECT page_id, length(trim(regexp_replace(regexp_replace(h, '(?s)<[^>]*>', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g'))) AS n_chars, sha256(trim(regexp_replace(regexp_replace(h, '(?s)<[^>]*>', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g'))) AS text_sha256 FROM t{len(_NOISE)}"
 )
 def page_text_noise_stripped(spark, sf_dir):
-    h = F.col("html")
-    for tag in _NOISE:
-        h = F.regexp_replace(h, rf"(?s)<{tag}\b[^>]*>.*?</{tag}>", " ")
-    text = F.trim(F.regexp_replace(F.regexp_replace(h, r"(?s)<[^>]*>", " "), r"[ \t\n\r]+", " "))
-    rows = si.table(spark, sf_dir, "pages").select("page_id", text.alias("t"))
+    rows = si.table(spark, sf_dir, "pages").select("page_id", tx.without_noise(F.col("html")).alias("t"))
     return rows.select("page_id", F.char_length("t").cast("long").alias("n_chars"), F.sha2(F.col("t").cast("binary"), 256).alias("text_sha256"))
 
 
@@ -155,7 +139,7 @@ def recheck_oldest_k(spark, sf_dir):
 
 @query("""WITH k AS (SELECT doc_id, source, CAST(doc_id % 3 = 0 AS INT) AS changed FROM documents),
     b AS (SELECT *, coalesce(sum(changed) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k)
-    SELECT doc_id, source, changed, CAST(before AS BIGINT) AS before FROM b WHERE before < 5""")
+    SELECT doc_id, source, changed, CAST(before AS BIGINT) AS before FROM b WHERE before < 50""")
 def update_quota_running(spark, sf_dir):
     known = si.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("source_id"), F.col("doc_id").alias("ord"))
     return collect.update_quota(known, F.col("doc_id") % 3 == 0).select("doc_id", F.col("source_id").alias("source"), "changed", "before")
@@ -182,9 +166,9 @@ def item_update_projection(spark, sf_dir):
 @query("""WITH s AS (SELECT DISTINCT source, 'Source ' || source AS name FROM documents WHERE source NOT IN ('src3', 'src7'))
     SELECT d.doc_id, coalesce(s.name, d.source) AS source_name FROM documents d LEFT JOIN s ON d.source = s.source""")
 def source_name_left_join(spark, sf_dir):
-    d = si.table(spark, sf_dir, "documents")
-    names = d.where(~F.col("source").isin("src3", "src7")).select("source").distinct().withColumn("name", F.concat(F.lit("Source "), F.col("source")))
-    return d.join(names, "source", "left").select("doc_id", F.coalesce("name", "source").alias("source_name"))
+    d = si.table(spark, sf_dir, "documents").withColumnRenamed("source", "source_id")
+    configured = d.where(~F.col("source_id").isin("src3", "src7")).select(F.col("source_id").alias("id")).distinct().withColumn("name", F.concat(F.lit("Source "), F.col("id")))
+    return collect.source_names(d, configured).select("doc_id", "source_name")
 
 
 @query(f"""WITH {si.ITEMS}, q AS (SELECT id, updated_at FROM items WHERE classified_at IS NULL AND updated_at >= TIMESTAMP '2024-01-10' ORDER BY updated_at, id LIMIT 200)
@@ -204,14 +188,12 @@ def window_fresh(spark, sf_dir):
 
 @query("SELECT CAST(CAST(ts + INTERVAL 2 HOUR AS DATE) + 1 AS VARCHAR) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def business_day_counts(spark, sf_dir):
-    e = si.table(spark, sf_dir, "events")
-    return e.groupBy(tm.business_day(F.col("ts")).cast("string").alias("day"), "event_type").agg(F.count("*").alias("n"))
+    return streams.business_days(si.table(spark, sf_dir, "events"), ["event_type"])
 
 
 @query(f"SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts >= TIMESTAMP '{WEEK_START}' AND ts < TIMESTAMP '{END}' GROUP BY ALL")
 def weekly_window_counts(spark, sf_dir):
-    e = si.table(spark, sf_dir, "events").where((F.col("ts") >= _ts(WEEK_START)) & (F.col("ts") < _ts(END)))
-    return e.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return streams.sliding_totals(si.table(spark, sf_dir, "events"), _ts(WEEK_START), _ts(END))
 
 
 # Selection
@@ -360,21 +342,34 @@ def _header() -> Column:
     return F.concat(F.lit(_T.header), F.col("digest_id").cast("string"))
 
 
-@query(f"""WITH {si.ENTRIES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY digest_id ORDER BY importance_rank DESC, idx) AS r, count(*) OVER (PARTITION BY digest_id) AS size FROM entries),
+#: Entries of messages show at most so many code points of a summary.
+SHOWN = 200
+_SHOWN = si.ENTRIES + f", shown AS (SELECT * REPLACE (left(summary, {SHOWN}) AS summary) FROM entries)"
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return message.shortened(rows, SHOWN)
+
+
+@query(f"""WITH {_SHOWN}, ranked AS (SELECT *, row_number() OVER (PARTITION BY digest_id ORDER BY importance_rank DESC, idx) AS r, count(*) OVER (PARTITION BY digest_id) AS size FROM shown),
 prefixes AS (SELECT a.*, b.r AS k FROM ranked a JOIN (SELECT digest_id, r FROM ranked) b ON a.digest_id = b.digest_id AND a.r <= b.r),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY digest_id, k ORDER BY idx) AS number FROM prefixes),
 texts AS (SELECT digest_id, k, any_value(size) AS size, {_MESSAGE('(any_value(size) - k)')} AS message FROM (SELECT *, {_BLOCK} AS block FROM numbered) GROUP BY digest_id, k)
 SELECT digest_id, CAST(max(k) AS INTEGER) AS n_kept, CAST(any_value(size) - max(k) AS INTEGER) AS dropped, sha256(arg_max(message, k)) AS message_sha256 FROM texts WHERE length(message) <= 3000 GROUP BY digest_id""")
 def fit_to_limit(spark, sf_dir):
-    out = message.fit(si.entries(spark, sf_dir), _T, _header(), F.lit(0), 3000)
+    out = message.fit(_shown(si.entries(spark, sf_dir)), _T, _header(), F.lit(0), 3000)
     return out.select("digest_id", "n_kept", "dropped", F.sha2(F.col("message").cast("binary"), 256).alias("message_sha256"))
 
 
-@query(f"""WITH {si.ENTRIES}, numbered AS (SELECT *, row_number() OVER (PARTITION BY digest_id ORDER BY idx) AS number FROM entries WHERE idx % 20 < 3),
-    blocks AS (SELECT *, {_BLOCK} AS block FROM numbered) SELECT digest_id, {_MESSAGE('2')} AS message FROM blocks GROUP BY digest_id""")
+@query(f"""WITH {_GATE}, base AS (SELECT * REPLACE (left(summary, {SHOWN}) AS summary), count(*) FILTER (failed IS NOT NULL) OVER (PARTITION BY digest_id) AS by_gate FROM checked),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY digest_id ORDER BY importance_rank DESC, idx) AS r, count(*) OVER (PARTITION BY digest_id) AS size FROM base WHERE failed IS NULL),
+prefixes AS (SELECT a.*, b.r AS k FROM ranked a JOIN (SELECT digest_id, r FROM ranked) b ON a.digest_id = b.digest_id AND a.r <= b.r),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY digest_id, k ORDER BY idx) AS number FROM prefixes),
+texts AS (SELECT digest_id, k, {_MESSAGE('(any_value(by_gate) + any_value(size) - k)')} AS message FROM (SELECT *, {_BLOCK} AS block FROM numbered) GROUP BY digest_id, k)
+SELECT digest_id, arg_max(message, k) AS message FROM texts WHERE length(message) <= {message.LIMIT} GROUP BY digest_id""")
 def digest_message(spark, sf_dir):
-    few = si.entries(spark, sf_dir).where("idx % 20 < 3")
-    return message.fit(few, _T, _header(), F.lit(2)).select("digest_id", "message")
+    checked = _checked(spark, sf_dir).withColumn("by_gate", F.count_if(F.col("failed").isNotNull()).over(W.partitionBy("digest_id")))
+    return message.fit(_shown(checked.where("failed is null")), _T, _header(), F.col("by_gate")).select("digest_id", "message")
 
 
 # Health
@@ -402,9 +397,7 @@ def source_state_latest(spark, sf_dir):
 @query(f"""WITH {si.STATES} SELECT source_id, consecutive_failures, CAST(row_number() OVER (ORDER BY consecutive_failures DESC, source_id) AS INTEGER) AS position
     FROM states WHERE consecutive_failures > 0""")
 def health_report(spark, sf_dir):
-    order = [F.desc("consecutive_failures"), F.col("source_id")]
-    # a row for each failing source, of tens of configured sources
-    return _states(spark, sf_dir).where("consecutive_failures > 0").withColumn("position", F.row_number().over(W.orderBy(*order))).select("source_id", "consecutive_failures", "position")
+    return health.report(_states(spark, sf_dir)).select("source_id", "consecutive_failures", "position")
 
 
 @query(f"WITH {si.STATES} SELECT source_id, consecutive_empty FROM states WHERE consecutive_failures = 0 AND consecutive_empty >= 1")
@@ -422,8 +415,8 @@ def coverage_summary(spark, sf_dir):
 @query("""WITH s AS (SELECT CAST(ts + INTERVAL 9 HOUR AS DATE) AS day, user_id, max(ts) AS last FROM events WHERE event_type <> 'error' GROUP BY ALL)
     SELECT CAST(day AS VARCHAR) AS day, count(*) AS succeeded, strftime(max(last), '%Y-%m-%d %H:%M:%S') AS last_success_at FROM s GROUP BY day""")
 def coverage_fallback(spark, sf_dir):
-    ok = si.fetches(spark, sf_dir).where("not failed").groupBy(tm.local_date(F.col("ts")).alias("day"), "source_id").agg(F.max("ts").alias("last"))
-    return ok.groupBy("day").agg(F.count("*").alias("succeeded"), F.max("last").alias("last_success_at")).select(F.col("day").cast("string").alias("day"), "succeeded", _show("last_success_at"))
+    out = health.from_states(si.fetches(spark, sf_dir), tm.local_date(F.col("ts")))
+    return out.select(F.col("day").cast("string").alias("day"), "succeeded", _show("last_success_at"))
 
 
 @query(f"""WITH {si.RUNS} SELECT CAST(day AS VARCHAR) AS day, id,
@@ -439,11 +432,8 @@ def run_status(spark, sf_dir):
     s AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE event_type = 'purchase' AND value > 200 GROUP BY ALL)
     SELECT CAST(days.day AS VARCHAR) AS day, coalesce(n, 0) AS sent FROM days LEFT JOIN s ON s.day = days.day WHERE coalesce(n, 0) < 3""")
 def delivery_missing_days(spark, sf_dir):
-    e = si.table(spark, sf_dir, "events")
-    span = e.agg(F.min("ts").cast("date").alias("a"), F.max("ts").cast("date").alias("b"))
-    days = span.select(F.explode(F.sequence("a", "b")).alias("day"))
-    sent = e.where("event_type = 'purchase' and value > 200").groupBy(F.col("ts").cast("date").alias("day")).agg(F.count("*").alias("n"))
-    return days.join(sent, "day", "left").select(F.col("day").cast("string").alias("day"), F.coalesce("n", F.lit(0)).alias("sent")).where("sent < 3")
+    out = runs.missing_days(si.table(spark, sf_dir, "events"), F.expr("event_type = 'purchase' and value > 200"), 3)
+    return out.select(F.col("day").cast("string").alias("day"), "sent")
 
 
 # Delivery, store, configuration
@@ -478,23 +468,24 @@ def config_duplicates(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT c_custkey AS id, [CAST(c_nationkey AS VARCHAR), CAST(c_nationkey * 2 AS VARCHAR)] AS channels FROM customer),
-    p AS (SELECT DISTINCT id, unnest(channels) AS ch FROM s), n AS (SELECT CAST(n_nationkey AS VARCHAR) AS ch FROM nation WHERE n_nationkey % 5 <> 0)
+    p AS (SELECT DISTINCT id, unnest(channels) AS ch FROM s), n AS (SELECT CAST(n_nationkey AS VARCHAR) AS ch FROM nation WHERE n_nationkey % 5 <> 0 UNION ALL SELECT 'spare')
     SELECT CAST(id AS VARCHAR) AS source_id, p.ch AS channel_id, 'undefined' AS problem FROM p LEFT JOIN n ON n.ch = p.ch WHERE n.ch IS NULL
-    UNION ALL SELECT NULL, n.ch, 'unreferenced' FROM n WHERE ch NOT IN (SELECT ch FROM p WHERE id % 50 < 3)""")
+    UNION ALL SELECT NULL, n.ch, 'unreferenced' FROM n WHERE ch NOT IN (SELECT ch FROM p)""")
 def config_unreferenced(spark, sf_dir):
     refs = F.array(F.col("c_nationkey").cast("string"), (F.col("c_nationkey") * 2).cast("string"))
     s = si.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), refs.alias("channels"))
     n = si.table(spark, sf_dir, "nation").where("n_nationkey % 5 <> 0").select(F.col("n_nationkey").cast("string").alias("id"))
+    n = n.unionAll(spark.createDataFrame([("spare",)], "id string"))  # a channel that no source feeds
     undefined = config.undefined_references(s, n).select(F.col("source_id").cast("string").alias("source_id"), "channel_id", F.lit("undefined").alias("problem"))
-    idle = config.unreferenced_channels(s.where("id % 50 < 3"), n).select(F.lit(None).cast("string").alias("source_id"), F.col("id").alias("channel_id"), F.lit("unreferenced").alias("problem"))
+    idle = config.unreferenced_channels(s, n).select(F.lit(None).cast("string").alias("source_id"), F.col("id").alias("channel_id"), F.lit("unreferenced").alias("problem"))
     return undefined.unionAll(idle)
 
 
-@query("""SELECT role, count(*) AS calls, CAST(sum(length(text)) FILTER (turn % 2 = 1) AS BIGINT) AS output_chars, array_to_string(list_sort(list(DISTINCT CAST(turn AS VARCHAR))), '+') AS turns
-    FROM conversations GROUP BY role""")
+@query("""SELECT role, count(*) AS calls, CAST(sum(length(text)) FILTER (turn % 2 = 1) AS BIGINT) AS input_tokens, CAST(sum(length(text)) FILTER (turn > 100000) AS BIGINT) AS output_tokens FROM conversations GROUP BY role""")
 def token_usage_rollup(spark, sf_dir):
-    c = si.table(spark, sf_dir, "conversations")
-    return c.groupBy("role").agg(F.count("*").alias("calls"), F.sum(F.when(F.col("turn") % 2 == 1, F.char_length("text"))).cast("long").alias("output_chars"), F.array_join(F.array_sort(F.collect_set(F.col("turn").cast("string"))), "+").alias("turns"))
+    n, turn = F.char_length("text"), F.col("turn")
+    c = si.table(spark, sf_dir, "conversations").select("role", F.when(turn % 2 == 1, n).alias("input_tokens"), F.when(turn > 100_000, n).alias("output_tokens"))
+    return model.usage(c, ["role"])
 
 
 # Model results, runs, calendar
@@ -503,11 +494,8 @@ def token_usage_rollup(spark, sf_dir):
 @query("""WITH a AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 20 AS batch_id FROM documents)
     SELECT CAST(batch_id AS BIGINT) AS batch_id, count(*) AS asked, count(*) FILTER (l.doc_id IS NULL) AS missing FROM a LEFT JOIN labels l ON a.doc_id = l.doc_id GROUP BY batch_id""")
 def model_results_missing(spark, sf_dir):
-    d = si.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
-    first = d.agg(F.min("id")).scalar()
-    # ids are dense from the least on, so the batch follows without a sort of all rows
-    asked = d.select("id", F.floor((F.col("id") - first) / 20).cast("long").alias("batch_id"))
-    got = si.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.floor((F.col("doc_id") - first) / 20).cast("long").alias("batch_id"), F.lit(1.0).alias("relevance"))
+    asked = model.batched(si.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")))
+    got = asked.join(si.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), "id", "left_semi").withColumn("relevance", F.lit(1.0))
     return model.missing(model.join_results(asked, got))
 
 
@@ -587,15 +575,14 @@ def multi_get_order(spark, sf_dir):
 
 @query(f"""WITH {si.RUNS} SELECT id, {_sql('started_at')}, CAST(row_number() OVER (ORDER BY runs.started_at DESC, id DESC) AS INTEGER) AS position FROM runs WHERE day = DATE '2024-01-15'""")
 def runs_newest_first(spark, sf_dir):
-    r = si.runs(spark, sf_dir).where("day = date'2024-01-15'")
-    # a day's runs are few: jobs times the day's schedule
-    return r.withColumn("position", F.row_number().over(W.orderBy(F.desc("started_at"), F.desc("id")))).select("id", _show("started_at"), "position")
+    return store.list_runs(si.runs(spark, sf_dir), "2024-01-15").select("id", _show("started_at"), "position")
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0)")
+@query("SELECT CAST(id AS VARCHAR) AS id FROM (SELECT c_custkey AS id FROM customer UNION ALL SELECT c_custkey + 10000000 FROM customer) WHERE id NOT IN (SELECT o_custkey FROM orders)")
 def requested_unknown(spark, sf_dir):
-    asked = si.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
-    known = si.table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("id"))
+    customers = si.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    asked = customers.unionAll(customers.select(F.col("id") + 10_000_000))
+    known = si.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"))
     return config.unknown_requested(known, asked).select(F.col("id").cast("string").alias("id"))
 
 

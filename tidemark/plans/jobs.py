@@ -1,4 +1,4 @@
-"""The three jobs over a snapshot store: collect, summarise, deliver.
+"""The jobs over a snapshot store: collect, summarise, deliver, and the verification of sources.
 
 A model and a sender are interfaces. They are called from the driver, for bounded numbers of rows, and never from
 tasks, which Spark may run twice.
@@ -6,18 +6,23 @@ tasks, which Spark may run twice.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
+from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.text import truncate
+from ..functions.text import content_hash, redacted, truncate
 from ..operators import collect as co
-from ..operators import delivery, gate, message, select
-from ..operators.store import SnapshotStore, mark
+from ..operators import delivery, gate, health, message, runs, select
+from ..operators import model as results
+from ..operators.store import SnapshotStore, mark, unmark
+from ..sources.fetch import retryable
 from ..streaming.collect import items_of
 
 EXCERPT = 3000
@@ -59,63 +64,179 @@ _EMPTY = {
 }
 
 
-def collect(store: SnapshotStore, candidates: DataFrame, model: Model, channels: list[str], now: datetime, limit: int = co.NEW_PER_SOURCE) -> int:
-    """Add new items, the first `limit` of each source, and classify what waits. Returns the number of new items."""
-    known = store.read("items")
-    found = items_of(candidates, now)
-    fresh = found if known is None else co.new_candidates(found, known)
-    fresh = co.capped_new(fresh, limit).drop("ord", "rank", "overflow")
-    fresh = fresh.withColumns({c: F.array().cast(t) if c == "digested_in" else F.lit(None).cast(t) for c, t in _EMPTY.items()})
-    store.commit("items", fresh if known is None else known.unionByName(fresh))
-    rows = store.read("items")
-    waiting = rows.where("classified_at is null")
-    labels = [c for c in _EMPTY if c not in ("region", "classified_at", "digested_in")]
-    got = model.classify(waiting, channels).select("id", *(F.col(c).alias(f"__{c}") for c in labels))
-    merged = rows.join(got, "id", "left")
-    hit = F.col("__relevance").isNotNull() & F.col("classified_at").isNull()
-    merged = merged.withColumns({c: F.when(hit, F.col(f"__{c}")).otherwise(F.col(c)) for c in labels} | {"classified_at": F.when(hit, _at(now)).otherwise(F.col("classified_at"))})
-    store.commit("items", merged.select(rows.columns))
-    return rows.count() - (0 if known is None else known.count())
-
-
-def summarise(store: SnapshotStore, channel: select.Channel, day: date, model: Model, now: datetime, reach: Callable[[DataFrame], DataFrame] | None = None) -> str:
-    """Build a channel's digest of a day, and return its status. Items are marked before the digest is stored, so a
-    crash between the two can't send them twice."""
+#: Unclassified items, at most, that a run asks the model about, and how many at a time.
+CLASSIFY_LIMIT, CLASSIFY_BATCH = 200, 20
+_LABELS = [c for c in _EMPTY if c not in ("region", "classified_at", "digested_in")]
+#: One attempt, and the pauses in seconds before further ones.
+SEND_PAUSES = (2, 4, 8)
+
+Refetch = Callable[[DataFrame], DataFrame]
+
+
+def _state(old: DataFrame | None, fetches: DataFrame, now: datetime) -> DataFrame:
+    """Source states after a run: fetches has source_id, ok, not_modified, n_candidates and, where known, etag and
+    last_modified. A failure counts up and leaves empty listings as they are; an unchanged page is neither empty nor full."""
+    names = [c for c in ("etag", "last_modified") if c in fetches.columns]
+    got = fetches.select("source_id", "ok", "not_modified", "n_candidates", *names, *(F.lit(None).cast("string").alias(c) for c in ("etag", "last_modified") if c not in names))
+    before = old if old is not None else fetches.sparkSession.createDataFrame([], STATE)
+    before = before.select(F.col("id").alias("source_id"), *(F.col(c).alias(f"old_{c}") for c in before.columns if c != "id"))
+    rows = got.join(before, "source_id", "left")
+    count = lambda c: F.coalesce(F.col(c), F.lit(0))
+    failures = F.when(F.col("ok"), 0).otherwise(count("old_consecutive_failures") + 1)
+    empty = F.when(~F.col("ok") | F.col("not_modified"), count("old_consecutive_empty")).when(F.col("n_candidates") == 0, count("old_consecutive_empty") + 1).otherwise(0)
+    rows = rows.withColumns({"consecutive_failures": failures, "consecutive_empty": empty})
+    again = lambda n, mark, least: (F.col(n) >= least) & ((count(mark) == 0) | (F.col(n) >= 2 * count(mark)))
+    alert = lambda n, mark, least: F.when(F.col(n) == 0, 0).when(again(n, mark, least), F.col(n)).otherwise(count(mark)).cast("int")
+    return rows.select(
+        F.col("source_id").alias("id"), _at(now).alias("last_fetched_at"), F.when(F.col("ok"), _at(now)).otherwise(F.col("old_last_success_at")).alias("last_success_at"),
+        F.col("consecutive_failures").cast("int"), F.col("consecutive_empty").cast("int"), F.coalesce("etag", "old_etag").alias("etag"), F.coalesce("last_modified", "old_last_modified").alias("last_modified"),
+        F.col("n_candidates").cast("int").alias("last_candidate_count"),
+        alert("consecutive_failures", "old_warned_at_failure_count", health.FAILURE_THRESHOLD).alias("warned_at_failure_count"),
+        alert("consecutive_empty", "old_warned_at_empty_count", health.EMPTY_THRESHOLD).alias("warned_at_empty_count"), F.lit(now.timestamp()).alias("version"),
+    )
+
+
+STATE = "id string, last_fetched_at timestamp_ntz, last_success_at timestamp_ntz, consecutive_failures int, consecutive_empty int, etag string, last_modified string, last_candidate_count int, warned_at_failure_count int, warned_at_empty_count int, version double"
+
+
+def updates(found: DataFrame, known: DataFrame, now: datetime, limit: int = co.UPDATES_PER_SOURCE, refetch: Refetch | None = None) -> DataFrame:
+    """Items of `known` whose listing came again, or whose turn it was to be looked at again, as they are now.
+
+    found: items of the listing. Per source no more than `limit` changed ones are taken; the items updated longest ago
+    that the listing did not bring are fetched by `refetch`, (id, canonical_url) to (id, title, published_at, content_text).
+    """
+    old = known.withColumn("ord", F.lit(0))
+    pairs = co.known_candidates(found, old.drop("ord"))
+    changed = ~F.col("content_hash").eqNullSafe(F.col("old_content_hash"))
+    pairs = co.update_quota(pairs.withColumn("source_id", F.col("source_id")), changed, limit).drop("changed", "before", "rank")
+    if refetch is not None:
+        due = co.rechecks(old, found).drop("rank")
+        page = refetch(due.select("id", "canonical_url")).select("id", F.col("title").alias("__title"), F.col("published_at").alias("__at"), F.col("content_text").alias("__text"))
+        again = due.join(page, "id").withColumns({"title": F.coalesce("__title", "title"), "published_at": F.coalesce("__at", "published_at"), "content_text": F.col("__text")})
+        again = again.withColumn("content_hash", content_hash(F.col("content_text"), F.col("title")))
+        more = co.known_candidates(again.select(found.columns), old.drop("ord"))
+        pairs = pairs.unionByName(more.select(pairs.columns))
+    rows = co.apply_updates(pairs.withColumn("region", F.col("old_region")), _at(now), compat=False)
+    # of columns that an update does not speak of, the item's stay; a classification falls with the content it was for
+    rest = known.select("id", *(c for c in known.columns if c != "id" and c not in rows.columns))
+    out = rows.join(rest, "id")
+    return out.withColumns({c: F.when(~F.col("content_changed"), F.col(c)) for c in _LABELS}).select(*known.columns, "content_changed")
+
+
+def classify(store: SnapshotStore, model: Model, channels: list[str], now: datetime, limit: int = CLASSIFY_LIMIT, days: int | None = None, period_days: int = 1) -> tuple[int, list[str]]:
+    """Ask the model about waiting items, the oldest first, at most `limit` and CLASSIFY_BATCH at a time, none from before the
+    days that a digest can still hold. Returns how many were classified, and an error for each batch that lacks results."""
+    if limit <= 0 or not channels:
+        return 0, []
+    days = max(1, period_days) + select.CARRY_DAYS + 1 if days is None else days
+    queue = co.unclassified_queue(store.read("items"), _at(now - timedelta(days=days)), limit, CLASSIFY_BATCH)
+    asked = queue.select("id", "batch_id")
+    parts, errors = [], []
+    for k in range(-(-limit // CLASSIFY_BATCH)):
+        batch = queue.where(F.col("batch_id") == k)
+        if batch.isEmpty():
+            break
+        try:
+            # a model answers from the driver for at most a batch of rows
+            got = model.classify(batch.drop("batch_id"), channels).select("id", *_LABELS).withColumn("batch_id", F.lit(k))
+            parts.append(store.spark.createDataFrame(got.collect(), got.schema))
+        except Exception as e:  # one batch must not stop the others
+            errors.append(f"batch {k}: {redacted(str(e))[:200]}")
+    if not parts:
+        return 0, errors
+    answers = reduce(DataFrame.unionByName, parts)
+    joined = results.join_results(asked, answers)
+    errors += [f"batch {r.batch_id}: {r.missing} of {r.asked} items without a result" for r in results.missing(joined).where("missing > 0").orderBy("batch_id").collect() if not any(e.startswith(f"batch {r.batch_id}:") for e in errors)]
+    hits = joined.where("relevance is not null").drop("batch_id")
+    rows = store.read("items").join(hits.select("id"), "id", "left_semi")
+    store.replace("items", results.apply(rows, hits, _at(now)))
+    return hits.count(), errors
+
+
+def collect(store: SnapshotStore, candidates: DataFrame, model: Model, channels: list[str], now: datetime, limit: int = co.NEW_PER_SOURCE, fetches: DataFrame | None = None, refetch: Refetch | None = None, first_run: list[str] = (), classify_limit: int = CLASSIFY_LIMIT, period_days: int = 1) -> dict[str, int]:
+    """One collection: new items are added, the first `limit` of each source; known ones are updated; waiting ones classified;
+    source states and the run's record kept. Items of sources in `first_run` count as read. Returns the run's counters."""
+    run_id = f"collect_{now:%Y%m%dT%H%M%S%f}"
+    runs.begin(store, run_id, "collect", now)
+    counts: dict[str, int] = dict.fromkeys(runs.COUNTERS, 0)
+    errors: list[str] = []
+    try:
+        known = store.read("items")
+        found = items_of(candidates, now)
+        counts["fetched"] = found.count()
+        fresh = co.capped_new(found if known is None else co.new_candidates(found, known), limit).drop("ord", "rank", "overflow")
+        fresh = fresh.withColumns({c: F.array().cast(t) if c == "digested_in" else F.lit(None).cast(t) for c, t in _EMPTY.items()})
+        fresh = co.bootstrap(fresh, F.col("source_id").isin(list(first_run)), _at(now))
+        changed = None
+        if known is not None:
+            changed = updates(found, known, now, refetch=refetch)
+            store.replace("items", changed.drop("content_changed"))
+            counts["updated_items"] = changed.where("content_changed").count()
+        store.append("items", fresh)
+        counts["new_items"] = store.read("items").count() - (0 if known is None else known.count())
+        if fetches is not None:
+            store.upsert("source_states", _state(store.read("source_states"), fetches, now))
+            n = fetches.agg(F.count("*").alias("total"), F.count_if("ok").alias("ok")).first()
+            counts |= {"sources_total": n.total, "sources_succeeded": n.ok, "sources_failed": n.total - n.ok}
+        counts["classified"], errors = classify(store, model, channels, now, classify_limit, period_days=period_days)
+    except Exception as e:
+        runs.finish(store, run_id, "failed", now, counts, [redacted(str(e))[:500]])
+        raise
+    status = store.spark.range(1).select(health.run_status("collect", *(F.lit(x) for x in (max(1, counts["sources_total"]), counts["sources_failed"], 0, len(errors))))).first()[0]
+    runs.finish(store, run_id, status, now, counts, errors)
+    return counts
+
+
+def summarise(store: SnapshotStore, channel: select.Channel, day: date, model: Model, now: datetime, reach: Callable[[DataFrame], DataFrame] | None = None, force: bool = False) -> str:
+    """Build a channel's digest of a day, and return its status. Items that the message holds are marked before the digest is
+    stored, so a crash between the two can't send them twice. What gate, limits and length leave out is counted in the
+    message and stays for later days. force: a digest that is not delivered yet is built again, as if it had never
+    been, and items that it no longer holds lose its mark."""
     digest_id = f"{channel.id}_{day}"
     digests = store.read("digests")
-    if digests is not None and digests.where(F.col("id") == digest_id).limit(1).count():
+    old = digests.where(F.col("id") == digest_id).first() if digests is not None else None
+    exists = old is not None and (not force or old.status == "delivered")
+    if exists:
         return "kept"
-    items = store.read("items")
+    stored = store.read("items")
+    items = stored.withColumn("digested_in", unmark(F.col("digested_in"), F.lit(digest_id))) if force else stored
     mode = select.mode_of(channel, day)
     if mode == "urgent":
         top = select.urgent(items, channel, day)
-        unclassified = 0
+        unclassified, n_found = 0, top.count()
     else:
         pool = select.pool(items, channel.id, day, 7 if mode == "weekly" else 1)
         found = select.candidates(pool, channel, digest_id)
         top = select.ranked(found)
-        unclassified = pool.where("classified_at is null").count()
+        unclassified, n_found = pool.where("classified_at is null").count(), found.count()
     n = top.count()
-    kept, text, status = [], "", "generated"
+    kept, text, omitted, passed = [], "", 0, 0
     if n:
         entries = model.digest(top, digest_id)
         checked = gate.static_check(items.select("id", "canonical_url"), entries)
         if reach is not None:
-            checked = gate.reachability_check(checked, reach(checked.where("failed is null").select("source_url").distinct()))
+            asked = reach(checked.where("failed is null").select("source_url").distinct())
+            checked = gate.reachability_check(checked, asked.select("source_url", "ok", "robots_disallowed"))
         regions = items.select(F.col("canonical_url").alias("source_url"), "region", F.lit(0).alias("ord"))
-        good = select.item_cap(gate.passed(checked, regions), channel.max_items, ["digest_id"])
+        through = gate.passed(checked, regions)
+        good = select.item_cap(through, channel.max_items, ["digest_id"])
         header = F.lit(f"{message.Template().header}{day} {channel.name or channel.id}")
-        made = message.fit(good, message.Template(), header, F.lit(0), channel.max_chars).collect()
-        kept = [r.item_id for r in good.select("item_id").collect()]  # at most max_items
-        text = made[0].message if made else ""
-        status = "generated" if made else "failed"
-    else:
-        status = "failed" if unclassified else "generated" if channel.send_when_empty and mode != "urgent" else "skipped"
-        text = message.Template().empty if status == "generated" else ""
-    if kept:
-        used = F.col("id").isin(kept)
-        store.commit("items", items.withColumn("digested_in", F.when(used, mark(F.col("digested_in"), F.lit(digest_id))).otherwise(F.col("digested_in"))))
-    row = store.spark.createDataFrame([(digest_id, channel.id, status, text, len(kept), now.timestamp())], "id string, channel_id string, status string, message string, n_entries int, version double")
+        by_gate, passed = checked.where("failed is not null").count(), through.count()
+        left = n - checked.select("item_id").distinct().count(), by_gate, n_found - n, max(0, passed - channel.max_items), 0
+        omitted = store.spark.range(1).select(results.omitted(*map(F.lit, left))).first()[0]
+        made = message.fit(good, message.Template(), header, F.lit(omitted), channel.max_chars).collect()
+        if made:  # a row for the one digest, with at most max_items ids
+            text, kept, omitted = made[0].message, list(made[0].kept), omitted + made[0].dropped
+    status = store.spark.range(1).select(delivery.digest_outcome(F.lit(exists), F.lit(mode), F.lit(n), F.lit(unclassified), F.lit(passed), F.lit(channel.send_when_empty))).first()[0]
+    if status == "generated" and not n:
+        text = message.Template().empty
+    mine = F.array_contains("digested_in", digest_id)
+    used = F.col("id").isin(kept)
+    touched = stored.where(used | mine if force else used)
+    touched = touched.withColumn("digested_in", F.when(used, mark(F.col("digested_in"), F.lit(digest_id))).otherwise(unmark(F.col("digested_in"), F.lit(digest_id))))
+    if kept or force:
+        store.replace("items", touched)
+    row = store.spark.createDataFrame([(digest_id, channel.id, status, text, len(kept), int(omitted), now.timestamp())], "id string, channel_id string, status string, message string, n_entries int, omitted int, version double")
     store.upsert("digests", row)
     return status
 
@@ -132,6 +253,56 @@ class DryRunSender:
         return [(r.id, True, None) for r in rows]
 
 
+@dataclass
+class RetryingSender:
+    """Sends by `call(id, message, retry_key) -> HTTP status or None`, once more after each of SEND_PAUSES where it is worth
+    it; the receiver tells repeats by the retry key, and one that it already has (409) counts as sent."""
+
+    call: Callable[[str, str, str], int | None]
+    pause: Callable[[float], None] = time.sleep
+
+    def send(self, rows: Iterable) -> list[tuple[str, bool, str | None]]:
+        return [(r.id, *self._one(r)) for r in rows]
+
+    def _one(self, r) -> tuple[bool, str | None]:
+        for wait in (*SEND_PAUSES, None):
+            status = self.call(r.id, r.message, r.retry_key)
+            if status is not None and (200 <= status < 300 or status == 409):
+                return True, None
+            if wait is None or not retryable(status):
+                return False, "no answer" if status is None else f"HTTP {status}"
+            self.pause(wait)
+        return False, None
+
+
+def notifications(lines: DataFrame, post: Callable[[str], None], checkpoint: str) -> StreamingQuery:
+    """Post a stream of (line) to an operators' channel: a body for each micro-batch, of a bounded number of lines."""
+
+    def batch(rows: DataFrame, _: int) -> None:
+        n = rows.count()
+        shown = [redacted(r.line) for r in rows.limit(message.OPS_LINES).collect()]
+        if n:
+            post("\n".join(shown + [f"... {n - len(shown)} more"] * (n > len(shown)))[: message.OPS_CHARS])
+
+    return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def verify(snapshots: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, type, verdict) of configured sources, of their fetched pages and what was read of them."""
+    n = found.groupBy("source_id").agg(F.count("*").alias("n"))
+    rows = snapshots.join(n, "source_id", "left")
+    ok = F.col("status").between(200, 299) | (F.col("status") == 304)
+    verdict = delivery.verification(F.col("url"), ok, F.col("status"), F.coalesce("n", F.lit(0)), F.col("kind"), F.col("body").isNotNull() & (F.length("body") > 0))
+    return rows.select(F.col("source_id").alias("id"), F.col("kind").alias("type"), verdict.alias("verdict"))
+
+
+def verify_with_retry(snapshots: DataFrame, read: Callable[[DataFrame], DataFrame], refetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`verify`, after one more fetch of the sources whose failure may be a passing one."""
+    again = snapshots.where(~F.coalesce(F.col("status").between(200, 299) | (F.col("status") == 304), F.lit(False)) & gate.transient(F.col("status")))
+    fresh = snapshots.join(again.select("source_id"), "source_id", "left_anti").select(snapshots.columns).unionByName(refetch(again).select(snapshots.columns))
+    return verify(fresh, read(fresh))
+
+
 def deliver(store: SnapshotStore, channels: list[select.Channel], day: date, sender, now: datetime) -> dict[str, str]:
     """Send each channel's digest of a day once. The delivery record with its retry key is stored before the call, so
     that a repeated run sends with the same key. Returns the decision for each digest."""

@@ -112,7 +112,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lpad(F.when(k % 11 == 3, k + 1).otherwise(k).cast("string"), 10, "0").alias("item_id"),
         F.when(k % 7 == 2, F.lit("https://nowhere.example/x")).otherwise(url(F.when(k % 13 == 5, k - 1).otherwise(k))).alias("source_url"),
         F.when(k % 17 == 4, F.lit(" 　")).otherwise(F.left("text", F.lit(60))).alias("headline"),
-        F.substr("text", F.lit(61), F.lit(200)).alias("summary"),
+        F.substr("text", F.lit(61)).alias("summary"),
         F.when(k % 3 == 0, F.col("source")).otherwise("").alias("affected"),
         F.when(k % 4 == 1, F.lit("from 4/1")).alias("date_note"),
         (k % 3 + 1).cast("int").alias("importance_rank"),
@@ -124,7 +124,7 @@ ENTRIES = """entries AS (
     SELECT doc_id // 20 AS digest_id, doc_id AS idx, lpad(CAST(CASE WHEN doc_id % 11 = 3 THEN doc_id + 1 ELSE doc_id END AS VARCHAR), 10, '0') AS item_id,
         CASE WHEN doc_id % 7 = 2 THEN 'https://nowhere.example/x'
              ELSE 'https://site.example/' || CAST(CASE WHEN doc_id % 13 = 5 THEN doc_id - 1 ELSE doc_id END AS VARCHAR) END AS source_url,
-        CASE WHEN doc_id % 17 = 4 THEN ' 　' ELSE left(text, 60) END AS headline, substr(text, 61, 200) AS summary,
+        CASE WHEN doc_id % 17 = 4 THEN ' 　' ELSE left(text, 60) END AS headline, substr(text, 61) AS summary,
         CASE WHEN doc_id % 3 = 0 THEN source ELSE '' END AS affected, CASE WHEN doc_id % 4 = 1 THEN 'from 4/1' END AS date_note,
         CAST(doc_id % 3 + 1 AS INTEGER) AS importance_rank, CASE WHEN lang <> 'en' THEN lang || '(x)' END AS region
     FROM documents),

@@ -12,10 +12,17 @@ from collections.abc import Iterator
 from urllib.parse import urlsplit
 from urllib.robotparser import RobotFileParser
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.urls import internal_host
+
 RETRIES, DELAY_S, TIMEOUT_S = 3, 2.0, 20
+#: Hosts that are asked at the same time, and answers to HEAD after which GET is tried.
+HOSTS_AT_ONCE, HEAD_REFUSED = 4, (403, 405, 501)
 AGENT = "tidemark"
+ROBOTS = "refused by robots rules"
 _META = re.compile(rb"""<meta[^>]+charset\s*=\s*["']?\s*([\w-]+)""", re.I)
 _XML = re.compile(rb"""<\?xml[^>]+encoding\s*=\s*["']([\w-]+)""", re.I)
 _BINARY = re.compile(r"^(image|audio|video|font)/|application/(octet-stream|zip|pdf|msword|vnd)", re.I)
@@ -60,36 +67,76 @@ def by_host(urls: list[str]) -> dict[str, list[str]]:
     return out
 
 
-class _Host(InputPartition):
-    def __init__(self, host: str, urls: list[tuple[str, str]]):
-        self.host, self.urls = host, urls
+class _Hosts(InputPartition):
+    def __init__(self, hosts: list[list[tuple[str, str]]]):
+        self.hosts = hosts
+
+
+class Refused(OSError):
+    """An address that is not fetched."""
+
+
+class _Redirects(urllib.request.HTTPRedirectHandler):
+    """A page may not send the reader to an internal address."""
+
+    def redirect_request(self, req, fp, code, msg, headers, newurl):
+        if internal_host(newurl):
+            raise Refused(f"redirect to an internal address: {newurl}")
+        return super().redirect_request(req, fp, code, msg, headers, newurl)
+
+
+def open_url(url: str, headers: dict[str, str], method: str = "GET", timeout: float = TIMEOUT_S):
+    if internal_host(url):
+        raise Refused(f"internal address: {url}")
+    return urllib.request.build_opener(_Redirects).open(urllib.request.Request(url, headers=headers, method=method), timeout=timeout)
+
+
+def probe(url: str, opener=open_url) -> tuple[int | None, str | None]:
+    """(status, error) of a URL by HEAD, and by GET where a server refuses HEAD as such."""
+    for method in ("HEAD", "GET"):
+        try:
+            with opener(url, {"User-Agent": AGENT}, method) as r:
+                return r.status, None
+        except urllib.error.HTTPError as e:
+            if method == "GET" or e.code not in HEAD_REFUSED:
+                return e.code, str(e)
+        except OSError as e:
+            return None, str(e)
+    return None, None
 
 
 class PoliteReader(DataSourceReader):
-    """Requests to one host come from one partition, one after another, with a pause between them."""
+    """Requests to one host come one after another, with a pause between them; at most `hosts_at_once` partitions, so as
+    many hosts are asked at the same time. With probe=true, pages are only tested for being there."""
 
     def __init__(self, options):
         self.sources = json.loads(options.get("sources", "[]"))  # [[source_id, url], ...]
         self.validators = json.loads(options.get("validators", "{}"))  # url: {etag, last_modified}
         self.pause = float(options.get("pause_s", DELAY_S))
         self.allowed = options.get("allow_network", "false") == "true"
+        self.probe = options.get("probe", "false") == "true"
+        self.at_once = int(options.get("hosts_at_once", HOSTS_AT_ONCE))
 
     def partitions(self):
         groups = by_host([url for _, url in self.sources])
         ids = {url: source for source, url in self.sources}
-        return [_Host(host, [(ids[u], u) for u in urls]) for host, urls in sorted(groups.items())]
+        hosts = [[(ids[u], u) for u in urls] for _, urls in sorted(groups.items(), key=lambda g: (-len(g[1]), g[0]))]
+        return [_Hosts(hosts[k :: self.at_once]) for k in range(min(self.at_once, len(hosts)))]
 
-    def read(self, partition: _Host) -> Iterator[tuple]:
+    def read(self, partition: _Hosts) -> Iterator[tuple]:
         robots: dict[str, RobotFileParser] = {}
-        for k, (source, url) in enumerate(partition.urls):
-            if not self.allowed:
-                yield (source, url, url, None, None, None, None, None, "network access is off")
-                continue
-            if k:
-                time.sleep(self.pause)
-            yield (source, url, *self._get(url, robots))
+        for urls in partition.hosts:
+            for k, (source, url) in enumerate(urls):
+                if not self.allowed:
+                    yield (source, url, url, None, None, None, None, None, "network access is off")
+                    continue
+                if k:
+                    time.sleep(self.pause)
+                yield (source, url, *self._get(url, robots))
 
     def _get(self, url: str, robots: dict[str, RobotFileParser]) -> tuple:
+        if internal_host(url):
+            return (url, None, None, None, None, None, "internal address")
         root = f"{urlsplit(url).scheme}://{urlsplit(url).netloc}"
         if root not in robots:
             robots[root] = RobotFileParser(root + "/robots.txt")
@@ -98,18 +145,23 @@ class PoliteReader(DataSourceReader):
             except OSError:
                 robots[root].allow_all = True
         if not robots[root].can_fetch(AGENT, url):
-            return (url, None, None, None, None, None, "refused by robots rules")
+            return (url, None, None, None, None, None, ROBOTS)
+        if self.probe:
+            status, error = probe(url)
+            return (url, status, None, None, None, None, error)
         known = self.validators.get(url, {})
         headers = {"User-Agent": AGENT} | ({"If-None-Match": known["etag"]} if known.get("etag") else {}) | ({"If-Modified-Since": known["last_modified"]} if known.get("last_modified") else {})
         status, error = None, None
         for attempt in range(1, RETRIES + 1):
             try:
-                with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=TIMEOUT_S) as r:
+                with open_url(url, headers) as r:
                     return (r.url, r.status, r.headers.get("Content-Type"), r.read(), r.headers.get("ETag"), r.headers.get("Last-Modified"), None)
             except urllib.error.HTTPError as e:
                 status, error = e.code, str(e)
                 if status == 304:
                     return (url, 304, None, None, known.get("etag"), known.get("last_modified"), None)
+            except Refused as e:
+                return (url, None, None, None, None, None, str(e))
             except OSError as e:
                 status, error = None, str(e)
             if not retryable(status) or attempt == RETRIES:
@@ -130,3 +182,11 @@ class PoliteSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return PoliteReader(self.options)
+
+
+def reached(probed: DataFrame) -> DataFrame:
+    """Rows of a probe as the gate takes them: source_url, ok, status, robots_disallowed."""
+    return probed.select(
+        F.col("url").alias("source_url"), F.coalesce(F.col("status").between(200, 399), F.lit(False)).alias("ok"), "status",
+        F.coalesce(F.col("error") == ROBOTS, F.lit(False)).alias("robots_disallowed"),
+    )

@@ -8,12 +8,10 @@ from dataclasses import dataclass, field
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-from ..functions.text import SPACE_CLASS
+from ..functions.text import NOISE, SPACE_CLASS
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _CLOSES = {"li": {"li"}, "p": {"p"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
-#: Tags whose content is no part of a page's text.
-NOISE = ("script", "style", "nav", "footer", "header", "aside", "noscript", "form", "iframe")
 _SPACE = re.compile(SPACE_CLASS + "+")
 MIN_MAIN_CHARS = 40
 
@@ -173,24 +171,36 @@ def listing(html: str, final_url: str, item_selector: str, date_selector: str |
     return out
 
 
+_BLOCKS = {"p", "pre", "blockquote", "ul", "ol", "table", "h1", "h2", "h3"}
+_HOLDERS = {"article", "main", "section", "div", "td"}
+
+
 def main_text(html: str, limit: int = 6000) -> tuple[str, str]:
     """(text, title): the densest block of text if it is long enough, or else the body; noise left out, spaces
-    collapsed. Density is the text outside links; this is not the scoring of readability libraries."""
+    collapsed. Density is the characters outside links; this is not the scoring of readability libraries. Each node's
+    characters are summed up once, from the innermost outwards."""
     root = parse(html)
-    title = next((collapse(n.text()) for n in root.walk() if n.tag == "title"), "")
+    nodes = list(root.walk())
+    title = next((collapse(n.text()) for n in nodes if n.tag == "title"), "")
+    noisy: dict[int, bool] = {}
+    for n in nodes:
+        noisy[id(n)] = n.tag in NOISE or (n.parent is not None and noisy[id(n.parent)])
+    solid: dict[int, int] = {}  # characters but spaces, outside noise
+    linked: dict[int, int] = {}  # those of links
     best, best_score = None, 0.0
-    for node in root.walk():
-        if node.tag in ("article", "main", "section", "div", "td"):
-            if any(a.tag in NOISE for a in node.ancestors()):
-                continue
-            own = sum(len(collapse(c.text(NOISE))) for c in node.children if isinstance(c, Node) and c.tag in ("p", "pre", "blockquote", "ul", "ol", "table", "h1", "h2", "h3"))
-            linked = sum(len(collapse(n.text())) for n in node.walk() if n.tag == "a")
-            score = (own - 2 * linked) * (1.5 if node.tag in ("article", "main") else 1.0)
-            if score > best_score:
-                best, best_score = node, score
+    for n in reversed(nodes):
+        inner = [c for c in n.children if isinstance(c, Node)]
+        size = sum(len(_SPACE.sub("", c)) for c in n.children if isinstance(c, str)) + sum(solid[id(c)] for c in inner)
+        solid[id(n)] = 0 if n.tag in NOISE else size
+        linked[id(n)] = size if n.tag == "a" else sum(linked[id(c)] for c in inner)
+        if n.tag in _HOLDERS and not noisy[id(n)]:
+            own = sum(solid[id(c)] for c in inner if c.tag in _BLOCKS)
+            score = (own - 2 * linked[id(n)]) * (1.5 if n.tag in ("article", "main") else 1.0)
+            if score >= best_score and score > 0:  # of equal ones the first in the page
+                best, best_score = n, score
     text = collapse(best.text(NOISE)) if best is not None else ""
     if len(text) < MIN_MAIN_CHARS:
-        body = next((n for n in root.walk() if n.tag == "body"), root)
+        body = next((n for n in nodes if n.tag == "body"), root)
         text = collapse(body.text((*NOISE, "title", "head")))
     return text[:limit], title
 
@@ -211,18 +221,24 @@ def _path(node: Node) -> str | None:
     return node.tag if node.tag in ("main", "article", "section", "nav", "ul", "ol") else None
 
 
-def selector_candidates(html: str, base: str, limit: int = 6) -> list[tuple[str, int, int]]:
-    """(selector, links, depth) of containers that could be listings: most links first, the deepest of equal ones."""
-    best: dict[str, tuple[int, int]] = {}
+def container_links(html: str, base: str) -> Iterator[tuple[int, str, int, str]]:
+    """(container, selector, depth, link) of each link, against base, and each container around it that a selector can name.
+    Containers are numbered in the page's order."""
+    number: dict[int, int] = {}
+    around: dict[int, list[tuple[int, str, int]]] = {}
+    depth: dict[int, int] = {}
     for node in parse(html).walk():
-        if (path := _path(node)) is None:
-            continue
-        links = len({urljoin(base, n.attrs["href"]) for n in node.walk() if n.tag == "a" and n.attrs.get("href")})
-        depth = sum(1 for _ in node.ancestors())
-        if links >= 3:
-            best[f"{path} a"] = max(best.get(f"{path} a", (0, 0)), (links, depth))
-    by_count: dict[int, tuple[str, int]] = {}
-    for path, (links, depth) in best.items():
-        if links not in by_count or depth > by_count[links][1]:
-            by_count[links] = (path, depth)
-    return [(path, links, depth) for links, (path, depth) in sorted(by_count.items(), reverse=True)][:limit]
+        up = node.parent
+        depth[id(node)] = 0 if up is None else depth[id(up)] + 1
+        held = [] if up is None else around[id(up)]
+        if (path := _path(node)) is not None:
+            number[id(node)] = len(number)
+            held = [*held, (number[id(node)], path, depth[id(node)])]
+        around[id(node)] = held
+        if node.tag == "a" and node.attrs.get("href"):
+            try:
+                href = urljoin(base, node.attrs["href"])
+            except ValueError:
+                continue
+            for k, path, d in held:
+                yield k, path, d, href

@@ -7,6 +7,7 @@ from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,8 +39,6 @@ def candidates(snapshots: DataFrame, now: datetime) -> DataFrame:
                 base = p.final_url or p.url
                 if p.kind == "feed":
                     found = feed.read(text, base)
-                elif p.kind == "law":
-                    found = law.read(text, now, int(p.lookback_days))
                 else:
                     listed = lambda x: [] if x is None else list(x)
                     found = html.listing(text, base, p.item_selector, p.date_selector, p.title_from or "text", listed(p.include), listed(p.exclude))
@@ -48,9 +47,10 @@ def candidates(snapshots: DataFrame, now: datetime) -> DataFrame:
                     rows.append((p.source_id, r["ord"], r["url"], r["title"] or feed.title_from_url(r["url"]), at.replace(tzinfo=None) if at else None, r.get("date_text")))
             yield pd.DataFrame(rows, columns=["source_id", "ord", "url", "title", "published_at", "date_text"]).astype({"published_at": "datetime64[ns]"})
 
-    out = snapshots.mapInPandas(run, "source_id string, ord int, url string, title string, published_at timestamp_ntz, date_text string")
+    laws = law.records(snapshots.where("kind = 'law' and coalesce(status, 200) <> 304"), now)
+    out = snapshots.where("kind <> 'law'").mapInPandas(run, "source_id string, ord int, url string, title string, published_at timestamp_ntz, date_text string")
     on_page = to_utc(page_date(F.col("date_text")).cast("timestamp_ntz"))
-    return out.withColumn("published_at", F.coalesce("published_at", on_page)).drop("date_text")
+    return out.withColumn("published_at", F.coalesce("published_at", on_page)).drop("date_text").unionByName(laws)
 
 
 def fetch_status(snapshots: DataFrame, found: DataFrame) -> DataFrame:
@@ -81,12 +81,40 @@ def extracted(pages: DataFrame, limit: int = 6000) -> DataFrame:
     return pages.select("url", "content_type", "body").mapInPandas(run, "url string, text string, kind string, title string")
 
 
-def selectors(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, html): the containers of each that could be listings, best first, with their links' number."""
+def decoded(pages: DataFrame) -> DataFrame:
+    """pages (url, content_type, body) with their text as `fetch.decode` reads it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            rows = [(p.page_id, k, path, links, depth) for p in part.itertuples(index=False) for k, (path, links, depth) in enumerate(html.selector_candidates(p.html or "", p.url or ""))]
-            yield pd.DataFrame(rows, columns=["page_id", "position", "selector", "links", "depth"])
+            yield pd.DataFrame({"url": part["url"], "text": [fetch.decode(bytes(b) if b is not None else b"", k or "") for b, k in zip(part["body"], part["content_type"], strict=True)]})
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, position int, selector string, links int, depth int")
+    return pages.select("url", "content_type", "body").mapInPandas(run, "url string, text string")
+
+
+def feeds_of(pages: DataFrame) -> DataFrame:
+    """(page_id, ord, url) of the feeds that pages (page_id, url, html) name in their heads."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            rows = [(p.page_id, k, x) for p in part.itertuples(index=False) for k, x in enumerate(html.advertised_feeds(p.html or "", p.url or ""))]
+            yield pd.DataFrame(rows, columns=["page_id", "ord", "url"])
+
+    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, ord int, url string")
+
+
+def selectors(pages: DataFrame, limit: int = 6, least: int = 3) -> DataFrame:
+    """pages (page_id, url, html): the containers of each that could be listings, with the number of their distinct links: of
+    those that one selector names the fullest, of equally full ones the deepest, most links first, at most `limit`."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for p in part.itertuples(index=False):
+                rows = [(p.page_id, *r) for r in html.container_links(p.html or "", p.url or "")]
+                yield pd.DataFrame(rows, columns=["page_id", "node", "path", "depth", "href"])
+
+    rows = pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, node int, path string, depth int, href string")
+    full = rows.groupBy("page_id", "node", "path", "depth").agg(F.count_distinct("href").cast("int").alias("links")).where(F.col("links") >= least)
+    best = full.groupBy("page_id", "path").agg(F.max(F.struct("links", "depth")).alias("top"), F.min("node").alias("node")).select("page_id", "path", "top.*", "node")
+    deep = best.groupBy("page_id", "links").agg(F.min_by(F.struct("path", "depth"), F.struct((-F.col("depth")).alias("d"), "node")).alias("one"))
+    place = F.row_number().over(W.partitionBy("page_id").orderBy(F.desc("links"))) - 1
+    return deep.select("page_id", place.cast("int").alias("position"), F.concat("one.path", F.lit(" a")).alias("selector"), "links", "one.depth").where(F.col("position") < limit)

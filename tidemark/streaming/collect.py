@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import content_hash
 from ..functions.urls import canonical_url, item_id
-from ..operators.collect import first_per_key, new_candidates
+from ..operators.collect import first_per_key
 from ..operators.store import SnapshotStore
 
 CANDIDATE = "source_id string, ord int, url string, title string, published_at timestamp_ntz, content_text string"
@@ -29,10 +29,7 @@ def start(spark: SparkSession, folder: str, store: SnapshotStore, checkpoint: st
     failure finds its items in the store and adds nothing."""
 
     def batch(rows: DataFrame, _: int) -> None:
-        found = items_of(rows, clock()).drop("ord")
-        known = store.read("items")
-        fresh = found if known is None else new_candidates(found, known)
-        store.commit("items", fresh if known is None else known.unionByName(fresh))
+        store.insert("items", items_of(rows, clock()).drop("ord"))
 
     stream = spark.readStream.schema(CANDIDATE).json(folder)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

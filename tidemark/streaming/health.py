@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.time import business_day
 from ..operators.health import EMPTY_THRESHOLD, FAILURE_THRESHOLD
 
 OUTPUT = "source_id long, seq long, failures int, empties int, failure_alert boolean, empty_alert boolean"
@@ -52,3 +53,14 @@ def daily_counts(events: DataFrame, late: str = "3 days") -> DataFrame:
     """Events of each business day, which ends at 22:00 UTC, closed once nothing of it can come any more."""
     day = F.window("ts", "1 day", startTime="22 hours")
     return events.withWatermark("ts", late).groupBy(day, "event_type").agg(F.count("*").alias("n")).select(F.col("window.end").alias("day_end"), "event_type", "n")
+
+
+def sliding_totals(events: DataFrame, start, end, key: str = "user_id") -> DataFrame:
+    """Events and their total value by key in a half-open window of days, as a weekly digest looks back."""
+    inside = events.where((F.col("ts") >= start) & (F.col("ts") < end))
+    return inside.groupBy(key).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+def business_days(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Events by business day, in batch; `daily_counts` closes the same days over a stream."""
+    return events.groupBy(business_day(F.col("ts")).cast("string").alias("day"), *keys).agg(F.count("*").alias("n"))
