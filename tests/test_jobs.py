@@ -201,6 +201,15 @@ def test_command_line(spark, tmp_path):
     assert run("validate-config") == 0 and run("collect", "--candidates", str(tmp_path / "in.json")) == 0
     assert run("summarise") == 0 and run("preview") == 0 and "T" in said[-1] and "generated" in said[-1]
     assert run("approve") == 0 and said[-1].endswith("approved")
+    assert run("summarise", "--force") == 0 and run("approve") == 0
+    assert run("test-broadcast") == 0 and said[-1] == '{"test_m": true}'
+    page = [(1, "https://e.com/", "<ul class=l>" + "".join(f"<li><a href=/{k}>x</a>" for k in range(4)) + "</ul>")]
+    spark.createDataFrame(page, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages"))
+    assert run("diagnose", "--pages", str(tmp_path / "pages")) == 0 and '"ul.l a"' in said[-1]
+    from tidemark.sources import listing
+
+    spark.createDataFrame([("s", "html", "https://e.com/", None, 404, "text/html", bytearray(b"x"), "a", None, None, None, None, 30)], listing.SNAPSHOT).write.parquet(str(tmp_path / "snaps"))
+    assert run("verify", "--snapshots", str(tmp_path / "snaps")) == 1 and "unreachable" in said[-1]
     assert run("deliver") == 0 and '"send"' in said[-1] and run("deliver") == 0 and '"delivered"' in said[-1]
     assert run("collect", "--channel", "nope") == 2
     (tmp_path / "config" / "b.json").write_text(json.dumps([{"kind": "source", "id": "t", "channels": ["zz"]}]))

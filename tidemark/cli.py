@@ -1,6 +1,6 @@
 """Command line: python -m tidemark.cli COMMAND --store DIR --config DIR ...
 
-collect, summarise, deliver, approve, preview, validate-config, health. The configuration is a folder of JSON files with
+collect, summarise, deliver, approve, preview, validate-config, health, verify, diagnose, test-broadcast. The configuration is a folder of JSON files with
 records of kind "channel" or "source". The exit code is 1 where a job failed, 2 where the configuration is wrong.
 """
 
@@ -9,17 +9,19 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import uuid
 from dataclasses import fields
 from datetime import UTC, date, datetime
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Row, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import config as rules
-from .operators import delivery, health
+from .operators import delivery, health, message
 from .operators.select import Channel
 from .operators.store import SnapshotStore
 from .plans import jobs
+from .sources import listing
 from .sources.settings import ConfigError, load_folder
 from .streaming.collect import CANDIDATE
 
@@ -43,11 +45,14 @@ def violations(spark: SparkSession, records: list[dict]) -> list[tuple[str, str]
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=print) -> int:
     p = argparse.ArgumentParser(prog="tidemark", description=__doc__)
-    p.add_argument("command", choices=("collect", "summarise", "deliver", "approve", "preview", "validate-config", "health"))
+    p.add_argument("command", choices=("collect", "summarise", "deliver", "approve", "preview", "validate-config", "health", "verify", "diagnose", "test-broadcast"))
     p.add_argument("--store")
     p.add_argument("--config")
     p.add_argument("--candidates", help="JSON lines of candidates, for collect")
     p.add_argument("--fetches", help="Parquet of a fetch log, for health")
+    p.add_argument("--snapshots", help="Parquet of fetched pages, for verify")
+    p.add_argument("--pages", help="Parquet of (page_id, url, html), for diagnose")
+    p.add_argument("--force", action="store_true", help="summarise: build digests again that are not delivered")
     p.add_argument("--date", type=date.fromisoformat)
     p.add_argument("--channel", action="append")
     p.add_argument("--now", type=datetime.fromisoformat, default=None)
@@ -73,13 +78,29 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=p
         for r in states.where("consecutive_failures > 0").orderBy(F.desc("consecutive_failures"), "source_id").collect():  # failing sources only
             out(json.dumps({"source": r.source_id, "failures": r.consecutive_failures}))
         return 0
+    if a.command == "verify":
+        snaps = spark.read.parquet(a.snapshots)
+        verdicts = jobs.verify(snaps, listing.candidates(snaps, now))
+        bad = verdicts.where("verdict <> 'ok'").orderBy("id").collect()  # of configured sources
+        for r in bad:
+            out(json.dumps({"source": r.id, "verdict": r.verdict}))
+        return int(bool(bad))
+    if a.command == "diagnose":
+        for r in listing.selectors(spark.read.parquet(a.pages)).orderBy("page_id", "position").toLocalIterator():
+            out(json.dumps({"page": r.page_id, "selector": r.selector, "links": r.links}))
+        return 0
+    if a.command == "test-broadcast":
+        sender = jobs.DryRunSender([])
+        rows = [Row(id=f"test_{c.id}", message=message.Template().empty, retry_key=str(uuid.uuid4())) for c in channels]
+        out(json.dumps({i: ok for i, ok, _ in sender.send(rows)}))
+        return 0
     store = SnapshotStore(spark, a.store)
     if a.command == "collect":
         counts = jobs.collect(store, spark.read.schema(CANDIDATE).json(a.candidates), jobs.StubModel(), [c.id for c in channels], now)
         out(json.dumps({k: v for k, v in counts.items() if v}))
         return 0
     if a.command == "summarise":
-        ends = {c.id: jobs.summarise(store, c, a.date, jobs.StubModel(), now) for c in channels}
+        ends = {c.id: jobs.summarise(store, c, a.date, jobs.StubModel(), now, force=a.force) for c in channels}
         out(json.dumps(ends))
         return int("failed" in ends.values())
     if a.command == "deliver":

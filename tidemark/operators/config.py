@@ -74,3 +74,16 @@ def to_disable(verdicts: DataFrame, most: float = 0.5) -> DataFrame:
     bad = verdicts.where("verdict <> 'ok'")
     share = verdicts.agg(F.count_if(F.col("verdict") != "ok") / F.greatest(F.count("*"), F.lit(1))).scalar()
     return bad.where(share <= most)
+
+
+def repairs(verdicts: DataFrame, sources: DataFrame, most: float = 0.5) -> DataFrame:
+    """(id, reason, configured): what a repair would note at each source that it switches off; of verdicts for sources that the
+    configuration doesn't have, configured is false, and the caller is to be warned."""
+    known = sources.select("id", F.lit(True).alias("configured"))
+    reasons = to_disable(verdicts, most).select("id", F.col("verdict").alias("reason"))
+    return reasons.join(known, "id", "left").withColumn("configured", F.coalesce("configured", F.lit(False)))
+
+
+def none_enabled(sources: DataFrame) -> DataFrame:
+    """A violation, (id, violation), where no source is enabled; an empty configuration has none either."""
+    return sources.agg(F.count_if("enabled").alias("n")).where("n = 0").select(F.lit(None).cast("string").alias("id"), F.lit("no source enabled").alias("violation"))

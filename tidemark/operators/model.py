@@ -57,6 +57,12 @@ def apply(items: DataFrame, results: DataFrame, now: Column) -> DataFrame:
     return out.select(items.columns)
 
 
+def error_kind(status: Column, detail: Column) -> Column:
+    """What a failed call of a model calls for: retry (no answer, a rate limit, a server's fault), billing, or refused."""
+    bill = F.coalesce(detail, F.lit("")).rlike("(?i)credit balance|billing")
+    return F.when(status.isNull() | (status == 429) | (status >= 500), "retry").when(bill, "billing").otherwise("refused")
+
+
 def merged_text(parts: DataFrame, key: str, order: str, text: str, separator: str = "\n---\n") -> DataFrame:
     """The audit text of each key: its parts in order."""
     rows = parts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, text))).alias("__parts"))

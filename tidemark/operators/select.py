@@ -109,5 +109,5 @@ def items_by_channel(items: DataFrame, channels: DataFrame) -> DataFrame:
     """(channel_id, items): for each of channels (channel_id, least) how many classified items reach its threshold; one row each,
     those without any too. Items are counted by their own channels, in one pass."""
     rows = items.where("classified_at is not null").select(F.explode("channels").alias("channel_id"), "relevance")
-    n = rows.join(F.broadcast(channels), "channel_id").where(F.col("relevance") >= F.col("least")).groupBy("channel_id").agg(F.count("*").alias("items"))
+    n = rows.join(channels, "channel_id").where(F.col("relevance") >= F.col("least")).groupBy("channel_id").agg(F.count("*").alias("items"))
     return channels.join(n, "channel_id", "left").withColumn("items", F.coalesce("items", F.lit(0)))

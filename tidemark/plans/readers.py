@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import time as tm
 from ..functions import urls
-from ..operators import collect, config, delivery, gate, health, message, select, store
+from ..operators import collect, config, delivery, gate, health, message, model, select, store
 from ..sources import listing
 from . import jobs
 from . import standins as si
@@ -230,6 +230,26 @@ def classification_lookback(spark, sf_dir):
     return si.table(spark, sf_dir, "nation").agg(collect.lookback_days(F.col("n_nationkey")).alias("days"))
 
 
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'unreachable' ELSE 'unparsable' END AS reason, c_custkey % 2 = 0 AS configured FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 7 = 0""")
+def source_repairs(spark, sf_dir):
+    k = F.col("c_custkey")
+    v = si.table(spark, sf_dir, "customer").select(k.alias("id"), F.when(k % 3 == 0, "unreachable").when(k % 7 == 0, "unparsable").otherwise("ok").alias("verdict"))
+    return config.repairs(v, v.where("id % 2 = 0"), 0.5)
+
+
+@query("SELECT 'no source enabled' AS violation FROM nation HAVING count(*) FILTER (n_nationkey < 0) = 0")
+def none_enabled(spark, sf_dir):
+    n = si.table(spark, sf_dir, "nation")
+    found = [config.none_enabled(n.select(enabled.alias("enabled"))) for enabled in (F.col("n_nationkey") < 0, F.col("n_nationkey") == 1)]
+    return found[0].unionAll(found[1]).select("violation")
+
+
+@query(values("status, detail, kind", [(None, "reset", "retry"), (429, "slow down", "retry"), (503, None, "retry"), (400, "Your credit balance is too low", "billing"), (400, "bad input", "refused"), (401, None, "refused")]))
+def model_error_kinds(spark, sf_dir):
+    rows = [(None, "reset"), (429, "slow down"), (503, None), (400, "Your credit balance is too low"), (400, "bad input"), (401, None)]
+    return spark.createDataFrame(rows, "status int, detail string").withColumn("kind", model.error_kind(F.col("status"), F.col("detail")))
+
+
 # Delivery
 
 
