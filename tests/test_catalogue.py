@@ -45,3 +45,11 @@ def test_entry_has_all_queries():
 def test_selectors_of_pages(spark):
     rows = catalogue.QUERIES["selector_candidates"](spark, SF).collect()
     assert rows and all(r.links >= 3 for r in rows) and all(" a" in r.selector for r in rows)
+
+
+def test_digest_views(spark):
+    """Marks are those of the fitted message; a digest built again with less room takes marks back."""
+    rows = catalogue.QUERIES["digest_marks_after_fit"](spark, SF).collect()
+    assert rows and all(r.in_message for r in rows) and {r.n_entries for r in rows} == {len(rows)} and rows[0].omitted > 0
+    both = catalogue.QUERIES["digest_forced_rebuild"](spark, SF).collect()
+    assert sum(r.after for r in both) < sum(r.before for r in both) and all(r.before or r.after for r in both)

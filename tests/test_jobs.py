@@ -114,6 +114,9 @@ def test_store_rewrites_touched_buckets_only(spark, tmp_path):
     assert store.read("t").count() == 201 and store.read("t").where("value = 'd'").count() == 5
     kept = sorted(int(p.name) for p in (tmp_path / "store" / "t" / "manifests").iterdir() if not p.name.startswith("."))
     assert kept == list(range(store.version("t") - 2, store.version("t") + 1))
+    for k in range(store.FILES + 2):
+        store.append("t", rows([1000 + 8 * k], 1, "e"))
+    assert store.read("t").count() == 201 + store.FILES + 2 and max(map(len, files().values())) <= store.FILES
     copy = SnapshotStore(spark, str(tmp_path / "copy"))
     copy.seed(store.dump(["t", "none"]))
     assert sorted(map(tuple, copy.read("t").collect())) == sorted(map(tuple, store.read("t").collect()))

@@ -78,7 +78,7 @@ class SnapshotStore:
     folder may be in any store that Spark reaches. Files that none of the last KEEP manifests names are removed.
     """
 
-    KEEP = 3
+    KEEP, FILES = 3, 8
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 16):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
@@ -153,10 +153,14 @@ class SnapshotStore:
         return manifest, self._rows(manifest, hit)
 
     def append(self, table: str, rows: DataFrame, key: str = "id") -> int:
-        """Rows whose keys the table does not have yet; no file is read or rewritten."""
+        """Rows whose keys the table does not have yet; no file is read or rewritten, until a bucket has FILES of them."""
         if self.version(table) < 0:
             return self.commit(table, rows, key)
-        return self._publish(table, rows, key, self._manifest(table, self.version(table)), False)
+        manifest = self._manifest(table, self.version(table))
+        if max(map(len, manifest["buckets"].values()), default=0) < self.FILES:
+            return self._publish(table, rows, key, manifest, False)
+        manifest, base = self._touched(table, rows, key)
+        return self._publish(table, base.unionByName(rows.select(base.columns)), key, manifest, True)
 
     def insert(self, table: str, rows: DataFrame, key: str = "id") -> int:
         """Rows of keys that the table does not have; others are left out."""

@@ -105,18 +105,18 @@ def updates(found: DataFrame, known: DataFrame, now: datetime, limit: int = co.U
     found: items of the listing. Per source no more than `limit` changed ones are taken; the items updated longest ago
     that the listing did not bring are fetched by `refetch`, (id, canonical_url) to (id, title, published_at, content_text).
     """
-    old = known.withColumn("ord", F.lit(0))
-    pairs = co.known_candidates(found, old.drop("ord"))
+    pairs = co.known_candidates(found, known)
     changed = ~F.col("content_hash").eqNullSafe(F.col("old_content_hash"))
-    pairs = co.update_quota(pairs.withColumn("source_id", F.col("source_id")), changed, limit).drop("changed", "before", "rank")
+    pairs = co.update_quota(pairs, changed, limit).drop("changed", "before")
     if refetch is not None:
-        due = co.rechecks(old, found).drop("rank")
+        # of items updated at the same time the hash of the id decides
+        due = co.rechecks(known.withColumn("ord", F.crc32(F.col("id").cast("binary"))), found).drop("rank")
         page = refetch(due.select("id", "canonical_url")).select("id", F.col("title").alias("__title"), F.col("published_at").alias("__at"), F.col("content_text").alias("__text"))
         again = due.join(page, "id").withColumns({"title": F.coalesce("__title", "title"), "published_at": F.coalesce("__at", "published_at"), "content_text": F.col("__text")})
         again = again.withColumn("content_hash", content_hash(F.col("content_text"), F.col("title")))
-        more = co.known_candidates(again.select(found.columns), old.drop("ord"))
+        more = co.known_candidates(again.select(found.columns), known)
         pairs = pairs.unionByName(more.select(pairs.columns))
-    rows = co.apply_updates(pairs.withColumn("region", F.col("old_region")), _at(now), compat=False)
+    rows = co.apply_updates(pairs.withColumn("region", F.col("old_region")), _at(now))
     # of columns that an update does not speak of, the item's stay; a classification falls with the content it was for
     rest = known.select("id", *(c for c in known.columns if c != "id" and c not in rows.columns))
     out = rows.join(rest, "id")
