@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import exact_dedup, mixing, near_dedup, packing
 from tidemark.llm import quality as rules
-from tidemark.llm._common import shared_folder
+from tidemark.llm._common import remove, shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,11 +48,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage returns is written to the shared folder and read again."""
+    """All stages over documents; what a stage returns is written to the shared folder and read again, until the next is there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     root = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{root}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
