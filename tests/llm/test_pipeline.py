@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 
@@ -29,6 +30,30 @@ def test_stages_follow_one_another(spark):
     assert cp.run(spark, SF).where("length > 0").count() > 0
 
 
+def test_odd_tables(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, contradicting labels and an empty table run through all stages."""
+    import corpus_pipeline as cp
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rng = random.Random(5)
+    prose = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(120)) + "."
+    good, other = prose(), prose()
+    near = good.replace(good.split(" ")[60], "changed")
+    rows = [(0, None), (1, ""), (2, good), (2, good), (3, good), (4, near), (None, good), (5, "word " * 400), (6, other), (7, " \n ")]
+    for name, docs in (("odd", rows), ("none", [])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame([(i, t, None, "s", None) for i, t in docs], schema).write.parquet(f"{folder}/documents.parquet")
+        labels = [(2, 1, 0), (2, 1, 1), (5, 0, 0), (6, 1, 0), (None, 1, 1), (99, 1, 0)] if docs else []
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        left = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in cp.STAGES[:2]:
+            left = spark.createDataFrame(stage(spark, left, folder).collect(), schema)
+        # of equal texts the row of the smallest id stays, once; texts of too few or repeated words go
+        assert sorted(r.doc_id for r in left.collect()) == ([2, 4, 6] if docs else [])
+        out = cp.run(spark, folder).collect()
+        assert {r.doc_id for r in out} <= ({2, 4, 6} if docs else set()) and bool(out) == bool(docs)
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 

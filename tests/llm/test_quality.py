@@ -78,3 +78,13 @@ def test_without_labels_the_start_weights_decide(spark, docs, odd):
     crf = q.fit(odd, spark.createDataFrame([], "doc_id long, quality int"))
     assert np.allclose(crf.lead, q.START)
     assert q.keep_good(docs([None, ""]), crf).count() == 0
+
+
+def test_contradicting_labels_and_repeated_ids(spark, labelled):
+    d, labels = labelled
+    twice = labels.unionAll(spark.createDataFrame([(0, 0), (2, 0)], labels.schema))
+    many = d.unionAll(d).unionAll(d.where("doc_id < 10"))
+    one, two = q.fit(d, twice), q.fit(many.repartition(5), twice.repartition(3))
+    assert np.allclose(one.lead, two.lead) and np.allclose(one.step, two.step)
+    worse = q.fit(d, labels.where("doc_id not in (0, 2)").unionAll(spark.createDataFrame([(0, 0), (2, 0)], labels.schema)))
+    assert np.allclose(one.lead, worse.lead)

@@ -32,7 +32,8 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
     try:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
@@ -52,8 +53,16 @@ def store(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    atexit.register(remove, spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete tables of `store` that nothing will read any more."""
+    for df in stored:
+        remove(df.sparkSession, df._stored)
 
 
 def packed_rows(docs: DataFrame, **columns: str) -> DataFrame:

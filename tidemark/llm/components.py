@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import store
+from ._common import discard, store
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -27,11 +27,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # large-star: every neighbour that is larger than the node moves to the node's smallest neighbour
         both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        now = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        last, now = now, both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small-star: a node's smaller neighbours and the node itself move to the smallest of them
         least = now.groupBy("u").agg(F.min("v").alias("m"))
         moved = now.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = store(moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(last)
         before, state = state, _state(now)
         if state == before:
             break

@@ -6,7 +6,8 @@ agree on a band share a bucket. A bucket of m documents proposes m - 1 edges for
 pairs; the centres are the documents whose buckets are the fullest over all bands, so that the text that
 others were copied from is one of them. Every proposed edge is confirmed on the full shingle sets. A star loses a
 link between two members that are both unlike its centres, so documents that their bucket's largest component does
-not hold are then compared with all of the bucket, in blocks and without a row for each pair.
+not hold are then compared with all of the bucket, where their rarest shingles allow a link at all, in blocks and
+without a row for each pair.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SpanHash, few, list_column, lower, mix, shingle_hashes, short_batches, slices, store, text_of, utf8, words
+from ._common import SpanHash, discard, few, list_column, lower, mix, shingle_hashes, short_batches, slices, store, text_of, utf8, words
 from .components import connected_components, merged_components
 
 BINS, BANDS = 128, 32
-#: Centres of each bucket. With rows of 4 bins, documents of similarity 0.8 miss all 32 buckets once in 25 million.
+#: Centres of each bucket. With rows of 4 bins, documents of similarity 0.8 miss all 32 buckets once in 20 million.
 CENTRES = 3
 #: Up to so many ids (8 bytes each) of documents to drop are broadcast; beyond, texts and ids are joined by a shuffle.
 DROP_ROWS = 1_000_000
@@ -111,7 +112,9 @@ def shared_buckets(sketches: DataFrame) -> DataFrame:
     """(band, id, n) of buckets that n > 1 documents share; sketches: (id, bands), one row per id."""
     at = store(sketches.select("id", F.explode("bands").alias("band")), "bands")
     filled = at.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    return store(at.join(filled, "band"), "buckets")
+    out = store(at.join(filled, "band"), "buckets")
+    discard(at)
+    return out
 
 
 def star_edges(shared: DataFrame, centres: int = CENTRES) -> DataFrame:
@@ -306,17 +309,19 @@ def confirm(edges: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFram
 
     def run(batches):
         known: dict[int, np.ndarray] = {}
+        held = 0
         for whole in batches:
             for batch in slices([whole], "tb"):
                 ids = batch.column("a").to_pylist()
                 new = {x: k for k, x in enumerate(ids) if x not in known}
-                if len(known) > 256:
-                    known = {}
+                if held > HELD_SHINGLES:
+                    known, held = {}, 0
                     new = {x: k for k, x in enumerate(ids)}
                 for part in slices([batch.take(pa.array(list(new.values()), pa.int64()))] if new else [], "ta"):
                     flat, off = sets_of(part.column("ta"), n)
                     for k, x in enumerate(part.column("a").to_pylist()):
-                        known[x] = flat[off[k] : off[k + 1]]
+                        known[x] = flat[off[k] : off[k + 1]].copy()
+                        held += len(known[x])
                 flat, off = sets_of(batch.column("tb"), n)
                 keep = np.zeros(len(ids), bool)
                 for k, x in enumerate(ids):
@@ -362,18 +367,23 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
     shared = shared_buckets(reps)
     edges = store(star_edges(shared), "candidates")
     links = store(confirm(edges, texts, n, percent), "links")
+    discard(edges)
     groups = store(connected_components(links), "components")
+    discard(links)
     # what its buckets' largest components don't hold is compared with all of the buckets, where a link is possible at all
-    members = store(mixed_buckets(shared, groups), "members")
-    active = members.select("id", "component").distinct().join(reps, "id").join(texts, "id")
+    mixed = store(mixed_buckets(shared, groups), "members")
+    discard(shared)
+    active = mixed.select("id", "component").distinct().join(reps, "id").join(texts, "id")
     active = store(active, "active")
     may = store(linkable(prefixes(active, frequencies(active, n), n, percent)), "linkable")
-    members = store(_marked(members.drop("outsider").join(may, "id", "left_semi")), "members")
+    members = store(_marked(mixed.drop("outsider").join(may, "id", "left_semi")), "members")
     found = outsider_links(members, active.join(may, "id", "left_semi"), n, percent)
     if several:
         sets = named.where("node <> id").select("id", *key).distinct().join(copies, key).select("id", "rep")
         found = found.unionAll(sets.join(sets.groupBy("id").agg(F.min("rep").alias("to")), "id").where("rep <> to").select(F.col("rep").alias("a"), F.col("to").alias("b")))
-    groups = merged_components(groups, store(found, "links"))
+    links = store(found, "links")
+    discard(mixed, members, active, may)
+    groups = merged_components(groups, links)
     own = named.select("id", *key).join(copies, key).join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     if several:
         own = own.join(own.groupBy("component").agg(F.min("id").alias("least")), "component").select("id", F.col("least").alias("component"))

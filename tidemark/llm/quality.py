@@ -211,10 +211,11 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCUMENTS, text:
     """Train on at most `limit` labelled documents (labels: doc_id, quality), those with the smallest hash of their id.
 
     Executors read the texts; only line features, a byte each, come to the driver. Labels without a document,
-    text or id are passed over.
+    text or id are passed over; of labels that contradict each other the worse counts, of rows that repeat an id one, that
+    of the least features.
     """
     short_batches(docs.sparkSession)
-    chosen = labels.select(F.col("doc_id").alias("__id"), F.col("quality").alias("__quality")).dropna().dropDuplicates(["__id"])
+    chosen = labels.select(F.col("doc_id").alias("__id"), F.col("quality").alias("__quality")).dropna().groupBy("__id").agg(F.min("__quality").alias("__quality"))
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(limit)
     # at most `limit` ids are broadcast, so the texts are not shuffled
     sample = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).where("length(__text) > 0").join(F.broadcast(chosen), "__id")
@@ -225,7 +226,9 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCUMENTS, text:
             rows = [s.features[a:b].tobytes() for a, b in zip(s.lines[:-1], s.lines[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("__id").cast(pa.int64()), batch.column("__quality").cast(pa.int64()), pa.array(rows, pa.binary())], ["id", "quality", "features"])
 
-    found = sorted(sample.mapInArrow(run, "id long, quality long, features binary").collect(), key=lambda r: r.id)
+    # a row for each id, whatever repeats it: tasks find the least of theirs first
+    rows = sample.mapInArrow(run, "id long, quality long, features binary").groupBy("id").agg(F.first("quality").alias("quality"), F.min("features").alias("features"))
+    found = sorted(rows.collect(), key=lambda r: r.id)
     each = [np.frombuffer(r.features, np.uint8).reshape(-1, len(FEATURES)) for r in found]
     if not each:
         return Field()
