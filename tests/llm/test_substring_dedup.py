@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidemark.llm import substring_dedup as sd
-from tidemark.llm.bwt import ShardTransform, repeated_windows
+from tidemark.llm.bwt import ShardTransform, repeated_intervals, repeated_windows
 
 
 def brute(texts, width):
@@ -46,6 +46,51 @@ def test_shard_transform_is_a_burrows_wheeler_transform():
     assert bytes(out[::-1]) == b"mississippi"
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ab", max_size=30), min_size=2, max_size=5))
+def test_common_prefixes(texts):
+    raw = [np.frombuffer((t + "\0").encode(), np.uint8) for t in texts]
+    whole = b"".join(t.tobytes() for t in raw)
+    ends = np.array([k for k in range(6, len(whole)) if 0 not in whole[k - 6 : k]], np.int64)
+    _, _, common = repeated_intervals([ShardTransform(t, 6) for t in raw], ends, 6)
+    for e, c in zip(ends, common, strict=True):
+        others = [x for x in ends if x != e]
+        assert c == max((d for d in range(7) if any(whole[x - d : x] == whole[e - d : e] for x in others)), default=0)
+
+
+def test_pieces_of_equal_strings_have_equal_cores():
+    rng = np.random.default_rng(9)
+    common = rng.integers(97, 123, 30).astype(np.uint8)
+    seen = {}
+    for _ in range(60):
+        data = np.concatenate((rng.integers(97, 99, rng.integers(1, 40)).astype(np.uint8), common, rng.integers(97, 99, rng.integers(1, 40)).astype(np.uint8)))
+        off = np.array([0, len(data)])
+        for _, start, strings, anchor, _ in zip(*sd.segments(data, off, 40, 8), strict=True):
+            part = data[start : start + strings + 39]
+            found = sd.pieces(part, int(strings), int(anchor), 40, 8)
+            assert sorted(k for _, a, b in found for k in range(a, b)) == list(range(strings)) and all(b - a <= sd.PIECE for _, a, b in found)
+            for core, a, b in found:
+                for k in range(a, b):
+                    assert seen.setdefault(part[k : k + 40].tobytes(), core) == core
+
+
+def test_an_anchor_with_very_many_segments(docs):
+    """More than LARGE_ANCHOR different segments around one short passage, and some that are equal in part."""
+    rng = np.random.default_rng(1)
+    pool = rng.integers(97, 123, 1 << 20).astype(np.uint8)
+    at = np.arange(len(pool) - 31)
+    k = int(np.argmin(sd.SpanHash(pool)(at, at + 32)))
+    passage = pool[k - 8 : k + 40].tobytes().decode()
+    n = sd.LARGE_ANCHOR + 200
+    side = [x.tobytes().decode() for x in rng.integers(97, 123, (n, 44)).astype(np.uint8)]
+    texts = [s[:22] + passage + s[22:] for s in side]
+    texts[100] = texts[100][:8] + texts[200][8:80] + texts[100][80:]
+    texts[300] = texts[400][:70] + texts[300][70:]
+    got = sd.substring_dedup(docs(texts).repartition(8), 60).orderBy("doc_id").collect()
+    want = brute(texts, 60)
+    assert sum(w[1] > 0 for w in want) >= 4 and [tuple(r)[1:] for r in got] == want
+
+
 def test_segments_cover_every_string_once():
     rng = np.random.default_rng(3)
     data = rng.integers(97, 100, 5000).astype(np.uint8)

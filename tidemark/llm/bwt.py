@@ -45,15 +45,16 @@ class ShardTransform:
         self.step_back = row[self.suffixes - 1]
 
 
-def repeated_intervals(shards: list[ShardTransform], ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated_intervals(shards: list[ShardTransform], ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which strings of `depth` bytes occur more than once over all shards. ends: for each string the position, in the
     shards' texts laid end to end, right after it (a position after a text is the text's first).
 
-    Returns the positions right after the repeated strings and the number of each one's interval. The shards' rows
+    Returns the positions right after the repeated strings, the number of each one's interval, and for each of `ends` the
+    greatest common prefix, read backwards from it, with any other, up to depth. The shards' rows
     are interleaved: round h takes the rows in the order of their first h bytes, deals them stably by the byte that
     goes before, as their transform tells, and steps them back to it, which is their order by h + 1 bytes. Rows
     whose first h bytes are shared form an interval; where neighbours part, their common prefix is shorter than h,
-    and a row that is left alone can't be shared at any greater depth, so it leaves.
+    and a row that is left alone can't be shared at any greater depth: h is its greatest common prefix, and it leaves.
     """
     base = np.concatenate(([0], np.cumsum([len(s.suffixes) for s in shards])))
     last = np.concatenate([s.last for s in shards])
@@ -65,7 +66,8 @@ def repeated_intervals(shards: list[ShardTransform], ends: np.ndarray, depth: in
     row = np.flatnonzero(name >= 0).astype(np.int32)
     name = name[row]
     interval = np.zeros(len(row), np.int32)
-    for _ in range(depth):
+    common = np.zeros(len(ends), np.int32)
+    for h in range(depth):
         if not len(row):
             break
         byte = last[row]
@@ -76,10 +78,12 @@ def repeated_intervals(shards: list[ShardTransform], ends: np.ndarray, depth: in
         np.not_equal(byte[1:], byte[:-1], out=head[1:-1])
         head[1:-1] |= interval[1:] != interval[:-1]
         shared = ~(head[:-1] & head[1:])
+        common[name[order[~shared]]] = h
         order = order[shared]
         row, name = step[row[order]], name[order]
         interval = np.cumsum(head[:-1], dtype=np.int32)[shared]
-    return ends[name], interval
+    common[name] = depth
+    return ends[name], interval, common
 
 
 def repeated_windows(texts: list[np.ndarray], width: int, shard_bytes: int = 1 << 18) -> list[np.ndarray]:
@@ -101,6 +105,6 @@ def repeated_windows(texts: list[np.ndarray], width: int, shard_bytes: int = 1 <
         return [np.zeros(0, bool) for _ in texts]
     ends = np.concatenate([np.arange(s + width, s + width + c) for s, c in zip(starts, count, strict=True)])
     flag = np.zeros(at + 1, bool)
-    found, _ = repeated_intervals(shards, ends, width)
+    found, *_ = repeated_intervals(shards, ends, width)
     flag[found - width] = True
     return [flag[s : s + c] for s, c in zip(starts, count, strict=True)]
