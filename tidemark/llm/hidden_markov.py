@@ -12,7 +12,9 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Texts of more tokens are cut into parts of PART tokens; tokens whose expectations are held at once.
-LONG, PART, CHUNK = 1024, 256, 1 << 18
+LONG, PART, CHUNK = 1024, 256, 1 << 17
+#: Probabilities are scaled once in so many tokens.
+SCALED = 8
 #: Expected counts of states and their tokens are summed in units of 1 / FIXED, so that sums don't depend on their order.
 FIXED = float(1 << 20)
 
@@ -122,38 +124,59 @@ def _bridge(model: Model, x: np.ndarray, parts: _Parts) -> np.ndarray:
     return log
 
 
+def _scaled(t: int, last: int) -> bool:
+    """Whether probabilities are scaled at time t: they fall by less than a hundred digits in between."""
+    return t % SCALED == SCALED - 1 or t == last
+
+
 def _expect(model: Model, x: np.ndarray, parts: _Parts, out: Counts) -> None:
-    """Add the expected counts of parts of falling size."""
+    """Add the expected counts of parts of falling size. Rows are tokens, the columns states."""
     live, at, token = _by_time(x, parts)
-    seen = model.emit[:, token]
-    alpha, scale = np.empty_like(seen), np.empty(len(token))
-    onward = np.ascontiguousarray(model.step.T)
+    states = len(model.start)
+    seen = np.ascontiguousarray(model.emit.T)[token]
+    alpha = np.empty_like(seen)
+    ones, step, back = np.ones(states), model.step, np.ascontiguousarray(model.step.T)
+    scale: dict[int, np.ndarray] = {}
+    logs = np.zeros(len(parts))
+    last = np.empty(len(parts))  # of a part's end, what its probabilities still add up to
     for t, k in enumerate(live):
-        here = slice(at[t], at[t] + k)
-        a = _prior(model, parts) if t == 0 else onward @ alpha[:, at[t - 1] : at[t - 1] + k]
-        a *= seen[:, here]
-        s = a.sum(0)
-        scale[here] = s
-        np.divide(a, s, out=alpha[:, here])
-    pairs = np.zeros_like(model.step)
-    beta = parts.leave[:, : live[-1]]
+        here = alpha[at[t] : at[t] + k]
+        if t == 0:
+            np.multiply(_prior(model, parts).T, seen[:k], out=here)
+        else:
+            np.matmul(alpha[at[t - 1] : at[t - 1] + k], step, out=here)
+            here *= seen[at[t] : at[t] + k]
+        if _scaled(t, len(live) - 1):
+            s = scale[t] = here @ ones
+            here /= s[:, None]
+            logs[:k] += np.log(s)
+        ending = live[t + 1] if t + 1 < len(live) else 0
+        last[ending:k] = here[ending:] @ ones
+    logs += np.log(last)
+    leave = parts.leave.T / last[:, None]
+    pairs = np.zeros_like(step)
+    beta = leave[: live[-1]]
     for t in reversed(range(len(live))):
         here = slice(at[t], at[t + 1])
-        ahead = seen[:, here] * beta
-        ahead /= scale[here]
-        alpha[:, here] *= beta
+        ahead = seen[here]
+        ahead *= beta
+        if t in scale:
+            ahead /= scale[t][:, None]
+        alpha[here] *= beta
         if t:
-            pairs += alpha[:, at[t - 1] : at[t - 1] + live[t]] @ ahead.T
-            beta = np.concatenate((model.step @ ahead, parts.leave[:, live[t] : live[t - 1]]), 1)
+            pairs += alpha[at[t - 1] : at[t - 1] + live[t]].T @ ahead
+            beta = np.empty((live[t - 1], states))
+            np.matmul(ahead, back, out=beta[: live[t]])
+            beta[live[t] :] = leave[live[t] : live[t - 1]]
         else:
-            pairs += (parts.enter * ~parts.first) @ ahead.T
-    out.step += model.step * pairs
+            pairs += (parts.enter * ~parts.first) @ ahead
+    out.step += step * pairs
     alpha *= FIXED
     np.rint(alpha, out=alpha)
-    for k in range(len(alpha)):
-        out.emit[k] += np.bincount(token, alpha[k], out.emit.shape[1])
-    out.start += alpha[:, : live[0]][:, parts.first].sum(1)
-    out.log_likelihood += float(np.rint(np.log(scale) * FIXED).sum())
+    for k in range(states):
+        out.emit[k] += np.bincount(token, alpha[:, k], out.emit.shape[1])
+    out.start += alpha[: live[0]][parts.first].sum(0)
+    out.log_likelihood += float(np.rint(logs * FIXED).sum())
 
 
 def _chunks(parts: _Parts):
