@@ -16,7 +16,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def reference():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -31,7 +30,7 @@ def test_ids_are_those_of_tokenizers(reference, fast, t):
     assert fast.encode(t).tolist() == reference(t)
 
 
-@pytest.mark.parametrize("t", ["<|endoftext|>", "a\n \n  b  ", "it's  we'LL\t\t x", " " * 50 + "y", "é漢字\U0001f600 1234567", "x" * 3000, "\x1c\x85 　z", "\r\n\r\n"])
+@pytest.mark.parametrize("t", ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext", "<| x |>", "a\n \n  b  ", "it's  we'LL\t\t x", " " * 50 + "y", "é漢字\U0001f600 1234567", "x" * 3000, "\x1c\x85 　z", "\r\n\r\n"])
 def test_ids_of_odd_texts(reference, fast, t):
     assert fast.encode(t).tolist() == reference(t)
 
@@ -46,7 +45,9 @@ def test_packing_is_a_partition_without_padding(lengths):
     total = defaultdict(int)
     for g, w in zip(groups, windows, strict=True):
         total[g] += w
-    assert all(total[g] == 8 * 2048 for g in range(max(groups, default=0)))
+    assert len(total) == max(1, -(-sum(windows) // (8 * 2048))) or not windows
+    assert all(n <= 8 * 2048 for n in total.values())
+    assert not windows or max(total.values()) - min(total.values()) <= 2048
 
 
 def test_query_rows(docs, corpus, odd, none, reference):

@@ -4,15 +4,17 @@ Documents are tokenised and routed by what is left of them after full windows to
 sizes. Each tier's windows are packed, longest tier first; the gap that a document leaves in its window is filled
 from shorter tiers, whole documents first and then the head of one. What no longer fills a window is laid out in
 windows of the powers of two that add up to it, so nothing is padded. Windows are dealt to step groups of equal
-token counts. Every task packs its own documents, a bounded number at a time, so no row is shuffled.
+token counts, as nearly as they allow. Every task packs its own documents, a bounded number at a time, so no row is shuffled.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heapreplace
 
 import numpy as np
 import pyarrow as pa
@@ -33,29 +35,39 @@ class FileTokenizer:
     """The ids of `tokenizers` for a byte-level BPE file, whole texts at a time.
 
     A byte-level vocabulary in merge order is also a table of ranks, so tiktoken gives the same ids several times
-    faster; it is built from the same file. A text that it refuses is left to `tokenizers`.
+    faster; it is built from the same file. A text that it refuses, or that holds one of the file's added tokens, is left to
+    `tokenizers`.
     """
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._path, self._whole = path, None
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        self._added = [t["content"] for t in file["added_tokens"]]
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in kept} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in kept)}
-        vocabulary = self._tokenizer.get_vocab(with_added_tokens=False)
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if all(c in byte_of for c in token) and not token.startswith("<|")}
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in file["model"]["vocab"].items() if all(c in byte_of for c in token) and token not in self._added}
         self._fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
+    def _slow(self, text: str) -> np.ndarray:
+        if self._whole is None:  # few texts need it, and it takes as much memory as the other
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self._path)
+        return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u4")
+
     def encode(self, text: str) -> np.ndarray:
-        """The ids as little-endian 32-bit numbers, without special tokens."""
+        """The ids as little-endian 32-bit numbers, with nothing put before or after the text."""
+        if any(t in text for t in self._added):
+            return self._slow(text)
         try:
             return self._fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
         except BaseException as e:  # the library panics, not as an Exception, where its pattern runs too deep
             if isinstance(e, (KeyboardInterrupt, SystemExit)):
                 raise
-            return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+            return self._slow(text)
 
 
 @dataclass(frozen=True)
@@ -121,20 +133,24 @@ def pack(lengths: list[int], size: int = 2048, least_tier: int = 256) -> tuple[l
 
 
 def step_groups(windows: list[int], capacity: int) -> list[int]:
-    """A step group for each window: longest first, each group filled to `capacity` tokens before the next begins.
-    As sizes are powers of two and capacity is a multiple of the largest, no window straddles two groups."""
-    order = sorted(range(len(windows)), key=lambda k: -windows[k])
-    out, used = [0] * len(windows), 0
-    for k in order:
-        out[k] = used // capacity
-        used += windows[k]
+    """A step group for each window: no more groups than the tokens fill, and each window, longest first, in the group that
+    holds least. As sizes are powers of two and capacity is a multiple of the largest, no group exceeds it, and groups
+    differ by no more than the shortest windows that are there to level them."""
+    groups = max(1, -(-sum(windows) // capacity))
+    held = [(0, g) for g in range(groups)]
+    out = [0] * len(windows)
+    for k in sorted(range(len(windows)), key=lambda k: -windows[k]):
+        n, g = held[0]
+        out[k] = g
+        heapreplace(held, (n + windows[k], g))
     return out
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, size: int = 2048, least_tier: int = 256, windows_per_step: int = 8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Pieces of all rows of docs: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens, step_group.
 
-    Null and empty texts are a single end token. Rows that repeat an id are packed as documents of their own; null
+    Numbers of sequences and step groups begin with the task's, so they follow the input's partitions. Null and empty texts
+    are a single end token. Rows that repeat an id are packed as documents of their own; null
     ids stay null. An empty table gives an empty result. tokenizer: path of a vocabulary file on every worker.
     """
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens", "step_group"]
