@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,41 @@ def test_minhash_retrieves_at_the_stated_similarity():
     assert misses == 0
 
 
+def brute(texts, templates, percent=ls.PERCENT):
+    """Every stretch of every text against every template, on the words themselves."""
+    plain = lambda t: re.sub(r"[\x00-\x08\x0e-\x1f!-/:-@\[-`{-\x7f]", " ", t.lower()).split()
+    grams = lambda w: [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+    out = []
+    for d, text in enumerate(texts):
+        have = grams(plain(text))
+        for number, (licence, notice) in enumerate(templates):
+            words = plain(notice)
+            want = set(grams(words))
+            span = max(1, len(words) * 3 // 2 - 4)
+            best = max(((len(want.intersection(have[k : k + span])), -k) for k in range(len(have)) if have[k] in want), default=(0, 0))
+            if 100 * best[0] >= percent * len(want):
+                out.append((d, licence, number, -best[1], best[0], len(want)))
+    return out
+
+
+def test_matches_an_exhaustive_search():
+    rng = random.Random(6)
+    long = ("long", " ".join(f"{rng.choice('abc')}{k}" for k in range(900)))
+    templates = (*TEMPLATES, long, ("twin", TEMPLATES[3][1]))  # a tie: two templates of one text
+    prose = lambda n: " ".join(rng.choice(["the", "of", "permission", "notice", "software", "zz"]) for _ in range(n))
+    texts = ["", "one", prose(300), f"{long[1]} {prose(9)} {long[1]}"]
+    for licence, notice in templates:
+        w = notice.split(" ")
+        for edits in (0, 1, 3):
+            v = w.copy()
+            for _ in range(edits * len(w) // 40):
+                v[rng.randrange(len(v))] = "changed"
+            texts.append(f"{prose(rng.randrange(60))} {' '.join(v)} {prose(rng.randrange(60))}")
+        texts.append(" ".join(w[: len(w) * 9 // 10]) + " " + prose(5) + " " + notice)
+    want = brute(texts, templates)
+    assert ls.scan_slice(ls.Index(templates), pa.array(texts), ls.PERCENT) == want and len(want) > 100
+
+
 def test_query_rows(docs, odd, none):
     rows = ls.scan_licenses(docs(["intro.\nReleased under the MIT License.", None, "Licensed under CC BY-NC 4.0."])).orderBy("doc_id").collect()
     assert [(r.doc_id, r.license, r.first_word, r.containment) for r in rows] == [(0, "MIT", 1, 1.0), (2, "CC-BY-NC-4.0", 0, 1.0)]

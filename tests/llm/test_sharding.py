@@ -1,6 +1,10 @@
+import math
+import struct
 import zlib
 from collections import Counter
 
+import xxhash
+
 from tidemark.llm import sharding as sh
 
 
@@ -17,6 +21,30 @@ def test_law_by_key(spark, docs):
     assert again == {r.doc_id: r.shard for r in rows if r.doc_id < 50}
 
 
+def draw(levels, key):
+    """The descent by its definition: each child's hash, its negative logarithm over its weight, and the least of these."""
+    node = 0
+    for level in levels:
+        best = None
+        for child, weight in level.children[node]:
+            h = xxhash.xxh64(level.name.encode(), 42).intdigest()
+            h = xxhash.xxh64(struct.pack("<i", child), h).intdigest()
+            h = h if key is None else xxhash.xxh64(struct.pack("<q", key), h).intdigest()
+            h = xxhash.xxh64(struct.pack("<i", int(key is None)), h).intdigest()
+            d = -math.log(((h >> 11) + 1) / (2.0**53 + 1)) / weight
+            best = min(best or (d, child), (d, child))
+        node = best[1]
+    return node
+
+
+def test_places_are_those_of_the_definition(docs):
+    ids = [*range(-5, 120), 10**15, None]
+    rows = sh.shard_documents(docs(["t"] * len(ids), ids)).collect()
+    assert len(rows) == len(ids)
+    for r in rows:
+        assert (r.shard, r.grown_shard) == (draw(sh.tree(40), r.doc_id), draw(sh.tree(40, opened=1), r.doc_id))
+
+
 def test_slots_are_gapless(docs, odd, none, monkeypatch):
     monkeypatch.setattr(sh, "SLOT_ROWS", 20)
     for df in (docs([f"t{k}" for k in range(500)]), odd):

@@ -8,6 +8,8 @@ window. A template is found where enough of them are there.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +20,13 @@ from ._common import SpanHash, mix, short_batches, slices, utf8, words
 from .license_templates import TEMPLATES
 
 SHINGLE, PERCENT = 5, 80
-#: Window sizes in words; a template is sought with the least that holds it. A window begins every quarter of its size.
-SIZES = (5, 8, 13, 21, 34, 55, 89, 144, 233)
+#: The first window sizes in words; each further one is the sum of the two before, as far as templates need. A template is
+#: sought with the least size that holds it. A window begins every quarter of its size.
+FIRST_SIZES = (5, 8)
 #: Bands of one row each. A window that covers 7/8 of a template of which 80 % is there has a similarity of at least
 #: 0.7 / (13/8 + 1 - 0.7) = 0.36 and so agrees in one of 32 bands with a probability above 0.9999993.
 BANDS = 32
-_TABLE_BITS = 18
+_TABLE_BITS = 16
 
 _SEEDS = mix(np.arange(1, BANDS + 1, dtype=np.uint64)) | np.uint64(1)
 _PLAIN = np.full(256, 32, np.uint8)
@@ -68,13 +71,15 @@ class Index:
 
     def __init__(self, templates: tuple[tuple[str, str], ...]):
         self.by_size: dict[int, list[Template]] = {}
+        self.sizes = list(FIRST_SIZES)
         for number, (licence, notice) in enumerate(templates):
             raw = np.frombuffer(notice.encode(), np.uint8)
             word, _ = plain_words(raw, np.array([0, len(raw)]))
-            fit = [s for s in SIZES if s >= len(word)]
-            if len(word) < SHINGLE or not fit:
-                raise ValueError(f"template {number} has {len(word)} words; {SHINGLE} to {SIZES[-1]} can be sought")
-            self.by_size.setdefault(fit[0], []).append(Template(licence, number, len(word), np.unique(_shingles(word))))
+            if len(word) < SHINGLE:
+                raise ValueError(f"template {number} has {len(word)} words; {SHINGLE} are the least that can be sought")
+            while self.sizes[-1] < len(word):
+                self.sizes.append(self.sizes[-1] + self.sizes[-2])
+            self.by_size.setdefault(next(s for s in self.sizes if s >= len(word)), []).append(Template(licence, number, len(word), np.unique(_shingles(word))))
         self.bands: dict[int, np.ndarray] = {s: np.stack([_rows(t.shingles).min(1) for t in ts], 1) for s, ts in self.by_size.items()}
         self.tables: dict[int, np.ndarray] = {}
         for s, bands in self.bands.items():
@@ -88,7 +93,7 @@ class Index:
             return []
         out = []
         reach, least = 1, _rows(shingle)
-        for size in SIZES:
+        for size in self.sizes:
             m = min(size - SHINGLE + 1, len(shingle))
             if size not in self.by_size:
                 continue
@@ -114,7 +119,7 @@ def scan_slice(index: Index, column: pa.Array, percent: int) -> list[tuple[int,
     best: dict[tuple[int, int], tuple[int, int, Template]] = {}
     for at, t in index.retrieve(shingle):
         # a window can reach over texts; each text in reach is looked at on its own
-        lo, hi = at - t.words, at + 2 * t.words + SIZES[0]
+        lo, hi = at - t.words, at + 2 * t.words + SHINGLE
         a, b = np.searchsorted(first, max(lo, 0), "right") - 1, np.searchsorted(first, min(hi, len(word)), "left")
         for d in range(a, b):
             s, e = max(lo, first[d]), min(hi, first[d + 1]) - SHINGLE + 1
@@ -133,18 +138,30 @@ def scan_slice(index: Index, column: pa.Array, percent: int) -> list[tuple[int,
     return [(d, t.licence, number, -at, found, len(t.shingles)) for (d, number), (found, at, t) in sorted(best.items(), key=lambda x: x[0])]
 
 
+@lru_cache(maxsize=1)
+def index_of(templates: tuple[tuple[str, str], ...]) -> Index:
+    """The index of templates, built once in each worker."""
+    return Index(templates)
+
+
+def templates_from(folder: str) -> tuple[tuple[str, str], ...]:
+    """(name, text) of all files of a folder of licence texts, by name; for whole licences that are not among TEMPLATES."""
+    return tuple((p.stem, p.read_text(encoding="utf-8", errors="replace")) for p in sorted(Path(folder).iterdir()) if p.is_file())
+
+
 def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """A row for each template found in a row of docs: doc_id, license, template, first_word, n_found, n_template, containment.
 
     A template is found if at least `percent` of its distinct five-word shingles are in a stretch of the text half as
     long again as the template; the fullest stretch is reported, the first of equal ones. Null, empty and blank texts
-    hold none. Repeated rows are each reported; null ids stay null. An empty table gives an empty result; other
+    hold none. Of templates that a stretch holds alike, each is reported. Repeated rows are each reported; null ids stay null. An empty table gives an empty result; other
     columns are not looked at.
     """
-    index = Index(templates)
+    Index(templates)  # a template that can't be sought is told here, not in a task
     names = ["doc_id", "license", "template", "first_word", "n_found", "n_template", "containment"]
 
     def run(batches):
+        index = index_of(templates)
         for batch in slices(batches, "__text"):
             rows = scan_slice(index, batch.column("__text"), percent)
             doc, licence, number, at, found, size = zip(*rows, strict=True) if rows else ((),) * 6
