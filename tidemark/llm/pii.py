@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,7 +16,7 @@ from ._common import map_rows, short_batches, slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds that the method adds to the base ones, in the order used to break ties of start.
-ADDED = ("iban", "ssn", "local_phone")
+ADDED = ("iban", "ssn", "local_phone", "secret")
 
 # Possessive repeats and the look-behind leave the matches as they are and keep long digit runs linear.
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -27,7 +29,11 @@ _IBAN_REST = re.compile(r"(?:\x20?[A-Z0-9]){11,30}")
 _IBAN_END = re.compile(r"[A-Z0-9](?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _LOCAL = re.compile(r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])")
+#: How keys and tokens of known issuers begin, and the head of a private key.
+_KEY_HEAD = re.compile(r"AKIA[0-9A-Z]{16}$|gh[pousr]_[A-Za-z0-9]{36,}$|xox[abprs]-|sk_(?:live|test)_|AIza[0-9A-Za-z_-]{35}$|eyJ[A-Za-z0-9_-]+\.eyJ")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_/+=.-])[A-Za-z0-9_/+=.-]{16,256}(?![A-Za-z0-9_/+=.-])|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----")
 _DIGIT = re.compile(r"[0-9]")
+_LETTER = re.compile(r"[A-Za-z]")
 _WORD = re.compile(r"[a-z]+")
 
 #: Characters of an IBAN by country; those of other countries may have 15 to 34.
@@ -40,16 +46,26 @@ IBAN_LENGTH = {
     }.items()
     for c in countries.split()
 }
-#: Score of a proposed span by itself, the least score that is reported, and the gain of a context word nearby.
-PRIOR = {"iban": 0.3, "ssn": 0.4, "local_phone": 0.3}
+#: Score of a proposed span by itself, the gain for a checksum that holds, the least score of an added span that is reported,
+#: and what a context word nearby gains or, if it speaks for something else, costs.
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.3, "phone": 0.6, "iban": 0.3, "ssn": 0.4, "local_phone": 0.3, "secret": 0.3}
+CHECKED = {"card", "iban"}
 CONFIRMED, CONTEXT, LEAST = 0.5, 0.35, 0.6
 #: Code points before a span, and after it, in which context words count.
 BEFORE, AFTER = 60, 20
 CONTEXT_WORDS = {
+    "email": {"mail", "email", "contact", "write"},
+    "ip": {"ip", "address", "host", "server", "client", "login"},
+    "card": {"card", "visa", "mastercard", "credit", "debit", "payment", "karte", "carte", "tarjeta"},
+    "phone": {"phone", "call", "tel", "telephone", "mobile", "fax", "telefon", "anruf"},
     "iban": {"iban", "account", "bank", "transfer", "konto", "compte", "cuenta"},
     "ssn": {"ssn", "social", "security"},
     "local_phone": {"phone", "call", "tel", "telephone", "mobile", "fax", "telefon", "anruf"},
+    "secret": {"key", "token", "secret", "password", "passwd", "pwd", "bearer", "authorization", "credential", "credentials"},
 }
+OTHER_WORDS = {"version", "isbn", "issn", "serial", "order", "invoice", "part", "model", "checksum", "commit", "sha", "md"}
+#: Bits a character that a secret has at least; words and paths have less, or no digits.
+ENTROPY = 2.8
 
 
 def luhn(digits: str) -> bool:
@@ -105,7 +121,7 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     found = [(s, 0, e, "email") for s, e in _emails(text)]
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p) < 4 + p.count("0") and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(q := p.lstrip("0")) <= 3 and int(q or 0) <= 255 for p in m[0].split(".")):
                 found.append((m.start(), 1, m.end(), "ip"))
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 12 and 12 <= len(d := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(d):
@@ -118,30 +134,75 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def score(text: str, kind: str, start: int, end: int, confirmed: bool) -> float:
-    """Of an added span: its prior, more if a checksum confirms it, more for a context word nearby."""
-    near = text[max(0, start - BEFORE) : start].lower() + " " + text[end : end + AFTER].lower()
-    return PRIOR[kind] + CONFIRMED * confirmed + CONTEXT * bool(CONTEXT_WORDS[kind] & set(_WORD.findall(near)))
+    """Of a span: its prior, more if a checksum or a known form confirms it, more for a context word nearby, less for one
+    that speaks for something else; 0 to 1."""
+    near = set(_WORD.findall(text[max(0, start - BEFORE) : start].lower() + " " + text[end : end + AFTER].lower()))
+    mine, other = bool(CONTEXT_WORDS[kind] & near), bool(OTHER_WORDS & near)
+    return round(max(0.0, min(1.0, PRIOR[kind] + CONFIRMED * confirmed + CONTEXT * (mine - (other and not mine)))), 2)
+
+
+def known_form(value: str) -> bool:
+    """Whether a secret has the form of a known issuer's keys, or is the head of a private key."""
+    return value[0] == "-" or bool(_KEY_HEAD.match(value))
+
+
+def _secrets(text: str) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, known form) of strings with letters and digits that look drawn by chance, and of private keys' heads."""
+    for m in _SECRET.finditer(text):
+        form = known_form(m[0])
+        if not form:
+            if not _DIGIT.search(m[0]) or not _LETTER.search(m[0]) or len(m[0]) < 20:
+                continue
+            n = len(m[0])
+            if -sum(c / n * math.log2(c / n) for c in Counter(m[0]).values()) < ENTROPY:
+                continue
+        yield m.start(), m.end(), form
+
+
+def _free(found: list[tuple], busy: list[tuple[int, int]]) -> list[tuple]:
+    """Those of found, (start, end, ...) by start, that overlap none of busy, which is sorted and disjoint."""
+    out, k = [], 0
+    for x in found:
+        while k < len(busy) and busy[k][1] <= x[0]:
+            k += 1
+        if k == len(busy) or busy[k][0] >= x[1]:
+            out.append(x)
+    return out
+
+
+def _union(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = out[-1][0], max(e, out[-1][1])
+        else:
+            out.append((s, e))
+    return out
 
 
 def added_spans(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
-    """Spans that the method adds: proposed by expression, scored, and not overlapping a base span."""
-    if not _DIGIT.search(text):
+    """Spans that the method adds: proposed by expression, scored, and overlapping neither a base span nor one of a kind
+    before theirs."""
+    if not _DIGIT.search(text) and "-----BEGIN" not in text:
         return []
-    out = []
-    for rank, (kind, pattern) in enumerate((("iban", None), ("ssn", _SSN), ("local_phone", _LOCAL)), len(KINDS)):
-        for start, end in _ibans(text) if pattern is None else (m.span() for m in pattern.finditer(text)):
-            confirmed = pattern is None
-            if score(text, kind, start, end, confirmed) >= LEAST and not any(s < end and start < e for s, _, e, _ in taken + out):
-                out.append((start, rank, end, kind))
+    out: list[tuple[int, int, int, str]] = []
+    busy = _union((s, e) for s, _, e, _ in taken)
+    plain = lambda pattern: ((*m.span(), False) for m in pattern.finditer(text))
+    proposed = (("iban", ((*x, True) for x in _ibans(text))), ("ssn", plain(_SSN)), ("local_phone", plain(_LOCAL)), ("secret", _secrets(text)))
+    for rank, (kind, found) in enumerate(proposed, len(KINDS)):
+        mine = [x for x in _free(list(found), busy) if score(text, kind, *x) >= LEAST]
+        if mine:
+            out += [(s, rank, e, kind) for s, e, _ in mine]
+            busy = _union([*busy, *((s, e) for s, e, _ in mine)])
     return out
 
 
 def find_personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
+    """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, scores.
 
     `spans` lists kind:start:end, in code points with the end exclusive, by start and kind; base spans always
-    stay, added ones (IBAN, social security and local phone numbers) never overlap them. Null and empty texts
-    have no spans, an empty list's checksum, and still a row. Repeated rows each give a row; null ids stay
+    stay, added ones (IBAN, social security and local phone numbers, keys and tokens) never overlap them; `scores` lists their
+    scores in the same order. Null and empty texts have no spans, an empty list's checksum, and still a row. Repeated rows each give a row; null ids stay
     null; other columns are not looked at.
     """
 
@@ -155,15 +216,16 @@ def find_personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
                     n[x[1]] += 1
                 all_ = sorted(base + added_spans(text_, base))
                 listed = [",".join(f"{k}:{s}:{e}" for s, _, e, k in x) for x in (base, all_)]
-                rows.append((*n, hashlib.sha256(listed[0].encode()).hexdigest(), listed[1]))
+                scores = [score(text_, k, s, e, k in CHECKED or k == "secret" and known_form(text_[s:e])) for s, _, e, k in all_]
+                rows.append((*n, hashlib.sha256(listed[0].encode()).hexdigest(), listed[1], ",".join(map(str, scores))))
             columns = list(zip(*rows, strict=True))
             arrays = [pa.array(c, pa.int64()) for c in columns[:4]] + [pa.array(c, pa.string()) for c in columns[4:]]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "scores"])
 
     short_batches(docs.sparkSession)
     sheet = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     kind = sheet.schema["doc_id"].dataType.simpleString()
-    return sheet.mapInArrow(scan, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return sheet.mapInArrow(scan, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores string")
 
 
 def redact(docs: DataFrame, text: str = "text", mask: str = "<{kind}>") -> DataFrame:
