@@ -74,10 +74,27 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergence
+
+    return divergence(_docs(spark, sf_dir))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import align_tokens
+
+    return align_tokens(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_substring_dedup, op3_mixing, op4_near_dedup, op5_lm_scoring, op6_pii, op7_sharding, op8_license_scan, op9_quality, op10_packing)
-}
+    for f in (
+        op1_exact_dedup, op2_substring_dedup, op3_mixing, op4_near_dedup, op5_lm_scoring, op6_pii, op7_sharding, op8_license_scan, op9_quality, op10_packing,
+        op11_source_divergence, op12_token_alignment,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": r"""
@@ -108,4 +125,20 @@ ORACLE_SQL: dict[str, str] = {
         reach(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT steps.b, reach.root FROM reach JOIN steps ON steps.a = reach.node),
         least_root AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN least_root r ON r.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op11_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+        t AS MATERIALIZED (SELECT k, lang, source, unnest(ts) AS term FROM d),
+        kept AS MATERIALIZED (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT k) >= 10),
+        n AS (SELECT lang, source, term, count(*) AS c FROM t JOIN kept USING (lang, term) GROUP BY lang, source, term),
+        groups AS (SELECT DISTINCT lang, source FROM d),
+        grid AS MATERIALIZED (SELECT lang, source, term, coalesce(c, 0) AS c, sum(coalesce(c, 0)) OVER (PARTITION BY lang, source) AS n, sum(coalesce(c, 0)) OVER (PARTITION BY lang) AS nl,
+            sum(coalesce(c, 0)) OVER (PARTITION BY lang, term) AS cl, count(*) OVER (PARTITION BY lang, source) AS v FROM groups JOIN kept USING (lang) LEFT JOIN n USING (lang, source, term)),
+        shares AS MATERIALIZED (SELECT lang, source, term, c, CAST(1 + CAST(1000000000 AS HUGEINT) * (c + 2) // (n + 2 * v) AS HUGEINT) AS p, CAST(1 + CAST(1000000000 AS HUGEINT) * (cl + 2) // (nl + 2 * v) AS HUGEINT) AS q FROM grid),
+        cells AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        pairs AS (SELECT g.lang, g.source, h.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+            LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.item = h.source),
+        terms AS (SELECT lang, source, term AS item, CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value FROM shares WHERE c > 0 AND p > q)
+        SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pairs
+        UNION ALL SELECT * FROM (SELECT lang, source, 'term', item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM terms) WHERE rank <= 10""",
 }
