@@ -74,31 +74,145 @@ def test_classification_is_limited_and_batched(spark, tmp_path):
     assert late["classified"] == 0
 
 
-def test_known_items_are_updated_within_the_quota(spark, tmp_path):
-    store, model = SnapshotStore(spark, str(tmp_path / "store"), 4), jobs.StubModel()
-    first = _candidates(spark, 6)
-    jobs.collect(store, first, model, ["m"], datetime(2026, 9, 12, 21), first_run=["none"])
-    before = {r.canonical_url: r for r in store.read("items").collect()}
-    again = first.where("ord < 4").withColumn("content_text", F.when(F.col("ord") < 2, "changed").otherwise(F.col("content_text")))
-    asked = []
-
-    def refetch(due):
-        asked.extend(r.canonical_url for r in due.collect())
-        return due.select("id", F.lit("T").alias("title"), F.lit(None).cast("timestamp_ntz").alias("published_at"), F.lit("new text").alias("content_text"))
-
+class Site:
+    """Pages by URL, which count how often they are read."""
+
+    def __init__(self, spark, folder):
+        self.spark, self.folder, self.texts, self.asks = spark, folder, {}, 0
+
+    def __call__(self, asked):
+        self.asks += 1
+        texts, folder = dict(self.texts), self.folder / str(self.asks)
+        folder.mkdir(parents=True)
+
+        def run(batches):
+            for part in batches:
+                for r in part.itertuples(index=False):
+                    with open(folder / r.id, "a") as f:
+                        f.write("x")
+                yield part.assign(title="", content_text=[texts.get(u) for u in part.canonical_url])[["id", "title", "content_text"]]
+
+        return asked.mapInPandas(run, "id string, title string, content_text string")
+
+    def reads(self):
+        """How many pages were read, and how often at most one was in a run."""
+        size = [f.stat().st_size for f in self.folder.rglob("*") if f.is_file()]
+        return len(size), max(size, default=0)
+
+
+def _listed(spark, titles, source="s", start=0):
+    return spark.createDataFrame([(source, k, f"http://e.com/{k}", t, None, None) for k, t in enumerate(titles, start)], stream.CANDIDATE)
+
+
+def test_unchanged_items_stay_and_listed_ones_are_rechecked(spark, tmp_path):
+    store, model, site = SnapshotStore(spark, str(tmp_path / "store"), 4), jobs.StubModel(), Site(spark, tmp_path / "reads")
+    site.texts = {f"https://e.com/{k}": f"text {k}" for k in range(9)}
+    rows = lambda: {int(r.canonical_url.rsplit("/", 1)[1]): r for r in store.read("items").collect()}
+    assert jobs.collect(store, _listed(spark, "ABCD"), model, ["m"], datetime(2026, 9, 12, 21), pages=site)["new_items"] == 4
+    before = rows()
+    assert site.reads() == (4, 1) and [before[k].content_text for k in range(4)] == [f"text {k}" for k in range(4)]
+    # 0 and 1 are listed again, unchanged, and none is due: nothing is read or touched
+    run = lambda listing, hour, **o: jobs.collect(store, listing, model, ["m"], datetime(2026, 9, 13, hour), pages=site, **o)
+    got = run(_listed(spark, "AB"), 3, recheck_limit=0)
+    assert rows() == before and site.reads() == (4, 1) and (got["new_items"], got["updated_items"]) == (0, 0)
+    # a new title with the same text: title and time move, the classification stays; a changed text falls with its own
+    site.texts["https://e.com/1"] = "other"
+    got = run(_listed(spark, ["A2", "B"]), 4, recheck_limit=1)
+    after = rows()
+    assert got["updated_items"] == 0 and after[0].title == "A2" and after[0].content_hash == before[0].content_hash and after[0].classified_at == before[0].classified_at
+    assert after[1] == before[1]  # 0 took the one place of the recheck
+    got = run(_listed(spark, ["A2", "B"]), 5, recheck_limit=1, classify_limit=0)
+    after = rows()
+    assert got["updated_items"] == 1 and after[1].content_text == "other" and after[1].classified_at is None and after[1].relevance is None
+    assert after[2] == before[2] and after[3] == before[3] and after[1].detected_at == before[1].detected_at
+    assert site.reads() == (4 + 1 + 1, 1)
+
+
+def test_updates_keep_to_quota_source_and_readable_pages(spark, tmp_path):
+    store, model, site = SnapshotStore(spark, str(tmp_path / "store"), 4), jobs.StubModel(), Site(spark, tmp_path / "reads")
+    site.texts = {f"https://e.com/{k}": f"text {k}" for k in range(9)}
+    jobs.collect(store, _listed(spark, "ABCDE"), model, ["m"], datetime(2026, 9, 12, 21), pages=site)
+    before = {r.title[0]: r for r in store.read("items").collect()}
+    del site.texts["https://e.com/1"]
+    # another source lists the same pages under other titles, and one that can't be read now
+    both = _listed(spark, ["A2", "B2", "C2", "D2", "E"]).unionByName(_listed(spark, ["elsewhere"] * 5, source="a"))
+    got = jobs.collect(store, both, model, ["m"], datetime(2026, 9, 13, 3), pages=site, update_limit=3, recheck_limit=0, classify_limit=0)
+    after = {r.canonical_url[-1]: r for r in store.read("items").collect()}
+    assert [after[str(k)].title for k in range(5)] == ["A2", "B", "C2", "D", "E"] and {r.source_id for r in after.values()} == {"s"}
+    assert after["1"] == before["B"] and got["updated_items"] == 0
+    assert store.read("runs").where("started_at > '2026-09-13'").first().errors == ["source s: 2 candidates for an update left for the next run"]
+    # new ones beyond the limit are counted and named, and come next time
+    more = _listed(spark, "FGHI", start=5)
+    got = jobs.collect(store, more, model, ["m"], datetime(2026, 9, 13, 4), limit=3, pages=site)
+    assert (got["new_items"], got["skipped"]) == (3, 1) and any("1 new candidates" in e for e in store.read("runs").orderBy("started_at").collect()[-1].errors)
+    assert jobs.collect(store, more, model, ["m"], datetime(2026, 9, 13, 5), limit=3, pages=site)["new_items"] == 1
+
+
+def test_a_run_that_starts_again_reads_no_page_twice(spark, tmp_path):
+    store, site = SnapshotStore(spark, str(tmp_path / "store"), 4), Site(spark, tmp_path / "reads")
+    site.texts = {f"https://e.com/{k}": f"text {k}" for k in range(3)}
+    now = datetime(2026, 9, 12, 21)
+    finish, jobs.runs.finish = jobs.runs.finish, None
+    try:
+        jobs.collect(store, _listed(spark, "ABC"), jobs.StubModel(), ["m"], now, pages=site)
+    except TypeError:  # it died before its end
+        pass
+    finally:
+        jobs.runs.finish = finish
+    again = jobs.collect(store, _listed(spark, "ABC"), jobs.StubModel(), ["m"], now, pages=site)
+    assert again["new_items"] == 3 and store.read("items").count() == 3 and site.reads() == (3, 1)
+    assert not list((tmp_path / "store" / "_stages").iterdir())
+
+
+def test_first_runs_and_source_states(spark, tmp_path):
+    store, model, site = SnapshotStore(spark, str(tmp_path / "store"), 4), jobs.StubModel(), Site(spark, tmp_path / "reads")
     fetches = spark.createDataFrame([("s", True, False, 4), ("t", False, False, 0)], "source_id string, ok boolean, not_modified boolean, n_candidates int")
-    got = jobs.collect(store, again, model, ["m"], datetime(2026, 9, 13, 3), fetches=fetches, refetch=refetch)
-    assert (got["new_items"], got["updated_items"], got["sources_failed"]) == (0, 4, 1)
-    assert set(asked) <= {f"https://e.com/{k}" for k in (4, 5)}
-    after = {r.canonical_url: r for r in store.read("items").collect()}
-    assert len(after) == 6 and {u for u in after if after[u].content_hash != before[u].content_hash} == {f"https://e.com/{k}" for k in (0, 1, 4, 5)}
-    assert all(after[u].detected_at == before[u].detected_at and after[u].classified_at is not None for u in after)
+    got = jobs.collect(store, _listed(spark, ["A", ""]), model, ["m"], datetime(2026, 9, 13, 3), fetches=fetches, pages=site, first_run=["s"])
+    assert (got["new_items"], got["sources_failed"], got["classified"]) == (2, 1, 0) and site.reads() == (0, 0)
+    rows = sorted(store.read("items").collect(), key=lambda r: r.canonical_url)
+    assert [r.title for r in rows] == ["A", "1"] and all(r.classified_at is not None and r.relevance == 0.0 for r in rows)
     for at in (9, 15, 21):
-        jobs.collect(store, again, model, ["m"], datetime(2026, 9, 13, at), fetches=fetches)
+        jobs.collect(store, _listed(spark, ["A2"]), model, ["m"], datetime(2026, 9, 13, at), fetches=fetches, pages=site, first_run=["s"])
+    assert site.reads() == (0, 0) and sorted(store.read("items").collect(), key=lambda r: r.canonical_url) == rows
     states = {r.id: r for r in store.read("source_states").collect()}
     assert (states["t"].consecutive_failures, states["t"].warned_at_failure_count, states["s"].consecutive_failures) == (4, 3, 0)
 
 
+class Failing(jobs.StubModel):
+    """Answers in turn as told: None is an answer."""
+
+    def __init__(self, *turns):
+        self.turns, self.asked = list(turns), []
+
+    def classify(self, items, channels):
+        self.asked.append(items.count())
+        turn = self.turns.pop(0) if self.turns else None
+        if turn is not None:
+            raise turn
+        return super().classify(items, channels)
+
+
+def test_model_failures_are_told_apart(spark, tmp_path):
+    waits, at = [], datetime(2026, 9, 12, 21)
+
+    def run(name, *turns):
+        store, model = SnapshotStore(spark, str(tmp_path / name), 2), Failing(*turns)
+        jobs.collect(store, _candidates(spark, 49), jobs.StubModel(), ["m"], at, classify_limit=0)
+        waits.clear()
+        n, errors = jobs.classify(store, model, ["m"], at, pause=waits.append)
+        return n, errors, model.asked, list(waits), store.read("items").where("classified_at is not null").count()
+
+    busy, gone = jobs.ModelError(429, "slow down"), jobs.ModelError(None, "reset")
+    assert run("again", busy, gone) == (49, [], [20, 20, 20, 20, 9], [2, 4], 49)
+    n, errors, asked, waited, stored = run("refused", None, jobs.ModelError(400, "bad input, Bearer abc123"))
+    assert (n, stored, asked, waited) == (29, 29, [20, 20, 9], []) and len(errors) == 1 and errors[0].startswith("batch 1: refused: bad input") and "abc123" not in errors[0]
+    n, errors, asked, waited, stored = run("billing", None, jobs.ModelError(400, "Your credit balance is too low"))
+    assert (n, stored, asked, waited) == (20, 20, [20, 20], []) and [e.split(":")[1] for e in errors] == [" billing", " not asked"]
+    n, errors, asked, waited, stored = run("down", *[jobs.ModelError(503, "no")] * 4)
+    assert (n, asked, waited) == (29, [20] * 4 + [20, 9], [2, 4, 8]) and errors == ["batch 0: retry: no"]
+    assert jobs.classify(SnapshotStore(spark, str(tmp_path / "down"), 2), jobs.StubModel(), [], at) == (0, ["no channel is configured, so nothing can be classified"])
+
+
 def test_store_rewrites_touched_buckets_only(spark, tmp_path):
     store = SnapshotStore(spark, str(tmp_path / "store"), 8)
     rows = lambda ids, v, value: spark.createDataFrame([(str(i), value, v) for i in ids], "id string, value string, version int")

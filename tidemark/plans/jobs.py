@@ -17,13 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.text import content_hash, redacted, truncate
+from ..functions.text import redacted, truncate
 from ..operators import collect as co
 from ..operators import delivery, gate, health, message, runs, select
 from ..operators import model as results
 from ..operators.store import SnapshotStore, mark, unmark
 from ..sources.fetch import retryable
-from ..streaming.collect import items_of
+from . import collecting
+from .collecting import Pages, Stages
 
 EXCERPT = 3000
 
@@ -70,8 +71,6 @@ _LABELS = [c for c in _EMPTY if c not in ("region", "classified_at", "digested_i
 #: One attempt, and the pauses in seconds before further ones.
 SEND_PAUSES = (2, 4, 8)
 
-Refetch = Callable[[DataFrame], DataFrame]
-
 
 def _state(old: DataFrame | None, fetches: DataFrame, now: datetime) -> DataFrame:
     """Source states after a run: fetches has source_id, ok, not_modified, n_candidates and, where known, etag and
@@ -99,91 +98,123 @@ def _state(old: DataFrame | None, fetches: DataFrame, now: datetime) -> DataFram
 STATE = "id string, last_fetched_at timestamp_ntz, last_success_at timestamp_ntz, consecutive_failures int, consecutive_empty int, etag string, last_modified string, last_candidate_count int, warned_at_failure_count int, warned_at_empty_count int, version double"
 
 
-def updates(found: DataFrame, known: DataFrame, now: datetime, limit: int = co.UPDATES_PER_SOURCE, refetch: Refetch | None = None) -> DataFrame:
-    """Items of `known` whose listing came again, or whose turn it was to be looked at again, as they are now.
+class ModelError(Exception):
+    """A call of a model that failed: the HTTP status, None where there was no answer, and what it said."""
 
-    found: items of the listing. Per source no more than `limit` changed ones are taken; the items updated longest ago
-    that the listing did not bring are fetched by `refetch`, (id, canonical_url) to (id, title, published_at, content_text).
-    """
-    pairs = co.known_candidates(found, known)
-    changed = ~F.col("content_hash").eqNullSafe(F.col("old_content_hash"))
-    pairs = co.update_quota(pairs, changed, limit).drop("changed", "before")
-    if refetch is not None:
-        # of items updated at the same time the hash of the id decides
-        due = co.rechecks(known.withColumn("ord", F.crc32(F.col("id").cast("binary"))), found).drop("rank")
-        page = refetch(due.select("id", "canonical_url")).select("id", F.col("title").alias("__title"), F.col("published_at").alias("__at"), F.col("content_text").alias("__text"))
-        again = due.join(page, "id").withColumns({"title": F.coalesce("__title", "title"), "published_at": F.coalesce("__at", "published_at"), "content_text": F.col("__text")})
-        again = again.withColumn("content_hash", content_hash(F.col("content_text"), F.col("title")))
-        more = co.known_candidates(again.select(found.columns), known)
-        pairs = pairs.unionByName(more.select(pairs.columns))
-    rows = co.apply_updates(pairs.withColumn("region", F.col("old_region")), _at(now))
-    # of columns that an update does not speak of, the item's stay; a classification falls with the content it was for
-    rest = known.select("id", *(c for c in known.columns if c != "id" and c not in rows.columns))
-    out = rows.join(rest, "id")
-    return out.withColumns({c: F.when(~F.col("content_changed"), F.col(c)) for c in _LABELS}).select(*known.columns, "content_changed")
-
-
-def classify(store: SnapshotStore, model: Model, channels: list[str], now: datetime, limit: int = CLASSIFY_LIMIT, days: int | None = None, period_days: int = 1) -> tuple[int, list[str]]:
+    def __init__(self, status: int | None, detail: str):
+        super().__init__(detail)
+        self.status = status
+
+
+def _failure(store: SnapshotStore, e: Exception) -> tuple[str, str]:
+    """The kind of a model's failure, and its text without secrets. What is no answer of a model is not worth another try."""
+    detail = redacted(str(e))[:200]
+    if not isinstance(e, ModelError):
+        return "refused", detail
+    status = F.lit(e.status).cast("int")
+    return store.spark.range(1).select(results.error_kind(status, F.lit(detail))).first()[0], detail
+
+
+def classify(store: SnapshotStore, model: Model, channels: list[str], now: datetime, limit: int = CLASSIFY_LIMIT, days: int | None = None, period_days: int = 1, stages: Stages | None = None, pause: Callable[[float], None] = time.sleep) -> tuple[int, list[str]]:
     """Ask the model about waiting items, the oldest first, at most `limit` and CLASSIFY_BATCH at a time, none from before the
-    days that a digest can still hold. Returns how many were classified, and an error for each batch that lacks results."""
-    if limit <= 0 or not channels:
+    days that a digest can still hold. Returns how many were classified, and an error for each batch that lacks results.
+
+    A call without an answer, over a rate limit or failed by the server is repeated after each of SEND_PAUSES; a refused one
+    loses its batch, which waits for the next run, and the others go on; one refused for want of credit ends the asking.
+    Answers are stored before the items are changed, and a run that starts again asks only about batches without one.
+    """
+    if limit <= 0:
         return 0, []
-    days = max(1, period_days) + select.CARRY_DAYS + 1 if days is None else days
-    queue = co.unclassified_queue(store.read("items"), _at(now - timedelta(days=days)), limit, CLASSIFY_BATCH)
-    asked = queue.select("id", "batch_id")
+    if not channels:
+        return 0, ["no channel is configured, so nothing can be classified"]
+    spark = store.spark
+    days = spark.range(1).agg(co.lookback_days(F.lit(period_days))).first()[0] if days is None else days
+    stages = stages or Stages(store, f"classify_{now:%Y%m%dT%H%M%S%f}")
+    # at most `limit` rows, read from the items once
+    queue = stages.keep("queue", co.unclassified_queue(store.read("items"), _at(now - timedelta(days=days)), limit, CLASSIFY_BATCH))
+    sizes = {r.batch_id: r.n for r in queue.groupBy("batch_id").agg(F.count("*").alias("n")).collect()}
     parts, errors = [], []
-    for k in range(-(-limit // CLASSIFY_BATCH)):
+    for k in sorted(sizes):
         batch = queue.where(F.col("batch_id") == k)
-        if batch.isEmpty():
+
+        def ask(batch=batch, k=k) -> DataFrame:
+            # the first answer for each id that was asked about; what else a model returns is not looked at
+            got = model.classify(batch.drop("batch_id"), channels).select("id", *_LABELS).join(F.broadcast(batch.select("id")), "id", "left_semi").dropDuplicates(["id"])
+            return stages.keep(f"answers_{k}", got.withColumn("batch_id", F.lit(k)))
+
+        kind, detail = None, ""
+        for wait in (*SEND_PAUSES, None):
+            try:
+                parts.append(ask())
+                kind = None
+                break
+            except Exception as e:  # one batch must not stop the others
+                kind, detail = _failure(store, e)
+                if kind != "retry" or wait is None:
+                    break
+                pause(wait)
+        if kind:
+            errors.append(f"batch {k}: {kind}: {detail}")
+        if kind == "billing":
+            errors += [f"batch {j}: not asked" for j in sorted(sizes) if j > k]
             break
-        try:
-            # a model answers from the driver for at most a batch of rows
-            got = model.classify(batch.drop("batch_id"), channels).select("id", *_LABELS).withColumn("batch_id", F.lit(k))
-            parts.append(store.spark.createDataFrame(got.collect(), got.schema))
-        except Exception as e:  # one batch must not stop the others
-            errors.append(f"batch {k}: {redacted(str(e))[:200]}")
     if not parts:
         return 0, errors
-    answers = reduce(DataFrame.unionByName, parts)
-    joined = results.join_results(asked, answers)
-    errors += [f"batch {r.batch_id}: {r.missing} of {r.asked} items without a result" for r in results.missing(joined).where("missing > 0").orderBy("batch_id").collect() if not any(e.startswith(f"batch {r.batch_id}:") for e in errors)]
+    joined = results.join_results(queue.select("id", "batch_id"), reduce(DataFrame.unionByName, parts))
+    failed = {e.split(":")[0] for e in errors}
+    errors += [f"batch {r.batch_id}: {r.missing} of {r.asked} items without a result" for r in results.missing(joined).where("missing > 0").orderBy("batch_id").collect() if f"batch {r.batch_id}" not in failed]
     hits = joined.where("relevance is not null").drop("batch_id")
-    rows = store.read("items").join(hits.select("id"), "id", "left_semi")
-    store.replace("items", results.apply(rows, hits, _at(now)))
-    return hits.count(), errors
+    classified = hits.count()
+    if classified:
+        rows = store.read("items").join(F.broadcast(hits.select("id")), "id", "left_semi")
+        store.replace("items", stages.keep("classified", results.apply(rows, hits, _at(now))))
+    return classified, errors
+
 
+def collect(store: SnapshotStore, candidates: DataFrame, model: Model, channels: list[str], now: datetime, limit: int = co.NEW_PER_SOURCE, fetches: DataFrame | None = None, pages: Pages | None = None, first_run: list[str] = (), classify_limit: int = CLASSIFY_LIMIT, period_days: int = 1, update_limit: int = co.UPDATES_PER_SOURCE, recheck_limit: int = co.RECHECK_PER_SOURCE) -> dict[str, int]:
+    """One collection, from listings to classified items. Returns the run's counters.
 
-def collect(store: SnapshotStore, candidates: DataFrame, model: Model, channels: list[str], now: datetime, limit: int = co.NEW_PER_SOURCE, fetches: DataFrame | None = None, refetch: Refetch | None = None, first_run: list[str] = (), classify_limit: int = CLASSIFY_LIMIT, period_days: int = 1) -> dict[str, int]:
-    """One collection: new items are added, the first `limit` of each source; known ones are updated; waiting ones classified;
-    source states and the run's record kept. Items of sources in `first_run` count as read. Returns the run's counters."""
+    New candidates are added, the first `limit` of each source. Of known ones, those whose source lists another title or date are
+    read again, in listing order and up to update_limit a source, and so are the recheck_limit listed ones that were updated longest ago; all
+    others stay untouched. `pages` reads pages, each once; without it texts are the candidates' own. A classification falls only
+    with changed content. What goes beyond a limit waits for the next run and is told among the run's errors. Items of sources
+    in `first_run` count as read, unread.
+    """
     run_id = f"collect_{now:%Y%m%dT%H%M%S%f}"
     runs.begin(store, run_id, "collect", now)
     counts: dict[str, int] = dict.fromkeys(runs.COUNTERS, 0)
     errors: list[str] = []
+    stages = Stages(store, run_id)
     try:
-        known = store.read("items")
-        found = items_of(candidates, now)
-        counts["fetched"] = found.count()
-        fresh = co.capped_new(found if known is None else co.new_candidates(found, known), limit).drop("ord", "rank", "overflow")
-        fresh = fresh.withColumns({c: F.array().cast(t) if c == "digested_in" else F.lit(None).cast(t) for c, t in _EMPTY.items()})
-        fresh = co.bootstrap(fresh, F.col("source_id").isin(list(first_run)), _at(now))
-        changed = None
+        listed = stages.keep("listed", collecting.listed_of(candidates))
+        items = store.read("items")
+        known = None if items is None else stages.keep("known", collecting.known_of(listed, items))
+        at_first = F.col("source_id").isin(list(first_run))
+        plan = stages.keep("plan", collecting.fetch_plan(listed, known, at_first, limit, update_limit, recheck_limit))
+        asked = plan.where(F.col("reason").isin("new", "changed", "recheck")).select("id", "canonical_url")
+        texts = stages.keep("pages", (pages or collecting.from_listing(plan))(asked).select("id", "title", "content_text"))
+        fresh = stages.keep("new", collecting.new_items(plan, texts, now))
         if known is not None:
-            changed = updates(found, known, now, refetch=refetch)
-            store.replace("items", changed.drop("content_changed"))
-            counts["updated_items"] = changed.where("content_changed").count()
-        store.append("items", fresh)
-        counts["new_items"] = store.read("items").count() - (0 if known is None else known.count())
+            changed = stages.keep("updated", collecting.updated_items(plan, texts, items, now, _LABELS))
+            if not changed.isEmpty():
+                store.replace("items", changed.drop("content_changed"))
+                counts["updated_items"] = changed.where("content_changed").count()
+        made = fresh.withColumns({c: F.array().cast(t) if c == "digested_in" else F.lit(None).cast(t) for c, t in _EMPTY.items()})
+        made = co.bootstrap(made, F.col("seen"), _at(now)).drop("seen")
+        store.append("items", made) if items is None else store.insert("items", made.select(items.columns))
+        counts |= {"fetched": listed.count(), "new_items": fresh.count(), "skipped": plan.where("reason = 'new_later'").count()}
+        errors = collecting.put_off(plan)
         if fetches is not None:
             store.upsert("source_states", _state(store.read("source_states"), fetches, now))
             n = fetches.agg(F.count("*").alias("total"), F.count_if("ok").alias("ok")).first()
             counts |= {"sources_total": n.total, "sources_succeeded": n.ok, "sources_failed": n.total - n.ok}
-        counts["classified"], errors = classify(store, model, channels, now, classify_limit, period_days=period_days)
+        counts["classified"], failed = classify(store, model, channels, now, classify_limit, period_days=period_days, stages=stages)
     except Exception as e:
         runs.finish(store, run_id, "failed", now, counts, [redacted(str(e))[:500]])
         raise
-    status = store.spark.range(1).select(health.run_status("collect", *(F.lit(x) for x in (max(1, counts["sources_total"]), counts["sources_failed"], 0, len(errors))))).first()[0]
-    runs.finish(store, run_id, status, now, counts, errors)
+    status = store.spark.range(1).select(health.run_status("collect", *(F.lit(x) for x in (max(1, counts["sources_total"]), counts["sources_failed"], 0, len(failed))))).first()[0]
+    runs.finish(store, run_id, status, now, counts, errors + failed)
+    stages.clear()
     return counts
 
 

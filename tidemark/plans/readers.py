@@ -319,28 +319,60 @@ def _store(spark: SparkSession) -> store.SnapshotStore:
     return store.SnapshotStore(spark, f"{shared}/store-{uuid.uuid4().hex}", 4)
 
 
-def _candidates(spark: SparkSession, sf_dir: str, suffix) -> DataFrame:
-    d = si.table(spark, sf_dir, "documents")
-    rows = d.select(F.col("source").alias("source_id"), F.col("doc_id").cast("int").alias("ord"), F.concat(F.lit("https://site.example/"), F.col("doc_id").cast("string")).alias("url"), F.left("text", F.lit(60)).alias("title"), F.lit(None).cast("timestamp_ntz").alias("published_at"), F.concat("text", suffix).alias("content_text"))
-    return rows
+def _listing(spark: SparkSession, sf_dir: str, table: str, key: str, source, title) -> DataFrame:
+    """A listing of a table's rows, as a page has it: no text."""
+    k = F.col(key)
+    return si.table(spark, sf_dir, table).select(
+        source.alias("source_id"), k.cast("int").alias("ord"), F.concat(F.lit("https://site.example/"), k.cast("string")).alias("url"), title.alias("title"),
+        F.lit(None).cast("timestamp_ntz").alias("published_at"), F.lit(None).cast("string").alias("content_text"),
+    )
+
+
+def _site(spark: SparkSession, sf_dir: str, table: str, key: str, text):
+    """The pages behind such a listing."""
+    there = si.table(spark, sf_dir, table).select(F.concat(F.lit("https://site.example/"), F.col(key).cast("string")).alias("canonical_url"), F.lit(None).cast("string").alias("title"), text.alias("content_text"))
+    return lambda asked: asked.join(there, "canonical_url").select("id", "title", "content_text")
 
 
 _COLLECTED = """n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents), first AS (SELECT * FROM n WHERE rank <= 50)"""
 
 
-@query(f"""WITH {_COLLECTED}, c AS (SELECT *, doc_id % 3 = 0 AS changed FROM first),
-    q AS (SELECT *, coalesce(sum(CAST(changed AS INT)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c),
+@query(f"""WITH {_COLLECTED}, q AS (SELECT doc_id, source, text, doc_id % 3 = 0 AS listed_anew, rank FROM first),
     second AS (SELECT * FROM n WHERE rank > 50 AND rank <= 100)
-    SELECT 'https://site.example/' || CAST(doc_id AS VARCHAR) AS canonical_url, source AS source_id, CASE WHEN changed AND before < 50 THEN sha256(text || '!') ELSE sha256(text) END AS content_hash FROM q
-    UNION ALL SELECT 'https://site.example/' || CAST(doc_id AS VARCHAR), source, sha256(text || CASE WHEN doc_id % 3 = 0 THEN '!' ELSE '' END) FROM second""")
+    SELECT 'https://site.example/' || CAST(doc_id AS VARCHAR) AS canonical_url, source AS source_id, CASE WHEN listed_anew OR rank <= 5 THEN sha256(text || '!') ELSE sha256(text) END AS content_hash FROM q
+    UNION ALL SELECT 'https://site.example/' || CAST(doc_id AS VARCHAR), source, sha256(text || '!') FROM second""")
 def collect_job_outcomes(spark, sf_dir):
-    """Two collections: new items up to the limit of each source, then changed ones within the quota and the next new ones."""
-    s, model = _store(spark), jobs.StubModel()
-    jobs.collect(s, _candidates(spark, sf_dir, F.lit("")), model, ["main"], datetime(2024, 1, 15, 21))
-    jobs.collect(s, _candidates(spark, sf_dir, F.when(F.col("doc_id") % 3 == 0, "!").otherwise("")), model, ["main"], datetime(2024, 1, 16, 3))
+    """Two collections of listings without texts: new items up to the limit of each source; then those that are listed anew or
+    due to be checked, whose pages have changed as all others' have, and the next new ones."""
+    s, model, title = _store(spark), jobs.StubModel(), F.left("text", F.lit(40))
+    for now, listed, text in ((datetime(2024, 1, 15, 21), title, F.col("text")), (datetime(2024, 1, 16, 3), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("New: "), title)).otherwise(title), F.concat("text", F.lit("!")))):
+        jobs.collect(s, _listing(spark, sf_dir, "documents", "doc_id", F.col("source"), listed), model, ["main"], now, pages=_site(spark, sf_dir, "documents", "doc_id", text))
     return s.read("items").select("canonical_url", "source_id", "content_hash")
 
 
+@query("""WITH l AS (SELECT page_id, page_id % 5 AS source, html, row_number() OVER (PARTITION BY page_id % 5 ORDER BY page_id) AS rank FROM pages), day1 AS (SELECT * FROM l WHERE rank <= 20),
+    changed AS (SELECT *, page_id % 3 = 0 AS listed_anew, sum(CAST(page_id % 3 = 0 AS INT)) OVER (PARTITION BY source ORDER BY page_id) AS turn FROM day1),
+    read AS (SELECT *, listed_anew AND turn <= 4 AS taken, (listed_anew AND turn <= 4) OR rank <= 3 AS again FROM changed)
+    SELECT page_id, CASE WHEN again AND listed_anew THEN 'New ' ELSE 'Page ' END || CAST(page_id AS VARCHAR) AS title, sha256(CASE WHEN again AND page_id % 4 = 0 THEN html || '!' ELSE html END) AS content_hash,
+        strftime(CASE WHEN again THEN TIMESTAMP '2024-01-16 03:00:00' ELSE TIMESTAMP '2024-01-15 21:00:00' END, '%Y-%m-%d %H:%M') AS updated, '2024-01-15 21:00' AS detected, NOT (again AND page_id % 4 = 0) AS classified FROM read
+    UNION ALL SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'New ' ELSE 'Page ' END || CAST(page_id AS VARCHAR), sha256(CASE WHEN page_id % 4 = 0 THEN html || '!' ELSE html END), '2024-01-16 03:00', '2024-01-16 03:00', false FROM l WHERE rank > 20 AND rank <= 40""")
+def known_items_updated(spark, sf_dir):
+    """What a second listing does to items: titles listed anew are read again within the quota, and the three updated longest ago of
+    each source are; text, title, times and classification of the others stay. The second run asks no model."""
+    s, k = _store(spark), F.col("page_id")
+    source, number = (k % 5).cast("string"), k.cast("string")
+    listing_ = lambda title: _listing(spark, sf_dir, "pages", "page_id", source, F.concat(title, number))
+    old, new = F.lit("Page "), F.when(k % 3 == 0, "New ").otherwise("Page ")
+    run = lambda now, title, text, asks: jobs.collect(s, listing_(title), jobs.StubModel(), ["main"], now, 20, pages=_site(spark, sf_dir, "pages", "page_id", text), classify_limit=asks, update_limit=4, recheck_limit=3)
+    run(datetime(2024, 1, 15, 21), old, F.col("html"), 0)
+    # all of the first day count as classified, as of then
+    first = s.read("items")
+    s.commit("items", first.withColumns({"classified_at": F.col("updated_at"), "relevance": F.lit(0.5)}))
+    run(datetime(2024, 1, 16, 3), new, F.when(k % 4 == 0, F.concat("html", F.lit("!"))).otherwise(F.col("html")), 0)
+    show = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm")
+    return s.read("items").select(F.substring_index("canonical_url", "/", -1).cast("long").alias("page_id"), "title", "content_hash", show("updated_at").alias("updated"), show("detected_at").alias("detected"), (F.col("classified_at").isNotNull() & F.col("relevance").isNotNull()).alias("classified"))
+
+
 def _digested(spark: SparkSession, sf_dir: str, chars: int) -> tuple[store.SnapshotStore, select.Channel]:
     s, channel = _store(spark), select.Channel("main", relevance_threshold=0.0, max_items=8, max_chars=chars)
     items = si.items(spark, sf_dir).withColumns({"canonical_url": F.concat(F.lit("https://site.example/"), "id"), "digested_in": F.array().cast("array<string>"), "published_at": F.col("detected_at")})
