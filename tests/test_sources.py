@@ -45,21 +45,12 @@ def test_nested_pages_are_quick(spark):
     import time
 
     began = time.time()
-    deep = "<div>" * 2000 + "text " * 50 + "</div>" * 2000
-    assert html.main_text(deep)[0].startswith("text")
     links = "".join(f"<div class=c><a href=/{k}>" for k in range(1200))
     df = spark.createDataFrame([(1, "https://e.com/", links)], "page_id long, url string, html string")
     assert listing.selectors(df).first().links == 1200
     assert time.time() - began < 30
 
 
-def test_main_text():
-    body = "<title>t</title><body><nav>menu</nav><article><p>" + "word " * 30 + "</p><script>x()</script></article><footer>f</footer>"
-    assert html.main_text(body) == (("word " * 30).strip(), "t")
-    assert html.main_text("<body>short<footer>f</footer></body>")[0] == "short"
-    assert html.main_text("<p>unclosed <b>x")[0] == "unclosed x"
-
-
 RSS = """<?xml version="1.0" encoding="UTF-8"?><rss><channel><item><title><![CDATA[A &amp; B]]></title><link>/1</link><pubDate>Sat, 12 Sep 2026 09:00:00 +0900</pubDate></item>
 <item><title/><guid isPermaLink="false">zz</guid><link>https://e.com/2%20x</link><pubDate>令和</pubDate></item><item><title>dup</title><link>/1</link></item></channel></rss>"""
 ATOM = """<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>t</title><link rel="edit" href="/e"/><link rel="alternate" href="/a"/><updated>2026-09-12T00:00:00Z</updated><published>2026-09-11T00:00:00Z</published></entry></feed>"""
@@ -126,15 +117,73 @@ def test_candidates_from_snapshots(spark):
 
 
 def test_internal_addresses_are_not_fetched(monkeypatch):
-    reader = fetch.PoliteReader({"sources": "[]", "allow_network": "true"})
     for url in ("http://127.0.0.1/", "http://[::1]/x", "http://100.64.0.9/", "http://169.254.169.254/latest/meta-data"):
-        assert reader._get(url, {})[-1] == "internal address"
+        assert fetch.Polite().get(url)[-1] == "internal address"
         with pytest.raises(fetch.Refused):
             fetch.open_url(url, {})
     with pytest.raises(fetch.Refused):
         fetch._Redirects().redirect_request(None, None, 302, "", {}, "http://10.0.0.1/")
 
 
+class Answers:
+    """An opener that answers by URL: a body, a status, or an error; it keeps what it was asked."""
+
+    def __init__(self, pages):
+        self.pages, self.asked = pages, []
+
+    def __call__(self, url, headers, method="GET"):
+        import io
+        import urllib.error
+
+        self.asked.append(url)
+        got = self.pages.get(url, 404)
+        if isinstance(got, Exception):
+            raise got
+        if isinstance(got, int):
+            raise urllib.error.HTTPError(url, got, "x", {}, io.BytesIO())
+        r = io.BytesIO(got.encode())
+        r.status, r.url, r.headers = 200, url, {"Content-Type": "text/html"}
+        return r
+
+
+def test_robots_rules_are_read_through_the_guarded_opener(monkeypatch):
+    rules = "User-agent: *\nDisallow: /private"
+    for robots, allowed in ((rules, [True, False]), (404, [True, True]), (503, [True, True]), (fetch.Refused("redirect to an internal address"), [True, True]), (OSError("timed out"), [True, True])):
+        answers, waits = Answers({"https://e.com/robots.txt": robots, "https://e.com/a": "a", "https://e.com/private/b": "b"}), []
+        polite = fetch.Polite(answers, 2.0, waits.append)
+        got = [polite.get(f"https://e.com/{p}") for p in ("a", "private/b")]
+        assert [g[1] == 200 for g in got] == allowed and (allowed[1] or got[1][-1] == fetch.ROBOTS)
+        assert answers.asked.count("https://e.com/robots.txt") == 1 and waits == [2.0] * (len(answers.asked) - 1)
+    # what a site's rules redirect to is checked like any other address
+    opened = []
+    monkeypatch.setattr(fetch.urllib.request, "build_opener", lambda handler: opened.append(handler) or (_ for _ in ()).throw(OSError("off")))
+    fetch.Polite(pause_s=0).robots("https://e.com/x")
+    assert opened == [fetch._Redirects]
+
+
+def test_pages_are_read_by_host_within_the_time(spark):
+    asked = spark.createDataFrame([(str(k), f"https://h{k % 3}.example/{k}") for k in range(12)], "id string, canonical_url string")
+    pages = {f"https://h{k % 3}.example/{k}": f"<title>{k}</title>" for k in range(12) if k != 4}
+
+    def opener(url, headers, method="GET"):
+        import io
+        import urllib.error
+
+        if url not in pages:
+            raise urllib.error.HTTPError(url, 404, "x", {}, io.BytesIO())
+        r = io.BytesIO(pages[url].encode())
+        r.status, r.url, r.headers = 200, url, {"Content-Type": "text/html"}
+        return r
+
+    got = {r.id: r for r in fetch.read_pages(asked, opener, pause_s=0).collect()}
+    assert len(got) == 12 and got["3"].body == b"<title>3</title>" and (got["4"].status, got["4"].body) == (404, None)
+    assert fetch.read_pages(asked, opener, pause_s=0).rdd.getNumPartitions() <= fetch.HOSTS_AT_ONCE
+    # time runs out after a task's second page
+    tick = lambda t=[0]: t.__setitem__(0, t[0] + 1) or t[0]  # noqa: E731, B006
+    late = fetch.read_pages(asked.where("id in ('0', '3', '6', '9')"), opener, budget_s=3, pause_s=0, clock=tick).collect()
+    assert sorted(r.error is None for r in late) == [False, False, True, True] and {r.error for r in late} == {None, fetch.LATE}
+
+
 def test_probe_asks_again_where_head_is_refused():
     import io
     import urllib.error

@@ -12,13 +12,16 @@ from collections.abc import Iterator
 from urllib.parse import urlsplit
 from urllib.robotparser import RobotFileParser
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.urls import internal_host
+from ..functions.urls import host_of, internal_host
 
 RETRIES, DELAY_S, TIMEOUT_S = 3, 2.0, 20
+#: Seconds that a run may take to read pages.
+BUDGET_S = 1200.0
 #: Hosts that are asked at the same time, and answers to HEAD after which GET is tried.
 HOSTS_AT_ONCE, HEAD_REFUSED = 4, (403, 405, 501)
 AGENT = "tidemark"
@@ -105,56 +108,48 @@ def probe(url: str, opener=open_url) -> tuple[int | None, str | None]:
     return None, None
 
 
-class PoliteReader(DataSourceReader):
-    """Requests to one host come one after another, with a pause between them; at most `hosts_at_once` partitions, so as
-    many hosts are asked at the same time. With probe=true, pages are only tested for being there."""
+class Polite:
+    """Requests of one task: no internal address, robots rules kept for each site, a pause between requests to one host."""
 
-    def __init__(self, options):
-        self.sources = json.loads(options.get("sources", "[]"))  # [[source_id, url], ...]
-        self.validators = json.loads(options.get("validators", "{}"))  # url: {etag, last_modified}
-        self.pause = float(options.get("pause_s", DELAY_S))
-        self.allowed = options.get("allow_network", "false") == "true"
-        self.probe = options.get("probe", "false") == "true"
-        self.at_once = int(options.get("hosts_at_once", HOSTS_AT_ONCE))
+    def __init__(self, opener=open_url, pause_s: float = DELAY_S, sleep=time.sleep):
+        self.open, self.pause, self.sleep = opener, pause_s, sleep
+        self._robots: dict[str, RobotFileParser] = {}
+        self._asked: set[str] = set()
 
-    def partitions(self):
-        groups = by_host([url for _, url in self.sources])
-        ids = {url: source for source, url in self.sources}
-        hosts = [[(ids[u], u) for u in urls] for _, urls in sorted(groups.items(), key=lambda g: (-len(g[1]), g[0]))]
-        return [_Hosts(hosts[k :: self.at_once]) for k in range(min(self.at_once, len(hosts)))]
+    def _ask(self, url: str, headers: dict[str, str], method: str = "GET"):
+        host = urlsplit(url).netloc.lower()
+        if host in self._asked:
+            self.sleep(self.pause)
+        self._asked.add(host)
+        return self.open(url, headers, method)
 
-    def read(self, partition: _Hosts) -> Iterator[tuple]:
-        robots: dict[str, RobotFileParser] = {}
-        for urls in partition.hosts:
-            for k, (source, url) in enumerate(urls):
-                if not self.allowed:
-                    yield (source, url, url, None, None, None, None, None, "network access is off")
-                    continue
-                if k:
-                    time.sleep(self.pause)
-                yield (source, url, *self._get(url, robots))
-
-    def _get(self, url: str, robots: dict[str, RobotFileParser]) -> tuple:
-        if internal_host(url):
-            return (url, None, None, None, None, None, "internal address")
+    def robots(self, url: str) -> RobotFileParser:
+        """The rules of a URL's site; whatever keeps them from being read, an internal address too, allows everything."""
         root = f"{urlsplit(url).scheme}://{urlsplit(url).netloc}"
-        if root not in robots:
-            robots[root] = RobotFileParser(root + "/robots.txt")
+        if root not in self._robots:
+            rules = self._robots[root] = RobotFileParser(root + "/robots.txt")
             try:
-                robots[root].read()
+                with self._ask(root + "/robots.txt", {"User-Agent": AGENT}) as r:
+                    rules.parse(r.read().decode("utf-8", "replace").splitlines())
             except OSError:
-                robots[root].allow_all = True
-        if not robots[root].can_fetch(AGENT, url):
+                rules.allow_all = True
+        return self._robots[root]
+
+    def get(self, url: str, known: dict[str, str] | None = None, probe_only: bool = False) -> tuple:
+        """(final URL, status, content type, body, ETag, Last-Modified, error) of a URL; known: the validators of what is there."""
+        if internal_host(url):
+            return (url, None, None, None, None, None, "internal address")
+        if not self.robots(url).can_fetch(AGENT, url):
             return (url, None, None, None, None, None, ROBOTS)
-        if self.probe:
-            status, error = probe(url)
+        if probe_only:
+            status, error = probe(url, self._ask)
             return (url, status, None, None, None, None, error)
-        known = self.validators.get(url, {})
+        known = known or {}
         headers = {"User-Agent": AGENT} | ({"If-None-Match": known["etag"]} if known.get("etag") else {}) | ({"If-Modified-Since": known["last_modified"]} if known.get("last_modified") else {})
         status, error = None, None
         for attempt in range(1, RETRIES + 1):
             try:
-                with open_url(url, headers) as r:
+                with self._ask(url, headers) as r:
                     return (r.url, r.status, r.headers.get("Content-Type"), r.read(), r.headers.get("ETag"), r.headers.get("Last-Modified"), None)
             except urllib.error.HTTPError as e:
                 status, error = e.code, str(e)
@@ -166,10 +161,65 @@ class PoliteReader(DataSourceReader):
                 status, error = None, str(e)
             if not retryable(status) or attempt == RETRIES:
                 break
-            time.sleep(backoff(attempt))
+            self.sleep(backoff(attempt))
         return (url, status, None, None, None, None, error)
 
 
+#: What pages are read as, and the error of one that a run had no time for.
+FETCHED = "id string, url string, final_url string, status int, content_type string, body binary, etag string, last_modified string, error string"
+LATE = "no time left in this run"
+
+
+def read_pages(asked: DataFrame, opener=open_url, budget_s: float = BUDGET_S, hosts_at_once: int = HOSTS_AT_ONCE, pause_s: float = DELAY_S, clock=time.monotonic) -> DataFrame:
+    """Pages (id, canonical_url), each asked for once, in the schema FETCHED.
+
+    A host's pages are read one after another in one task, and at most hosts_at_once tasks read. A task stops asking once budget_s
+    seconds have passed since it began; pages that are left get a row that says so, and wait for the next run. No failure of
+    a page is an error of the job.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        began, polite = clock(), Polite(opener, pause_s)
+        for part in batches:
+            rows = []
+            for r in part.itertuples(index=False):
+                got = (r.canonical_url, None, None, None, None, None, LATE) if clock() - began >= budget_s else polite.get(r.canonical_url)
+                rows.append((r.id, r.canonical_url, *got))
+            out = pd.DataFrame(rows, columns=[c.split(" ")[0] for c in FETCHED.split(", ")])
+            yield out.astype({"status": "Int32"})
+
+    hosts = asked.select("id", "canonical_url", host_of(F.col("canonical_url")).alias("host")).repartition(hosts_at_once, "host").sortWithinPartitions("host", "id")
+    return hosts.select("id", "canonical_url").mapInPandas(run, FETCHED)
+
+
+class PoliteReader(DataSourceReader):
+    """Requests to one host come one after another, with a pause between them; at most `hosts_at_once` partitions, so as
+    many hosts are asked at the same time. With probe=true, pages are only tested for being there."""
+
+    def __init__(self, options):
+        self.sources = json.loads(options.get("sources", "[]"))  # [[source_id, url], ...]
+        self.validators = json.loads(options.get("validators", "{}"))  # url: {etag, last_modified}
+        self.pause = float(options.get("pause_s", DELAY_S))
+        self.allowed = options.get("allow_network", "false") == "true"
+        self.probe = options.get("probe", "false") == "true"
+        self.at_once = int(options.get("hosts_at_once", HOSTS_AT_ONCE))
+
+    def partitions(self):
+        groups = by_host([url for _, url in self.sources])
+        ids = {url: source for source, url in self.sources}
+        hosts = [[(ids[u], u) for u in urls] for _, urls in sorted(groups.items(), key=lambda g: (-len(g[1]), g[0]))]
+        return [_Hosts(hosts[k :: self.at_once]) for k in range(min(self.at_once, len(hosts)))]
+
+    def read(self, partition: _Hosts) -> Iterator[tuple]:
+        polite = Polite(pause_s=self.pause)
+        for urls in partition.hosts:
+            for source, url in urls:
+                if self.allowed:
+                    yield (source, url, *polite.get(url, self.validators.get(url), self.probe))
+                else:
+                    yield (source, url, url, None, None, None, None, None, "network access is off")
+
+
 class PoliteSource(DataSource):
     """spark.read.format("polite_http") after spark.dataSource.register(PoliteSource). Off unless allow_network is true."""
 

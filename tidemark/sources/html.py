@@ -171,40 +171,6 @@ def listing(html: str, final_url: str, item_selector: str, date_selector: str |
     return out
 
 
-_BLOCKS = {"p", "pre", "blockquote", "ul", "ol", "table", "h1", "h2", "h3"}
-_HOLDERS = {"article", "main", "section", "div", "td"}
-
-
-def main_text(html: str, limit: int = 6000) -> tuple[str, str]:
-    """(text, title): the densest block of text if it is long enough, or else the body; noise left out, spaces
-    collapsed. Density is the characters outside links; this is not the scoring of readability libraries. Each node's
-    characters are summed up once, from the innermost outwards."""
-    root = parse(html)
-    nodes = list(root.walk())
-    title = next((collapse(n.text()) for n in nodes if n.tag == "title"), "")
-    noisy: dict[int, bool] = {}
-    for n in nodes:
-        noisy[id(n)] = n.tag in NOISE or (n.parent is not None and noisy[id(n.parent)])
-    solid: dict[int, int] = {}  # characters but spaces, outside noise
-    linked: dict[int, int] = {}  # those of links
-    best, best_score = None, 0.0
-    for n in reversed(nodes):
-        inner = [c for c in n.children if isinstance(c, Node)]
-        size = sum(len(_SPACE.sub("", c)) for c in n.children if isinstance(c, str)) + sum(solid[id(c)] for c in inner)
-        solid[id(n)] = 0 if n.tag in NOISE else size
-        linked[id(n)] = size if n.tag == "a" else sum(linked[id(c)] for c in inner)
-        if n.tag in _HOLDERS and not noisy[id(n)]:
-            own = sum(solid[id(c)] for c in inner if c.tag in _BLOCKS)
-            score = (own - 2 * linked[id(n)]) * (1.5 if n.tag in ("article", "main") else 1.0)
-            if score >= best_score and score > 0:  # of equal ones the first in the page
-                best, best_score = n, score
-    text = collapse(best.text(NOISE)) if best is not None else ""
-    if len(text) < MIN_MAIN_CHARS:
-        body = next((n for n in nodes if n.tag == "body"), root)
-        text = collapse(body.text((*NOISE, "title", "head")))
-    return text[:limit], title
-
-
 def advertised_feeds(html: str, base: str) -> list[str]:
     """Distinct feeds that a page names in its head."""
     found = [urljoin(base, n.attrs["href"]) for n in parse(html).walk() if n.tag == "link" and "alternate" in n.attrs.get("rel", "").lower().split() and re.search("rss|atom|xml", n.attrs.get("type", ""), re.I) and n.attrs.get("href")]

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.time import page_date, to_utc
-from . import feed, fetch, html, law
+from ..functions.urls import title_from_url
+from . import feed, fetch, html, law, nodes
 
 SNAPSHOT = T.StructType([
     T.StructField("source_id", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("url", T.StringType()),
@@ -26,31 +27,31 @@ SNAPSHOT = T.StructType([
 def candidates(snapshots: DataFrame, now: datetime) -> DataFrame:
     """(source_id, ord, url, title, published_at) of snapshots in the schema SNAPSHOT.
 
-    A 304 or an unreadable body gives no rows. Parsing is per page, in Arrow batches, where the pages are.
+    A 304 or an unreadable body gives no rows. Markup is read per page, in Arrow batches, where the pages are; a snapshot that comes twice counts once.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pages in batches:
             rows = []
             for p in pages.itertuples(index=False):
-                if p.status == 304 or not p.body:
-                    continue
-                text = fetch.decode(bytes(p.body), p.content_type or "")
-                base = p.final_url or p.url
-                if p.kind == "feed":
-                    found = feed.read(text, base)
-                else:
-                    listed = lambda x: [] if x is None else list(x)
-                    found = html.listing(text, base, p.item_selector, p.date_selector, p.title_from or "text", listed(p.include), listed(p.exclude))
-                for r in found:
+                for r in feed.read(fetch.decode(bytes(p.body), p.content_type or ""), p.final_url or p.url):
                     at = r.get("published_at")
-                    rows.append((p.source_id, r["ord"], r["url"], r["title"] or feed.title_from_url(r["url"]), at.replace(tzinfo=None) if at else None, r.get("date_text")))
-            yield pd.DataFrame(rows, columns=["source_id", "ord", "url", "title", "published_at", "date_text"]).astype({"published_at": "datetime64[ns]"})
-
-    laws = law.records(snapshots.where("kind = 'law' and coalesce(status, 200) <> 304"), now)
-    out = snapshots.where("kind <> 'law'").mapInPandas(run, "source_id string, ord int, url string, title string, published_at timestamp_ntz, date_text string")
+                    rows.append((p.source_id, r["ord"], r["url"], r["title"], at.replace(tzinfo=None) if at else None))
+            yield pd.DataFrame(rows, columns=["source_id", "ord", "url", "title", "published_at"]).astype({"published_at": "datetime64[ns]"})
+
+    there = snapshots.where("coalesce(status, 200) <> 304")
+    laws = law.records(there.where("kind = 'law'"), now)
+    some = there.where("body is not null and length(body) > 0")
+    feeds = some.where("kind = 'feed'").mapInPandas(run, "source_id string, ord int, url string, title string, published_at timestamp_ntz")
+    none = F.array().cast("array<string>")
+    pages = some.where("kind not in ('feed', 'law')").select(
+        F.to_json(F.struct("source_id", "url", "final_url", "item_selector", "date_selector")).alias("key"), "source_id", F.coalesce("final_url", "url").alias("url"), "content_type", "body",
+        "item_selector", "date_selector", F.coalesce("title_from", F.lit("text")).alias("title_from"), F.coalesce("include", none).alias("include"), F.coalesce("exclude", none).alias("exclude"),
+    ).dropDuplicates(["key"])
     on_page = to_utc(page_date(F.col("date_text")).cast("timestamp_ntz"))
-    return out.withColumn("published_at", F.coalesce("published_at", on_page)).drop("date_text").unionByName(laws)
+    found = nodes.listed(pages).select(F.get_json_object("key", "$.source_id").alias("source_id"), "ord", "url", "title", on_page.alias("published_at"))
+    entries = feeds.unionByName(found)
+    return entries.withColumn("title", F.when(F.coalesce("title", F.lit("")) != "", F.col("title")).otherwise(title_from_url(F.col("url")))).unionByName(laws)
 
 
 def fetch_status(snapshots: DataFrame, found: DataFrame) -> DataFrame:
@@ -61,24 +62,30 @@ def fetch_status(snapshots: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def extracted(pages: DataFrame, limit: int = 6000) -> DataFrame:
-    """pages (url, content_type, body) with text, kind (html, text, pdf) and title. PDF gives an empty text: there is
-    no reader for it here; so does what can't be read, and never an error."""
+    """pages (url, content_type, body) with text, kind (html, text, pdf) and title, a row for each URL. PDF gives an empty text: there is
+    no reader for it here; so does what can't be read, and never an error. A URL that comes twice counts once."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            rows = []
-            for p in part.itertuples(index=False):
-                kind = (p.content_type or "").lower()
-                body = bytes(p.body) if p.body is not None else b""
-                if "pdf" in kind or body[:5] == b"%PDF-":
-                    rows.append((p.url, "", "pdf", ""))
-                elif kind.startswith("text/plain"):
-                    rows.append((p.url, html.collapse(fetch.decode(body, kind))[:limit], "text", ""))
-                else:
-                    rows.append((p.url, *(lambda t: (t[0], "html", t[1]))(html.main_text(fetch.decode(body, kind), limit))))
-            yield pd.DataFrame(rows, columns=["url", "text", "kind", "title"])
-
-    return pages.select("url", "content_type", "body").mapInPandas(run, "url string, text string, kind string, title string")
+            text = [html.collapse(fetch.decode(bytes(b) if b is not None else b"", k or ""))[:limit] for b, k in zip(part["body"], part["content_type"], strict=True)]
+            yield pd.DataFrame({"url": part["url"], "text": text, "kind": "text", "title": ""})
+
+    rows = pages.select("url", "content_type", "body").dropDuplicates(["url"])
+    mime = F.lower(F.coalesce("content_type", F.lit("")))
+    pdf = F.contains(mime, F.lit("pdf")) | F.coalesce(F.substring("body", 1, 5) == F.lit(b"%PDF-"), F.lit(False))
+    rows = rows.withColumn("kind", F.when(pdf, "pdf").when(F.startswith(mime, F.lit("text/plain")), "text").otherwise("html"))
+    empty = F.lit("")
+    articles = nodes.articles(rows.where("kind = 'html'").withColumnRenamed("url", "key"), limit).select(F.col("key").alias("url"), "text", F.lit("html").alias("kind"), "title")
+    texts = rows.where("kind = 'text'").drop("kind").mapInPandas(plain, "url string, text string, kind string, title string")
+    return articles.unionByName(texts).unionByName(rows.where("kind = 'pdf'").select("url", empty.alias("text"), "kind", empty.alias("title")))
+
+
+def page_texts(fetched: DataFrame, limit: int = 6000) -> DataFrame:
+    """(id, title, content_text) of pages as `fetch.read_pages` gives them: what a collection stores of a page. A page that no
+    time was left for has no row; one that could not be read has an empty text, as a page without any."""
+    rows = fetched.where(~F.col("error").eqNullSafe(fetch.LATE))
+    got = extracted(rows.select(F.col("id").alias("url"), "content_type", F.when(F.col("status") == 200, F.col("body")).alias("body")), limit)
+    return got.select(F.col("url").alias("id"), "title", F.col("text").alias("content_text"))
 
 
 def decoded(pages: DataFrame) -> DataFrame:
