@@ -74,11 +74,6 @@ def fit(entries: DataFrame, t: Template, header: Column, omitted: Column, limit:
     return out.select("digest_id", F.col("n_kept").cast("int"), (F.col("size") - F.col("n_kept")).cast("int").alias("dropped"), F.when(fits, text).otherwise(F.concat(F.left(text, F.lit(max(0, limit - 1))), F.lit(ELLIPSIS))).alias("message"), *(["kept"] if "item_id" in entries.columns else []))
 
 
-def shortened(entries: DataFrame, chars: int) -> DataFrame:
-    """entries with their summaries cut to so many code points, as messages show them."""
-    return entries.withColumn("summary", F.left("summary", F.lit(chars)))
-
-
 def _digits_up_to(k: Column) -> Column:
     """Digits of all numbers from 1 to k."""
     return sum((F.greatest(k - (10**d - 1), F.lit(0)) for d in range(1, 5)), k).cast("long")

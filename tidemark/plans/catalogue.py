@@ -342,34 +342,34 @@ def _header() -> Column:
     return F.concat(F.lit(_T.header), F.col("digest_id").cast("string"))
 
 
-#: Entries of messages show at most so many code points of a summary.
-SHOWN = 200
-_SHOWN = si.ENTRIES + f", shown AS (SELECT * REPLACE (left(summary, {SHOWN}) AS summary) FROM entries)"
-
-
-def _shown(rows: DataFrame) -> DataFrame:
-    return message.shortened(rows, SHOWN)
+def _fitted(limit: int, omitted: str) -> str:
+    """The rest of a query over `ranked` entries: the longest prefix whose message fits, or the first entry alone with its summary
+    cut. Gives `fitted` with digest_id, k, size and message."""
+    text = _MESSAGE(omitted)
+    cut = f"length({_LINE('summary')}) - (length(message) - {limit}) - 1"
+    return f"""prefixes AS (SELECT a.*, b.r AS k FROM ranked a JOIN (SELECT digest_id, r FROM ranked) b ON a.digest_id = b.digest_id AND a.r <= b.r),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY digest_id, k ORDER BY idx) AS number FROM prefixes),
+texts AS MATERIALIZED (SELECT digest_id, k, any_value(size) AS size, {text} AS message FROM (SELECT *, {_BLOCK} AS block FROM numbered) GROUP BY digest_id, k),
+fits AS (SELECT digest_id, max(k) AS k FROM texts WHERE length(message) <= {limit} GROUP BY digest_id),
+alone AS (SELECT n.* REPLACE (CASE WHEN {cut} > 0 THEN left({_LINE('summary')}, {cut}) || '{message.ELLIPSIS}' ELSE '' END AS summary) FROM numbered n JOIN texts t ON t.digest_id = n.digest_id AND t.k = n.k WHERE n.k = 1 AND n.digest_id NOT IN (SELECT digest_id FROM fits)),
+fitted AS (SELECT t.* FROM texts t JOIN fits USING (digest_id, k) UNION ALL SELECT digest_id, k, any_value(size), {text} FROM (SELECT *, {_BLOCK} AS block FROM alone) GROUP BY digest_id, k)"""
 
 
-@query(f"""WITH {_SHOWN}, ranked AS (SELECT *, row_number() OVER (PARTITION BY digest_id ORDER BY importance_rank DESC, idx) AS r, count(*) OVER (PARTITION BY digest_id) AS size FROM shown),
-prefixes AS (SELECT a.*, b.r AS k FROM ranked a JOIN (SELECT digest_id, r FROM ranked) b ON a.digest_id = b.digest_id AND a.r <= b.r),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY digest_id, k ORDER BY idx) AS number FROM prefixes),
-texts AS (SELECT digest_id, k, any_value(size) AS size, {_MESSAGE('(any_value(size) - k)')} AS message FROM (SELECT *, {_BLOCK} AS block FROM numbered) GROUP BY digest_id, k)
-SELECT digest_id, CAST(max(k) AS INTEGER) AS n_kept, CAST(any_value(size) - max(k) AS INTEGER) AS dropped, sha256(arg_max(message, k)) AS message_sha256 FROM texts WHERE length(message) <= 3000 GROUP BY digest_id""")
+@query(f"""WITH {si.ENTRIES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY digest_id ORDER BY importance_rank DESC, idx) AS r, count(*) OVER (PARTITION BY digest_id) AS size FROM entries),
+{_fitted(3000, '(any_value(size) - k)')}
+SELECT digest_id, CAST(k AS INTEGER) AS n_kept, CAST(size - k AS INTEGER) AS dropped, sha256(message) AS message_sha256 FROM fitted""")
 def fit_to_limit(spark, sf_dir):
-    out = message.fit(_shown(si.entries(spark, sf_dir)), _T, _header(), F.lit(0), 3000)
+    out = message.fit(si.entries(spark, sf_dir), _T, _header(), F.lit(0), 3000)
     return out.select("digest_id", "n_kept", "dropped", F.sha2(F.col("message").cast("binary"), 256).alias("message_sha256"))
 
 
-@query(f"""WITH {_GATE}, base AS (SELECT * REPLACE (left(summary, {SHOWN}) AS summary), count(*) FILTER (failed IS NOT NULL) OVER (PARTITION BY digest_id) AS by_gate FROM checked),
+@query(f"""WITH {_GATE}, base AS (SELECT *, count(*) FILTER (failed IS NOT NULL) OVER (PARTITION BY digest_id) AS by_gate FROM checked),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY digest_id ORDER BY importance_rank DESC, idx) AS r, count(*) OVER (PARTITION BY digest_id) AS size FROM base WHERE failed IS NULL),
-prefixes AS (SELECT a.*, b.r AS k FROM ranked a JOIN (SELECT digest_id, r FROM ranked) b ON a.digest_id = b.digest_id AND a.r <= b.r),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY digest_id, k ORDER BY idx) AS number FROM prefixes),
-texts AS (SELECT digest_id, k, {_MESSAGE('(any_value(by_gate) + any_value(size) - k)')} AS message FROM (SELECT *, {_BLOCK} AS block FROM numbered) GROUP BY digest_id, k)
-SELECT digest_id, arg_max(message, k) AS message FROM texts WHERE length(message) <= {message.LIMIT} GROUP BY digest_id""")
+{_fitted(message.LIMIT, '(any_value(by_gate) + any_value(size) - k)')}
+SELECT digest_id, message FROM fitted""")
 def digest_message(spark, sf_dir):
     checked = _checked(spark, sf_dir).withColumn("by_gate", F.count_if(F.col("failed").isNotNull()).over(W.partitionBy("digest_id")))
-    return message.fit(_shown(checked.where("failed is null")), _T, _header(), F.col("by_gate")).select("digest_id", "message")
+    return message.fit(checked.where("failed is null"), _T, _header(), F.col("by_gate")).select("digest_id", "message")
 
 
 # Health

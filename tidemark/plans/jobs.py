@@ -135,7 +135,7 @@ def classify(store: SnapshotStore, model: Model, channels: list[str], now: datet
     sizes = {r.batch_id: r.n for r in queue.groupBy("batch_id").agg(F.count("*").alias("n")).collect()}
     parts, errors = [], []
     for k in sorted(sizes):
-        batch = queue.where(F.col("batch_id") == k)
+        batch = queue.where(F.col("batch_id") == k).coalesce(1)  # CLASSIFY_BATCH rows at most
 
         def ask(batch=batch, k=k) -> DataFrame:
             # the first answer for each id that was asked about; what else a model returns is not looked at

@@ -1,4 +1,4 @@
-"""Queries of the readers and of the jobs: over the pages table, and over literal fixtures whose rows SQL spells out."""
+"""Queries of the readers and of the jobs; those of payloads are in `payloads`."""
 
 from __future__ import annotations
 
@@ -14,60 +14,14 @@ from ..functions import time as tm
 from ..functions import urls
 from ..operators import collect, config, delivery, gate, health, message, model, select, store
 from ..sources import listing
-from . import jobs
+from . import jobs, payloads  # noqa: F401  registers its queries
 from . import standins as si
-from .registry import ORACLE_SQL, QUERIES, query, values
+from .registry import ORACLE_SQL, QUERIES, query
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 NOW = datetime(2026, 9, 13)
 
-RSS = b"""<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel><item><title><![CDATA[Bread &amp; butter]]></title><link>/news/1</link><pubDate>Fri, 11 Sep 2026 18:30:00 +0900</pubDate></item>
-<item><title></title><guid isPermaLink="false">none</guid><link>https://s.example/a%20b</link><pubDate>soon</pubDate></item><item><title>again</title><link>/news/1</link></item><item><title>mail</title><link>mailto:x@y.z</link></item></channel></rss>"""
-ATOM = b"""<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>first</title><link rel="edit" href="/edit"/><link rel="alternate" href="/one"/><updated>2026-09-12T00:00:00Z</updated><published>2026-09-10T12:00:00+09:00</published></entry>
-<entry><title>second</title><link href="two"/><updated>2026-09-09</updated></entry></feed>"""
-RDF = b"""<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://purl.org/rss/1.0/" xmlns:dc="http://purl.org/dc/elements/1.1/"><item rdf:about="https://s.example/r"><title>r &amp;lt; s</title><dc:date>2026-09-12 08:15</dc:date></item></rdf:RDF>"""
-UPPER = b"""<LIST><ITEM area="x"><TITLE>upper</TITLE><URL>https://s.example/u</URL><DATE>2026-09-12 10:30</DATE></ITEM></LIST>"""
-LISTING = """<html><head><base href="/n/"><link rel="alternate" type="application/atom+xml" href="/feed.xml"></head><body><nav><a href="/x">x</a></nav><div id="top"><ul class="news list">
-<li><span class="date">2026年4月1日</span><a href="1.html" title="T1">One <b>two</b></a><li><span class="date">2026/4/2</span><a href="javascript:void(0)">bad</a><li><a href="1.html">again</a>
-<li><span class="date">令和8年5月6日</span><a href="https://other.example/2"><img alt="Picture"></a><li><a href="skip.html">skip</a></ul></div></body></html>"""
-LAW_JSON = b"""{"total": 4, "laws": [{"law_info": {"law_id": "A1", "law_num": "No. 1"}, "revision_info": {"law_title": "First", "amendment_date": "2026-09-10"}},
-{"lawId": "A2", "lawName": "Second", "promulgationDate": "2020-01-01"}, {"LawId": "A3", "title": "Third", "updated": "20260901", "enforcementDate": "1999-01-01"}, {"lawId": "A3", "title": "again"}]}"""
-LAW_XML = b"""<r><law><LawId type="x">B1</LawId><LawName lang="ja">One</LawName><Date>20260910</Date></law><law><LawId>B2</LawId><LawNo>No. 2</LawNo></law><law><LawId>B3</LawId><LawName>Three</LawName></law></r>"""
-
-
-def _snapshots(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    """(source_id, kind, body, selector, date selector, exclude) of fetched pages, as the readers take them."""
-    full = [(s, kind, "https://s.example/list/", None, 200, "text/html; charset=utf-8", bytearray(body), sel, day, None, None, exclude, 30) for s, kind, body, sel, day, exclude in rows]
-    return spark.createDataFrame(full, listing.SNAPSHOT)
-
-
-def _shown(found: DataFrame) -> DataFrame:
-    return found.select("source_id", "ord", "url", "title", F.date_format("published_at", "yyyy-MM-dd HH:mm").alias("published_at"))
-
-
-_ROW = "source_id, ord, url, title, published_at"
-
-
-@query(values(_ROW, [
-    ("atom", 0, "https://s.example/one", "first", "2026-09-10 03:00"), ("atom", 1, "https://s.example/list/two", "second", "2026-09-08 15:00"),
-    ("rdf", 0, "https://s.example/r", "r < s", "2026-09-11 23:15"), ("rss", 0, "https://s.example/news/1", "Bread & butter", "2026-09-11 09:30"),
-    ("rss", 1, "https://s.example/a%20b", "a b", None), ("upper", 0, "https://s.example/u", "upper", "2026-09-12 01:30"),
-]))
-def feed_entries(spark, sf_dir):
-    bodies = {"rss": RSS, "atom": ATOM, "rdf": RDF, "upper": UPPER, "broken": b"<rss><channel>", "empty": b""}
-    return _shown(listing.candidates(_snapshots(spark, [(k, "feed", b, None, None, None) for k, b in bodies.items()]), NOW))
-
-
-@query(values(_ROW, [
-    ("all", 0, "https://s.example/x", "x", "2026-03-31 15:00"), ("all", 1, "https://s.example/n/1.html", "One two", "2026-03-31 15:00"), ("all", 2, "https://other.example/2", "Picture", "2026-05-05 15:00"), ("all", 3, "https://s.example/n/skip.html", "skip", "2026-03-31 15:00"),
-    ("list", 0, "https://s.example/n/1.html", "One two", "2026-03-31 15:00"), ("list", 1, "https://other.example/2", "Picture", "2026-05-05 15:00"),
-]).replace("'all', 0, 'https://s.example/x', 'x', '2026-03-31 15:00'", "'all', 0, 'https://s.example/x', 'x', NULL"))
-def listing_entries(spark, sf_dir):
-    rows = [("list", "html", LISTING.encode(), "#top ul.news li", ".date", ["skip"]), ("all", "html", LISTING.encode(), "a", ".date", None)]
-    return _shown(listing.candidates(_snapshots(spark, rows), NOW))
-
-
 _HREF = r"""SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) AS k FROM pages"""
 
 
@@ -89,83 +43,11 @@ def page_titles_extracted(spark, sf_dir):
     return listing.extracted(p).select("url", "title")
 
 
-_LAW = "https://laws.e-gov.go.jp/law/"
-
-
-@query(values(_ROW, [
-    ("json", 0, _LAW + "A1", "First", "2026-09-09 15:00"), ("json", 1, _LAW + "A3", "Third", "2026-08-31 15:00"),
-    ("xml", 0, _LAW + "B1", "One", "2026-09-09 15:00"), ("xml", 1, _LAW + "B3", "Three", None), ("ids", 0, _LAW + "C1", "No. 9", None),
-]))
-def law_revisions(spark, sf_dir):
-    bodies = {"json": LAW_JSON, "xml": LAW_XML, "ids": b'[{"law_id": "C1", "law_no": "No. 9"}]', "broken": b'{"a":', "scalar": b"7", "deep": b"[" * 30 + b"]" * 30}
-    return _shown(listing.candidates(_snapshots(spark, [(k, "law", b, None, None, None) for k, b in bodies.items()]), NOW))
-
-
-@query(values("url, text", [("binary", ""), ("header", "é"), ("meta", '<meta charset="Shift_JIS">表示'), ("none", "é"), ("unknown", "é"), ("xml", '<?xml version="1.0" encoding="EUC-JP"?>表')]))
-def charsets_decoded(spark, sf_dir):
-    rows = [
-        ("header", "text/plain; charset=iso-8859-1", "é".encode("cp1252")), ("meta", "text/html", '<meta charset="Shift_JIS">表示'.encode("cp932")), ("none", "", "é".encode()),
-        ("unknown", "text/html; charset=nope", "é".encode()), ("xml", "text/xml", '<?xml version="1.0" encoding="EUC-JP"?>表'.encode("euc-jp")), ("binary", "image/png", b"\x89PNG"),
-    ]
-    return listing.decoded(spark.createDataFrame([(u, c, bytearray(b)) for u, c, b in rows], "url string, content_type string, body binary"))
-
-
-@query(values("url, kind, title, text", [("a", "html", "T", "word " * 29 + "word"), ("b", "html", "", "short"), ("c", "pdf", "", ""), ("d", "text", "", "a b"), ("e", "html", "", "")]))
-def main_text_extracted(spark, sf_dir):
-    page = "<title>T</title><body><nav>menu</nav><div class=ad><p>buy</p></div><article><p>" + "word " * 30 + "</p><script>x()</script></article><footer>f</footer>"
-    rows = [("a", "text/html", page.encode()), ("b", "text/html", b"<body>short<footer>f</footer></body>"), ("c", "application/pdf", b"%PDF-1.7"), ("d", "text/plain", b" a \n b "), ("e", None, None)]
-    df = spark.createDataFrame([(u, c, bytearray(b) if b is not None else None) for u, c, b in rows], "url string, content_type string, body binary")
-    return listing.extracted(df).select("url", "kind", "title", "text")
-
-
-@query(values("page_id, ord, url", [(1, 0, "https://s.example/feed.xml")]))
-def advertised_feeds(spark, sf_dir):
-    return listing.feeds_of(spark.createDataFrame([(1, "https://s.example/list/", LISTING), (2, "https://s.example/", "<p>none")], "page_id long, url string, html string"))
-
-
-_NESTED = '<main id="m"><section class="s"><ul class="l">' + "".join(f'<li><a href="/{k}">{k}</a>' for k in range(4)) + '</ul><a href="/0">0</a></section><nav><a href="/p">p</a><a href="/q">q</a><a href="/r">r</a><a href="/r">r</a></nav></main>'
-
-
-@query(values("page_id, position, selector, links, depth", [(1, 0, "#m a", 7, 1), (1, 1, "ul.l a", 4, 3), (1, 2, "nav a", 3, 2)]))
-def best_selectors(spark, sf_dir):
-    return listing.selectors(spark.createDataFrame([(1, "https://s.example/", _NESTED), (2, "https://s.example/", "<ul><li><a href=/x>x</a></ul>")], "page_id long, url string, html string"))
-
-
-_URLS = [
-    ("http://[::1]/", "[::1]", True), ("http://[fd00::2]:8080/a", "[fd00::2]", True), ("https://100.64.3.4/", "100.64.3.4", True), ("https://100.128.3.4/", "100.128.3.4", False), ("http://169.254.169.254/latest", "169.254.169.254", True),
-    ("https://u:p@E.Example:81/x", "e.example", False), ("http://10.example.org/", "10.example.org", False), ("http://172.31.0.1/", "172.31.0.1", True), ("http://a.internal/", "a.internal", True), ("nothing", "", False), ("http://[2001:db8::1]/", "[2001:db8::1]", False),
-]
-
-
-@query(values("url, host, internal", _URLS))
-def hosts_and_internal(spark, sf_dir):
-    u = F.col("url")
-    return spark.createDataFrame([(x,) for x, *_ in _URLS], "url string").select("url", urls.host_of(u).alias("host"), urls.is_internal(u).alias("internal"))
-
-
 @query(r"SELECT page_id, coalesce(nullif(list_last(list_filter(str_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '')), ''), regexp_extract(lower(url), '^[a-z]+://([^/?#:]*)', 1)) AS title FROM pages")
 def titles_from_urls(spark, sf_dir):
     return si.table(spark, sf_dir, "pages").select("page_id", urls.title_from_url(F.col("url")).alias("title"))
 
 
-_CANONICAL = [
-    ("HTTP://User@Ex.COM:80/a/../b/./c//d/?utm_x=1&b=2&a=1#f", "https://User@ex.com/b/c/d?a=1&b=2"), ("https://ex.com", "https://ex.com/"), ("https://ex.com/%e3%81%82?q=%e3%81%82", "https://ex.com/%e3%81%82?q=%E3%81%82"),
-    ("mailto:a@b.c#x", "mailto:a@b.c"), ("no scheme", None), ("https://ex.com:8443/", "https://ex.com:8443/"), ("https://ex.com/?b&a=", "https://ex.com/?a=&b="), ("http:///x", None),
-]
-
-
-@query(values("url, canonical_url", _CANONICAL))
-def url_canonical_general(spark, sf_dir):
-    u = spark.createDataFrame([(x,) for x, _ in _CANONICAL], "url string")
-    return u.select("url", urls.canonical_url_general(F.col("url"), F.lit(None).cast("string")).alias("canonical_url"))
-
-
-@query(values("raw, text", [("a &amp; b", "a & b"), ("&#x3042;&#65;", "あA"), ("&nope; &", "&nope; &"), ("&amp;lt;", "&lt;"), ("&#0;", "&#0;"), (None, None)]))
-def entities_decoded(spark, sf_dir):
-    rows = spark.createDataFrame([("a &amp; b",), ("&#x3042;&#65;",), ("&nope; &",), ("&amp;lt;",), ("&#0;",), (None,)], "raw string")
-    return rows.select("raw", tx.unescape(F.col("raw")).alias("text"))
-
-
 @query("SELECT conv_id, turn, CASE WHEN role = 'user' THEN '***' ELSE CASE WHEN turn % 2 = 0 THEN 'say ***' ELSE 'say x' END END AS token, CASE WHEN turn % 2 = 0 THEN 'say ***' ELSE 'say x' END AS note FROM conversations")
 def secrets_redacted(spark, sf_dir):
     note = F.when(F.col("turn") % 2 == 0, "say Bearer abc.def-1").otherwise("say x")
@@ -244,25 +126,9 @@ def none_enabled(spark, sf_dir):
     return found[0].unionAll(found[1]).select("violation")
 
 
-@query(values("status, detail, kind", [(None, "reset", "retry"), (429, "slow down", "retry"), (503, None, "retry"), (400, "Your credit balance is too low", "billing"), (400, "bad input", "refused"), (401, None, "refused")]))
-def model_error_kinds(spark, sf_dir):
-    rows = [(None, "reset"), (429, "slow down"), (503, None), (400, "Your credit balance is too low"), (400, "bad input"), (401, None)]
-    return spark.createDataFrame(rows, "status int, detail string").withColumn("kind", model.error_kind(F.col("status"), F.col("detail")))
-
-
 # Delivery
 
 
-@query(values("mode, n, waiting, passed, send_empty, outcome", [
-    ("daily", 0, 0, 0, True, "generated"), ("daily", 0, 0, 0, False, "skipped"), ("daily", 0, 2, 0, True, "failed"), ("daily", 3, 0, 0, True, "failed"), ("daily", 3, 1, 2, True, "generated"),
-    ("urgent", 0, 2, 0, True, "skipped"), ("urgent", 1, 0, 1, True, "generated"), ("weekly", 0, 0, 0, True, "generated"),
-]))
-def digest_outcomes(spark, sf_dir):
-    rows = [("daily", 0, 0, 0, True), ("daily", 0, 0, 0, False), ("daily", 0, 2, 0, True), ("daily", 3, 0, 0, True), ("daily", 3, 1, 2, True), ("urgent", 0, 2, 0, True), ("urgent", 1, 0, 1, True), ("weekly", 0, 0, 0, True)]
-    df = spark.createDataFrame(rows, "mode string, n int, waiting int, passed int, send_empty boolean")
-    return df.withColumn("outcome", delivery.digest_outcome(F.lit(False), F.col("mode"), F.col("n"), F.col("waiting"), F.col("passed"), F.col("send_empty")))
-
-
 @query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN 'unset' WHEN c_custkey % 5 = 0 THEN 'unreachable' WHEN c_custkey % 4 = 0 THEN 'unparsable' WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 0 THEN 'no_candidates' ELSE 'ok' END AS verdict FROM customer""")
 def source_verdicts(spark, sf_dir):
     k = F.col("c_custkey")
@@ -295,12 +161,6 @@ def gate_unreachable(spark, sf_dir):
     return gate.reachability_check(checked, reached).select("digest_id", "idx", "failed")
 
 
-@query(values("url, kind", [("https://hooks.slack.com/services/T/B/x", "slack"), ("https://discord.com/api/webhooks/1/x", "discord"), ("https://discordapp.com/api/webhooks/1/x", "discord"), ("https://e.example/hook", "plain")]))
-def webhook_kinds(spark, sf_dir):
-    rows = [("https://hooks.slack.com/services/T/B/x",), ("https://discord.com/api/webhooks/1/x",), ("https://discordapp.com/api/webhooks/1/x",), ("https://e.example/hook",)]
-    return spark.createDataFrame(rows, "url string").select("url", message.webhook_kind(F.col("url")).alias("kind"))
-
-
 @query(f"""WITH {si.ENTRIES}, r AS (SELECT digest_id, item_id, row_number() OVER (PARTITION BY digest_id ORDER BY idx) AS k FROM entries)
     SELECT digest_id, CAST(count(*) AS INTEGER) AS kept FROM r WHERE k <= 3 GROUP BY digest_id""")
 def urgent_fit_from_the_end(spark, sf_dir):
