@@ -290,23 +290,6 @@ def test_stream_takes_each_url_once(spark, tmp_path):
     assert sorted(r.canonical_url for r in store.read("items").collect()) == [f"https://e.com/{k}" for k in (1, 2, 3)]
 
 
-def test_health_stream_keeps_state_over_batches(spark, tmp_path):
-    folder = tmp_path / "log"
-    folder.mkdir()
-    schema = "source_id long, ts timestamp, seq long, failed boolean, empty boolean"
-    line = lambda k: json.dumps({"source_id": 1, "ts": f"2024-01-01T00:00:{k:02d}Z", "seq": k, "failed": True, "empty": False})
-    rows = []
-
-    def keep(df, _):
-        rows.extend(df.collect())
-
-    for part in ((0, 1), (2, 3, 4, 5)):
-        (folder / f"{part[0]}.json").write_text("\n".join(map(line, part)))
-        q = sh.health_stream(spark.readStream.schema(schema).json(str(folder))).writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-        q.awaitTermination()
-    assert [(r.seq, r.failures, r.failure_alert) for r in sorted(rows, key=lambda r: r.seq)] == [(k, k + 1, k + 1 in (3, 6)) for k in range(6)]
-
-
 def test_command_line(spark, tmp_path):
     from tidemark.cli import main
 
