@@ -294,7 +294,7 @@ def test_command_line(spark, tmp_path):
     from tidemark.cli import main
 
     (tmp_path / "config").mkdir()
-    (tmp_path / "config" / "a.json").write_text(json.dumps([{"kind": "channel", "id": "m", "max_items": 2}, {"kind": "source", "id": "s", "channels": ["m"]}]))
+    (tmp_path / "config" / "a.json").write_text(json.dumps([{"kind": "channel", "id": "m", "max_items": 2}, {"kind": "source", "id": "s", "name": "S", "type": "feed", "url": "https://e.com/", "channels": ["m"]}]))
     (tmp_path / "in.json").write_text("\n".join(json.dumps({"source_id": "s", "ord": k, "url": f"https://e.com/{k}", "title": f"T{k}", "content_text": "x"}) for k in range(4)))
     said: list[str] = []
     run = lambda *a: main([*a, "--store", str(tmp_path / "st"), "--config", str(tmp_path / "config"), "--date", "2026-09-13", "--now", "2026-09-12 21:00:00"], spark, said.append)
@@ -312,5 +312,64 @@ def test_command_line(spark, tmp_path):
     assert run("verify", "--snapshots", str(tmp_path / "snaps")) == 1 and "unreachable" in said[-1]
     assert run("deliver") == 0 and '"send"' in said[-1] and run("deliver") == 0 and '"delivered"' in said[-1]
     assert run("collect", "--channel", "nope") == 2
+    assert run("collect") == 2 and "--allow-network" in said[-1]
     (tmp_path / "config" / "b.json").write_text(json.dumps([{"kind": "source", "id": "t", "channels": ["zz"]}]))
-    assert run("validate-config") == 2 and said[-1] == "t: unknown channel zz"
+    assert run("validate-config") == 2 and said[-4:] == ["source t: name empty", "source t: type unknown", "source t: unknown channel zz", "source t: url not http"] or said[-1] == "source t: url not http"
+
+
+def test_collection_from_configured_sources(spark, tmp_path):
+    from tidemark.operators import config
+    from tidemark.sources import fetch
+
+    there = {"https://e.com/feed": "<rss><channel>" + "".join(f"<item><title>T{k}</title><link>/{k}</link></item>" for k in range(3)) + "</channel></rss>", "https://f.com/list": "<ul><li><a href=/x>X</a></ul>"}
+    there |= {f"https://e.com/{k}": f"<title>t</title><body><p>Text of page {k}, which is long enough to count as a paragraph.</p></body>" for k in range(3)}
+    seen = str(tmp_path / "seen")
+
+    def opener(url, headers, method="GET"):
+        import io
+        import urllib.error
+
+        with open(seen, "a") as f:
+            f.write(f"{url} {headers.get('If-None-Match')}\n")
+        status = 304 if headers.get("If-None-Match") == "v1" else 200 if url in there else 404
+        if status != 200:
+            raise urllib.error.HTTPError(url, status, "x", {}, io.BytesIO())
+        r = io.BytesIO(there[url].encode())
+        r.status, r.url, r.headers = 200, url, {"Content-Type": "text/html", "ETag": "v1"}
+        return r
+
+    rows = spark.createDataFrame([(json.dumps(r),) for r in (
+        {"kind": "source", "id": "feed", "type": "feed", "url": "https://e.com/feed"}, {"kind": "source", "id": "list", "type": "html", "url": "https://f.com/list", "html": {"item_selector": "li a"}},
+        {"kind": "source", "id": "gone", "type": "feed", "url": "https://e.com/gone"}, {"kind": "source", "id": "off", "type": "feed", "url": "https://g.com/", "enabled": False}, {"kind": "channel", "id": "m"})], "record string")
+    sources, store = config.records(rows, "source", config.SOURCE), SnapshotStore(spark, str(tmp_path / "store"), 2)
+    read = lambda asked: fetch.read_pages(asked, opener, pause_s=0)
+    got = jobs.collect_sources(store, sources, read, jobs.StubModel(), ["m"], datetime(2026, 9, 12, 21))
+    assert (got["new_items"], got["sources_total"], got["sources_succeeded"], got["sources_failed"]) == (4, 3, 2, 1)
+    texts = {r.canonical_url: r.content_text for r in store.read("items").collect()}
+    assert texts["https://e.com/1"].startswith("Text of page 1") and texts["https://f.com/x"] == ""
+    asked = [line.split(" ")[0] for line in open(seen)]
+    assert all(asked.count(u) == 1 for u in asked if "robots" not in u) and len([u for u in asked if "robots" not in u]) == 7 and "https://g.com/" not in asked
+    # unchanged pages are told by their validators, and list nothing anew
+    again = jobs.collect_sources(store, sources, read, jobs.StubModel(), ["m"], datetime(2026, 9, 13, 3))
+    states = {r.id: r for r in store.read("source_states").collect()}
+    assert again["new_items"] == 0 and again["sources_succeeded"] == 2 and states["feed"].etag == "v1" and states["feed"].consecutive_empty == 0 and states["gone"].consecutive_failures == 2
+
+
+def test_senders_are_dry_unless_told(spark):
+    import io
+
+    from tidemark.sources.settings import Settings
+
+    assert isinstance(jobs.sender_of(Settings()), jobs.DryRunSender) and isinstance(jobs.sender_of(Settings(dry_run=False)), jobs.DryRunSender)
+    posted = []
+
+    def opener(url, headers, method, data):
+        posted.append((url, headers["X-Retry-Key"], method, json.loads(data)["messages"][0]["text"]))
+        r = io.BytesIO()
+        r.status = 200
+        return r
+
+    from types import SimpleNamespace
+
+    sender = jobs.sender_of(Settings(dry_run=False, broadcast_url="https://b.example/send", broadcast_token="t"), opener)
+    assert sender.send([SimpleNamespace(id="d", message="hello", retry_key="k")]) == [("d", True, None)] and posted == [("https://b.example/send", "k", "POST", "hello")]

@@ -233,3 +233,19 @@ def test_settings(tmp_path):
     assert settings.Settings.from_env({"RETENTION_DAYS": "30"}).retention_days == 30
     with pytest.raises(settings.ConfigError):
         settings.Settings.from_env({"RETENTION_DAYS": "0", "DRY_RUN": "maybe"})
+
+
+def test_configuration_rows_tell_every_fault(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"kind": "source", "id": "${NAME}"}, 7]')
+    (tmp_path / "b.json").write_text('{"id": "x", "token": "${SECRET_VALUE}" oops}')
+    (tmp_path / "c.json").write_text('{"id": "${MISSING} ${MISSING} ${OTHER}"}')
+    (tmp_path / "d.yaml").write_text("a: [1, 2\nb: }")
+    (tmp_path / "e.txt").write_text("not read")
+    rows = [tuple(r) for r in settings.config_rows(spark, str(tmp_path), {"NAME": "y", "SECRET_VALUE": "very-secret-thing"}).orderBy("file", "ord", "error").collect()]
+    assert rows[1] == ("a.json", 0, '{"kind": "source", "id": "y"}', None) or rows[0] == ("a.json", 0, '{"kind": "source", "id": "y"}', None)
+    assert [r[3] for r in rows if r[0] == "a.json"] == [None, "not a record"] and [r[3] for r in rows if r[0] == "c.json"] == ["MISSING is not set", "OTHER is not set"]
+    assert [r[0] for r in rows if r[3]] == ["a.json", "b.json", "c.json", "c.json", "d.yaml"] and not any("very-secret" in (r[3] or "") for r in rows)
+    with pytest.raises(settings.ConfigError):
+        settings.load_folder(str(tmp_path), {"NAME": "y"})
+    with pytest.raises(settings.ConfigError, match="https URL"):
+        settings.Settings.from_env({"BROADCAST_URL": "http://x"})

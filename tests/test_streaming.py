@@ -62,3 +62,83 @@ def test_error_windows_as_they_close(spark, tmp_path):
     got = _drain(spark, log, lambda s: sh.error_stream(s, "1 hour"), tmp_path, 4)
     want = {(r.window_start, r.errors) for r in runs.error_windows(log, "1 hour", []).collect()}
     assert {(r.window_start, r.errors) for r in got} <= want and len(got) >= len(want) - 1 > 3
+
+
+def _site(folder):
+    """A reader whose pages are files of a folder; an ETag is a page's own text. It writes down what it was asked."""
+    from tidemark.streaming import pages
+
+    def opener(url, headers, method="GET"):
+        import io
+        import os
+        import urllib.error
+
+        name = url.rsplit("/", 1)[1]
+        if name == "robots.txt" or not os.path.exists(f"{folder}/{name}"):
+            raise urllib.error.HTTPError(url, 404, "x", {}, io.BytesIO())
+        with open(f"{folder}/{name}") as f:
+            text = f.read()
+        with open(f"{folder}/asked", "a") as f:
+            f.write(f"{name} {headers.get('If-None-Match')}\n")
+        if headers.get("If-None-Match") == text:
+            raise urllib.error.HTTPError(url, 304, "x", {}, io.BytesIO())
+        r = io.BytesIO(text.encode())
+        r.status, r.url, r.headers = 200, url, {"Content-Type": "text/html", "ETag": text}
+        return r
+
+    class Reader(pages.ChangedPagesReader):
+        pass
+
+    Reader.opener = staticmethod(opener)
+
+    class Source(pages.ChangedPages):
+        def simpleStreamReader(self, schema):  # noqa: N802
+            return Reader(self.options)
+
+    return Reader, Source
+
+
+def test_polls_send_validators_and_replay_the_same_rows(tmp_path):
+    import json
+
+    site = tmp_path / "site"
+    site.mkdir()
+    (site / "a").write_text("a1")
+    (site / "b").write_text("b1")
+    make = lambda: _site(str(site))[0]({"sources": json.dumps([["s", "https://e.com/a"], ["t", "https://e.com/b"]]), "allow_network": "true", "pause_s": "0", "spool": str(tmp_path / "spool")})
+    start = make().initialOffset()
+    rows, one = make().read(start)
+    assert [(r[0], r[5]) for r in rows] == [("s", b"a1"), ("t", b"b1")] and one["polls"] == 1
+    # nothing has changed: the validators are sent, no rows come, and the offset stays
+    rows, same = make().read(one)
+    assert list(rows) == [] and same == one and (site / "asked").read_text().splitlines()[2:] == ["a a1", "b b1"]
+    (site / "b").write_text("b2")
+    rows, two = make().read(one)
+    assert [(r[0], r[5]) for r in rows] == [("t", b"b2")] and two["known"]["https://e.com/b"]["etag"] == "b2"
+    # the pages change again, but offsets that come again give the rows that they gave, without asking
+    (site / "a").write_text("a2")
+    asked = (site / "asked").read_text()
+    assert [r[5] for r in make().readBetweenOffsets(start, two)] == [b"a1", b"b1", b"b2"] and [r[5] for r in make().read(one)[0]] == [b"b2"]
+    assert (site / "asked").read_text() == asked
+    make().commit(two)
+    assert [r[5] for r in make().readBetweenOffsets(one, two)] == [b"b2"]
+
+
+def test_a_stream_of_changed_pages_over_restarts(spark, tmp_path):
+    import json
+
+    site, seen = tmp_path / "site", []
+    site.mkdir()
+    (site / "a").write_text("a1")
+    (site / "b").write_text("b1")
+    spark.dataSource.register(_site(str(site))[1])
+
+    def run():
+        before = len(seen)
+        stream = spark.readStream.format("changed_pages").option("sources", json.dumps([["s", "https://e.com/a"], ["t", "https://e.com/b"], ["u", "https://e.com/gone"]])).option("allow_network", "true").option("pause_s", "0").option("spool", str(tmp_path / "spool")).load()
+        stream.where("status = 200").writeStream.foreachBatch(lambda df, _: seen.extend((r.source_id, bytes(r.body)) for r in df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(once=True).start().awaitTermination()
+        return sorted(seen[before:])
+
+    assert run() == [("s", b"a1"), ("t", b"b1")]
+    (site / "b").write_text("b2")
+    assert run() == [("t", b"b2")]

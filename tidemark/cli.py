@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 import uuid
 from dataclasses import fields
@@ -21,8 +22,8 @@ from .operators import delivery, health, message
 from .operators.select import Channel
 from .operators.store import SnapshotStore
 from .plans import jobs
-from .sources import listing
-from .sources.settings import ConfigError, load_folder
+from .sources import fetch, listing
+from .sources.settings import ConfigError, Settings, config_rows, load_folder
 from .streaming.collect import CANDIDATE
 
 
@@ -31,24 +32,13 @@ def channels_of(records: list[dict]) -> list[Channel]:
     return [Channel(**{k: v for k, v in r.items() if k in known}) for r in records if r.get("kind") == "channel"]
 
 
-def violations(spark: SparkSession, records: list[dict]) -> list[tuple[str, str]]:
-    """(id, what is wrong) of all channels and references."""
-    names = "id string, relevance_threshold double, min_items int, max_items int, max_chars int, urgent_within_days int, weekly_on int"
-    rows = [tuple(r.get(n.split(" ")[0]) for n in names.split(", ")) for r in records if r.get("kind") == "channel"]
-    channels = spark.createDataFrame(rows, names)
-    sources = spark.createDataFrame([(r.get("id"), r.get("channels") or []) for r in records if r.get("kind") == "source"], "id string, channels array<string>")
-    found = [(r.id, r.violation) for r in rules.channel_violations(channels).collect()]
-    found += [(r.id, "repeated id") for r in rules.duplicates(channels, "id").collect()]
-    found += [(r.source_id, f"unknown channel {r.channel_id}") for r in rules.undefined_references(sources, channels).collect()]
-    return found + [(r.id, "no source feeds it") for r in rules.unreferenced_channels(sources, channels).collect()] if sources.count() else found
-
-
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=print) -> int:
     p = argparse.ArgumentParser(prog="tidemark", description=__doc__)
     p.add_argument("command", choices=("collect", "summarise", "deliver", "approve", "preview", "validate-config", "health", "verify", "diagnose", "test-broadcast"))
     p.add_argument("--store")
     p.add_argument("--config")
     p.add_argument("--candidates", help="JSON lines of candidates, for collect")
+    p.add_argument("--allow-network", action="store_true", help="collect: ask the configured sources")
     p.add_argument("--fetches", help="Parquet of a fetch log, for health")
     p.add_argument("--snapshots", help="Parquet of fetched pages, for verify")
     p.add_argument("--pages", help="Parquet of (page_id, url, html), for diagnose")
@@ -59,8 +49,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=p
     a = p.parse_args(argv)
     spark = spark or SparkSession.builder.appName("tidemark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     now = a.now or datetime.now(UTC).replace(tzinfo=None)
+    if a.command == "validate-config":
+        rows = config_rows(spark, a.config).cache()  # a deployment's own files
+        found = [(r.file, r.error) for r in rows.where("error is not null").orderBy("file", "ord").collect()]
+        sources, known = rules.records(rows, "source", rules.SOURCE), rules.records(rows, "channel", rules.CHANNEL)
+        found += [(f"{r.kind} {r.id}" if r.id else r.kind, r.violation) for r in rules.all_violations(sources, known).orderBy("kind", "id", "violation").collect()]
+        rows.unpersist()
+        for i, what in found:
+            out(f"{i}: {what}")
+        return 2 if found else 0
     try:
         records = load_folder(a.config) if a.config else []
+        settings = Settings.from_env(os.environ)
     except ConfigError as e:
         out(str(e))
         return 2
@@ -68,11 +68,6 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=p
     if missing := set(a.channel or []) - {c.id for c in channels}:
         out(f"not configured: {', '.join(sorted(missing))}")
         return 2
-    if a.command == "validate-config":
-        found = violations(spark, records)
-        for i, what in found:
-            out(f"{i}: {what}")
-        return 2 if found else 0
     if a.command == "health":
         states = health.latest_state(health.streaks(spark.read.parquet(a.fetches)))
         for r in states.where("consecutive_failures > 0").orderBy(F.desc("consecutive_failures"), "source_id").collect():  # failing sources only
@@ -90,13 +85,21 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=p
             out(json.dumps({"page": r.page_id, "selector": r.selector, "links": r.links}))
         return 0
     if a.command == "test-broadcast":
-        sender = jobs.DryRunSender([])
+        sender = jobs.sender_of(settings)
         rows = [Row(id=f"test_{c.id}", message=message.Template().empty, retry_key=str(uuid.uuid4())) for c in channels]
         out(json.dumps({i: ok for i, ok, _ in sender.send(rows)}))
         return 0
     store = SnapshotStore(spark, a.store)
     if a.command == "collect":
-        counts = jobs.collect(store, spark.read.schema(CANDIDATE).json(a.candidates), jobs.StubModel(), [c.id for c in channels], now)
+        ids, limits = [c.id for c in channels], {"limit": settings.max_new_items_per_source, "update_limit": settings.max_new_items_per_source, "recheck_limit": settings.recheck_per_source, "classify_limit": settings.classify_limit}
+        if a.candidates:
+            counts = jobs.collect(store, spark.read.schema(CANDIDATE).json(a.candidates), jobs.StubModel(), ids, now, **limits)
+        elif not a.allow_network:
+            out("collect asks the configured sources only with --allow-network; --candidates takes a file instead")
+            return 2
+        else:
+            read = lambda asked: fetch.read_pages(asked, budget_s=settings.collect_budget_s, hosts_at_once=settings.host_concurrency, pause_s=settings.host_delay_ms / 1000)
+            counts = jobs.collect_sources(store, rules.records(config_rows(spark, a.config), "source", rules.SOURCE), read, jobs.StubModel(), ids, now, **limits)
         out(json.dumps({k: v for k, v in counts.items() if v}))
         return 0
     if a.command == "summarise":
@@ -104,7 +107,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=p
         out(json.dumps(ends))
         return int("failed" in ends.values())
     if a.command == "deliver":
-        out(json.dumps(jobs.deliver(store, channels, a.date, jobs.DryRunSender([]), now)))
+        out(json.dumps(jobs.deliver(store, channels, a.date, jobs.sender_of(settings), now)))
         return 0
     digests = store.read("digests")
     for c in channels:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,3 +89,26 @@ def repairs(verdicts: DataFrame, sources: DataFrame, most: float = 0.5) -> DataF
 def none_enabled(sources: DataFrame) -> DataFrame:
     """A violation, (id, violation), where no source is enabled; an empty configuration has none either."""
     return sources.agg(F.count_if("enabled").alias("n")).where("n = 0").select(F.lit(None).cast("string").alias("id"), F.lit("no source enabled").alias("violation"))
+
+
+SOURCE = "id string, name string, type string, url string, enabled boolean, region string, channels array<string>, html struct<item_selector: string, date_selector: string, title_from: string>, law struct<lookback_days: int>, include array<string>, exclude array<string>"
+CHANNEL = "id string, name string, relevance_threshold double, min_items int, max_items int, max_chars int, urgent_within_days int, weekly_on int"
+
+
+def records(rows: DataFrame, kind: str, schema: str) -> DataFrame:
+    """Records of one kind, of configuration rows (record, a JSON string); values of another type are null."""
+    parsed = rows.where(F.get_json_object("record", "$.kind") == kind).select(F.from_json("record", schema).alias("r")).select("r.*")
+    return parsed.withColumn("enabled", F.coalesce("enabled", F.lit(True))) if "enabled" in parsed.columns else parsed
+
+
+def all_violations(sources: DataFrame, channels: DataFrame) -> DataFrame:
+    """(kind, id, violation): all that is wrong with sources and channels, by themselves, among each other and with their references."""
+    no_channels = F.array().cast("array<string>")
+    sources = sources.withColumn("channels", F.coalesce("channels", no_channels))
+    rows = [
+        ("source", source_violations(sources)), ("channel", channel_violations(channels)),
+        ("source", duplicates(sources, "id").select("id", F.lit("repeated id").alias("violation"))), ("channel", duplicates(channels, "id").select("id", F.lit("repeated id").alias("violation"))),
+        ("source", undefined_references(sources, channels).select(F.col("source_id").alias("id"), F.concat(F.lit("unknown channel "), "channel_id").alias("violation"))),
+        ("channel", unreferenced_channels(sources, channels).select("id", F.lit("no source feeds it").alias("violation"))), ("source", none_enabled(sources)),
+    ]
+    return reduce(DataFrame.unionByName, (r.select(F.lit(kind).alias("kind"), "id", "violation") for kind, r in rows))

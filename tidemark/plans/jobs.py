@@ -6,7 +6,9 @@ tasks, which Spark may run twice.
 
 from __future__ import annotations
 
+import json
 import time
+import urllib.error
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
@@ -22,7 +24,9 @@ from ..operators import collect as co
 from ..operators import delivery, gate, health, message, runs, select
 from ..operators import model as results
 from ..operators.store import SnapshotStore, mark, unmark
-from ..sources.fetch import retryable
+from ..sources import listing
+from ..sources.fetch import open_url, retryable
+from ..sources.settings import Settings
 from . import collecting
 from .collecting import Pages, Stages
 
@@ -218,6 +222,29 @@ def collect(store: SnapshotStore, candidates: DataFrame, model: Model, channels:
     return counts
 
 
+#: Reads pages (id, canonical_url, etag, last_modified) in the schema fetch.FETCHED.
+Fetch = Callable[[DataFrame], DataFrame]
+
+
+def collect_sources(store: SnapshotStore, sources: DataFrame, fetch: Fetch, model: Model, channels: list[str], now: datetime, **options) -> dict[str, int]:
+    """A collection from configured sources (config.SOURCE): the enabled ones' pages are asked for with the validators of the last
+    run, once; what they list goes through `collect`, whose new and changed pages are read by the same `fetch`."""
+    stages = Stages(store, f"collect_{now:%Y%m%dT%H%M%S%f}")
+    on = co.enabled_sources(sources)
+    old = store.read("source_states")
+    known = old.select("id", "etag", "last_modified") if old is not None else store.spark.createDataFrame([], "id string, etag string, last_modified string")
+    asked = on.select("id", F.col("url").alias("canonical_url")).join(known, "id", "left")
+    got = stages.keep("snapshots", fetch(asked)).select("id", "final_url", "status", "content_type", "body", "etag", "last_modified")
+    rows = on.join(got, "id").select(
+        F.col("id").alias("source_id"), F.col("type").alias("kind"), "url", "final_url", "status", "content_type", "body", "html.item_selector", "html.date_selector", "html.title_from",
+        F.coalesce("include", F.array().cast("array<string>")).alias("include"), F.coalesce("exclude", F.array().cast("array<string>")).alias("exclude"), F.coalesce("law.lookback_days", F.lit(30)).alias("lookback_days"), "etag", "last_modified",
+    )
+    snapshots = rows.drop("etag", "last_modified")
+    found = stages.keep("candidates", listing.candidates(snapshots.where(F.col("status").between(200, 299)), now).withColumn("content_text", F.lit(None).cast("string")))
+    fetches = listing.fetch_status(snapshots, found).join(rows.select("source_id", "etag", "last_modified"), "source_id")
+    return collect(store, found, model, channels, now, fetches=fetches, pages=lambda some: listing.page_texts(fetch(some)), **options)
+
+
 def summarise(store: SnapshotStore, channel: select.Channel, day: date, model: Model, now: datetime, reach: Callable[[DataFrame], DataFrame] | None = None, force: bool = False) -> str:
     """Build a channel's digest of a day, and return its status. Items that the message holds are marked before the digest is
     stored, so a crash between the two can't send them twice. What gate, limits and length leave out is counted in the
@@ -306,6 +333,29 @@ class RetryingSender:
         return False, None
 
 
+def broadcaster(url: str, token: str, opener=open_url) -> Callable[[str, str, str], int | None]:
+    """A call for RetryingSender that posts a message to a broadcast endpoint; the retry key goes along as a header."""
+
+    def call(_: str, text: str, retry_key: str) -> int | None:
+        headers = {"Authorization": f"Bearer {token}", "Content-Type": "application/json", "X-Retry-Key": retry_key}
+        try:
+            with opener(url, headers, "POST", data=json.dumps({"messages": [{"type": "text", "text": text}]}).encode()) as r:
+                return r.status
+        except urllib.error.HTTPError as e:
+            return e.code
+        except OSError:
+            return None
+
+    return call
+
+
+def sender_of(settings: Settings, opener=open_url):
+    """What a deployment sends with: nothing really, unless DRY_RUN is off and an endpoint with its token is set."""
+    if settings.dry_run or not settings.broadcast_url or not settings.broadcast_token:
+        return DryRunSender([])
+    return RetryingSender(broadcaster(settings.broadcast_url, settings.broadcast_token, opener))
+
+
 def notifications(lines: DataFrame, post: Callable[[str], None], checkpoint: str) -> StreamingQuery:
     """Post a stream of (line) to an operators' channel: a body for each micro-batch, of a bounded number of lines."""
 

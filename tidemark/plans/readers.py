@@ -87,6 +87,22 @@ def channel_config_violations(spark, sf_dir):
     return config.channel_violations(c)
 
 
+@query("""WITH s AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN 'Bad ' || CAST(c_custkey AS VARCHAR) WHEN c_custkey % 10 = 1 THEN 'twin' ELSE 's' || CAST(c_custkey AS VARCHAR) END AS id FROM customer), c AS (SELECT n_nationkey AS n, 'c' || CAST(n_nationkey AS VARCHAR) AS id FROM nation)
+    SELECT 'source' AS kind, id, unnest(list_filter([CASE WHEN k % 7 = 0 THEN 'id pattern' END, CASE WHEN k % 5 = 0 THEN 'name empty' END, CASE WHEN k % 11 = 0 THEN 'url not http' END, CASE WHEN k % 13 = 0 THEN 'no channels' END], lambda x: x IS NOT NULL)) AS violation FROM s
+    UNION ALL SELECT 'source', id, 'repeated id' FROM s GROUP BY id HAVING count(*) > 1 UNION ALL SELECT DISTINCT 'source', id, 'unknown channel zz' FROM s WHERE k % 17 = 0 AND k % 13 <> 0
+    UNION ALL SELECT 'source', NULL, 'no source enabled' UNION ALL SELECT 'channel', id, 'threshold range' FROM c WHERE n % 3 = 0 UNION ALL SELECT 'channel', id, 'chars range' FROM c WHERE n % 4 = 0
+    UNION ALL SELECT 'channel', id, 'no source feeds it' FROM c WHERE n NOT IN (SELECT k % 9 FROM s WHERE k % 13 <> 0 AND k % 17 <> 0)""")
+def config_violations(spark, sf_dir):
+    """All that is wrong with a configuration of records in JSON: customers as sources, nations as channels."""
+    k, n = F.col("c_custkey"), F.col("n_nationkey")
+    name = F.when(k % 7 == 0, F.concat(F.lit("Bad "), k.cast("string"))).when(k % 10 == 1, "twin").otherwise(F.concat(F.lit("s"), k.cast("string")))
+    fed = F.when(k % 13 == 0, F.array().cast("array<string>")).when(k % 17 == 0, F.array(F.lit("zz"))).otherwise(F.array(F.concat(F.lit("c"), (k % 9).cast("string"))))
+    s = si.table(spark, sf_dir, "customer").select(F.struct(F.lit("source").alias("kind"), name.alias("id"), F.when(k % 5 != 0, F.col("c_name")).alias("name"), F.lit("feed").alias("type"), F.when(k % 11 == 0, "ftp://x").otherwise("https://x").alias("url"), F.lit(False).alias("enabled"), fed.alias("channels")).alias("r"))
+    c = si.table(spark, sf_dir, "nation").select(F.struct(F.lit("channel").alias("kind"), F.concat(F.lit("c"), n.cast("string")).alias("id"), F.when(n % 3 == 0, 1.5).otherwise(0.5).alias("relevance_threshold"), F.when(n % 4 == 0, 99).otherwise(500).alias("max_chars")).alias("r"))
+    rows = s.select(F.to_json("r").alias("record")).unionAll(c.select(F.to_json("r").alias("record")))
+    return config.all_violations(config.records(rows, "source", config.SOURCE), config.records(rows, "channel", config.CHANNEL))
+
+
 @query("SELECT c_custkey AS id FROM customer WHERE c_acctbal > 0")
 def sources_enabled(spark, sf_dir):
     return collect.enabled_sources(si.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") > 0).alias("enabled"))).select("id")

@@ -88,10 +88,10 @@ class _Redirects(urllib.request.HTTPRedirectHandler):
         return super().redirect_request(req, fp, code, msg, headers, newurl)
 
 
-def open_url(url: str, headers: dict[str, str], method: str = "GET", timeout: float = TIMEOUT_S):
+def open_url(url: str, headers: dict[str, str], method: str = "GET", timeout: float = TIMEOUT_S, data: bytes | None = None):
     if internal_host(url):
         raise Refused(f"internal address: {url}")
-    return urllib.request.build_opener(_Redirects).open(urllib.request.Request(url, headers=headers, method=method), timeout=timeout)
+    return urllib.request.build_opener(_Redirects).open(urllib.request.Request(url, data=data, headers=headers, method=method), timeout=timeout)
 
 
 def probe(url: str, opener=open_url) -> tuple[int | None, str | None]:
@@ -171,7 +171,7 @@ LATE = "no time left in this run"
 
 
 def read_pages(asked: DataFrame, opener=open_url, budget_s: float = BUDGET_S, hosts_at_once: int = HOSTS_AT_ONCE, pause_s: float = DELAY_S, clock=time.monotonic) -> DataFrame:
-    """Pages (id, canonical_url), each asked for once, in the schema FETCHED.
+    """Pages (id, canonical_url and, where known, etag and last_modified), each asked for once, in the schema FETCHED.
 
     A host's pages are read one after another in one task, and at most hosts_at_once tasks read. A task stops asking once budget_s
     seconds have passed since it began; pages that are left get a row that says so, and wait for the next run. No failure of
@@ -183,13 +183,15 @@ def read_pages(asked: DataFrame, opener=open_url, budget_s: float = BUDGET_S, ho
         for part in batches:
             rows = []
             for r in part.itertuples(index=False):
-                got = (r.canonical_url, None, None, None, None, None, LATE) if clock() - began >= budget_s else polite.get(r.canonical_url)
+                known = {"etag": r.etag, "last_modified": r.last_modified}
+                got = (r.canonical_url, None, None, None, None, None, LATE) if clock() - began >= budget_s else polite.get(r.canonical_url, known)
                 rows.append((r.id, r.canonical_url, *got))
             out = pd.DataFrame(rows, columns=[c.split(" ")[0] for c in FETCHED.split(", ")])
             yield out.astype({"status": "Int32"})
 
-    hosts = asked.select("id", "canonical_url", host_of(F.col("canonical_url")).alias("host")).repartition(hosts_at_once, "host").sortWithinPartitions("host", "id")
-    return hosts.select("id", "canonical_url").mapInPandas(run, FETCHED)
+    given = [F.col(c) if c in asked.columns else F.lit(None).cast("string").alias(c) for c in ("etag", "last_modified")]
+    hosts = asked.select("id", "canonical_url", *given, host_of(F.col("canonical_url")).alias("host")).repartition(hosts_at_once, "host").sortWithinPartitions("host", "id")
+    return hosts.drop("host").mapInPandas(run, FETCHED)
 
 
 class PoliteReader(DataSourceReader):
