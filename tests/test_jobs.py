@@ -355,6 +355,21 @@ def test_collection_from_configured_sources(spark, tmp_path):
     assert again["new_items"] == 0 and again["sources_succeeded"] == 2 and states["feed"].etag == "v1" and states["feed"].consecutive_empty == 0 and states["gone"].consecutive_failures == 2
 
 
+def test_digests_say_how_much_was_read(spark, tmp_path):
+    store, day = SnapshotStore(spark, str(tmp_path / "store"), 2), date(2026, 9, 13)
+    assert jobs.coverage_of(store, day) == (0, 0, None)
+    fetches = lambda ok: spark.createDataFrame([(f"s{k}", k < ok, False, 0 if k == 0 else 1) for k in range(4)], "source_id string, ok boolean, not_modified boolean, n_candidates int")
+    for hour, ok in ((2, 2), (8, 3), (14, 3)):
+        jobs.collect(store, _candidates(spark, 2), jobs.StubModel(), ["m"], datetime(2026, 9, 12, hour), fetches=fetches(ok))
+    assert jobs.coverage_of(store, day) == (4, 3, "2026-09-12 14:00:00")
+    # the best of the day's runs, less a source that has long listed nothing
+    silent = F.when(F.col("id") == "s0", 99).otherwise(F.col("consecutive_empty"))
+    store.commit("source_states", store.read("source_states").withColumn("consecutive_empty", silent))
+    assert jobs.coverage_of(store, day)[:2] == (4, 2) and jobs.coverage_of(store, date(2026, 9, 20))[:2] == (4, 0)
+    jobs.summarise(store, Channel("m"), day, jobs.StubModel(), datetime(2026, 9, 12, 22))
+    assert tuple(store.read("digests").select("sources_total", "sources_read").first()) == (4, 2)
+
+
 def test_senders_are_dry_unless_told(spark):
     import io
 

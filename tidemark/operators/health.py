@@ -91,6 +91,6 @@ def from_states(fetches: DataFrame, day: Column) -> DataFrame:
 
 
 def named_states(states: DataFrame, sources: DataFrame) -> DataFrame:
-    """The states of enabled sources only, with their names. sources: id, name, enabled."""
-    wanted = sources.where("enabled").select(F.col("id").alias("source_id"), "name")
+    """The states of enabled sources only, with their names, or their ids where they have none. sources: id, name, enabled."""
+    wanted = sources.where("enabled").select(F.col("id").alias("source_id"), F.coalesce(F.when(F.trim("name") != "", F.col("name")), F.col("id").cast("string")).alias("name"))
     return states.join(wanted, "source_id")

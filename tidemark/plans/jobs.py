@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import redacted, truncate
+from ..functions.time import business_day
 from ..operators import collect as co
 from ..operators import delivery, gate, health, message, runs, select
 from ..operators import model as results
@@ -245,6 +246,23 @@ def collect_sources(store: SnapshotStore, sources: DataFrame, fetch: Fetch, mode
     return collect(store, found, model, channels, now, fetches=fetches, pages=lambda some: listing.page_texts(fetch(some)), **options)
 
 
+def coverage_of(store: SnapshotStore, day: date) -> tuple[int, int, str | None]:
+    """(sources, those that could be read, the last collection's time) of a business day: by its collections, or by the sources'
+    own states where there was none. What is not known counts as not read."""
+    states, log = store.read("source_states"), store.read("runs")
+    silent = 0 if states is None else health.silent(states).count()
+    if log is not None:
+        runs_ = log.where("job = 'collect' and status <> 'running'").select("id", "started_at", business_day(F.col("started_at")).alias("day"), F.col("sources_total").alias("total"), F.col("sources_succeeded").alias("succeeded"))
+        found = health.coverage(runs_.where((F.col("day") == F.lit(day)) & (F.col("total") > 0)), F.lit(silent)).first()
+        if found is not None:
+            return found.total, found.succeeded, str(found.last_run_at)
+    if states is None:
+        return 0, 0, None
+    read = F.coalesce(business_day(F.col("last_success_at")) == F.lit(day), F.lit(False))
+    n = states.agg(F.count("*").alias("total"), F.count_if(read).alias("succeeded"), F.max(F.when(read, F.col("last_success_at"))).alias("at")).first()
+    return n.total, max(0, n.succeeded - silent), None if n.at is None else str(n.at)
+
+
 def summarise(store: SnapshotStore, channel: select.Channel, day: date, model: Model, now: datetime, reach: Callable[[DataFrame], DataFrame] | None = None, force: bool = False) -> str:
     """Build a channel's digest of a day, and return its status. Items that the message holds are marked before the digest is
     stored, so a crash between the two can't send them twice. What gate, limits and length leave out is counted in the
@@ -294,7 +312,11 @@ def summarise(store: SnapshotStore, channel: select.Channel, day: date, model: M
     touched = touched.withColumn("digested_in", F.when(used, mark(F.col("digested_in"), F.lit(digest_id))).otherwise(unmark(F.col("digested_in"), F.lit(digest_id))))
     if kept or force:
         store.replace("items", touched)
-    row = store.spark.createDataFrame([(digest_id, channel.id, status, text, len(kept), int(omitted), now.timestamp())], "id string, channel_id string, status string, message string, n_entries int, omitted int, version double")
+    total, succeeded, collected = coverage_of(store, day)
+    row = store.spark.createDataFrame(
+        [(digest_id, channel.id, status, text, len(kept), int(omitted), total, succeeded, collected, now.timestamp())],
+        "id string, channel_id string, status string, message string, n_entries int, omitted int, sources_total int, sources_read int, last_collected_at string, version double",
+    )
     store.upsert("digests", row)
     return status
 

@@ -108,10 +108,10 @@ def sources_enabled(spark, sf_dir):
     return collect.enabled_sources(si.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") > 0).alias("enabled"))).select("id")
 
 
-@query(f"""WITH {si.STATES}, s AS (SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey % 3 <> 0)
+@query(f"""WITH {si.STATES}, s AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN CAST(s_suppkey AS VARCHAR) ELSE s_name END AS name FROM supplier WHERE s_suppkey % 3 <> 0)
     SELECT source_id, name, consecutive_failures FROM states JOIN s ON s.id = states.source_id""")
 def states_of_enabled_sources(spark, sf_dir):
-    s = si.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), (F.col("s_suppkey") % 3 != 0).alias("enabled"))
+    s = si.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 8 == 0, " ").when(F.col("s_suppkey") % 4 != 0, F.col("s_name")).alias("name"), (F.col("s_suppkey") % 3 != 0).alias("enabled"))
     states = health.latest_state(health.streaks(si.fetches(spark, sf_dir)))
     return health.named_states(states, s).select("source_id", "name", "consecutive_failures")
 
