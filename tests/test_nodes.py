@@ -1,9 +1,11 @@
+import os
 import re
 
 import pytest
 
 from tidemark.sources import html, listing, nodes
 
+SF_PAGES = "/root/testdata/sf0.001/pages.parquet"
 PAGE = """<html><head><base href="/n/"><title> A  title</title><title>second</title></head><body><nav><a href=/x>x</a></nav>
 <div id=contents><ul class="list news"><li><span class=date>令和8年4月1日</span><a href="1.html" title="T1">One <b>two</b></a>
 <li><span class=date>2026/4/2</span><a href="javascript:void(0)">bad</a><li><a href="1.html">again</a><li><span class=date> </span><a href="https://other.org/2.pdf"><img alt="Pic"></a>
@@ -66,6 +68,8 @@ def _all(root):
 
 def test_scores_are_those_of_a_walk(spark):
     bodies = [PAGE, ARTICLE, DEEP, "", "<table><tr><td>" + "cell, " * 30 + "</td></tr></table>", "<section><h2>" + "heading " * 9 + "</h2><p>" + "x" * 30 + "</p></section>"]
+    if os.path.isfile(SF_PAGES):
+        bodies += [r.html for r in spark.read.parquet(SF_PAGES).where("page_id % 10 = 3").collect()]
     got = nodes.container_scores(nodes.nodes_of(_pages(spark, *bodies))).where("score is not null").collect()
     want = {(str(k), pre): score for k, b in enumerate(bodies) for pre, score in plain_scores(b).items()}
     assert {(r.key, r.pre) for r in got} == set(want) and len(want) > 8
