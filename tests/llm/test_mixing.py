@@ -149,3 +149,51 @@ def test_shares_of_rows_kept_are_the_targets(docs):
     assert set(range(1200)) <= set(kept)  # each clean document has a copy
     words = [sum(len(texts[k].split()) for k in kept if lo <= k < hi) for lo, hi in ((0, 1200), (1200, 1600), (1600, 2000))]
     assert all(abs(w / sum(words) - t) < 0.015 for w, t in zip(words, mixing.TARGETS.values(), strict=True))
+
+
+def test_posteriors_are_those_of_a_plain_recomputation(labelled):
+    """Markers, their weights, buckets, probabilities and posteriors, from texts and labels, one document at a time."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    d, labels = labelled
+    texts = {r.doc_id: r.text for r in d.collect()}
+    domain = {k: 2 if k >= 60 else 1 if k >= 40 else 0 for k in range(0, 80, 2)}
+    fold = {r.doc_id: r.fold for r in d.select("doc_id", mixing._fold(F.col("doc_id")).alias("fold")).collect()}
+    words = {k: [w for w in re.split(r"[ \t-\r]+", t.lower()) if w] for k, t in texts.items()}
+    clues = {k: set(ws) | {"\x1f" + w[:n] for w in ws for n in (4, 5, 6) if len(w) > n} for k, ws in words.items()}
+
+    def markers(ids):
+        toxic, other = [k for k in ids if domain[k] == 2], [k for k in ids if domain[k] != 2]
+        out = {}
+        for w in set().union(*(clues[k] for k in ids)):
+            t, o = sum(w in clues[k] for k in toxic), sum(w in clues[k] for k in other)
+            lift = (t + 0.5) / (len(toxic) + 1) / ((o + 0.5) / (len(other) + 1))
+            if t >= max(4, math.ceil(0.02 * len(toxic))) and lift > 8:
+                out[w] = math.log(lift)
+        return out
+
+    def buckets(k, marked):
+        n = len(words[k])
+        at = lambda v, limits: sum(v >= x for x in limits)
+        symbols = len(re.findall(r"[#*$%&|<>!]", texts[k])) / max(n, 1)
+        weight = sum(marked.get(w, 0) for w in clues[k]) / (1 + math.log(1 + n))
+        return at(symbols, (0.02, 0.1, 0.3, 0.6)), at(len(set(words[k])) / max(n, 1), (0.1, 0.3, 0.5, 0.7)) * 4 + at(n, (20, 100, 1000)), at(weight, (0.2, 0.5, 1, 2, 4))
+
+    model = mixing.fit(d, labels)
+    marked = markers(list(domain))
+    assert dict(model.markers) == pytest.approx(marked, abs=1e-8) and "idiot" in marked and "river" not in marked
+    known = {k: buckets(k, markers([x for x in domain if fold[x] != fold[k]])) for k in domain}
+
+    def likely(cell, k):
+        mine = [c for x, c in known.items() if domain[x] == k]
+        n = len(mine)
+        single = [(sum(c[f] == cell[f] for c in mine) + 0.5) / (n + 0.5 * size) for f, size in enumerate((5, 20, 6))]
+        both = (sum(c[:2] == cell[:2] for c in mine) + 2 * single[0] * single[1]) / (n + 2)
+        given = (sum(c[0] == cell[0] and c[2] == cell[2] for c in mine) + 2 * single[2]) / (sum(c[0] == cell[0] for c in mine) + 2)
+        return (n + 1) / (len(known) + 3) * both * given
+
+    for r in mixing.mixing_rates(d, labels).collect():
+        p = [likely(buckets(r.doc_id, marked), k) for k in range(3)]
+        assert [r.p_clean, r.p_noisy, r.p_toxic] == pytest.approx([x / sum(p) for x in p], abs=1e-9) and r.rate <= mixing.MOST
