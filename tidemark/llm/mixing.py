@@ -66,8 +66,11 @@ def words_of(text: str) -> Column:
 
 def clues(words: str) -> Column:
     """Distinct words, and the beginnings of longer ones after a mark of their own; the words are distinct."""
-    begun = [F.transform(F.filter(words, lambda w, n=n: F.char_length(w) > n), lambda w, n=n: F.concat(F.lit("\x1f"), F.left(w, F.lit(n)))) for n in STEMS]
-    return F.array_distinct(F.concat(F.col(words), *begun))
+
+    def begun(n: int) -> Column:
+        return F.transform(F.filter(words, lambda w: F.char_length(w) > n), lambda w: F.concat(F.lit("\x1f"), F.left(w, F.lit(n))))
+
+    return F.array_distinct(F.concat(F.col(words), *map(begun, STEMS)))
 
 
 def _bucket(value: Column, limits: tuple) -> Column:
