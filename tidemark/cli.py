@@ -21,7 +21,7 @@ from .operators import config as rules
 from .operators import delivery, health, message
 from .operators.select import Channel
 from .operators.store import SnapshotStore
-from .plans import jobs
+from .plans import jobs, outbox
 from .sources import fetch, listing
 from .sources.settings import ConfigError, Settings, config_rows, load_folder
 from .streaming.collect import CANDIDATE
@@ -42,6 +42,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=p
     p.add_argument("--fetches", help="Parquet of a fetch log, for health")
     p.add_argument("--snapshots", help="Parquet of fetched pages, for verify")
     p.add_argument("--pages", help="Parquet of (page_id, url, html), for diagnose")
+    p.add_argument("--outbox", help="deliver, test-broadcast: a folder that keeps what was sent, so that nothing is sent twice")
     p.add_argument("--force", action="store_true", help="summarise: build digests again that are not delivered")
     p.add_argument("--date", type=date.fromisoformat)
     p.add_argument("--channel", action="append")
@@ -84,8 +85,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=p
         for r in listing.selectors(spark.read.parquet(a.pages)).orderBy("page_id", "position").toLocalIterator():
             out(json.dumps({"page": r.page_id, "selector": r.selector, "links": r.links}))
         return 0
+    sender = outbox.sender_of(spark, a.outbox, settings) if a.outbox else jobs.sender_of(settings)
     if a.command == "test-broadcast":
-        sender = jobs.sender_of(settings)
         rows = [Row(id=f"test_{c.id}", message=message.Template().empty, retry_key=str(uuid.uuid4())) for c in channels]
         out(json.dumps({i: ok for i, ok, _ in sender.send(rows)}))
         return 0
@@ -107,7 +108,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=p
         out(json.dumps(ends))
         return int("failed" in ends.values())
     if a.command == "deliver":
-        out(json.dumps(jobs.deliver(store, channels, a.date, jobs.sender_of(settings), now)))
+        out(json.dumps(jobs.deliver(store, channels, a.date, sender, now)))
         return 0
     digests = store.read("digests")
     for c in channels:

@@ -14,7 +14,7 @@ from ..functions import time as tm
 from ..functions import urls
 from ..operators import collect, config, delivery, gate, health, message, model, select, store
 from ..sources import listing
-from . import jobs, payloads  # noqa: F401  registers its queries
+from . import jobs, outbox, payloads  # noqa: F401  registers its queries
 from . import standins as si
 from .registry import ORACLE_SQL, QUERIES, query
 
@@ -189,10 +189,14 @@ def urgent_fit_from_the_end(spark, sf_dir):
 # Jobs
 
 
-def _store(spark: SparkSession) -> store.SnapshotStore:
-    """A new store in the session's shared folder; a folder of this machine only where none is set, as in tests."""
+def _shared(spark: SparkSession, kind: str) -> str:
+    """A new folder in the session's shared one; in one of this machine only where none is set, as in tests."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tidemark-")
-    return store.SnapshotStore(spark, f"{shared}/store-{uuid.uuid4().hex}", 4)
+    return f"{shared}/{kind}-{uuid.uuid4().hex}"
+
+
+def _store(spark: SparkSession) -> store.SnapshotStore:
+    return store.SnapshotStore(spark, _shared(spark, "store"), 4)
 
 
 def _listing(spark: SparkSession, sf_dir: str, table: str, key: str, source, title) -> DataFrame:
@@ -289,6 +293,21 @@ def store_by_bucket(spark, sf_dir):
     return s.read("t").select("id", "value")
 
 
+@query("""SELECT coalesce(source, '') AS id, coalesce(source, '') || ', ' || coalesce(lang, '') || ': ' || count(*) || ' documents, ' || coalesce(sum(length(text)), 0) || ' characters' AS message,
+    coalesce(source, '') || '_' || coalesce(lang, '') AS retry_key, true AS ok, CAST(1 AS INTEGER) AS attempts FROM documents GROUP BY coalesce(source, ''), coalesce(lang, '')""")
+def messages_sent_once(spark, sf_dir):
+    """What an outbox has sent, dry, of a message for each source and language: each is in the first write twice, and in the second once more, with
+    another text. What was sent first stands."""
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    d = si.table(spark, sf_dir, "documents").groupBy(blank("source").alias("source"), blank("lang").alias("lang")).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.char_length("text")), F.lit(0)).alias("chars"))
+    m = d.select(F.col("source").alias("id"), F.format_string("%s, %s: %d documents, %d characters", "source", "lang", "n", "chars").alias("message"), F.concat_ws("_", "source", "lang").alias("retry_key"))
+    spark.dataSource.register(outbox.Outbox)
+    folder = _shared(spark, "outbox")
+    for rows in (m.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1)))).drop("again"), m.withColumn("message", F.lit("again"))):
+        rows.write.format("outbox").mode("append").save(folder)
+    return outbox.outcomes(spark, folder, dry=True).select("id", "message", "retry_key", "ok", "attempts")
+
+
 @query(f"""WITH {si.ITEMS} SELECT p.id AS channel_id, count(items.id) AS items FROM (VALUES ('main', 0.2), ('strict', 0.8), ('other', 0.0)) AS p(id, least)
     LEFT JOIN items ON items.classified_at IS NOT NULL AND items.relevance >= p.least AND (p.id = 'strict' OR list_contains(items.channels, p.id)) GROUP BY p.id""")
 def channels_with_items(spark, sf_dir):
