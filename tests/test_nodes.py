@@ -92,3 +92,16 @@ def test_extraction_never_fails(spark):
     df = spark.createDataFrame([(u, c, bytearray(b) if b is not None else None) for u, c, b in rows], "url string, content_type string, body binary")
     got = {r.url: (r.kind, r.text[:4], r.title) for r in listing.extracted(df).collect()}
     assert got == {"a": ("html", "Head", ""), "b": ("pdf", "", ""), "c": ("text", "a b", ""), "d": ("html", "", ""), "e": ("html", "", ""), "f.PDF": ("pdf", "", "")}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def _reads(df):
+    """How often a plan reads pages' markup."""
+    return len(re.findall("MapIn(?:Arrow|Pandas)", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_articles_read_each_page_once(spark):
+    assert _reads(nodes.articles(_pages(spark, ARTICLE))) == 1

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,10 +20,13 @@ from ..functions.text import NOISE, one_line
 from ..functions.urls import allowed, is_http
 from . import fetch, html
 
-NODE = "key string, pre int, last int, parent int, tag string, ident string, classes array<string>, attrs map<string,string>, up array<int>, begins int, ends int, text string"
+NODE = "key string, pre int, last int, parent int, tag string, ident string, classes array<string>, href string, title string, label string, alt string, up array<int>, within int, begins int, ends int, chars int, commas int, linked int, text string"
+#: What a node is or lies in, as bits of `within`.
+NOISY, HEADED, LINKED, BODIED, TITLED = 1, 2, 4, 8, 16
+#: A batch of node rows ends with the page that reaches so many rows or characters.
+BATCH_ROWS, BATCH_CHARS = 10_000, 1 << 21
 #: Ancestors that a node knows.
 NEAR = 5
-_KEPT = ("href", "title", "aria-label", "alt")
 _STOP = ("body", "html", "#root")
 
 #: What tags add to a container's score, and names that speak for and against one.
@@ -33,41 +37,68 @@ _AGAINST = "hidden|banner|comment|footer|masthead|media|meta|promo|related|scrol
 _PARAGRAPH, LEAST_CHARS = ("p", "td", "pre", "section", "h2", "h3", "h4", "h5", "h6"), 25
 
 
-def node_rows(key: str, root: html.Node) -> Iterator[tuple]:
-    """Rows of NODE for a parsed page, in the page's order; pieces of text are rows of the tag #text."""
+def _bits(node: html.Node) -> int:
+    tag = node.tag
+    return NOISY * (tag in NOISE) | HEADED * (tag in ("title", "head")) | LINKED * (tag == "a" and node.attrs.get("href", "") != "") | BODIED * (tag == "body") | TITLED * (tag == "title")
+
+
+def node_rows(key: str | None, root: html.Node) -> list[list]:
+    """Rows of NODE for a parsed page, in the page's order; pieces of text are rows of the tag #text. chars (without spaces), commas and
+    linked (characters in links) are those of a node's text outside noise, title and head."""
     rows: list[list] = []
     parts: list[str] = []
-    at = 0
-    stack: list[tuple] = [(root, -1, ())]
+    at, sums = 0, [0, 0, 0]
+    stack: list[tuple] = [(root, -1, (), 0)]
     while stack:
-        node, parent, up = stack.pop()
+        node, parent, up, within = stack.pop()
         if node is None:  # the end of the node `parent`
-            rows[parent][2], rows[parent][10] = len(rows) - 1, at
+            row = rows[parent]
+            row[2], row[14] = len(rows) - 1, at
+            row[15:18] = [now - then for now, then in zip(sums, row[15:18], strict=True)]
             continue
         pre = len(rows)
         if isinstance(node, str):
-            rows.append([key, pre, pre, parent, "#text", None, [], {}, list(up), at, at + len(node), node])
+            solid = commas = 0
+            if not within & (NOISY | HEADED):
+                solid, commas = len(node) - sum(map(node.count, " \t\n\x0b\f\r")), sum(map(node.count, ",、"))
+            mine = [solid, commas, solid if within & LINKED else 0]
+            sums = [x + y for x, y in zip(sums, mine, strict=True)]
+            rows.append([key, pre, pre, parent, "#text", None, [], None, None, None, None, up, within, at, at + len(node), *mine, node])
             parts.append(node)
             at += len(node)
             continue
-        rows.append([key, pre, pre, parent, node.tag, node.attrs.get("id"), node.attrs.get("class", "").split(), {k: node.attrs[k] for k in _KEPT if k in node.attrs}, list(up), at, at, None])
-        stack.append((None, pre, ()))
-        stack += [(c, pre, (pre, *up)[:NEAR]) for c in reversed(node.children)]
-    rows[0][11] = "".join(parts)
-    return map(tuple, rows)
+        attrs, within = node.attrs, within | _bits(node)
+        rows.append([key, pre, pre, parent, node.tag, attrs.get("id"), attrs.get("class", "").split(), attrs.get("href"), attrs.get("title"), attrs.get("aria-label"), attrs.get("alt"), up, within, at, at, *sums, None])
+        stack.append((None, pre, (), 0))
+        below = (pre, *up)[:NEAR]
+        stack += [(c, pre, below, within) for c in reversed(node.children)]
+    rows[0][18] = "".join(parts)
+    return rows
 
 
 def nodes_of(pages: DataFrame) -> DataFrame:
-    """Node rows of pages (key, content_type, body)."""
-    names = [c.split(" ")[0] for c in NODE.split(", ")]
+    """Node rows of pages (key, content_type, body). Each page is read once; what follows should need it once."""
+    text, number = pa.string(), pa.int32()
+    kinds = {"string": text, "int": number, "array<string>": pa.list_(text), "array<int>": pa.list_(number)}
+    schema = pa.schema([(c.split(" ")[0], kinds[c.split(" ")[1]]) for c in NODE.split(", ")])
+
+    def batch(rows: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, chars = [], 0
         for part in batches:
-            for p in part.itertuples(index=False):  # a page's rows at a time
-                text = fetch.decode(bytes(p.body), p.content_type or "") if p.body is not None else ""
-                yield pd.DataFrame(list(node_rows(p.key, html.parse(text))), columns=names)
+            for key, kind, body in zip(*part.columns, strict=True):  # a page's bytes at a time
+                text = fetch.decode(body.as_py(), kind.as_py() or "") if body.is_valid else ""
+                rows += node_rows(key.as_py(), html.parse(text))
+                chars += len(text)
+                if len(rows) >= BATCH_ROWS or chars >= BATCH_CHARS:
+                    yield batch(rows)
+                    rows, chars = [], 0
+        if rows:
+            yield batch(rows)
 
-    return pages.select("key", "content_type", "body").mapInPandas(run, NODE)
+    return pages.select("key", "content_type", "body").mapInArrow(run, NODE)
 
 
 def _rows(start: int, end: int):
@@ -80,23 +111,32 @@ def _inside(which: Column, itself: bool = False) -> Column:
     return F.coalesce(F.max(F.when(which, F.col("last"))).over(_rows(W.unboundedPreceding, 0 if itself else -1)) >= F.col("pre"), F.lit(False))
 
 
-def _next(which: Column, value: Column | str = "pre") -> Column:
-    """value of the next of the nodes in the page's order."""
-    return F.first(F.when(which, value), ignorenulls=True).over(_rows(1, W.unboundedFollowing))
+def _next(which: Column, value: Column) -> Column:
+    """value of the next of the nodes in the page's order: the last one on the way back from the page's end, as a frame that shrinks
+    would be gone through anew for every row."""
+    back = W.partitionBy("key").orderBy(F.desc("pre")).rowsBetween(W.unboundedPreceding, -1)
+    return F.last(F.when(which, value), ignorenulls=True).over(back)
+
+
+def _fits(step: Column) -> Column:
+    """Whether a step (tag, ids, classes) of a selector matches a node by itself; null where there is none."""
+    return (step["tag"].isNull() | (step["tag"] == F.col("tag"))) & F.forall(step["ids"], lambda i: i == F.coalesce("ident", F.lit(""))) & (F.size(F.array_except(step["classes"], "classes")) == 0)
 
 
-def _marked(nodes: DataFrame, steps: str, most: int, name: str) -> DataFrame:
-    """nodes with `name`: whether a selector, an array of steps (tag, ids, classes) as long as `most`, matches them."""
-    nodes = nodes.withColumn("__in", F.lit(True))
+def _marked(nodes: DataFrame, most: int, **marks: str) -> DataFrame:
+    """nodes with a column for each of marks: whether the selector in the column that it names, an array of steps at most as long as `most`,
+    matches them. A step of all selectors takes one pass over a page."""
+    for name in marks:
+        nodes = nodes.withColumns({f"__in_{name}": F.lit(True), name: F.lit(False)})
     for k in range(most):
-        step = F.get(steps, F.lit(k))
-        fits = F.col("__in") & (step["tag"].isNull() | (step["tag"] == F.col("tag"))) & F.forall(step["ids"], lambda i: i == F.coalesce("ident", F.lit(""))) & (F.size(F.array_except(step["classes"], "classes")) == 0)
-        fits = fits & (F.col("tag") != "#text")
-        # of a shorter selector the last step stays the one that decides
-        over = F.lit(k) >= F.coalesce(F.size(steps), F.lit(0))
-        nodes = nodes.withColumn("__fits", F.when(over, F.col("__fits") if k else F.lit(False)).otherwise(F.coalesce(fits, F.lit(False))))
-        nodes = nodes.withColumn("__in", _inside(F.col("__fits")))
-    return nodes.withColumn(name, F.col("__fits") if most else F.lit(False)).drop("__in", "__fits")
+        done = {}
+        for name, steps in marks.items():
+            fits = F.coalesce(F.col(f"__in_{name}") & _fits(F.get(steps, F.lit(k))), F.lit(False))
+            # of a shorter selector the last step stays the one that decides
+            done[name] = F.when(F.lit(k) >= F.coalesce(F.size(steps), F.lit(0)), F.col(name)).otherwise(fits)
+        nodes = nodes.withColumns(done)
+        nodes = nodes.withColumns({f"__in_{name}": _inside(F.col(name)) for name in marks})
+    return nodes.drop(*(f"__in_{name}" for name in marks))
 
 
 _NAMES = T.ArrayType(T.StringType())
@@ -106,7 +146,14 @@ _STEPS = T.ArrayType(T.StructType([T.StructField("tag", T.StringType()), T.Struc
 @F.pandas_udf(_STEPS)
 def selector_steps(css: pd.Series) -> pd.Series:
     """A selector's steps; an unreadable one is an error."""
-    return css.map(lambda c: [{"tag": s.tag, "ids": list(s.ids), "classes": list(s.classes)} for s in html.selector(c)] if c else None)
+    known = {c: [{"tag": s.tag, "ids": list(s.ids), "classes": list(s.classes)} for s in html.selector(c)] for c in css.dropna().unique() if c}
+    return css.map(lambda c: known.get(c))
+
+
+def steps_of(pages: DataFrame) -> int:
+    """The steps of the longest item or date selector of pages."""
+    one = pages.select(F.explode(F.array("item_selector", "date_selector")).alias("css")).distinct()
+    return max(1, one.agg(F.coalesce(F.max(F.size(selector_steps("css"))), F.lit(0))).first()[0])
 
 
 @F.pandas_udf(T.StringType())
@@ -130,48 +177,74 @@ def listed(pages: DataFrame, most_steps: int | None = None) -> DataFrame:
     nearest date element: the element itself, below it, or below the nearest of its NEAR ancestors that has one.
     """
     none = F.array().cast("array<string>")
-    own = pages.select("key", "url", "title_from", F.coalesce("include", none).alias("include"), F.coalesce("exclude", none).alias("exclude"), selector_steps("item_selector").alias("items"), selector_steps("date_selector").alias("dates"))
+    # a short name for a page, as keys may be long, begin alike and are sorted by often
+    pages = pages.withColumns({"page_key": F.col("key"), "key": F.base64(F.unhex(F.sha2("key", 256)))})
+    own = pages.select("key", "page_key", "url", "title_from", F.coalesce("include", none).alias("include"), F.coalesce("exclude", none).alias("exclude"), selector_steps("item_selector").alias("items"), selector_steps("date_selector").alias("dates"))
     if most_steps is None:
-        top = own.agg(*(F.coalesce(F.max(F.size(c)), F.lit(0)) for c in ("items", "dates"))).first()
-        most_steps = max(1, *top)
-    nodes = nodes_of(pages).join(own.select("key", "items", "dates"), "key")
-    nodes = _marked(_marked(nodes, "items", most_steps, "item"), "dates", most_steps, "date").drop("items")
-    linked, said = (F.col("tag") == "a") & (F.col("attrs")["href"] != ""), lambda c: F.coalesce(F.col("attrs")[c], F.lit(""))
-    date_last = F.element_at("dates", -1)
-    self_date = F.col("item") & (F.size("dates") > 0) & (date_last["tag"].isNull() | (date_last["tag"] == F.col("tag"))) & F.forall(date_last["ids"], lambda i: i == F.coalesce("ident", F.lit(""))) & (F.size(F.array_except(date_last["classes"], "classes")) == 0)
+        most_steps = steps_of(pages)
+    nodes = nodes_of(pages).where("tag <> '#text'").join(own.select("key", "items", "dates"), "key")
+    nodes = _marked(nodes, most_steps, item="items", date="dates").drop("items")
+    linked = F.coalesce((F.col("tag") == "a") & (F.col("href") != ""), F.lit(False))
+    attrs = F.struct("href", "title", "label").alias("attrs")
+    self_date = F.col("item") & (F.size("dates") > 0) & _fits(F.get("dates", F.size("dates") - 1))
     whole = F.first(F.when(F.col("pre") == 0, F.col("text")), ignorenulls=True).over(W.partitionBy("key"))
     # a page's whole text goes along with its elements only until their own part of it is cut out
     nodes = nodes.withColumn("own_text", F.when(F.col("item") | F.col("date") | linked, one_line(F.substring(whole, F.col("begins") + 1, F.col("ends") - F.col("begins")))))
     nodes = nodes.withColumn("own_date", F.coalesce(self_date, F.lit(False)) & (F.col("own_text") != "")).withColumn("date", F.col("date") & (F.col("own_text") != ""))
-    place = lambda *c: F.struct("pre", "last", *c)
+    nodes = nodes.withColumn("base", F.min(F.when((F.col("tag") == "base") & F.col("href").isNotNull(), F.struct("pre", "href"))).over(W.partitionBy("key"))["href"])
     nodes = nodes.withColumns({
-        "next_date": _next(F.col("date"), place("own_text")), "next_link": _next(linked, place(F.col("attrs").alias("attrs"), "own_text")),
-        "base": F.first(F.when((F.col("tag") == "base") & F.col("attrs")["href"].isNotNull(), F.col("attrs")["href"]), ignorenulls=True).over(_rows(W.unboundedPreceding, W.unboundedFollowing)),
-        "next_alt": _next((F.col("tag") == "img") & (said("alt") != ""), place(said("alt").alias("alt"))),
+        "next_date": _next(F.col("date"), F.struct("pre", "own_text")), "next_link": _next(linked, F.struct("pre", attrs, "own_text")),
+        "next_alt": _next((F.col("tag") == "img") & (F.col("alt") != ""), F.struct("pre", "alt")),
     })
-    alt_of_next = F.first(F.when(linked, F.struct("pre", F.when(F.col("next_alt.pre") <= F.col("last"), F.col("next_alt.alt")).alias("alt"))), ignorenulls=True).over(_rows(1, W.unboundedFollowing))
-    nodes = nodes.withColumn("link_alt", alt_of_next)
-    is_a = F.col("tag") == "a"
-    below = F.col("next_link.pre") <= F.col("last")
-    link = F.when(is_a, F.struct(F.col("attrs").alias("attrs"), F.col("own_text").alias("text"), F.when(F.col("next_alt.pre") <= F.col("last"), F.col("next_alt.alt")).alias("alt"))).when(
-        below, F.struct(F.col("next_link.attrs").alias("attrs"), F.col("next_link.own_text").alias("text"), F.col("link_alt.alt").alias("alt"))
+    nodes = nodes.withColumn("own_alt", F.when(F.col("next_alt.pre") <= F.col("last"), F.col("next_alt.alt")))
+    nodes = nodes.withColumn("link_alt", _next(linked, F.struct("pre", F.col("own_alt").alias("alt"))))
+    link = F.when(F.col("tag") == "a", F.struct(attrs, F.col("own_text").alias("text"), F.col("own_alt").alias("alt"))).when(
+        F.col("next_link.pre") <= F.col("last"), F.struct(F.col("next_link.attrs").alias("attrs"), F.col("next_link.own_text").alias("text"), F.col("link_alt.alt").alias("alt"))
     )
-    found = nodes.where("item").select("key", "pre", "up", "base", link.alias("link"), F.when(F.col("own_date"), F.col("own_text")).alias("self_text"), "dates")
-    found = found.where(F.trim("link.attrs.href") != "")
-    # the element and its near ancestors, each with the first date below it; the nearest that has one decides
-    around = found.where(F.size("dates") > 0).select("key", F.col("pre").alias("item_pre"), F.posexplode(F.concat(F.array("pre"), "up")).alias("level", "pre"))
-    holders = nodes.select("key", "pre", "tag", F.when(F.col("next_date.pre") <= F.col("last"), F.col("next_date.own_text")).alias("dated"))
-    near = around.join(holders, ["key", "pre"]).where((F.col("level") == 0) | ~F.col("tag").isin(*_STOP)).where("dated is not null")
-    near = near.groupBy("key", F.col("item_pre").alias("pre")).agg(F.min_by("dated", "level").alias("near_text"))
-    rows = found.join(own.select("key", "url", "title_from", "include", "exclude"), "key").join(near, ["key", "pre"], "left")
+    nodes = nodes.select("key", "pre", "up", "item", F.size("dates").alias("n_dates"), F.struct("base", link.alias("link"), F.when(F.col("own_date"), F.col("own_text")).alias("self_text")).alias("found"),
+        F.when(F.col("next_date.pre") <= F.col("last"), F.struct(F.col("next_date.own_text").alias("text"), F.col("tag").isin(*_STOP).alias("stop"))).alias("dated"))
+    # an element asks itself and its near ancestors for the first date below them; the nearest that has one decides. Questions and
+    # answers meet in the ancestor's place, so that no page is read twice
+    kinds = nodes.select("found", "dated").schema
+    none_of = lambda c: F.lit(None).cast(kinds[c].dataType).alias(c)
+    null = F.lit(None).cast("int")
+    said = F.struct(F.col("pre").alias("at"), "dated", null.alias("level"), null.alias("pre"), none_of("found"))
+    asked = F.filter(F.transform(F.concat(F.array("pre"), "up"), lambda u, level: F.struct(u.alias("at"), none_of("dated"), level.cast("int").alias("level"), F.col("pre").alias("pre"), F.when(level == 0, F.col("found")).alias("found"))), lambda q: (q["level"] == 0) | (F.col("n_dates") > 0))
+    empty = F.array().cast(nodes.select(F.array(said).alias("x")).schema["x"].dataType)
+    asks = F.col("item") & F.coalesce(F.trim("found.link.attrs.href") != "", F.lit(False))
+    rows = nodes.select("key", F.explode(F.concat(F.when(F.col("dated").isNotNull(), F.array(said)).otherwise(empty), F.when(asks, asked).otherwise(empty))).alias("r")).select("key", "r.*")
+    rows = rows.withColumn("answer", F.max("dated").over(W.partitionBy("key", "at"))).where("level is not null")
+    told = F.when(F.col("answer").isNotNull() & ((F.col("level") == 0) | ~F.col("answer.stop")), F.col("level"))
+    found = rows.groupBy("key", "pre").agg(F.first("found", ignorenulls=True).alias("found"), F.min_by("answer.text", told).alias("near_text")).select("key", "pre", "found.*", "near_text")
+    rows = found.join(own.select("key", "page_key", "url", "title_from", "include", "exclude"), "key")
     rows = rows.withColumn("target", _resolved("url", "base", F.col("link.attrs.href"))).where(is_http(F.col("target"))).where(allowed(F.col("target"), F.col("include"), F.col("exclude")))
-    attr = one_line(F.coalesce(F.when(F.col("link.attrs.title") != "", F.col("link.attrs.title")), F.col("link.attrs")["aria-label"], F.lit("")))
+    attr = one_line(F.coalesce(F.when(F.col("link.attrs.title") != "", F.col("link.attrs.title")), F.col("link.attrs.label"), F.lit("")))
     text, alt = F.coalesce("link.text", F.lit("")), one_line(F.coalesce("link.alt", F.lit("")))
     filled = lambda *c: F.coalesce(*(F.when(x != "", x) for x in c), F.lit(""))
     rows = rows.withColumn("title", F.when(F.col("title_from") == "attr", filled(attr, text, alt)).otherwise(filled(text, attr, alt)))
     first = rows.withColumn("turn", F.row_number().over(W.partitionBy("key", "target").orderBy("pre"))).where("turn = 1")
     order = F.row_number().over(W.partitionBy("key").orderBy("pre")) - 1
-    return first.select("key", order.cast("int").alias("ord"), F.col("target").alias("url"), "title", F.coalesce("self_text", "near_text").alias("date_text"))
+    return first.select(F.col("page_key").alias("key"), order.cast("int").alias("ord"), F.col("target").alias("url"), "title", F.coalesce("self_text", "near_text").alias("date_text"))
+
+
+def _scored(nodes: DataFrame) -> DataFrame:
+    """nodes with names, density, passed and score (null where a node is no container) instead of what these are made of."""
+    names = F.lower(F.concat_ws(" ", F.concat_ws(" ", "classes"), F.coalesce("ident", F.lit(""))))
+    real = (F.col("within").bitwiseAND(NOISY | HEADED) == 0) & (F.col("tag") != "#text")
+    points = F.when(real & F.col("tag").isin(*_PARAGRAPH) & (F.col("chars") >= LEAST_CHARS), 1 + F.col("commas") + F.least(F.floor(F.col("chars") / 100), F.lit(3)))
+    # in parts of 36, which all shares are whole numbers of: sums don't depend on the order of rows
+    share = lambda level: F.when(level == 0, 36).when(level == 1, 18).otherwise(F.floor(F.lit(12) / level))
+    me = F.struct("last", "parent", "tag", "classes", names.alias("names"), real.alias("real"), "within", "chars", "linked", F.when(F.col("tag") == "#text", F.col("text")).alias("text"))
+    # a row for the node itself and one for each that it gives points to; both meet by a grouping, so no page is read twice
+    own = F.array(F.struct("pre", F.lit(None).cast("long").alias("parts"), me.alias("me")))
+    gives = F.transform(F.when(points.isNotNull(), F.col("up")).otherwise(F.array().cast("array<int>")), lambda u, level: F.struct(u.alias("pre"), (points * share(level)).cast("long").alias("parts"), F.lit(None).cast(nodes.select(me.alias("me")).schema["me"].dataType).alias("me")))
+    rows = nodes.select("key", F.explode(F.concat(own, gives)).alias("r")).select("key", "r.*")
+    rows = rows.groupBy("key", "pre").agg(F.sum("parts").alias("parts"), F.first("me", ignorenulls=True).alias("me")).select("key", "pre", "me.*", (F.col("parts") / 36.0).alias("passed"))
+    start = F.coalesce(*(F.when(F.col("tag") == t, F.lit(v)) for t, v in _TAG_SCORE.items()), F.lit(0))
+    start = start + F.when(F.col("names").rlike(_FOR), 25).otherwise(0) - F.when(F.col("names").rlike(_AGAINST), 25).otherwise(0)
+    density = F.when(F.col("chars") > 0, F.col("linked") / F.col("chars")).otherwise(0.0)
+    rows = rows.withColumn("density", density)
+    return rows.withColumn("score", F.when(F.col("real") & F.col("passed").isNotNull(), (start + F.col("passed")) * (1 - F.col("density")))).drop("names", "linked")
 
 
 def container_scores(nodes: DataFrame) -> DataFrame:
@@ -181,51 +254,39 @@ def container_scores(nodes: DataFrame) -> DataFrame:
     of them, the grandparent half, further ancestors up to NEAR a third of their level's share. A container starts with its tag's points
     and 25 for or against its names; the sum is cut by the share of its text that is links.
     """
-    names = F.lower(F.concat_ws(" ", F.concat_ws(" ", "classes"), F.coalesce("ident", F.lit(""))))
-    text = F.when(F.col("tag") == "#text", F.col("text"))
-    solid = F.coalesce(F.char_length(F.regexp_replace(text, r"\s", "")), F.lit(0))
-    commas = F.coalesce(F.char_length(F.regexp_replace(text, "[^,、,,]", "")), F.lit(0))
-    rows = nodes.withColumn("noise", _inside(F.col("tag").isin(*NOISE, "title", "head"), True)).withColumn("linked", _inside((F.col("tag") == "a") & (F.col("attrs")["href"] != ""), True))
-    # sums up to a row; a node's own is the difference between the places where it ends and begins
-    up_to = lambda c, keep: F.sum(F.when(keep, c).otherwise(0)).over(_rows(W.unboundedPreceding, 0))
-    real = ~F.col("noise")
-    rows = rows.withColumns({"n_chars": up_to(solid, real), "n_commas": up_to(commas, real), "n_linked": up_to(solid, real & F.col("linked"))})
-    # what stands at a node's last row is the sum there: the greatest of the rows up to it
-    ends = rows.select("key", F.col("pre").alias("last"), *(F.col(c).alias(f"{c}_end") for c in ("n_chars", "n_commas", "n_linked")))
-    kept = rows.where(real & (F.col("tag") != "#text")).join(ends, ["key", "last"])
-    kept = kept.select("key", "pre", "last", "parent", "tag", "classes", "up", names.alias("names"), *((F.col(f"{c}_end") - F.col(c)).cast("int").alias(c.removeprefix("n_")) for c in ("n_chars", "n_commas", "n_linked")))
-    points = F.when(F.col("tag").isin(*_PARAGRAPH) & (F.col("chars") >= LEAST_CHARS), 1 + F.col("commas") + F.least(F.floor(F.col("chars") / 100), F.lit(3)))
-    share = F.when(F.col("level") == 0, 1.0).when(F.col("level") == 1, 0.5).otherwise(1.0 / (3.0 * F.col("level")))
-    given = kept.where(points.isNotNull()).select("key", points.alias("points"), F.posexplode("up").alias("level", "pre"))
-    passed = given.groupBy("key", "pre").agg(F.sum(F.col("points") * share).alias("passed"))
-    start = F.coalesce(*(F.when(F.col("tag") == t, F.lit(v)) for t, v in _TAG_SCORE.items()), F.lit(0))
-    start = start + F.when(F.col("names").rlike(_FOR), 25).otherwise(0) - F.when(F.col("names").rlike(_AGAINST), 25).otherwise(0)
-    density = F.when(F.col("chars") > 0, F.col("linked") / F.col("chars")).otherwise(0.0)
-    out = kept.join(passed, ["key", "pre"], "left").where((F.col("passed").isNotNull()) | (F.col("tag") == "p"))
-    return out.select("key", "pre", "last", "parent", "tag", "classes", "chars", density.alias("density"), "passed", F.when(F.col("passed").isNotNull(), (start + F.col("passed")) * (1 - density)).alias("score"))
+    real = (F.col("within").bitwiseAND(NOISY | HEADED) == 0) & (F.col("tag") != "#text")
+    out = _scored(nodes.where(real)).where(F.col("passed").isNotNull() | (F.col("tag") == "p"))
+    return out.select("key", "pre", "last", "parent", "tag", "classes", "chars", "density", "passed", "score")
 
 
 def articles(pages: DataFrame, limit: int = 6000) -> DataFrame:
     """(key, text, title) of HTML pages (key, content_type, body), a row for each: the text of the container of the highest
     score (of equal ones the first), and of those beside it that belong to it: of a fifth of its score, those of its class counting that
-    much more, or long paragraphs with few links. Where that is under html.MIN_MAIN_CHARS characters, the body without noise."""
-    nodes = nodes_of(pages)
-    scores = container_scores(nodes)
-    top = scores.where("score > 0 and passed is not null").groupBy("key").agg(F.max_by(F.struct("pre", "parent", "classes", "score"), F.struct("score", (-F.col("pre")).alias("p"))).alias("top"))
-    beside = scores.join(top, "key").where((F.col("pre") == F.col("top.pre")) | (F.col("parent") == F.col("top.parent")))
+    much more, or long paragraphs with few links. Where that is under html.MIN_MAIN_CHARS characters, the body without noise.
+
+    Node rows are dealt by page once; groupings and windows below are all within pages, so they need no further shuffle."""
+    lies = lambda bits: F.col("within").bitwiseAND(bits) != 0
+    text, titled = F.col("tag") == "#text", lies(TITLED)
+    wanted = F.when(text, ~lies(NOISY) | titled).otherwise(~lies(NOISY | HEADED) | F.col("tag").isin("body", "title"))
+    rows = _scored(nodes_of(pages).where(wanted).repartition("key"))
+    best = F.when((F.col("score") > 0), F.struct("score", (-F.col("pre")).alias("p"), "pre", "parent", "classes"))
+    rows = rows.withColumn("top", F.max(best).over(W.partitionBy("key")))
+    container = F.col("real") & (F.col("passed").isNotNull() | (F.col("tag") == "p"))
+    beside = (F.col("pre") == F.col("top.pre")) | (F.col("parent") == F.col("top.parent"))
     fifth = 0.2 * F.col("top.score")
     bonus = F.when((F.size("top.classes") > 0) & (F.col("classes") == F.col("top.classes")), fifth).otherwise(0.0)
     belongs = (F.col("pre") == F.col("top.pre")) | (F.col("score") + bonus >= F.greatest(F.lit(10.0), fifth)) | ((F.col("tag") == "p") & (F.col("chars") > 80) & (F.col("density") < 0.25))
-    chosen = beside.where(F.coalesce(belongs, F.lit(False))).select("key", "pre", F.lit(True).alias("chosen"))
-    rows = nodes.join(chosen, ["key", "pre"], "left").withColumn("noise", _inside(F.col("tag").isin(*NOISE), True)).withColumn("head", _inside(F.col("tag").isin("title", "head"), True))
-    rows = rows.withColumns({"mine": _inside(F.coalesce("chosen", F.lit(False)), True), "body": _inside(F.col("tag") == "body", True), "titled": _inside(F.col("tag") == "title", True)})
+    rows = rows.withColumn("chosen", F.coalesce(container & beside & belongs, F.lit(False))).select("key", "pre", "last", "tag", "within", "chosen", "text")
+    rows = rows.withColumn("mine", _inside(F.col("chosen"), True))
     has_body = F.max((F.col("tag") == "body").cast("int"))
-    joined = lambda keep: F.array_join(F.transform(F.sort_array(F.collect_list(F.when((F.col("tag") == "#text") & keep, F.struct("pre", "text")))), lambda t: t["text"]), "")
-    real = ~F.col("noise")
     first_title = F.min(F.when(F.col("tag") == "title", F.struct("pre", "last")))
-    titles = F.sort_array(F.collect_list(F.when((F.col("tag") == "#text") & F.col("titled"), F.struct("pre", "text"))))
-    out = rows.groupBy("key").agg(joined(real & F.col("mine")).alias("main"), joined(real & ~F.col("head") & F.col("body")).alias("in_body"), joined(real & ~F.col("head")).alias("anywhere"), has_body.alias("has_body"), first_title.alias("t"), titles.alias("titles"))
-    title = F.array_join(F.transform(F.filter("titles", lambda x: x["pre"] <= F.col("t.last")), lambda x: x["text"]), "")
-    main, rest = one_line(F.col("main")), one_line(F.when(F.col("has_body") == 1, F.col("in_body")).otherwise(F.col("anywhere")))
-    text = F.when(F.char_length(main) >= html.MIN_MAIN_CHARS, main).otherwise(rest)
-    return out.select("key", F.left(text, F.lit(limit)).alias("text"), F.coalesce(one_line(title), F.lit("")).alias("title"))
+    pieces = F.sort_array(F.collect_list(F.when(text, F.struct("pre", "text", "within", "mine"))))
+    out = rows.groupBy("key").agg(pieces.alias("pieces"), has_body.alias("has_body"), first_title.alias("t"))
+    joined = lambda keep: F.array_join(F.transform(F.filter("pieces", keep), lambda x: x["text"]), "")
+    has = lambda x, bits: x["within"].bitwiseAND(bits) != 0
+    title = joined(lambda x: has(x, TITLED) & (x["pre"] <= F.col("t.last")))
+    main = joined(lambda x: ~has(x, NOISY) & x["mine"])
+    rest = joined(lambda x: ~has(x, NOISY | HEADED) & (has(x, BODIED) | (F.col("has_body") == 0)))
+    out = out.select("key", one_line(main).alias("main"), rest.alias("rest"), F.coalesce(one_line(title), F.lit("")).alias("title"))
+    text = F.when(F.char_length("main") >= html.MIN_MAIN_CHARS, F.col("main")).otherwise(one_line(F.col("rest")))
+    return out.select("key", F.left(text, F.lit(limit)).alias("text"), "title")
