@@ -105,3 +105,34 @@ def _reads(df):
 
 def test_articles_read_each_page_once(spark):
     assert _reads(nodes.articles(_pages(spark, ARTICLE))) == 1
+
+
+def test_scores_read_each_page_once(spark):
+    assert _reads(nodes.container_scores(nodes.nodes_of(_pages(spark, ARTICLE)))) == 1
+
+
+@pytest.mark.parametrize("date", [".date", None])
+def test_listings_read_each_page_once_and_go_through_it_once(spark, date):
+    found = nodes.listed(_pages(spark, PAGE, item="li", date=date))
+    # a frame that shrinks from row to row takes the square of a page's nodes
+    assert _reads(found) == 1 and "RowFrame, 1, unboundedfollowing" not in _plan(found)
+
+
+def test_many_nodes(spark):
+    many = "<ul>" + "".join(f'<li><a href="/{k}">n {k}</a><span class=date>2026/1/{k % 28 + 1}</span>' for k in range(3000)) + "</ul>"
+    got = nodes.listed(_pages(spark, many, item="li", date=".date")).orderBy("ord").collect()
+    assert [(r.ord, r.url, r.title, r.date_text) for r in got] == [(k, f"https://e.com/{k}", f"n {k}", f"2026/1/{k % 28 + 1}") for k in range(3000)]
+
+
+def test_titles_of_pages_that_share_a_url(spark, tmp_path):
+    import duckdb
+
+    from tidemark.plans import readers
+
+    rows = [(1, "https://e.com/a", "<title>One &amp; two</title>"), (2, "https://e.com/a", "<title>Other</title>"), (3, "https://e.com/b", "<title>cut &amp;&amp</title>x"), (4, None, "<title>&lt; a  b </title>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = readers.QUERIES["page_titles_extracted"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(readers.ORACLE_SQL["page_titles_extracted"]).fetchall()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and len(want) == 4

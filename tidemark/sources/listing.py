@@ -44,12 +44,13 @@ def candidates(snapshots: DataFrame, now: datetime) -> DataFrame:
     some = there.where("body is not null and length(body) > 0")
     feeds = some.where("kind = 'feed'").mapInPandas(run, "source_id string, ord int, url string, title string, published_at timestamp_ntz")
     none = F.array().cast("array<string>")
-    pages = some.where("kind not in ('feed', 'law')").select(
+    shown = some.where("kind not in ('feed', 'law')")
+    pages = shown.select(
         F.to_json(F.struct("source_id", "url", "final_url", "item_selector", "date_selector")).alias("key"), "source_id", F.coalesce("final_url", "url").alias("url"), "content_type", "body",
         "item_selector", "date_selector", F.coalesce("title_from", F.lit("text")).alias("title_from"), F.coalesce("include", none).alias("include"), F.coalesce("exclude", none).alias("exclude"),
     ).dropDuplicates(["key"])
     on_page = to_utc(page_date(F.col("date_text")).cast("timestamp_ntz"))
-    found = nodes.listed(pages).select(F.get_json_object("key", "$.source_id").alias("source_id"), "ord", "url", "title", on_page.alias("published_at"))
+    found = nodes.listed(pages, nodes.steps_of(shown)).select(F.get_json_object("key", "$.source_id").alias("source_id"), "ord", "url", "title", on_page.alias("published_at"))
     entries = feeds.unionByName(found)
     return entries.withColumn("title", F.when(F.coalesce("title", F.lit("")) != "", F.col("title")).otherwise(title_from_url(F.col("url")))).unionByName(laws)
 
@@ -61,23 +62,24 @@ def fetch_status(snapshots: DataFrame, found: DataFrame) -> DataFrame:
     return snapshots.select("source_id", F.coalesce(ok, F.lit(False)).alias("ok"), F.coalesce(F.col("status") == 304, F.lit(False)).alias("not_modified")).join(n, "source_id", "left").fillna({"n_candidates": 0})
 
 
-def extracted(pages: DataFrame, limit: int = 6000) -> DataFrame:
+def extracted(pages: DataFrame, limit: int = 6000, key: str = "url") -> DataFrame:
     """pages (url, content_type, body) with text, kind (html, text, pdf) and title, a row for each URL. PDF gives an empty text: there is
-    no reader for it here; so does what can't be read, and never an error. A URL that comes twice counts once."""
+    no reader for it here; so does what can't be read, and never an error. A URL that comes twice counts once; where URLs don't tell
+    pages apart, `key` names the column of text that does, and stands in the URL's place."""
 
     def plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             text = [html.collapse(fetch.decode(bytes(b) if b is not None else b"", k or ""))[:limit] for b, k in zip(part["body"], part["content_type"], strict=True)]
             yield pd.DataFrame({"url": part["url"], "text": text, "kind": "text", "title": ""})
 
-    rows = pages.select("url", "content_type", "body").dropDuplicates(["url"])
+    rows = pages.select(F.col(key).alias("url"), "content_type", "body").dropDuplicates(["url"])
     mime = F.lower(F.coalesce("content_type", F.lit("")))
     pdf = F.contains(mime, F.lit("pdf")) | F.coalesce(F.substring("body", 1, 5) == F.lit(b"%PDF-"), F.lit(False))
     rows = rows.withColumn("kind", F.when(pdf, "pdf").when(F.startswith(mime, F.lit("text/plain")), "text").otherwise("html"))
     empty = F.lit("")
     articles = nodes.articles(rows.where("kind = 'html'").withColumnRenamed("url", "key"), limit).select(F.col("key").alias("url"), "text", F.lit("html").alias("kind"), "title")
     texts = rows.where("kind = 'text'").drop("kind").mapInPandas(plain, "url string, text string, kind string, title string")
-    return articles.unionByName(texts).unionByName(rows.where("kind = 'pdf'").select("url", empty.alias("text"), "kind", empty.alias("title")))
+    return articles.unionByName(texts).unionByName(rows.where("kind = 'pdf'").select("url", empty.alias("text"), "kind", empty.alias("title"))).withColumnRenamed("url", key)
 
 
 def page_texts(fetched: DataFrame, limit: int = 6000) -> DataFrame:
