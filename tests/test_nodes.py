@@ -136,3 +136,19 @@ def test_titles_of_pages_that_share_a_url(spark, tmp_path):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     want = con.execute(readers.ORACLE_SQL["page_titles_extracted"]).fetchall()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and len(want) == 4
+
+
+def test_decoded_texts_come_in_batches_of_bounded_size():
+    import pyarrow as pa
+
+    bodies = [b"x" * 1000] * 100 + [None, b""]
+    part = pa.record_batch([pa.array([str(k) for k in range(102)]), pa.array(["text/html"] * 102), pa.array(bodies, pa.binary())], ["url", "content_type", "body"])
+    got = list(listing.decoded_batches(iter([part]), 10_000))
+    assert [b.num_rows for b in got] == [10] * 10 + [2] and pa.Table.from_batches(got)["text"].to_pylist() == ["x" * 1000] * 100 + ["", ""]
+
+
+def test_decoding_reads_few_pages_at_a_time(spark):
+    from tidemark.sources import fetch
+
+    listing.decoded(_pages(spark, "a"))
+    assert 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= fetch.BATCH_PAGES

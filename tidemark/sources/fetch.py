@@ -13,7 +13,7 @@ from urllib.parse import urlsplit
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -33,6 +33,17 @@ _BINARY = re.compile(r"^(image|audio|video|font)/|application/(octet-stream|zip|
 _ALIASES = {"shift_jis": "cp932", "sjis": "cp932", "x-sjis": "cp932", "windows-31j": "cp932", "iso-8859-1": "cp1252"}
 
 
+#: Pages in an Arrow batch to a Python task, at most; their bodies may be long.
+BATCH_PAGES = 500
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_PAGES rows, if they are longer, so that a task's Python holds few pages at a time."""
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(conf)) <= BATCH_PAGES:
+        spark.conf.set(conf, str(BATCH_PAGES))
+
+
 def charset(body: bytes, content_type: str) -> str:
     """The character set by header, else by a meta tag in the first 2 KB, else by the XML declaration, else UTF-8."""
     header = re.search(r"charset\s*=\s*[\"']?([\w-]+)", content_type or "", re.I)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from datetime import datetime
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ from ..functions.time import page_date, to_utc
 from ..functions.urls import title_from_url
 from . import feed, fetch, html, law, nodes
 
+#: A batch of texts ends with the one that fills it to so many characters.
+BATCH_CHARS = 1 << 20
+
 SNAPSHOT = T.StructType([
     T.StructField("source_id", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("url", T.StringType()),
     T.StructField("final_url", T.StringType()), T.StructField("status", T.IntegerType()), T.StructField("content_type", T.StringType()),
@@ -90,14 +94,26 @@ def page_texts(fetched: DataFrame, limit: int = 6000) -> DataFrame:
     return got.select(F.col("url").alias("id"), "title", F.col("text").alias("content_text"))
 
 
-def decoded(pages: DataFrame) -> DataFrame:
-    """pages (url, content_type, body) with their text as `fetch.decode` reads it."""
+def decoded_batches(batches: Iterator[pa.RecordBatch], limit: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
+    """Batches (url, text) of batches (url, content_type, body): one body at a time, and a batch ends with the text that fills it."""
+    kinds = pa.schema([("url", pa.string()), ("text", pa.string())])
+    for part in batches:
+        held, size = [], 0
+        for url, kind, body in zip(*part.columns, strict=True):
+            text = fetch.decode(body.as_py(), kind.as_py() or "") if body.is_valid else ""
+            held.append({"url": url.as_py(), "text": text})
+            size += len(text)
+            if size >= limit:
+                yield pa.RecordBatch.from_pylist(held, kinds)
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, kinds)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            yield pd.DataFrame({"url": part["url"], "text": [fetch.decode(bytes(b) if b is not None else b"", k or "") for b, k in zip(part["body"], part["content_type"], strict=True)]})
 
-    return pages.select("url", "content_type", "body").mapInPandas(run, "url string, text string")
+def decoded(pages: DataFrame) -> DataFrame:
+    """pages (url, content_type, body) with their text as `fetch.decode` reads it."""
+    fetch.short_batches(pages.sparkSession)
+    return pages.select("url", "content_type", "body").mapInArrow(decoded_batches, "url string, text string")
 
 
 def feeds_of(pages: DataFrame) -> DataFrame:

@@ -98,6 +98,7 @@ def nodes_of(pages: DataFrame) -> DataFrame:
         if rows:
             yield batch(rows)
 
+    fetch.short_batches(pages.sparkSession)
     return pages.select("key", "content_type", "body").mapInArrow(run, NODE)
 
 
