@@ -152,3 +152,10 @@ def test_decoding_reads_few_pages_at_a_time(spark):
 
     listing.decoded(_pages(spark, "a"))
     assert 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= fetch.BATCH_PAGES
+
+
+def test_selectors_deal_links_once(spark):
+    pages = spark.createDataFrame([(1, "https://e.com/", '<ul class="l">' + "".join(f'<li><a href="/{k}">x</a>' for k in range(4)) + "</ul>"), (2, None, None)], "page_id long, url string, html string")
+    found = listing.selectors(pages)
+    assert found.collect() == [(1, 0, "ul.l a", 4, 1)]
+    assert len(re.findall(r"[+:]- Exchange", found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0])) == 1

@@ -131,13 +131,24 @@ def selectors(pages: DataFrame, limit: int = 6, least: int = 3) -> DataFrame:
     """pages (page_id, url, html): the containers of each that could be listings, with the number of their distinct links: of
     those that one selector names the fullest, of equally full ones the deepest, most links first, at most `limit`."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = pa.schema([("page_id", pa.int64()), ("node", pa.int32()), ("path", pa.string()), ("depth", pa.int32()), ("href", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)
+        rows: list[tuple] = []
         for part in batches:
-            for p in part.itertuples(index=False):
-                rows = [(p.page_id, *r) for r in html.container_links(p.html or "", p.url or "")]
-                yield pd.DataFrame(rows, columns=["page_id", "node", "path", "depth", "href"])
+            for page, url, text in zip(*part.columns, strict=True):
+                number = page.as_py()
+                rows += [(number, *r) for r in html.container_links(text.as_py() or "", url.as_py() or "")]
+                if len(rows) >= nodes.BATCH_ROWS:
+                    yield batch(rows)
+                    rows = []
+        if rows:
+            yield batch(rows)
 
-    rows = pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, node int, path string, depth int, href string")
+    fetch.short_batches(pages.sparkSession)
+    # all that follows is within pages, so links are dealt by page once
+    rows = pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, node int, path string, depth int, href string").repartition("page_id")
     full = rows.groupBy("page_id", "node", "path", "depth").agg(F.count_distinct("href").cast("int").alias("links")).where(F.col("links") >= least)
     best = full.groupBy("page_id", "path").agg(F.max(F.struct("links", "depth")).alias("top"), F.min("node").alias("node")).select("page_id", "path", "top.*", "node")
     deep = best.groupBy("page_id", "links").agg(F.min_by(F.struct("path", "depth"), F.struct((-F.col("depth")).alias("d"), "node")).alias("one"))
