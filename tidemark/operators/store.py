@@ -113,10 +113,11 @@ class SnapshotStore:
         return None if v < 0 else self._rows(self._manifest(table, v))
 
     def _publish(self, table: str, rows: DataFrame, key: str, old: dict, replace: bool) -> int:
-        """Write rows by bucket; the manifest's buckets that they fall into are replaced or get more files."""
+        """Write rows by bucket; the manifest's buckets that they fall into are replaced or get more files. A bucket of more
+        than spark.sql.adaptive.advisoryPartitionSizeInBytes is written by several tasks, small ones together by one."""
         v = self.version(table) + 1
         folder = f"{table}/data/{v}"
-        rows.withColumn("__bucket", self._bucket(key)).repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{self.root}/{folder}")
+        rows.withColumn("__bucket", self._bucket(key)).hint("rebalance", "__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{self.root}/{folder}")
         found = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/{folder}"))]
         new = {x.split("=")[1]: f"{folder}/{x}" for x in found if x.startswith("__bucket=")}
         buckets = dict(old["buckets"]) | {b: [f] if replace else [*old["buckets"].get(b, []), f] for b, f in new.items()}
