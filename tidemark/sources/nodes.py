@@ -204,16 +204,19 @@ def listed(pages: DataFrame, most_steps: int | None = None) -> DataFrame:
     )
     nodes = nodes.select("key", "pre", "up", "item", F.size("dates").alias("n_dates"), F.struct("base", link.alias("link"), F.when(F.col("own_date"), F.col("own_text")).alias("self_text")).alias("found"),
         F.when(F.col("next_date.pre") <= F.col("last"), F.struct(F.col("next_date.own_text").alias("text"), F.col("tag").isin(*_STOP).alias("stop"))).alias("dated"))
-    # an element asks itself and its near ancestors for the first date below them; the nearest that has one decides. Questions and
-    # answers meet in the ancestor's place, so that no page is read twice
+    # an element without a date in or below it asks its near ancestors for the first date below them; the nearest that has one decides.
+    # Questions and answers meet in the ancestor's place, so that no page is read twice
     kinds = nodes.select("found", "dated").schema
     none_of = lambda c: F.lit(None).cast(kinds[c].dataType).alias(c)
     null = F.lit(None).cast("int")
     said = F.struct(F.col("pre").alias("at"), "dated", null.alias("level"), null.alias("pre"), none_of("found"))
-    asked = F.filter(F.transform(F.concat(F.array("pre"), "up"), lambda u, level: F.struct(u.alias("at"), none_of("dated"), level.cast("int").alias("level"), F.col("pre").alias("pre"), F.when(level == 0, F.col("found")).alias("found"))), lambda q: (q["level"] == 0) | (F.col("n_dates") > 0))
+    own_row = F.struct(F.col("pre").alias("at"), none_of("dated"), F.lit(0).alias("level"), "pre", "found")
+    upward = F.transform("up", lambda u, level: F.struct(u.alias("at"), none_of("dated"), (level + 1).cast("int").alias("level"), F.col("pre").alias("pre"), none_of("found")))
     empty = F.array().cast(nodes.select(F.array(said).alias("x")).schema["x"].dataType)
     asks = F.col("item") & F.coalesce(F.trim("found.link.attrs.href") != "", F.lit(False))
-    rows = nodes.select("key", F.explode(F.concat(F.when(F.col("dated").isNotNull(), F.array(said)).otherwise(empty), F.when(asks, asked).otherwise(empty))).alias("r")).select("key", "r.*")
+    open_ = asks & (F.col("n_dates") > 0) & F.col("dated").isNull() & F.col("found.self_text").isNull()
+    parts = [F.when(which, rows).otherwise(empty) for which, rows in ((F.col("dated").isNotNull(), F.array(said)), (asks, F.array(own_row)), (open_, upward))]
+    rows = nodes.select("key", F.explode(F.concat(*parts)).alias("r")).select("key", "r.*")
     rows = rows.withColumn("answer", F.max("dated").over(W.partitionBy("key", "at"))).where("level is not null")
     told = F.when(F.col("answer").isNotNull() & ((F.col("level") == 0) | ~F.col("answer.stop")), F.col("level"))
     found = rows.groupBy("key", "pre").agg(F.first("found", ignorenulls=True).alias("found"), F.min_by("answer.text", told).alias("near_text")).select("key", "pre", "found.*", "near_text")
