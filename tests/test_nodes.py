@@ -2,6 +2,7 @@ import os
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.sources import html, listing, nodes
 
@@ -159,3 +160,20 @@ def test_selectors_deal_links_once(spark):
     found = listing.selectors(pages)
     assert found.collect() == [(1, 0, "ul.l a", 4, 1)]
     assert len(re.findall(r"[+:]- Exchange", found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0])) == 1
+
+
+def test_pages_of_one_file_are_read_by_several_tasks(spark, tmp_path):
+    from tidemark.plans import readers
+
+    spark.range(40).selectExpr("id AS page_id", "'u' AS url", "concat('<div><p>', repeat('word, ', 10), id, '</p></div>') AS html").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = readers.QUERIES["article_scores"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(key" in plan.split("MapInArrow")[-1] and got.count() == 80
+    one = _pages(spark, *([ARTICLE] * 20)).coalesce(1)
+    assert nodes.nodes_of(nodes.dealt(one)).select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_rows_without_texts_are_the_others(spark):
+    for body in (ARTICLE, PAGE, "", "<p>a, b<br>c <a href=/x>d</a>", "x"):
+        root = html.parse(body)
+        assert nodes.node_rows("k", root, False) == [r for r in nodes.node_rows("k", root) if r[4] != "#text"]

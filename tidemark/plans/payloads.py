@@ -243,5 +243,5 @@ def article_scores(spark, sf_dir):
     from ..sources import nodes
 
     p = si.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("key"), F.lit("text/html; charset=utf-8").alias("content_type"), F.encode("html", "UTF-8").alias("body"))
-    rows = nodes.container_scores(nodes.nodes_of(p)).where("score is not null")
+    rows = nodes.container_scores(nodes.nodes_of(nodes.dealt(p), texts=False)).where("score is not null")
     return rows.select(F.col("key").cast("long").alias("page_id"), "pre", "tag", "chars", F.round("density", 9).alias("density"), F.round("score", 6).alias("score"))

@@ -42,42 +42,58 @@ def _bits(node: html.Node) -> int:
     return NOISY * (tag in NOISE) | HEADED * (tag in ("title", "head")) | LINKED * (tag == "a" and node.attrs.get("href", "") != "") | BODIED * (tag == "body") | TITLED * (tag == "title")
 
 
-def node_rows(key: str | None, root: html.Node) -> list[list]:
-    """Rows of NODE for a parsed page, in the page's order; pieces of text are rows of the tag #text. chars (without spaces), commas and
-    linked (characters in links) are those of a node's text outside noise, title and head."""
+def node_rows(key: str | None, root: html.Node, texts: bool = True) -> list[list]:
+    """Rows of NODE for a parsed page, in the page's order; pieces of text are rows of the tag #text, left out without `texts` (their places
+    stay free). chars (without spaces), commas and linked (characters in links) are those of a node's text outside noise, title and head."""
     rows: list[list] = []
     parts: list[str] = []
-    at, sums = 0, [0, 0, 0]
+    n = at = solid = commas = linked = 0
     stack: list[tuple] = [(root, -1, (), 0)]
     while stack:
         node, parent, up, within = stack.pop()
-        if node is None:  # the end of the node `parent`
-            row = rows[parent]
-            row[2], row[14] = len(rows) - 1, at
-            row[15:18] = [now - then for now, then in zip(sums, row[15:18], strict=True)]
+        if node is None:  # the end of the node whose row is `parent`
+            row = parent
+            row[2], row[14] = n - 1, at
+            row[15], row[16], row[17] = solid - row[15], commas - row[16], linked - row[17]
             continue
-        pre = len(rows)
+        pre = n
+        n += 1
         if isinstance(node, str):
-            solid = commas = 0
+            mine = [0, 0, 0]
             if not within & (NOISY | HEADED):
-                solid, commas = len(node) - sum(map(node.count, " \t\n\x0b\f\r")), sum(map(node.count, ",、"))
-            mine = [solid, commas, solid if within & LINKED else 0]
-            sums = [x + y for x, y in zip(sums, mine, strict=True)]
-            rows.append([key, pre, pre, parent, "#text", None, [], None, None, None, None, up, within, at, at + len(node), *mine, node])
+                mine[0], mine[1] = len(node) - sum(map(node.count, " \t\n\x0b\f\r")), sum(map(node.count, ",、"))
+                solid, commas = solid + mine[0], commas + mine[1]
+                if within & LINKED:
+                    mine[2] = mine[0]
+                    linked += mine[2]
+            if texts:
+                rows.append([key, pre, pre, parent, "#text", None, [], None, None, None, None, up, within, at, at + len(node), *mine, node])
             parts.append(node)
             at += len(node)
             continue
         attrs, within = node.attrs, within | _bits(node)
-        rows.append([key, pre, pre, parent, node.tag, attrs.get("id"), attrs.get("class", "").split(), attrs.get("href"), attrs.get("title"), attrs.get("aria-label"), attrs.get("alt"), up, within, at, at, *sums, None])
-        stack.append((None, pre, (), 0))
-        below = (pre, *up)[:NEAR]
-        stack += [(c, pre, below, within) for c in reversed(node.children)]
+        if attrs:
+            row = [key, pre, pre, parent, node.tag, attrs.get("id"), attrs.get("class", "").split(), attrs.get("href"), attrs.get("title"), attrs.get("aria-label"), attrs.get("alt"), up, within, at, at, solid, commas, linked, None]
+        else:
+            row = [key, pre, pre, parent, node.tag, None, [], None, None, None, None, up, within, at, at, solid, commas, linked, None]
+        rows.append(row)
+        if node.children:
+            stack.append((None, row, (), 0))
+            below = (pre, *up)[:NEAR]
+            stack += [(c, pre, below, within) for c in reversed(node.children)]
+        else:
+            row[15] = row[16] = row[17] = 0
     rows[0][18] = "".join(parts)
     return rows
 
 
-def nodes_of(pages: DataFrame) -> DataFrame:
-    """Node rows of pages (key, content_type, body). Each page is read once; what follows should need it once."""
+def dealt(pages: DataFrame) -> DataFrame:
+    """pages by key over as many tasks as a shuffle has: what is read of each costs more than moving it, and files may be few or large."""
+    return pages.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+
+
+def nodes_of(pages: DataFrame, texts: bool = True) -> DataFrame:
+    """Node rows of pages (key, content_type, body), without pieces of text unless `texts`. Each page is read once; what follows should need it once."""
     text, number = pa.string(), pa.int32()
     kinds = {"string": text, "int": number, "array<string>": pa.list_(text), "array<int>": pa.list_(number)}
     schema = pa.schema([(c.split(" ")[0], kinds[c.split(" ")[1]]) for c in NODE.split(", ")])
@@ -90,7 +106,7 @@ def nodes_of(pages: DataFrame) -> DataFrame:
         for part in batches:
             for key, kind, body in zip(*part.columns, strict=True):  # a page's bytes at a time
                 text = fetch.decode(body.as_py(), kind.as_py() or "") if body.is_valid else ""
-                rows += node_rows(key.as_py(), html.parse(text))
+                rows += node_rows(key.as_py(), html.parse(text), texts)
                 chars += len(text)
                 if len(rows) >= BATCH_ROWS or chars >= BATCH_CHARS:
                     yield batch(rows)
@@ -183,7 +199,7 @@ def listed(pages: DataFrame, most_steps: int | None = None) -> DataFrame:
     own = pages.select("key", "page_key", "url", "title_from", F.coalesce("include", none).alias("include"), F.coalesce("exclude", none).alias("exclude"), selector_steps("item_selector").alias("items"), selector_steps("date_selector").alias("dates"))
     if most_steps is None:
         most_steps = steps_of(pages)
-    nodes = nodes_of(pages).where("tag <> '#text'").join(own.select("key", "items", "dates"), "key")
+    nodes = nodes_of(pages, texts=False).join(own.select("key", "items", "dates"), "key")
     nodes = _marked(nodes, most_steps, item="items", date="dates").drop("items")
     linked = F.coalesce((F.col("tag") == "a") & (F.col("href") != ""), F.lit(False))
     attrs = F.struct("href", "title", "label").alias("attrs")
