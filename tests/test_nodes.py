@@ -177,3 +177,12 @@ def test_rows_without_texts_are_the_others(spark):
     for body in (ARTICLE, PAGE, "", "<p>a, b<br>c <a href=/x>d</a>", "x"):
         root = html.parse(body)
         assert nodes.node_rows("k", root, False) == [r for r in nodes.node_rows("k", root) if r[4] != "#text"]
+
+
+def test_listings_keep_their_tasks(spark):
+    pages = _pages(spark, *[PAGE] * 20, item="a")
+    found = nodes.listed(nodes.dealt(pages), 1)
+    got = found.groupBy("key").count().collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # the adaptive planner joins no tasks of a shuffle by number
+    assert len(got) == 20 and "REPARTITION_BY_NUM" in plan.split("MapInArrow")[0] and "REPARTITION_BY_NUM" in plan.split("MapInArrow")[-1]

@@ -49,10 +49,10 @@ def candidates(snapshots: DataFrame, now: datetime) -> DataFrame:
     feeds = some.where("kind = 'feed'").mapInPandas(run, "source_id string, ord int, url string, title string, published_at timestamp_ntz")
     none = F.array().cast("array<string>")
     shown = some.where("kind not in ('feed', 'law')")
-    pages = shown.select(
+    pages = nodes.dealt(shown.select(
         F.to_json(F.struct("source_id", "url", "final_url", "item_selector", "date_selector")).alias("key"), "source_id", F.coalesce("final_url", "url").alias("url"), "content_type", "body",
         "item_selector", "date_selector", F.coalesce("title_from", F.lit("text")).alias("title_from"), F.coalesce("include", none).alias("include"), F.coalesce("exclude", none).alias("exclude"),
-    ).dropDuplicates(["key"])
+    )).dropDuplicates(["key"])
     on_page = to_utc(page_date(F.col("date_text")).cast("timestamp_ntz"))
     found = nodes.listed(pages, nodes.steps_of(shown)).select(F.get_json_object("key", "$.source_id").alias("source_id"), "ord", "url", "title", on_page.alias("published_at"))
     entries = feeds.unionByName(found)

@@ -87,9 +87,10 @@ def node_rows(key: str | None, root: html.Node, texts: bool = True) -> list[list
     return rows
 
 
-def dealt(pages: DataFrame) -> DataFrame:
-    """pages by key over as many tasks as a shuffle has: what is read of each costs more than moving it, and files may be few or large."""
-    return pages.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+def dealt(rows: DataFrame) -> DataFrame:
+    """Pages, or rows of them, by key over as many tasks as a shuffle has: what is made of each costs more than moving it, files may be few
+    or large, and tasks that adaptive execution has joined by their bytes are often one more than there are cores, which takes twice as long."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
 
 
 def nodes_of(pages: DataFrame, texts: bool = True) -> DataFrame:
@@ -199,19 +200,22 @@ def listed(pages: DataFrame, most_steps: int | None = None) -> DataFrame:
     own = pages.select("key", "page_key", "url", "title_from", F.coalesce("include", none).alias("include"), F.coalesce("exclude", none).alias("exclude"), selector_steps("item_selector").alias("items"), selector_steps("date_selector").alias("dates"))
     if most_steps is None:
         most_steps = steps_of(pages)
-    nodes = nodes_of(pages, texts=False).join(own.select("key", "items", "dates"), "key")
+    nodes = dealt(nodes_of(pages, texts=False)).join(own.select("key", "items", "dates"), "key")
     nodes = _marked(nodes, most_steps, item="items", date="dates").drop("items")
     linked = F.coalesce((F.col("tag") == "a") & (F.col("href") != ""), F.lit(False))
+    based, pictured = (F.col("tag") == "base") & F.col("href").isNotNull(), F.coalesce((F.col("tag") == "img") & (F.col("alt") != ""), F.lit(False))
+    # of a page without a date selector no ancestors are asked, so what else is in it plays no part
+    nodes = nodes.where((F.coalesce(F.size("dates"), F.lit(0)) > 0) | F.col("item") | linked | based | pictured | (F.col("pre") == 0))
     attrs = F.struct("href", "title", "label").alias("attrs")
     self_date = F.col("item") & (F.size("dates") > 0) & _fits(F.get("dates", F.size("dates") - 1))
     whole = F.first(F.when(F.col("pre") == 0, F.col("text")), ignorenulls=True).over(W.partitionBy("key"))
     # a page's whole text goes along with its elements only until their own part of it is cut out
     nodes = nodes.withColumn("own_text", F.when(F.col("item") | F.col("date") | linked, one_line(F.substring(whole, F.col("begins") + 1, F.col("ends") - F.col("begins")))))
     nodes = nodes.withColumn("own_date", F.coalesce(self_date, F.lit(False)) & (F.col("own_text") != "")).withColumn("date", F.col("date") & (F.col("own_text") != ""))
-    nodes = nodes.withColumn("base", F.min(F.when((F.col("tag") == "base") & F.col("href").isNotNull(), F.struct("pre", "href"))).over(W.partitionBy("key"))["href"])
+    nodes = nodes.withColumn("base", F.min(F.when(based, F.struct("pre", "href"))).over(W.partitionBy("key"))["href"])
     nodes = nodes.withColumns({
         "next_date": _next(F.col("date"), F.struct("pre", "own_text")), "next_link": _next(linked, F.struct("pre", attrs, "own_text")),
-        "next_alt": _next((F.col("tag") == "img") & (F.col("alt") != ""), F.struct("pre", "alt")),
+        "next_alt": _next(pictured, F.struct("pre", "alt")),
     })
     nodes = nodes.withColumn("own_alt", F.when(F.col("next_alt.pre") <= F.col("last"), F.col("next_alt.alt")))
     nodes = nodes.withColumn("link_alt", _next(linked, F.struct("pre", F.col("own_alt").alias("alt"))))
