@@ -131,3 +131,17 @@ def test_all_texts_train_until_the_likelihood_settles(docs, corpus):
     # the expectation is that of all tokens: the states' counts add up to them
     got = lm.expected_counts(coded, model)
     assert abs(got.emit.sum() / hm.FIXED - len(x)) < 1e-5 * len(x) and abs(got.start.sum() / hm.FIXED - len(corpus)) < 1e-5 * len(corpus)
+
+
+def test_cut_texts_are_scaled_once_in_eight_tokens(monkeypatch):
+    """The transfer matrices of parts, a large part of the work on long texts, are scaled as seldom as the tokens of whole ones."""
+    rng = np.random.default_rng(5)
+    m = hm.random_model(3, np.full(7, 1 / 7), 2)
+    off = np.array([0, 150, 171])
+    x = rng.integers(0, 7, off[-1])
+    scaled, real = [], hm._scaled
+    monkeypatch.setattr(hm, "_scaled", lambda t, last: scaled.append(real(t, last)) or scaled[-1])
+    log = hm._bridge(m, x, hm._cut(off, 3, 20, 64))
+    assert len(scaled) == 64 and sum(scaled) == 8
+    monkeypatch.undo()
+    assert np.allclose([log[:3].sum(), log[3:].sum()], hm.log_likelihoods(m, x, off, long=10**6), rtol=1e-12)

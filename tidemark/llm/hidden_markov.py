@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Texts of more tokens are cut into parts of PART tokens; tokens whose expectations are held at once.
-LONG, PART, CHUNK = 1024, 256, 1 << 17
+LONG, PART, CHUNK = 1024, 256, 1 << 18
 #: Probabilities are scaled once in so many tokens.
 SCALED = 8
 #: Expected counts of states and their tokens are summed in units of 1 / FIXED, so that sums don't depend on their order.
@@ -98,14 +98,21 @@ def _bridge(model: Model, x: np.ndarray, parts: _Parts) -> np.ndarray:
     # one column for each state that a part may begin from
     now = np.where(p.first, np.eye(states)[:, :, None], model.step.T[:, :, None])
     logs = np.zeros(n)
-    for t, k in enumerate(live):
-        a = now[:, :, :k] if t == 0 else (model.step.T @ now[:, :, :k].reshape(states, -1)).reshape(states, states, k)
-        a = a * model.emit[:, token[at[t] : at[t + 1]]][:, None, :]
-        scale = a.sum((0, 1))
-        logs[:k] += np.log(scale)
-        now[:, :, :k] = a / scale
     through, log = np.empty((n, states, states)), np.empty(n)
-    through[order], log[order] = now.transpose(2, 1, 0), logs
+    step, width = np.ascontiguousarray(model.step.T), n
+    for t, k in enumerate(live):
+        if k < width:  # parts that have ended
+            through[order[k:width]] = now[:, :, k:].transpose(2, 1, 0)
+            now, width = np.ascontiguousarray(now[:, :, :k]), k
+        if t:
+            now = (step @ now.reshape(states, -1)).reshape(states, states, k)
+        now *= model.emit.take(token[at[t] : at[t + 1]], 1)[:, None, :]
+        if _scaled(t, len(live) - 1):
+            scale = now.reshape(states * states, k).sum(0)
+            logs[:k] += np.log(scale)
+            now /= scale
+    through[order[:width]] = now.transpose(2, 1, 0)
+    log[order] = logs
     state = model.start
     out = np.empty((n, states))
     for k in range(n):
@@ -133,7 +140,7 @@ def _expect(model: Model, x: np.ndarray, parts: _Parts, out: Counts) -> None:
     """Add the expected counts of parts of falling size. Rows are tokens, the columns states."""
     live, at, token = _by_time(x, parts)
     states = len(model.start)
-    seen = np.ascontiguousarray(model.emit.T)[token]
+    seen = np.ascontiguousarray(model.emit.T).take(token, 0)
     alpha = np.empty_like(seen)
     ones, step, back = np.ones(states), model.step, np.ascontiguousarray(model.step.T)
     scale: dict[int, np.ndarray] = {}
