@@ -78,7 +78,7 @@ class SnapshotStore:
     folder may be in any store that Spark reaches. Files that none of the last KEEP manifests names are removed.
     """
 
-    KEEP, FILES = 3, 8
+    KEEP, FILES, PIECES = 3, 8, 64
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 16):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
@@ -114,10 +114,12 @@ class SnapshotStore:
 
     def _publish(self, table: str, rows: DataFrame, key: str, old: dict, replace: bool) -> int:
         """Write rows by bucket; the manifest's buckets that they fall into are replaced or get more files. A bucket of more
-        than spark.sql.adaptive.advisoryPartitionSizeInBytes is written by several tasks, small ones together by one."""
+        than spark.sql.adaptive.advisoryPartitionSizeInBytes is written by several tasks, small ones together by one. Buckets are dealt in
+        PIECES, as what one task has of a bucket goes to one task, and a table may come from few tasks."""
         v = self.version(table) + 1
         folder = f"{table}/data/{v}"
-        rows.withColumn("__bucket", self._bucket(key)).hint("rebalance", "__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{self.root}/{folder}")
+        dealt = rows.withColumns({"__bucket": self._bucket(key), "__piece": F.pmod(F.hash(key), F.lit(self.PIECES))}).hint("rebalance", "__bucket", "__piece").drop("__piece")
+        dealt.write.mode("overwrite").partitionBy("__bucket").parquet(f"{self.root}/{folder}")
         found = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/{folder}"))]
         new = {x.split("=")[1]: f"{folder}/{x}" for x in found if x.startswith("__bucket=")}
         buckets = dict(old["buckets"]) | {b: [f] if replace else [*old["buckets"].get(b, []), f] for b, f in new.items()}
