@@ -145,3 +145,51 @@ def test_cut_texts_are_scaled_once_in_eight_tokens(monkeypatch):
     assert len(scaled) == 64 and sum(scaled) == 8
     monkeypatch.undo()
     assert np.allclose([log[:3].sum(), log[3:].sum()], hm.log_likelihoods(m, x, off, long=10**6), rtol=1e-12)
+
+
+def test_texts_are_cut_only_where_few_others_are_at_hand(monkeypatch):
+    """A cut text's tokens cost several times what others do: among many tokens, texts of some thousands are followed whole."""
+    rng = np.random.default_rng(6)
+    m = hm.random_model(3, np.full(7, 1 / 7), 2)
+    size, n = 1500, 1400
+    x, off = rng.integers(0, 7, size * n), np.arange(n + 1) * size
+    bridged, real = [], hm._bridge
+    monkeypatch.setattr(hm, "_bridge", lambda model, x, parts: bridged.append(parts.size.sum()) or real(model, x, parts))
+    many = hm.expect(m, x, off)
+    assert not bridged
+    few = hm.expect(m, x[: 20 * size], off[:21])
+    assert bridged == [20 * size]
+    # nothing changes by that, nor by how many tokens are at hand
+    rest = hm.expect(m, x[20 * size :], off[20:] - off[20])
+    assert np.allclose(many.emit, few.emit + rest.emit, rtol=1e-9, atol=10) and np.allclose(many.step, few.step + rest.step) and np.allclose(many.start, few.start + rest.start, atol=10)
+    assert abs(many.log_likelihood / hm.FIXED - hm.log_likelihoods(m, x, off).sum()) < 1e-3
+
+
+def test_scores_are_scaled_once_in_eight_tokens_too(monkeypatch):
+    rng = np.random.default_rng(7)
+    m = hm.random_model(3, np.full(7, 1 / 7), 2)
+    off = np.cumsum([0, 64, 5, 1, 8, 33])
+    x = rng.integers(0, 7, off[-1])
+    want = []
+    for i, j in zip(off[:-1], off[1:], strict=True):
+        a = m.start * m.emit[:, x[i]]
+        for c in x[i + 1 : j]:
+            a = (a @ m.step) * m.emit[:, c]
+        want.append(np.log(a.sum()))
+    scaled, real = [], hm._scaled
+    monkeypatch.setattr(hm, "_scaled", lambda t, last: scaled.append(real(t, last)) or scaled[-1])
+    assert np.allclose(hm.log_likelihoods(m, x, off), want, rtol=1e-12)
+    assert len(scaled) == 64 and sum(scaled) == 8
+
+
+def test_expectations_summed_in_blocks_are_the_same(monkeypatch):
+    rng = np.random.default_rng(8)
+    m = hm.random_model(4, np.full(9, 1 / 9), 2)
+    off = np.cumsum([0, *rng.integers(1, 60, 50)])
+    x = rng.integers(0, 9, off[-1])
+    whole = hm.expect(m, x, off)
+    for block, chunk in ((1, 1 << 20), (40, 200), (1 << 14, 1)):
+        monkeypatch.setattr(hm, "BLOCK", block)
+        monkeypatch.setattr(hm, "CHUNK", chunk)
+        got = hm.expect(m, x, off)
+        assert np.allclose(got.emit, whole.emit, atol=50, rtol=0) and np.allclose(got.step, whole.step) and np.allclose(got.start, whole.start, atol=50, rtol=0) and abs(got.log_likelihood - whole.log_likelihood) < 100

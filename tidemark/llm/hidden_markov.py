@@ -1,18 +1,23 @@
 """A hidden Markov model over word classes: expected counts, re-estimation and exact scaled likelihoods in numpy.
 
 Texts are followed over their whole length. So that many are handled at once, arrays are laid out by time: the first tokens of
-all texts, then the second ones, and so on. A long text is cut where the states on both sides of each cut are known: the product
-of its parts' transfer matrices tells them exactly, so nothing of the text's probability or expectations is lost.
+all texts, then the second ones, and so on, each state in a row of its own. A long text is cut where the states on both sides of
+each cut are known: the product of its parts' transfer matrices tells them exactly, so nothing of the text's probability or
+expectations is lost.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
 
-#: Texts of more tokens are cut into parts of PART tokens; tokens whose expectations are held at once.
-LONG, PART, CHUNK = 1024, 256, 1 << 18
+#: A text is cut into parts of PART tokens if it has more than LONG and more than one in SHARE of the tokens at hand, or more
+#: than LONGEST: a part costs several times what a token in an uncut text does, but a few texts by themselves cost more.
+LONG, LONGEST, SHARE, PART = 1024, 4096, 1024, 1024
+#: Tokens whose forward probabilities are held at once, and whose expectations are.
+CHUNK, BLOCK = 1 << 20, 1 << 14
 #: Probabilities are scaled once in so many tokens.
 SCALED = 8
 #: Expected counts of states and their tokens are summed in units of 1 / FIXED, so that sums don't depend on their order.
@@ -77,12 +82,14 @@ def _cut(off: np.ndarray, states: int, long: int, part: int) -> _Parts:
     return _Parts(begin, np.minimum(step, off[1:][text] - begin), text, k == 0, np.zeros((states, len(text))), np.ones((states, len(text))))
 
 
-def _by_time(x: np.ndarray, parts: _Parts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _by_time(x: np.ndarray, parts: _Parts) -> tuple[list[int], list[int], np.ndarray]:
     """For parts of falling size: how many are there at each time, offsets of times, and the tokens laid out by time."""
     live = np.searchsorted(-parts.size, -np.arange(1, int(parts.size[0]) + 1), "right")
-    at = np.concatenate(([0], np.cumsum(live)))
-    row = np.arange(at[-1]) - np.repeat(at[:-1], live)
-    return live, at, x[parts.begin[row] + np.repeat(np.arange(len(live)), live)]
+    at = np.concatenate(([0], np.cumsum(live))).tolist()
+    token, place = np.empty(at[-1], x.dtype), np.empty(len(parts), np.intp)
+    for t, k in enumerate(live):
+        x.take(np.add(parts.begin[:k], t, out=place[:k]), out=token[at[t] : at[t + 1]], mode="clip")
+    return live.tolist(), at, token.astype(np.intp)
 
 
 def _prior(model: Model, parts: _Parts) -> np.ndarray:
@@ -100,13 +107,15 @@ def _bridge(model: Model, x: np.ndarray, parts: _Parts) -> np.ndarray:
     logs = np.zeros(n)
     through, log = np.empty((n, states, states)), np.empty(n)
     step, width = np.ascontiguousarray(model.step.T), n
+    seen, spare = np.empty(states * n), np.empty(states * states * n)
     for t, k in enumerate(live):
         if k < width:  # parts that have ended
             through[order[k:width]] = now[:, :, k:].transpose(2, 1, 0)
             now, width = np.ascontiguousarray(now[:, :, :k]), k
         if t:
-            now = (step @ now.reshape(states, -1)).reshape(states, states, k)
-        now *= model.emit.take(token[at[t] : at[t + 1]], 1)[:, None, :]
+            ahead = np.matmul(step, now.reshape(states, -1), out=spare[: now.size].reshape(states, -1))
+            now, spare = ahead.reshape(states, states, k), now.reshape(-1)
+        now *= model.emit.take(token[at[t] : at[t + 1]], 1, out=seen[: states * k].reshape(states, k), mode="clip")[:, None, :]
         if _scaled(t, len(live) - 1):
             scale = now.reshape(states * states, k).sum(0)
             logs[:k] += np.log(scale)
@@ -136,53 +145,68 @@ def _scaled(t: int, last: int) -> bool:
     return t % SCALED == SCALED - 1 or t == last
 
 
-def _expect(model: Model, x: np.ndarray, parts: _Parts, out: Counts) -> None:
-    """Add the expected counts of parts of falling size. Rows are tokens, the columns states."""
-    live, at, token = _by_time(x, parts)
-    states = len(model.start)
-    seen = np.ascontiguousarray(model.emit.T).take(token, 0)
-    alpha = np.empty_like(seen)
-    ones, step, back = np.ones(states), model.step, np.ascontiguousarray(model.step.T)
+def _forward(model: Model, live: list[int], at: list[int], token: np.ndarray, prior: np.ndarray, room: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """The forward recursion over parts: the logs that were scaled away, what is left at each part's end, and by time the scales.
+    room, states x tokens, takes the probabilities of all times; without it they are given up."""
+    states, width = prior.shape
+    step = np.ascontiguousarray(model.step.T)
+    seen, two = np.empty(states * width), np.empty((0 if room is not None else 2, states * width))
     scale: dict[int, np.ndarray] = {}
-    logs = np.zeros(len(parts))
-    last = np.empty(len(parts))  # of a part's end, what its probabilities still add up to
+    logs, last = np.zeros(width), np.empty(width)
+    before = prior
     for t, k in enumerate(live):
-        here = alpha[at[t] : at[t] + k]
-        if t == 0:
-            np.multiply(_prior(model, parts).T, seen[:k], out=here)
+        here = two[t % 2, : states * k].reshape(states, k) if room is None else room[:, at[t] : at[t + 1]]
+        if t:
+            np.matmul(step, before[:, :k], out=here)
         else:
-            np.matmul(alpha[at[t - 1] : at[t - 1] + k], step, out=here)
-            here *= seen[at[t] : at[t] + k]
+            here[:] = prior
+        here *= model.emit.take(token[at[t] : at[t + 1]], 1, out=seen[: states * k].reshape(states, k), mode="clip")
         if _scaled(t, len(live) - 1):
-            s = scale[t] = here @ ones
-            here /= s[:, None]
+            s = scale[t] = here.sum(0)
+            here /= s
             logs[:k] += np.log(s)
         ending = live[t + 1] if t + 1 < len(live) else 0
-        last[ending:k] = here[ending:] @ ones
+        if ending < k:
+            last[ending:k] = here[:, ending:].sum(0)
+        before = here
+    return logs, last, scale
+
+
+def _expect(model: Model, x: np.ndarray, parts: _Parts, out: Counts, room: np.ndarray) -> None:
+    """Add the expected counts of parts of falling size; room has space for all states of their tokens."""
+    live, at, token = _by_time(x, parts)
+    states, width = len(model.start), len(parts)
+    alpha = room[: states * at[-1]].reshape(states, at[-1])
+    logs, last, scale = _forward(model, live, at, token, _prior(model, parts), alpha)
     logs += np.log(last)
-    leave = parts.leave.T / last[:, None]
-    pairs = np.zeros_like(step)
-    beta = leave[: live[-1]]
+    leave = parts.leave * (FIXED / last)  # all that follows is in units of 1 / FIXED
+    pairs = np.zeros((states, states))
+    seen, beta = np.empty(states * width), np.empty((states, width))
+    beta[:, : live[-1]] = leave[:, : live[-1]]
+    held, low = np.empty(states * max(BLOCK, width)), len(live)
     for t in reversed(range(len(live))):
-        here = slice(at[t], at[t + 1])
-        ahead = seen[here]
-        ahead *= beta
+        k = live[t]
+        if t < low:
+            low = min(t, bisect_left(at, at[t + 1] - BLOCK))
+            tokens = token[at[low] : at[t + 1]]
+            here = held[: states * len(tokens)].reshape(states, -1)
+        ahead = model.emit.take(token[at[t] : at[t + 1]], 1, out=seen[: states * k].reshape(states, k), mode="clip")
+        ahead *= beta[:, :k]
         if t in scale:
-            ahead /= scale[t][:, None]
-        alpha[here] *= beta
+            ahead /= scale[t]
+        np.multiply(alpha[:, at[t] : at[t + 1]], beta[:, :k], out=here[:, at[t] - at[low] : at[t + 1] - at[low]])
+        if t == low:
+            np.rint(here, out=here)
+            for i in range(states):
+                out.emit[i] += np.bincount(tokens, here[i], out.emit.shape[1])
         if t:
-            pairs += alpha[at[t - 1] : at[t - 1] + live[t]].T @ ahead
-            beta = np.empty((live[t - 1], states))
-            np.matmul(ahead, back, out=beta[: live[t]])
-            beta[live[t] :] = leave[live[t] : live[t - 1]]
+            pairs += alpha[:, at[t - 1] : at[t - 1] + k] @ ahead.T
+            np.matmul(model.step, ahead, out=beta[:, :k])
+            beta[:, k : live[t - 1]] = leave[:, k : live[t - 1]]
         else:
-            pairs += (parts.enter * ~parts.first) @ ahead
-    out.step += step * pairs
-    alpha *= FIXED
-    np.rint(alpha, out=alpha)
-    for k in range(states):
-        out.emit[k] += np.bincount(token, alpha[:, k], out.emit.shape[1])
-    out.start += alpha[: live[0]][parts.first].sum(0)
+            pairs += (parts.enter * ~parts.first) @ ahead.T
+    out.step += model.step * (pairs / FIXED)
+    out.start += here[:, : live[0]][:, parts.first].sum(1)
     out.log_likelihood += float(np.rint(logs * FIXED).sum())
 
 
@@ -197,17 +221,25 @@ def _chunks(parts: _Parts):
         a = b
 
 
-def expect(model: Model, classes: np.ndarray, off: np.ndarray, long: int = LONG, part: int = PART) -> Counts:
+def _long(tokens: int) -> int:
+    """Texts of more tokens than this are cut, where so many tokens are at hand."""
+    return min(max(LONG, tokens // SHARE), LONGEST)
+
+
+def expect(model: Model, classes: np.ndarray, off: np.ndarray, long: int | None = None, part: int = PART) -> Counts:
     """Expected counts of whole texts: classes[off[d] : off[d + 1]]."""
     out = Counts.zero(*model.emit.shape)
+    long = long or _long(len(classes))
     parts = _cut(off, len(model.start), long, part)
     cut = np.flatnonzero(np.diff(off)[parts.text] > long)
     if len(cut):
         some = parts.take(cut)
         _bridge(model, classes, some)
         parts.enter[:, cut], parts.leave[:, cut] = some.enter, some.leave
-    for chunk in _chunks(parts):
-        _expect(model, classes, chunk, out)
+    chunks = list(_chunks(parts))
+    room = np.empty(len(model.start) * max((int(c.size.sum()) for c in chunks), default=0))
+    for chunk in chunks:
+        _expect(model, classes, chunk, out, room)
     return out
 
 
@@ -221,23 +253,16 @@ def reestimate(counts: Counts, prior: float = 0.02) -> Model:
     return Model(start / start.sum(), step / step.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
 
-def log_likelihoods(model: Model, classes: np.ndarray, off: np.ndarray, long: int = LONG, part: int = PART) -> np.ndarray:
+def log_likelihoods(model: Model, classes: np.ndarray, off: np.ndarray, long: int | None = None, part: int = PART) -> np.ndarray:
     """The natural log of each text's probability, by the forward recursion over its whole length. No text is empty."""
     out = np.zeros(len(off) - 1)
+    long = long or _long(len(classes))
     parts = _cut(off, len(model.start), long, part)
     cut = np.diff(off)[parts.text] > long
     if cut.any():
         some = parts.take(np.flatnonzero(cut))
         np.add.at(out, some.text, _bridge(model, classes, some))
-    onward = np.ascontiguousarray(model.step.T)
     for chunk in _chunks(parts.take(np.flatnonzero(~cut))):
-        live, at, token = _by_time(classes, chunk)
-        total = np.zeros(len(chunk))
-        alpha = _prior(model, chunk)
-        for t, k in enumerate(live):
-            a = (alpha if t == 0 else onward @ alpha[:, :k]) * model.emit[:, token[at[t] : at[t + 1]]]
-            scale = a.sum(0)
-            total[:k] += np.log(scale)
-            alpha = a / scale
-        out[chunk.text] = total
+        logs, last, _ = _forward(model, *_by_time(classes, chunk), _prior(model, chunk))
+        out[chunk.text] = logs + np.log(last)
     return out
