@@ -95,6 +95,27 @@ def test_extraction_never_fails(spark):
     assert got == {"a": ("html", "Head", ""), "b": ("pdf", "", ""), "c": ("text", "a b", ""), "d": ("html", "", ""), "e": ("html", "", ""), "f.PDF": ("pdf", "", "")}
 
 
+def test_texts_are_whole(spark, tmp_path):
+    """Also past the 6,000 characters that a collection stores of a page."""
+    import duckdb
+
+    from tidemark.plans import readers
+
+    long = " many  words, \U00020BB7 and\u3000more\n" * 900 + "the end "
+    spark.createDataFrame([(k, long if k < 8 else "\x1c short") for k in range(12)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = readers.QUERIES["main_text_extracted"](spark, str(tmp_path)).collect()
+    whole = "many words, \U00020BB7 and more " * 900 + "the end"
+    assert {r.url: r.text for r in got if int(r.url) < 8} == {str(k): "" if k % 4 == 2 else whole for k in range(8)} and len(whole) > 20_000
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(con.execute(readers.ORACLE_SQL["main_text_extracted"]).fetchall())
+    # without a container, and what a collection stores
+    loose = _pages(spark, "<body>" + "word " * 3000).select(F.col("key").alias("id"), F.lit(200).alias("status"), "content_type", "body", F.lit(None).cast("string").alias("error"))
+    loose = loose.unionAll(loose.withColumns({"id": F.lit("plain"), "content_type": F.lit("text/plain")}))
+    assert {len(r.text) for r in listing.extracted(loose.withColumnRenamed("id", "url")).collect()} == {14_999, 14_999 + len("<body>")}
+    assert [len(r.content_text) for r in listing.page_texts(loose).collect()] == [6000, 6000]
+
+
 def _plan(df):
     return df._jdf.queryExecution().toString()
 

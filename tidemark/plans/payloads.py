@@ -145,7 +145,7 @@ _ARTICLE = """<html><head><title>Title {k}</title></head><body><nav>menu <a href
 
 
 @query(f"""SELECT CAST(doc_id AS VARCHAR) AS url, CASE doc_id % 4 WHEN 2 THEN 'pdf' WHEN 3 THEN 'text' ELSE 'html' END AS kind, CASE WHEN doc_id % 4 < 2 THEN 'Title ' || CAST(doc_id AS VARCHAR) ELSE '' END AS title,
-    CASE WHEN doc_id % 4 = 2 THEN '' WHEN doc_id % 4 = 3 OR length(regexp_replace(text, '\\s', '', 'g')) >= 25 AND length({_ONE_LINE}) >= 40 THEN left({_ONE_LINE}, 6000) ELSE left(trim(CAST(doc_id AS VARCHAR) || {_ONE_LINE}), 6000) END AS text FROM documents""")
+    CASE WHEN doc_id % 4 = 2 THEN '' WHEN doc_id % 4 = 3 OR length(regexp_replace(text, '\\s', '', 'g')) >= 25 AND length({_ONE_LINE}) >= 40 THEN {_ONE_LINE} ELSE trim(CAST(doc_id AS VARCHAR) || {_ONE_LINE}) END AS text FROM documents""")
 def main_text_extracted(spark, sf_dir):
     """Documents as articles among navigation, side bars and scripts, as PDF and as plain text. A text too short to be told
     from its surroundings comes with the side bar's."""

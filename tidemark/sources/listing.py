@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import one_line
 from ..functions.time import page_date, to_utc
 from ..functions.urls import title_from_url
 from . import feed, fetch, html, law, nodes
@@ -66,28 +67,23 @@ def fetch_status(snapshots: DataFrame, found: DataFrame) -> DataFrame:
     return snapshots.select("source_id", F.coalesce(ok, F.lit(False)).alias("ok"), F.coalesce(F.col("status") == 304, F.lit(False)).alias("not_modified")).join(n, "source_id", "left").fillna({"n_candidates": 0})
 
 
-def extracted(pages: DataFrame, limit: int = 6000, key: str = "url") -> DataFrame:
-    """pages (url, content_type, body) with text, kind (html, text, pdf) and title, a row for each URL. PDF gives an empty text: there is
-    no reader for it here; so does what can't be read, and never an error. A URL that comes twice counts once; where URLs don't tell
-    pages apart, `key` names the column of text that does, and stands in the URL's place."""
-
-    def plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            text = [html.collapse(fetch.decode(bytes(b) if b is not None else b"", k or ""))[:limit] for b, k in zip(part["body"], part["content_type"], strict=True)]
-            yield pd.DataFrame({"url": part["url"], "text": text, "kind": "text", "title": ""})
-
+def extracted(pages: DataFrame, limit: int | None = None, key: str = "url") -> DataFrame:
+    """pages (url, content_type, body) with text, kind (html, text, pdf) and title, a row for each URL. Texts are whole, or of at most `limit`
+    characters. PDF gives an empty text: there is no reader for it here; so does what can't be read, and never an error. A URL that comes
+    twice counts once; where URLs don't tell pages apart, `key` names the column of text that does, and stands in the URL's place."""
     rows = pages.select(F.col(key).alias("url"), "content_type", "body").dropDuplicates(["url"])
     mime = F.lower(F.coalesce("content_type", F.lit("")))
     pdf = F.contains(mime, F.lit("pdf")) | F.coalesce(F.substring("body", 1, 5) == F.lit(b"%PDF-"), F.lit(False))
     rows = rows.withColumn("kind", F.when(pdf, "pdf").when(F.startswith(mime, F.lit("text/plain")), "text").otherwise("html"))
     empty = F.lit("")
     articles = nodes.articles(rows.where("kind = 'html'").withColumnRenamed("url", "key"), limit).select(F.col("key").alias("url"), "text", F.lit("html").alias("kind"), "title")
-    texts = rows.where("kind = 'text'").drop("kind").mapInPandas(plain, "url string, text string, kind string, title string")
+    line = one_line(F.col("text"))
+    texts = decoded(rows.where("kind = 'text'")).select("url", (line if limit is None else F.left(line, F.lit(limit))).alias("text"), F.lit("text").alias("kind"), empty.alias("title"))
     return articles.unionByName(texts).unionByName(rows.where("kind = 'pdf'").select("url", empty.alias("text"), "kind", empty.alias("title"))).withColumnRenamed("url", key)
 
 
 def page_texts(fetched: DataFrame, limit: int = 6000) -> DataFrame:
-    """(id, title, content_text) of pages as `fetch.read_pages` gives them: what a collection stores of a page. A page that no
+    """(id, title, content_text) of pages as `fetch.read_pages` gives them: what a collection stores of a page, `limit` characters at most. A page that no
     time was left for has no row; one that could not be read has an empty text, as a page without any."""
     rows = fetched.where(~F.col("error").eqNullSafe(fetch.LATE))
     got = extracted(rows.select(F.col("id").alias("url"), "content_type", F.when(F.col("status") == 200, F.col("body")).alias("body")), limit)

@@ -283,10 +283,11 @@ def container_scores(nodes: DataFrame) -> DataFrame:
     return out.select("key", "pre", "last", "parent", "tag", "classes", "chars", "density", "passed", "score")
 
 
-def articles(pages: DataFrame, limit: int = 6000) -> DataFrame:
+def articles(pages: DataFrame, limit: int | None = None) -> DataFrame:
     """(key, text, title) of HTML pages (key, content_type, body), a row for each: the text of the container of the highest
     score (of equal ones the first), and of those beside it that belong to it: of a fifth of its score, those of its class counting that
-    much more, or long paragraphs with few links. Where that is under html.MIN_MAIN_CHARS characters, the body without noise.
+    much more, or long paragraphs with few links. Where that is under html.MIN_MAIN_CHARS characters, the body without noise. Texts are whole, or of
+    at most `limit` characters.
 
     Node rows are dealt by page once; groupings and windows below are all within pages, so they need no further shuffle."""
     lies = lambda bits: F.col("within").bitwiseAND(bits) != 0
@@ -313,4 +314,4 @@ def articles(pages: DataFrame, limit: int = 6000) -> DataFrame:
     rest = joined(lambda x: ~has(x, NOISY | HEADED) & (has(x, BODIED) | (F.col("has_body") == 0)))
     out = out.select("key", one_line(main).alias("main"), rest.alias("rest"), F.coalesce(one_line(title), F.lit("")).alias("title"))
     text = F.when(F.char_length("main") >= html.MIN_MAIN_CHARS, F.col("main")).otherwise(one_line(F.col("rest")))
-    return out.select("key", F.left(text, F.lit(limit)).alias("text"), "title")
+    return out.select("key", (text if limit is None else F.left(text, F.lit(limit))).alias("text"), "title")
